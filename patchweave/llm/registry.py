@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from .language_id import op9_language_id
 from .mixing import op7_mixing
 from .packing import op5_packing
+from .quality_classifier import op8_quality_classifier
 from .token_counts import op2_token_counts
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op5_packing": op5_packing,
     "op7_mixing": op7_mixing,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op9_language_id": op9_language_id,
 }
 ORACLES: dict[str, str] = {}
