@@ -6,9 +6,11 @@ from .language_id import op9_language_id
 from .mixing import op7_mixing
 from .packing import op5_packing
 from .quality_classifier import op8_quality_classifier
+from .quality_rules import op1_quality_rules
 from .token_counts import op2_token_counts
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
     "op5_packing": op5_packing,
     "op7_mixing": op7_mixing,
