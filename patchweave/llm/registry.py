@@ -7,11 +7,13 @@ from .mixing import op7_mixing
 from .packing import op5_packing
 from .quality_classifier import op8_quality_classifier
 from .quality_rules import op1_quality_rules
+from .secret_scans import op3_secret_scans
 from .token_counts import op2_token_counts
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
+    "op3_secret_scans": op3_secret_scans,
     "op5_packing": op5_packing,
     "op7_mixing": op7_mixing,
     "op8_quality_classifier": op8_quality_classifier,
