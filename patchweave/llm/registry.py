@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .jaccard_join import op10_jaccard_join
 from .language_id import op9_language_id
 from .mixing import op7_mixing
 from .packing import op5_packing
@@ -18,5 +19,6 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_language_id": op9_language_id,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLES: dict[str, str] = {}
