@@ -50,8 +50,9 @@ def flight(weights: list[float], p: list[float], seed: int, land: bool) -> list[
     """Fast cube flight for the constraints (sum w*p, sum p); ``land`` also rounds the last units."""
     rng, p, active, nxt, n = random.Random(seed), list(p), [], 0, len(p)
     eps = 1e-9
-    order = list(range(n))
-    rng.shuffle(order)
+    # large units first, so that what is left for the landing is small; ties at random
+    order = sorted(range(n), key=lambda i: (-weights[i], rng.random()))
+    start = list(p)
     while True:
         while len(active) < 3 and nxt < n:
             i = order[nxt]
@@ -88,6 +89,13 @@ def flight(weights: list[float], p: list[float], seed: int, land: bool) -> list[
             best = min(best or (err, bits), (err, bits))
         for i, b in zip(active, best[1]):
             p[i] = float(b)
+    if land:  # the landed corner may move by single units while that brings the token total nearer
+        for _ in range(16):
+            off = sum(w * (b - a) for w, a, b in zip(weights, start, p))
+            move = [(abs(off + w * (1 - 2 * b)), i) for i, (w, a, b) in enumerate(zip(weights, start, p)) if 0 < a < 1]
+            if not move or min(move)[0] >= abs(off):
+                break
+            p[min(move)[1]] = 1 - p[min(move)[1]]
     return p
 
 
