@@ -17,6 +17,9 @@ table: no rows.
 
 from __future__ import annotations
 
+from io import BytesIO
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +27,7 @@ from .common import map_arrow, session, stage, table
 from .tokens import PreTokens, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.json"
-HOT = 400_000
+HOT = 300_000
 LIMIT = 1024
 #: Distinct pre-tokens that a task holds before it passes them on.
 HOLD = 500_000
@@ -34,8 +37,6 @@ def _frequencies(path: str):
     def make():
         from collections import Counter
 
-        import pyarrow as pa
-
         pre = PreTokens(path)
 
         def run(batches):
@@ -62,8 +63,6 @@ def _frequencies(path: str):
 
 def _piece_counts(path: str):
     def make():
-        import pyarrow as pa
-
         pre = PreTokens(path)
 
         def run(batches):
@@ -79,10 +78,10 @@ def _documents(path: str, hot):
     def make():
         from collections import Counter
 
-        import pyarrow as pa
         from pyspark import TaskContext
 
-        pre, known = PreTokens(path), hot.value
+        table_ = pa.ipc.open_stream(hot.value).read_all()
+        pre, known = PreTokens(path), dict(zip(table_["piece"].to_pylist(), table_["n"].to_pylist()))
         rare_type = pa.list_(pa.struct([("piece", pa.string()), ("freq", pa.int64())]))
 
         def run(batches):
@@ -112,13 +111,29 @@ def _documents(path: str, hot):
     return make
 
 
+def hot_from(vocabulary: DataFrame, hot: int) -> int:
+    """The least frequency from which at most ``hot`` pre-tokens are found (steps of a sixteenth of a power of two)."""
+    step = F.floor(F.log2("freq") * 16)
+    found, least = 0, 1
+    for r in sorted(vocabulary.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("freq").alias("lo"), F.max("freq").alias("hi")).collect(), key=lambda r: -r.step):
+        found += r.n
+        if found > hot:
+            return r.hi + 1
+        least = r.lo
+    return least
+
+
 def token_counts(docs: DataFrame, path: str | None = None, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_tokens for every row of ``docs``."""
     spark, path = session(docs), path or tokenizer_path(VOCABULARY)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     seen = map_arrow(text.select("text"), _frequencies(path), "piece string, freq long").groupBy("piece").agg(F.sum("freq").alias("freq"))
     vocabulary = stage(map_arrow(seen, _piece_counts(path), "piece string, freq long, n long"), "pieces")
-    top = spark.sparkContext.broadcast({r.piece: r.n for r in vocabulary.orderBy(F.desc("freq"), "piece").limit(hot).collect()})
+    top = vocabulary.filter(F.col("freq") >= hot_from(vocabulary, hot)).select("piece", F.col("n").cast("int")).toArrow()
+    buffer = BytesIO()
+    with pa.ipc.new_stream(buffer, top.schema) as out:
+        out.write_table(top)
+    top = spark.sparkContext.broadcast(buffer.getvalue())
     rows = stage(map_arrow(text, _documents(path, top), "key long, doc_id long, n_bytes long, base long, rare array<struct<piece:string,freq:long>>"), "piece-frequencies")
     rare = rows.select("key", F.explode("rare").alias("r")).select("key", "r.piece", "r.freq")
     more = rare.join(vocabulary.select("piece", "n"), "piece").groupBy("key").agg(F.sum(F.col("freq") * F.col("n")).alias("more"))
