@@ -253,7 +253,7 @@ def _join_large(members: DataFrame, text: DataFrame) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("region").orderBy(F.xxhash64("id", F.lit(2)), "id"))
     chosen = sets.select("region", "id").withColumn("rank", rank).filter(F.col("rank") <= PIVOTS)
     pivots = sets.join(chosen.select("id", "rank"), "id").join(members.groupBy("region").agg(F.max("blocks").alias("blocks")), "region")
-    pivots = pivots.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("region", "block", "id", "rank", "s")
+    pivots = pivots.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("region", "block", "id", "rank", "s").toDF("region", "block", "id", "rank", "s")
     met = dealt.select("region", "block", "id", "s").groupBy("region", "block").cogroup(pivots.groupBy("region", "block"))
     placed = stage(met.applyInPandas(_meet_pivots, "region long, id long, d array<double>, near array<long>"), "join-pivots")
     links = placed.select("id", F.explode("near").alias("b")).select(F.col("id").alias("a"), "b")
@@ -262,11 +262,11 @@ def _join_large(members: DataFrame, text: DataFrame) -> DataFrame:
     cells = placed.join(label.withColumnRenamed("component", "l"), "id", "left").select("region", "id", "d", F.coalesce("l", F.lit(-1)).alias("l"), F.coalesce("l", "id").alias("label"), home.alias("home"), F.floor(F.array_min("d") * 8).alias("ring"))
     by = ["region", "l", "home", "ring"]
     counted = cells.groupBy(*by).agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    on = [cells[c] == counted[c] for c in by]
-    cells = cells.join(counted, on).select(*[cells[c] for c in [*by, "id", "d", "label"]], "parts")
+    cells = cells.join(counted, by)
     cells = stage(cells.withColumn("cell", F.xxhash64(*by, F.pmod(F.xxhash64("id", F.lit(3)), "parts"))), "join-cells")
     windows = [F.struct(F.min(F.col("d")[k]).alias("lo"), F.max(F.col("d")[k]).alias("hi")) for k in range(PIVOTS)]
     blocks = cells.groupBy("region", "cell", "l").agg(F.array(*windows).alias("w"))
+    blocks = stage(blocks, "join-windows")
     x, y = blocks.alias("x"), blocks.alias("y")
     apart = F.exists(F.zip_with("x.w", "y.w", lambda p, q: F.coalesce((p["lo"] - q["hi"] > RADIUS + 1e-9) | (q["lo"] - p["hi"] > RADIUS + 1e-9), F.lit(False))), lambda b: b)
     pairs = x.join(y, F.col("x.region") == F.col("y.region")).filter((F.col("x.cell") <= F.col("y.cell")) & ((F.col("x.l") < 0) | (F.col("x.l") != F.col("y.l"))) & ~apart)
