@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op6_ann
 from .jaccard_join import op10_jaccard_join
 from .language_id import op9_language_id
 from .mixing import op7_mixing
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_secret_scans": op3_secret_scans,
     "op5_packing": op5_packing,
+    "op6_ann": op6_ann,
     "op7_mixing": op7_mixing,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_language_id": op9_language_id,
