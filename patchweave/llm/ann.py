@@ -31,7 +31,7 @@ K = 20
 EVERY = 20
 SAMPLE = 10_000
 THRESHOLD = 0.2
-KEEP = 128
+KEEP = 512
 BLOCK = 1 << 16
 QUERIES = 64
 
