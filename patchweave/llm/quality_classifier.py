@@ -175,5 +175,32 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, *
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def _accepting(weights: np.ndarray, bias: float, threshold: float, column: int):
+    def make():
+        import pyarrow as pa
+
+        features = Features()
+
+        def run(batches):
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 256):
+                    part = batch.slice(lo, 256)
+                    x = np.array([features(t or "") for t in part.column(column).to_pylist()])
+                    z = np.clip(x @ weights + bias, -30, 30)
+                    yield part.filter(pa.array(1 / (1 + np.exp(-z)) >= threshold))
+
+        return run
+
+    return make
+
+
+def accept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **sizes) -> DataFrame:
+    """The rows, whole, that the classifier predicts 1; all of them where nothing could be learned."""
+    model = train(docs, labels, **sizes)
+    if model is None:
+        return docs
+    return map_arrow(docs, _accepting(*model, threshold, docs.columns.index("text")), docs.schema)
+
+
 def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
