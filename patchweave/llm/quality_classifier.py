@@ -138,7 +138,7 @@ def fit(xp: np.ndarray, xu: np.ndarray, prior: float, warm: int = 120, rounds: i
     descend(lambda zp, zu: gain(xp, sig(zp) - 1) + gain(xu, sig(zu)), warm)
     w[-1] -= np.quantile(xu @ w[:-1] + w[-1], 1 - prior)
     descend(risk, rounds)
-    weights = w[:-1] / scale
+    weights = (w[:-1] / scale).astype(np.float64)
     return weights, float(w[-1] - mean @ weights)
 
 
