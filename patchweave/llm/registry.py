@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .ann import op6_ann
+from .chat_format import op4_chat_format
 from .jaccard_join import op10_jaccard_join
 from .language_id import op9_language_id
 from .mixing import op7_mixing
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
     "op3_secret_scans": op3_secret_scans,
+    "op4_chat_format": op4_chat_format,
     "op5_packing": op5_packing,
     "op6_ann": op6_ann,
     "op7_mixing": op7_mixing,
