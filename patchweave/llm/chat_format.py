@@ -2,7 +2,8 @@
 
 A raw transcript is a sequence of rows (conversation, turn order, text) whose
 text may hold several lines, each perhaps opened by a speaker marker.  A hidden
-Markov model with one state for each role explains the lines: it emits the
+Markov model with two states for each role (a turn's first line, and lines inside
+it, which only follow lines of their turn) explains the lines: it emits the
 marker class of a line, its length class, whether it asks, and whether it opens
 the conversation.  Initial, transition and emission probabilities are counted
 (with add-one smoothing) from rows with known roles; Viterbi recovers the roles.
@@ -13,7 +14,7 @@ conversation multiply to one matrix, a scan over those (one small matrix for
 ``CHUNK`` turns) gives every chunk the states at its edges, and chunks decode by
 themselves.  Ties go to the role listed first.
 
-Recovered turns begin at a marked line or a change of role; adjacent rows of one
+Recovered turns begin at a line in a first-line state; adjacent rows of one
 turn are merged within a chunk, and a turn that goes on over a chunk's edge has
 ``continued`` set.  Markers are stripped and turns rendered as
 ``<|role|>\\ntext<|end|>``.
@@ -64,59 +65,77 @@ def features(lines: list[str], opens: bool) -> tuple[np.ndarray, list[str]]:
     return out, bare
 
 
+STATES = 2 * len(ROLES)  #: 2 r: first line of a turn of role r; 2 r + 1: inside it
+
+
 class Model:
-    """Log probabilities of an HMM over ROLES."""
+    """Log probabilities of an HMM over STATES."""
 
     def __init__(self, start: np.ndarray, step: np.ndarray, emit: list[np.ndarray]):
         self.start, self.step, self.emit = start, step, emit
 
     @staticmethod
     def from_counts(start, step, emit) -> "Model":
-        norm = lambda a: np.log((a + 1.0) / (a + 1.0).sum(-1, keepdims=True))
-        return Model(norm(np.asarray(start, float)), norm(np.asarray(step, float)), [norm(np.asarray(e, float)) for e in emit])
+        state = np.arange(STATES)
+        first = state % 2 == 0
+        may = first[None, :] | (state[:, None] // 2 == state[None, :] // 2)
+
+        def norm(a, allowed):
+            a = np.where(allowed, np.asarray(a, float) + 1.0, 0.0)
+            with np.errstate(divide="ignore"):
+                return np.log(a / a.sum(-1, keepdims=True))
+
+        return Model(norm(start, first), norm(step, may), [norm(e, np.ones_like(e, bool)) for e in emit])
 
     def scores(self, f: np.ndarray) -> np.ndarray:
         return sum(e[:, f[:, k]] for k, e in enumerate(self.emit)).T
 
-    def matrix(self, f: np.ndarray) -> np.ndarray:
-        """Max-plus matrix of lines: [state before, state after]; its first transition is included."""
+    def moves(self, f: np.ndarray, opens: bool):
+        """For every line the max-plus matrix [state before, state of the line]; an opening line ignores what was before."""
+        for i, row in enumerate(self.scores(f)):
+            yield (np.broadcast_to(self.start, (STATES, STATES)) if opens and i == 0 else self.step) + row[None, :]
+
+    def matrix(self, f: np.ndarray, opens: bool) -> np.ndarray:
         out = None
-        for row in self.scores(f):
-            one = self.step + row[None, :]
+        for one in self.moves(f, opens):
             out = one if out is None else (out[:, :, None] + one[None]).max(1)
         return out
 
-    def path(self, f: np.ndarray, before: np.ndarray, last: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """The best states of lines from scores ``before``, ending in ``last`` if given; and the scores at the end."""
+    def path(self, f: np.ndarray, opens: bool, before: np.ndarray, last: int | None) -> np.ndarray:
+        """The best states of lines from scores ``before``, ending in ``last`` if given."""
         back, alpha = [], before
-        for row in self.scores(f):
-            reach = alpha[:, None] + self.step
+        for one in self.moves(f, opens):
+            reach = alpha[:, None] + one
             back.append(reach.argmax(0))
-            alpha = reach.max(0) + row
+            alpha = reach.max(0)
         states = np.zeros(len(f), np.int64)
         states[-1] = int(alpha.argmax()) if last is None else last
         for i in range(len(f) - 1, 0, -1):
             states[i - 1] = back[i][states[i]]
-        return states, alpha
+        return states
 
 
 def _count():
     import pyarrow as pa
 
     def run(batches):
-        start, step = np.zeros(3), np.zeros((3, 3))
-        emit = [np.zeros((3, n)) for n in SHAPE]
+        start, step = np.zeros(STATES), np.zeros((STATES, STATES))
+        emit = [np.zeros((STATES, n)) for n in SHAPE]
         for batch in batches:
-            for text, role, prev, opens in zip(*(c.to_pylist() for c in batch.columns)):
+            for text, role, prev, long, opens in zip(*(c.to_pylist() for c in batch.columns)):
                 f, _ = features((text or "").split("\n"), opens)
-                r = ROLES.index(role)
+                r = 2 * ROLES.index(role)
                 if opens:
                     start[r] += 1
                 elif prev in ROLES:
-                    step[ROLES.index(prev), r] += 1
-                step[r, r] += len(f) - 1
+                    step[2 * ROLES.index(prev) + long, r] += 1
+                if len(f) > 1:
+                    step[r, r + 1] += 1
+                    step[r + 1, r + 1] += len(f) - 2
+                states = np.full(len(f), r + 1)
+                states[0] = r
                 for k in range(4):
-                    np.add.at(emit[k], (r, f[:, k]), 1)
+                    np.add.at(emit[k], (states, f[:, k]), 1)
         flat = np.concatenate([start, step.ravel(), *[e.ravel() for e in emit]])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["k", "n"])
 
@@ -127,13 +146,13 @@ def train(rows: DataFrame) -> Model:
     """Counts over all given rows (conv_id, turn, role, text)."""
     # the role before, by an equality on the turn's number within the conversation
     known = rows.filter(F.col("role").isin(*ROLES))
-    before = known.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("role").alias("prev")).dropDuplicates(["conv_id", "turn"])
-    joined = known.join(before, ["conv_id", "turn"], "left").select("text", "role", "prev", (F.col("turn") == 0).alias("opens"))
+    before = known.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("role").alias("prev"), F.coalesce(F.contains("text", F.lit("\n")), F.lit(False)).cast("int").alias("long")).dropDuplicates(["conv_id", "turn"])
+    joined = known.join(before, ["conv_id", "turn"], "left").select("text", "role", "prev", "long", (F.col("turn") == 0).alias("opens"))
     flat = {r.k: r.n for r in map_arrow(joined, lambda: _count(), "k long, n double").groupBy("k").agg(F.sum("n").alias("n")).collect()}
-    sizes = [3, 9, *[3 * n for n in SHAPE]]
+    sizes = [STATES, STATES**2, *[STATES * n for n in SHAPE]]
     values = np.array([flat.get(i, 0.0) for i in range(sum(sizes))])
     start, step, *emit = np.split(values, np.cumsum(sizes)[:-1])
-    return Model.from_counts(start, step.reshape(3, 3), [e.reshape(3, n) for e, n in zip(emit, SHAPE)])
+    return Model.from_counts(start, step.reshape(STATES, STATES), [e.reshape(STATES, n) for e, n in zip(emit, SHAPE)])
 
 
 def _chunk_matrix(model: Model):
@@ -142,7 +161,7 @@ def _chunk_matrix(model: Model):
 
         out = None
         for _, text, opens in _ordered(pdf):
-            one = model.matrix(features(text.split("\n"), opens)[0])
+            one = model.matrix(features(text.split("\n"), opens)[0], opens)
             out = one if out is None else (out[:, :, None] + one[None]).max(1)
         return pd.DataFrame({"conv": [key[0]], "chunk": [key[1]], "m": [out.ravel().tolist()]})
 
@@ -151,8 +170,8 @@ def _chunk_matrix(model: Model):
 
 def _ordered(pdf):
     pdf = pdf.sort_values(["turn", "text"], na_position="first", kind="stable")
-    for turn, text, opens in zip(pdf["turn"], pdf["text"], pdf["opens"]):
-        yield turn, text, bool(opens)
+    for k, (turn, text, opens) in enumerate(zip(pdf["turn"], pdf["text"], pdf["opens"])):
+        yield turn, text, bool(opens) and k == 0
 
 
 def _edges(model: Model):
@@ -160,8 +179,8 @@ def _edges(model: Model):
         import pandas as pd
 
         pdf = pdf.sort_values("chunk", kind="stable")
-        mats = [np.array(m).reshape(3, 3) for m in pdf["m"]]
-        alpha, before = _entry(model), []
+        mats = [np.array(m).reshape(STATES, STATES) for m in pdf["m"]]
+        alpha, before = np.zeros(STATES), []
         for m in mats:
             before.append(alpha)
             alpha = (alpha[:, None] + m).max(0)
@@ -175,11 +194,6 @@ def _edges(model: Model):
     return run
 
 
-def _entry(model: Model) -> np.ndarray:
-    """Scores before the first line, such that one transition gives the initial scores."""
-    return np.array([(model.start - model.step[s]).min() for s in range(len(ROLES))])
-
-
 def render(role: str, text: str) -> str:
     return f"<|{role}|>\n{text}<|end|>"
 
@@ -193,18 +207,16 @@ def _decode(model: Model):
         e = edge.iloc[0]
         rows = list(_ordered(pdf))
         parts = [features(t.split("\n"), o) for _, t, o in rows]
-        before = np.full(3, -np.inf) if e["first"] >= 0 else np.array(e["before"])
+        before = np.full(STATES, -np.inf) if e["first"] >= 0 else np.array(e["before"])
         if e["first"] >= 0:
             before[int(e["first"])] = 0.0
-        states, _ = model.path(np.concatenate([f for f, _ in parts]), before, int(e["last"]))
-        out, k, role = [], 0, int(e["first"])
+        states = model.path(np.concatenate([f for f, _ in parts]), rows[0][2], before, int(e["last"]))
+        out, k = [], 0
         for (turn, _, _), (f, bare) in zip(rows, parts):
-            for line, marker in zip(bare, f[:, 0]):
-                s = int(states[k])
-                if not out:
-                    out.append([turn, s, [line], k == 0 and s == role and not marker])
-                elif marker or s != out[-1][1]:
-                    out.append([turn, s, [line], False])
+            for line in bare:
+                role, inside = divmod(int(states[k]), 2)
+                if not inside or not out:
+                    out.append([turn, role, [line], bool(inside)])
                 else:
                     out[-1][2].append(line)
                 k += 1

@@ -7,7 +7,7 @@ out-of-place distance: the sum over its n-grams of how far their ranks differ,
 the length of a profile for an n-gram the language does not list.
 
 Profiles are learned from text and lang of rows whose crc32(doc_id) mod 4 is not
-2, at most ``per_language`` documents a language (lowest hash of the id).  Every
+2, ``per_language`` documents a language (those whose hash of the id lies below the share that gives that many).  Every
 whole text is predicted.  Null text or no letter: ``und`` with score 0; so are
 all texts if nothing could be learned.  Ties: the language first by code point.
 Repeated rows: one result each; empty table: no rows.
@@ -123,9 +123,11 @@ def _predict(profiles: dict[str, list[int]], size: int):
 def train(docs: DataFrame, size: int = PROFILE, per_language: int = PER_LANGUAGE) -> dict[str, list[int]]:
     """Profiles of the languages of the learning folds."""
     learn = F.coalesce(crc_fold() != 2, F.lit(False)) & F.col("lang").isNotNull() & F.col("text").isNotNull()
-    by = W.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id")
-    ids = docs.filter(learn).select("doc_id", "lang").withColumn("r", F.row_number().over(by)).filter(F.col("r") <= per_language).select("doc_id").distinct()
-    rows = docs.filter(learn).select("doc_id", "text", "lang").join(ids, "doc_id", "left_semi").select("text", "lang")
+    known = docs.filter(learn).select("doc_id", "text", "lang")
+    # one row a language: as many as there are profiles on the driver
+    share = known.groupBy("lang").agg((per_language / F.count("*")).alias("share"))
+    part = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) / (1 << 20)
+    rows = known.join(F.broadcast(share), "lang").filter(part < F.col("share")).select("text", "lang")
     counts = map_arrow(rows, lambda: _count(), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = W.partitionBy("lang").orderBy(F.desc("n"), "gram")
     profiles: dict[str, list[int]] = {}
