@@ -143,7 +143,7 @@ def energy_cdf_sample(spark, sf):
     return sampling.sample_energy_cdf(_bins(spark, sf), v, DAY, 16)
 
 
-@query("cover_time", with_views(f"{UNIFORM}, c AS (SELECT video, greatest(0, least(round_even((b + 0.5) * 0.5 * fps, 0)::BIGINT, total_frames - 1)) AS frame_id FROM (SELECT *, unnest(range(greatest(1, ceil(total_frames / fps / 0.5))::INT)) AS b FROM videos)), a AS (SELECT video, row_number() OVER (PARTITION BY video ORDER BY frame_id) - 1 AS t, frame_id FROM (SELECT video, frame_id FROM uni UNION SELECT * FROM c)), k AS (SELECT * FROM a WHERE t < 24), s AS (SELECT video, max(frame_id) AS last_, unnest(range(24)) AS t FROM k GROUP BY video) SELECT s.video, s.t, coalesce(k.frame_id, last_) AS frame_id FROM s LEFT JOIN k ON k.video = s.video AND k.t = s.t", "packet", "videos"))
+@query("cover_time", with_views(f"{UNIFORM}, c AS (SELECT video, greatest(0, least(round_even((b + 0.5) * 0.5 * fps, 0)::BIGINT, total_frames - 1)) AS frame_id FROM (SELECT *, unnest(range(greatest(1, ceil(total_frames / fps / 0.5))::INT)) AS b FROM videos)), u AS (SELECT video, frame_id FROM uni UNION SELECT video, frame_id FROM c), a AS (SELECT x.video, (SELECT count(*) FROM u y WHERE y.video = x.video AND y.frame_id < x.frame_id) AS t, x.frame_id FROM u x), k AS (SELECT * FROM a WHERE t < 24), s AS (SELECT video, last_, x.t FROM (SELECT video, max(frame_id) AS last_ FROM k GROUP BY 1), range(24) x(t)) SELECT s.video, s.t, coalesce(k.frame_id, last_) AS frame_id FROM s LEFT JOIN k ON k.video = s.video AND k.t = s.t", "packet", "videos"))
 def cover_time(spark, sf):
     return sampling.cover_time(sample_uniform(spark, sf), src.videos(spark, sf), 0.5, 24)
 
@@ -192,10 +192,10 @@ def frame_mean_floor(spark, sf):
     return r6(scores.frame_mean_floor(_blocks(spark, sf), 0.5), "score").select("video", "t", "block_idx", "bh", "bw", "score")
 
 
-@query("bitcost_distribute", "SELECT l_orderkey * 10 + l_linenumber AS unit, unnest(range(greatest(1, l_quantity::INT))) AS cell, round(l_extendedprice / greatest(1, l_quantity::INT), 4) AS share FROM lineitem")
+@query("bitcost_distribute", "SELECT l_orderkey * 10 + l_linenumber AS unit, unnest(range(greatest(1, l_quantity::INT))) AS cell, l_extendedprice / greatest(1, l_quantity::INT) AS share FROM lineitem")
 def bitcost_distribute(spark, sf):
     units = src.table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("unit"), F.greatest(F.lit(1), F.col("l_quantity").cast("int")).alias("n"), F.col("l_extendedprice").alias("c"))
-    return scores.distribute(units, "n", "c").withColumn("share", F.round("share", 4))
+    return scores.distribute(units, "n", "c")
 
 
 # groups -----------------------------------------------------------------------------------------------------------
@@ -273,7 +273,7 @@ def adaptive_anchor(spark, sf):
 GOOD = "score > 2.0"
 
 
-@query("replace_bad_anchor", with_views(f"{GROUPED}, f AS (SELECT video, group_idx, t, anchor_t, max(score) > 2.0 AS good FROM g GROUP BY ALL) SELECT video, group_idx, anchor_t, coalesce(max(t) FILTER (t = anchor_t AND good), min(t) FILTER (good), anchor_t) AS new_anchor_t FROM f GROUP BY ALL", "grid"))
+@query("replace_bad_anchor", with_views(f"{GROUPED}, f AS (SELECT video, group_idx, t, anchor_t, max(score) > 2.0 AS good FROM g GROUP BY ALL) SELECT video, group_idx, anchor_t, coalesce(max(t) FILTER (t = anchor_t AND good), min(t) FILTER (good), anchor_t) AS new_anchor_t FROM f GROUP BY video, group_idx, anchor_t", "grid"))
 def replace_bad_anchor(spark, sf):
     frames = _grouped(spark, sf).groupBy("video", "group_idx", "t", "anchor_t").agg((F.max("score") > 2.0).alias("good"))
     return sel.replace_bad_anchor(frames)
