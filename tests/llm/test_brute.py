@@ -1,0 +1,307 @@
+"""Every operator against a brute-force version, an exact round trip, or held-out labels."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+from itertools import product
+
+import numpy as np
+import pytest
+
+from patchweave.llm import chat_format, graph, jaccard_join, mixing, quality_rules, registry
+
+SF, SF2 = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def texts(spark, sf=SF):
+    return {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+
+
+def rows(spark, name, sf=SF):
+    return [r.asDict() for r in registry.QUERIES[name](spark, sf).collect()]
+
+
+def test_op1(spark):
+    known = texts(spark)
+    for r in rows(spark, "op1_quality_rules"):
+        t = known[r["doc_id"]]
+        w = WORD.findall(t)
+        seen = Counter(zip(w, w[1:], w[2:]))
+        covered = {k + d for k in range(len(w) - 2) if seen[w[k], w[k + 1], w[k + 2]] > 1 for d in range(3)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        failed = len(w) < 50 or 100 * len(covered) > 50 * len(w)
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered), failed)
+        assert not (failed and r["kept"])
+
+
+def test_op1_learns(spark):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF2}/labels.parquet").collect()}
+    got = [(labels[r["doc_id"]], r["kept"]) for r in rows(spark, "op1_quality_rules", SF2) if r["doc_id"] in labels and not r["base_failed"]]
+    assert np.mean([k for q, k in got if q == 1]) > 0.97 and np.mean([k for q, k in got if q == 0]) < 0.2
+
+
+def test_rules_cover_in_order():
+    cells = [{"symbol_share": b, "upper_share": 0, "repeat_share": 0, "dup_line_share": 0, "mean_word": 0, "label": int(b < 3), "prune": p, "count": 20} for b in range(5) for p in (False, True)]
+    cuts = {s: [0.1, 0.2, 0.3, 0.4] for s in quality_rules.STATISTICS}
+    assert quality_rules.learn(cells, cuts) == [quality_rules.Rule((("symbol_share", True, 0.3),))]
+
+
+def test_op2(spark):
+    from tokenizers import Tokenizer
+
+    from patchweave.llm.tokens import tokenizer_path
+
+    tok, t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json")), texts(spark)
+    for r in rows(spark, "op2_token_counts"):
+        n = len(tok.encode(t[r["doc_id"]], add_special_tokens=False))
+        assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(t[r["doc_id"]].encode()), n, n > 1024)
+
+
+ODD = ["a<|endoftext|>b  c<|endoftext|>", " \n\n x  'S it's ΑΣ İstanbul ǅ ﬁ é a\xa0b\x85c\x1cd", "１２ ½²³ ªº", "don't DON'T 'LL x'", "日本語 text", "“quote” – dash…", "a\x00b ſ Kelvin K", "", *[chr(i) + "a" + chr(i) * 2 + "1" + chr(i) + " " + chr(i) for i in range(0x250)]]
+
+
+def test_word_shortcuts():
+    from patchweave.llm.tokens import PreTokens, WordIds, tokenizer_path
+
+    w, p = WordIds(tokenizer_path("word_bpe_49k.json")), PreTokens(tokenizer_path("byte_bpe_50k.json"))
+    for t in ODD:
+        assert np.frombuffer(w(t), "<u2").tolist() == w.tok.encode(t, add_special_tokens=False).ids, t
+        pieces, special = p(t)
+        assert sum(map(p.count, pieces)) + special == len(p.tok.encode(t, add_special_tokens=False).ids), t
+
+
+def test_token_counts_rare_arm(spark):
+    """With a tiny broadcast, nearly all counts come from the shuffled join."""
+    from patchweave.llm import token_counts
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    a = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, hot=3).collect()}
+    assert a == {r["doc_id"]: r["n_tokens"] for r in rows(spark, "op2_token_counts")}
+
+
+def test_op3(spark):
+    pattern = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    t = texts(spark, SF2)
+    for r in rows(spark, "op3_secret_scans", SF2):
+        x = t[r["doc_id"]]
+        a = [("assign", m.start(), m.end()) for m in pattern.finditer(x) if len(m[2]) >= 6]
+        b = [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", x) if len(m[0]) >= 20]
+        c = [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", x) if len(m[0]) >= 24]
+        joined = ",".join(f"{k}:{i}:{j}" for k, i, j in sorted(a + b + c, key=lambda s: (s[1], ("assign", "access", "hex").index(s[0]))))
+        assert (r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) == (len(a), len(b), len(c), hashlib.sha256(joined.encode()).hexdigest())
+
+
+def test_op3_links(spark):
+    from pyspark.sql import functions as F
+
+    from patchweave.llm import secret_scans
+
+    apart = "word " * 100
+    cases = {
+        "user = mary77 then Xk29fjQpLmZ81vbTrQ5n and more": {"weak_id", "weak_secret"},
+        "user = mary77 " + apart + " Xk29fjQpLmZ81vbTrQ5n": set(),
+        "Xk29fjQpLmZ81vbTrQ5n alone": set(),
+        "https://db.example.com/x user=mary77 secret = abcdef": {"weak_id", "weak_endpoint"},
+        "https://db.example.com/x secret = abcdef": set(),
+        "password: a secret: token = abcdefgh token: xy": set(),
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r.doc_id: {s["kind"] for s in r.linked} for r in secret_scans.scan(df).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+    red = {r.doc_id: r.text for r in secret_scans.redact(df.withColumn("n_chars", F.length("text").cast("long"))).collect()}
+    assert red[3] == "[SECRET] [SECRET] [SECRET]" and red[4] == "https://db.example.com/x [SECRET]" and red[2].startswith("Xk29")
+
+
+def test_op5(spark):
+    from tokenizers import Tokenizer
+
+    from patchweave.llm.tokens import tokenizer_path
+
+    tok, t = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json")), texts(spark)
+    got, filled = defaultdict(list), defaultdict(list)
+    for r in rows(spark, "op5_packing"):
+        got[r["doc_id"]].append(r)
+        filled[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert set(got) == set(t)
+    for i, pieces in got.items():
+        ids, at = np.array([*tok.encode(t[i], add_special_tokens=False).ids, 1], "<u4"), 0
+        for r in sorted(pieces, key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids) and zlib.crc32(ids[at : at + r["length"]].tobytes()) == r["ids_crc32"]
+            at += r["length"]
+        assert at == len(ids)
+    lengths = []
+    for s in sorted(filled):
+        at = 0
+        for o, n in sorted(filled[s]):
+            assert o == at
+            at += n
+        lengths.append(at)
+    assert all(n == 2048 for n in lengths[:-1]) and lengths[-1] <= 2048
+
+
+def test_op6(spark):
+    v = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{SF2}/embeddings.parquet").collect()}
+    ids, x, got = sorted(v), np.array([v[i] for i in sorted(v)]), defaultdict(list)
+    for r in rows(spark, "op6_ann", SF2):
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+        assert abs(r["score"] - v[r["query_id"]] @ v[r["vec_id"]]) < 1e-9
+    hits = 0
+    assert set(got) == {i for i in ids if i % 20 == 0}
+    for q, found in got.items():
+        score = x @ v[q]
+        score[ids.index(q)] = -np.inf
+        hits += len({ids[k] for k in np.argsort(-score)[:20]} & {i for _, i, _ in found})
+        assert sorted(found)[0][0] == 1 and len(found) == 20
+    assert hits >= 0.9 * 20 * len(got)
+
+
+def test_op7(spark):
+    got = rows(spark, "op7_mixing")
+    assert sorted((r["doc_id"], r["taken"]) for r in got) == sorted((r["doc_id"], r["taken"]) for r in rows(spark, "op7_mixing"))
+    t, by = texts(spark), defaultdict(list)
+    for r in got:
+        assert r["size"] == len(WORD.findall(t[r["doc_id"]])) and 0 <= r["taken"] <= 3 * r["size"]
+        by[r["source"]].append(r)
+    names = sorted(by)
+    goal = mixing.targets([sum(r["size"] for r in by[s]) for s in names], [1 + i % 3 for i in range(len(names))])
+    for s, g in zip(names, goal):
+        assert abs(by[s][0]["target"] - g) < 1e-6 and abs(sum(r["taken"] for r in by[s]) - g) <= 0.05 * g + 50
+
+
+def test_targets_reshare():
+    assert mixing.targets([10, 1000], [3, 1]) == [30.0, 980.0]
+    assert mixing.targets([0, 10], [1, 1]) == [0.0, 10.0]
+
+
+def test_flight_balances():
+    w = [float(3 + i * 7 % 50) for i in range(400)]
+    out = np.array([mixing.flight(w, [0.3] * 400, s, True) for s in range(60)])
+    assert set(np.unique(out)) == {0.0, 1.0} and np.abs(out @ np.array(w) - 0.3 * sum(w)).max() <= 25 and np.abs(out.sum(1) - 120).max() <= 3
+    assert 0.2 < out.mean(0).mean() < 0.4 and out.mean(0).std() < 0.12
+
+
+def test_op8(spark):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF2}/labels.parquet").collect()}
+    got = rows(spark, "op8_quality_classifier", SF2)
+    for r in got:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7)
+    held = [(labels[r["doc_id"]], r["predicted"]) for r in got if r["held_out"] and r["doc_id"] in labels]
+    assert np.mean([p for q, p in held if q == 1]) > 0.95 and np.mean([p for q, p in held if q == 0]) < 0.15
+
+
+def test_op9(spark):
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF2}/documents.parquet").select("doc_id", "lang").collect()}
+    held = [lang[r["doc_id"]] == r["lang_pred"] for r in rows(spark, "op9_language_id", SF2) if r["held_out"]]
+    assert np.mean(held) > 0.97
+
+
+def brute_components(sets):
+    link = {i: i for i in sets}
+
+    def find(x):
+        while link[x] != x:
+            x = link[x]
+        return x
+
+    ids = sorted(sets)
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            a, b = sets[i], sets[j]
+            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                p, q = find(i), find(j)
+                link[max(p, q)] = min(p, q)
+    return {i: find(i) for i in ids}
+
+
+def shingle_set(t):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t))
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def test_op10(spark):
+    sets = {i: shingle_set(t) for i, t in texts(spark, SF2).items()}
+    want = brute_components(sets)
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows(spark, "op10_jaccard_join", SF2)} == {(i, len(s), want[i]) for i, s in sets.items()}
+
+
+def near_copies():
+    rng, docs = np.random.default_rng(3), {}
+    for base in range(3):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 60)]
+        for k in range(70):
+            mine = list(words)
+            for at in rng.integers(0, 60, k % 5):
+                mine[at] = f"n{rng.integers(0, 5000)}"
+            docs[base * 100 + k] = " ".join(mine)
+    return docs
+
+
+@pytest.mark.parametrize("limit", [1_000, 20])
+def test_large_regions(spark, monkeypatch, limit):
+    """The same components whether a region is joined in one task or dealt over blocks."""
+    docs = near_copies()
+    monkeypatch.setattr(jaccard_join, "REGION_DOCS", limit)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_join.similar(df).collect()} == brute_components({i: shingle_set(t) for i, t in docs.items()})
+
+
+def test_region_recursion(monkeypatch):
+    monkeypatch.setattr(jaccard_join.Region, "LEAF", 8)
+    rng = np.random.default_rng(1)
+    sets = []
+    for _ in range(12):
+        base = rng.integers(0, 1 << 40, 80).astype(np.uint64)
+        for k in range(12):
+            sets.append(np.unique(np.concatenate([base[k % 6 * 3 :], rng.integers(0, 1 << 40, k % 7).astype(np.uint64)])))
+    got = jaccard_join.Region(sets).unite(np.arange(len(sets)))
+    want = brute_components({i: set(s.tolist()) for i, s in enumerate(sets)})
+    assert [min(np.flatnonzero(got == g)) for g in got] == [want[i] for i in range(len(sets))]
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(1, 40)] + [(100, 102), (102, 101), (200, 200)]
+    got = {r.id: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_signatures_find_links():
+    from patchweave.llm.jaccard_join import MinHash
+
+    rng, sketch, missed = np.random.default_rng(5), MinHash(), 0
+    for _ in range(300):
+        x = rng.integers(0, 1 << 63, 700, dtype=np.uint64)
+        a, b = x[:600], x[100:]  # 500 of 700 in common: below the threshold
+        missed += not (sketch(a) == sketch(b)).any()
+    assert missed <= 1
+
+
+def test_op4_viterbi_is_exhaustive_best():
+    rng = np.random.default_rng(0)
+    s = chat_format.STATES
+    model = chat_format.Model.from_counts(rng.integers(0, 9, s), rng.integers(0, 9, (s, s)), [rng.integers(0, 9, (s, n)) for n in chat_format.SHAPE])
+    f = np.array([[rng.integers(0, n) for n in chat_format.SHAPE] for _ in range(5)])
+    moves = list(model.moves(f, True))
+    best = max(product(range(s), repeat=5), key=lambda p: moves[0][0, p[0]] + sum(moves[k][p[k - 1], p[k]] for k in range(1, 5)))
+    assert model.path(f, True, np.zeros(s), None).tolist() == list(best)
+
+
+def test_op4_chunks_agree(spark):
+    raw = chat_format.transcripts(spark.read.parquet(f"{SF2}/conversations.parquet"))
+    model = chat_format.train(raw)
+
+    def lines(chunk):
+        out = defaultdict(list)
+        for r in sorted(chat_format.parse(raw, model, chunk=chunk).collect(), key=lambda r: (r.conv_id, r.chunk, r["at"])):
+            out[r.conv_id] += [(r.role, x, r.continued or k > 0) for k, x in enumerate(r.text.split("\n"))]
+        return out
+
+    assert lines(1_000) == lines(2)
+
+
+def test_op4_roles(spark):
+    truth = {(r.conv_id, r.turn): r.role for r in spark.read.parquet(f"{SF2}/conversations.parquet").collect()}
+    held = [truth[r["conv_id"], r["turn"]] == r["role"] for r in rows(spark, "op4_chat_format", SF2) if r["held_out"]]
+    assert np.mean(held) > 0.9
