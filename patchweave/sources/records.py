@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text as tx
 
@@ -69,7 +68,8 @@ def markdown(rows: list[dict], columns: list[str]) -> str:
     return head + "".join("\n| " + " | ".join("-" if r.get(c) is None else str(r[c]) for c in columns) + " |" for r in rows) + "\n"
 
 
-VIDEO = T.StructType.fromDDL("video string, total_frames int, fps double, height int, width int, codec_name string, stream_bit_rate double, format_bit_rate double, duration double")
+#: Schema of the videos table.
+VIDEO = "video string, total_frames int, fps double, height int, width int, codec_name string, stream_bit_rate double, format_bit_rate double, duration double"
 
 
 def probe_rows(lines: DataFrame) -> DataFrame:
