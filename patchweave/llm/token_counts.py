@@ -27,10 +27,10 @@ from .common import map_arrow, session, stage, table
 from .tokens import PreTokens, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.json"
-HOT = 300_000
+HOT = 200_000
 LIMIT = 1024
 #: Distinct pre-tokens that a task holds before it passes them on.
-HOLD = 500_000
+HOLD = 200_000
 
 
 def _frequencies(path: str):
