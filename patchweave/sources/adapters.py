@@ -46,8 +46,9 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = packet(spark, sf_dir)
-    return p.groupBy("video").agg(F.count("*").cast("int").alias("total_frames"), F.lit(FPS).alias("fps"), F.max("pts_time").alias("duration"))
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    e = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("video"))
+    return e.agg(F.count("*").cast("int").alias("total_frames"), F.lit(FPS).alias("fps"), ((F.max(us) - F.min(us)) / F.lit(1e6)).alias("duration"))
 
 
 def eval_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
