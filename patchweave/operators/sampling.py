@@ -67,7 +67,8 @@ def refill(sampled: DataFrame, keyframes: DataFrame, videos: DataFrame) -> DataF
     order = W.partitionBy("video").orderBy("frame_id")
     mine = F.when(F.col("is_kept"), F.col("frame_id"))
     before = F.last(mine, True).over(order.rowsBetween(W.unboundedPreceding, 0))
-    after = F.first(mine, True).over(order.rowsBetween(0, W.unboundedFollowing))
+    # the next kept id by a running value in reverse order: a frame that grows to the end would be summed anew for every row
+    after = F.last(mine, True).over(W.partitionBy("video").orderBy(F.desc("frame_id")).rowsBetween(W.unboundedPreceding, 0))
     gap = F.least(F.abs(F.col("frame_id") - before), F.abs(after - F.col("frame_id")))
     middle = F.abs(F.col("frame_id") - F.floor(F.col("total_frames") / 2))
     ranked = tagged.withColumn("gap", gap).withColumn("mid", middle).filter("not is_kept")
