@@ -56,28 +56,24 @@ def shift_off_keyframes(sampled: DataFrame, keyframes: DataFrame, videos: DataFr
 
 def refill(sampled: DataFrame, keyframes: DataFrame, videos: DataFrame) -> DataFrame:
     """Distinct ids; a video that lost some gets unused non-keyframes back, nearest to kept ids, then to the middle."""
-    by = W.partitionBy("video", "frame_id").orderBy("t")
-    kept = sampled.withColumn("r", F.row_number().over(by)).filter("r = 1").drop("r")
-    size = sampled.groupBy("video").agg(F.count("*").alias("want"), F.countDistinct("frame_id").alias("have"))
-    lost = size.filter("want > have")
-    pool = videos.join(lost, "video").select("video", "total_frames", "want", "have", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total_frames").cast("long") - 1)).alias("frame_id"))
-    pool = pool.join(kept.select("video", "frame_id"), ["video", "frame_id"], "left_anti")
-    pool = pool.join(keyframes.select("video", "frame_id", F.lit(1).alias("kf")).distinct(), ["video", "frame_id"], "left")
-    tagged = pool.select("video", "frame_id", "total_frames", "want", "have", "kf", F.lit(False).alias("is_kept")).unionByName(kept.join(lost, "video").join(videos.select("video", "total_frames"), "video").select("video", F.col("frame_id").cast("long").alias("frame_id"), "total_frames", "want", "have", F.lit(None).cast("int").alias("kf"), F.lit(True).alias("is_kept")))
-    order = W.partitionBy("video").orderBy("frame_id")
+    of = W.partitionBy("video")
+    base = sampled.withColumn("r", F.row_number().over(W.partitionBy("video", "frame_id").orderBy("t")))
+    base = base.withColumn("want", F.count("*").over(of)).withColumn("have", F.sum((F.col("r") == 1).cast("int")).over(of))
+    whole = base.filter("want = have").select("video", "t", F.col("frame_id").cast("long").alias("frame_id"))
+    kept = base.filter("want > have and r = 1").select("video", F.col("frame_id").cast("long").alias("frame_id"), "want", "have")
+    short = kept.groupBy("video").agg((F.first("want") - F.first("have")).alias("lack"))
+    every = short.join(videos.select("video", "total_frames"), "video").select("video", "lack", "total_frames", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total_frames").cast("long") - 1)).alias("frame_id"))
+    flags = kept.select("video", "frame_id", F.lit(True).alias("is_kept"))
+    tagged = every.join(flags, ["video", "frame_id"], "left").join(keyframes.select("video", F.col("frame_id").cast("long").alias("frame_id"), F.lit(True).alias("is_key")).distinct(), ["video", "frame_id"], "left").na.fill(False, ["is_kept", "is_key"])
+    # the kept ids before and after by running values in both directions: a frame that grows to the end is summed anew for every row
     mine = F.when(F.col("is_kept"), F.col("frame_id"))
-    before = F.last(mine, True).over(order.rowsBetween(W.unboundedPreceding, 0))
-    # the next kept id by a running value in reverse order: a frame that grows to the end would be summed anew for every row
-    after = F.last(mine, True).over(W.partitionBy("video").orderBy(F.desc("frame_id")).rowsBetween(W.unboundedPreceding, 0))
-    gap = F.least(F.abs(F.col("frame_id") - before), F.abs(after - F.col("frame_id")))
-    middle = F.abs(F.col("frame_id") - F.floor(F.col("total_frames") / 2))
-    ranked = tagged.withColumn("gap", gap).withColumn("mid", middle).filter("not is_kept")
-    rank = W.partitionBy("video").orderBy(F.when(F.col("kf").isNull(), 0).otherwise(1), F.when(F.col("kf").isNull(), F.col("gap")), F.when(F.col("kf").isNull(), F.col("mid")), "frame_id")
-    added = ranked.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= F.col("want") - F.col("have")).select("video", "frame_id")
-    filled = kept.join(lost.select("video"), "video", "left_semi").select("video", F.col("frame_id").cast("long").alias("frame_id")).union(added)
-    filled = filled.select("video", (F.row_number().over(order) - 1).alias("t"), "frame_id")
-    whole = sampled.join(lost.select("video"), "video", "left_anti").select("video", "t", F.col("frame_id").cast("long").alias("frame_id"))
-    return whole.unionByName(filled)
+    so_far = lambda order: F.last(mine, True).over(of.orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    gap = F.least(F.col("frame_id") - so_far(F.col("frame_id")), so_far(F.desc("frame_id")) - F.col("frame_id"))
+    placed = tagged.withColumn("gap", gap).withColumn("mid", F.abs(F.col("frame_id") - F.floor(F.col("total_frames") / 2)))
+    free = ~F.col("is_key")
+    rank = F.row_number().over(W.partitionBy("video", "is_kept").orderBy("is_key", F.when(free, F.col("gap")), F.when(free, F.col("mid")), "frame_id"))
+    filled = placed.withColumn("r", rank).filter(F.col("is_kept") | (F.col("r") <= F.col("lack")))
+    return whole.unionByName(filled.select("video", (F.row_number().over(of.orderBy("frame_id")) - 1).alias("t"), "frame_id"))
 
 
 def split_segments(sampled: DataFrame, parts: int) -> DataFrame:
