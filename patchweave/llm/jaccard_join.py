@@ -313,7 +313,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """The document with the smallest id of every component, once."""
     first = stage(similar(docs), "join-result").filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("times"))
     keep = stage(first, "join-keep")
-    kept = docs.join(keep.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    # a shuffled join at every size: ids of what stays grow with the corpus
+    kept = docs.join(keep.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
     if keep.filter("times > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id"])
     return kept

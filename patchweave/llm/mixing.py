@@ -158,7 +158,8 @@ def take(docs: DataFrame, **options) -> DataFrame:
     spark = session(docs)
     plan = mix(docs, **options).groupBy("doc_id", "source").agg(F.max("copies").alias("_copies"))
     plan = stage(plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "_copies"), "mix-copies")
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"]) & docs["source"].eqNullSafe(plan["_source"]))
+    # a shuffled join at every size: the plan has a row for every document
+    joined = docs.join(plan.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(plan["_id"]) & docs["source"].eqNullSafe(plan["_source"]))
     return joined.filter("_copies > 0").withColumn("_r", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select(*docs.columns)
 
 
