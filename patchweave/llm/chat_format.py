@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, session, ship, stage, table
+from .common import map_arrow, stage, table
 
 ROLES = ("system", "user", "assistant")
 #: Speaker markers by role.
@@ -155,43 +155,83 @@ def train(rows: DataFrame) -> Model:
     return Model.from_counts(start, step.reshape(STATES, STATES), [e.reshape(STATES, n) for e, n in zip(emit, SHAPE)])
 
 
-def _chunk_matrix(model: Model):
-    def run(key, pdf):
-        import pandas as pd
+def by_key(df: DataFrame, keys: list[str], order: list, make, schema: str) -> DataFrame:
+    """Rows of a key, in order, given to ``make()(key, rows)``, which returns result rows.
 
-        out = None
-        for _, text, opens in _ordered(pdf):
-            one = model.matrix(features(text.split("\n"), opens)[0], opens)
-            out = one if out is None else (out[:, :, None] + one[None]).max(1)
-        return pd.DataFrame({"conv": [key[0]], "chunk": [key[1]], "m": [out.ravel().tolist()]})
+    Partitions are sorted by key and read as a stream: one group is held at a time, without a data frame for each.
+    """
+    at = [df.columns.index(k) for k in keys]
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    return run
+    def factory():
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+        from pyspark.sql.types import _parse_datatype_json_string
+
+        each, target = make(), to_arrow_schema(_parse_datatype_json_string(kinds))
 
+        def run(batches):
+            key, held, out = None, [], []
 
-def _ordered(pdf):
-    pdf = pdf.sort_values(["turn", "text"], na_position="first", kind="stable")
-    for k, (turn, text, opens) in enumerate(zip(pdf["turn"], pdf["text"], pdf["opens"])):
-        yield turn, text, bool(opens) and k == 0
+            def flush():
+                cols = list(zip(*out)) or [()] * len(names)
+                batch = pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, target)], names)
+                out.clear()
+                return batch
+
+            for batch in batches:
+                for row in zip(*(c.to_pylist() for c in batch.columns)):
+                    now = tuple(row[i] for i in at)
+                    if held and now != key:
+                        out.extend(each(key, held))
+                        held = []
+                        if len(out) >= 5_000:
+                            yield flush()
+                    key = now
+                    held.append(row)
+            if held:
+                out.extend(each(key, held))
+            yield flush()
+
+        return run
+
+    spark = df.sparkSession
+    kinds = spark.createDataFrame([], schema).schema.json()
+    return map_arrow(df.repartition(*keys).sortWithinPartitions(*keys, *order), factory, schema)
+
+
+def _chunk_matrix(model: Model):
+    def make():
+        def run(key, rows):
+            out = None
+            for k, (_, _, text, opens, _) in enumerate(rows):
+                one = model.matrix(features(text.split("\n"), opens and k == 0)[0], opens and k == 0)
+                out = one if out is None else (out[:, :, None] + one[None]).max(1)
+            return [(*key, out.ravel().tolist())]
+
+        return run
+
+    return make
 
 
 def _edges(model: Model):
-    def run(key, pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("chunk", kind="stable")
-        mats = [np.array(m).reshape(STATES, STATES) for m in pdf["m"]]
-        alpha, before = np.zeros(STATES), []
-        for m in mats:
-            before.append(alpha)
-            alpha = (alpha[:, None] + m).max(0)
-        last, ends = int(alpha.argmax()), []
-        for m, a in zip(reversed(mats), reversed(before)):
-            ends.append(last)
-            last = int((a + m[:, last]).argmax())
-        starts = [-1, *ends[::-1][:-1]]
-        return pd.DataFrame({"conv": pdf["conv"], "chunk": pdf["chunk"], "before": [b.tolist() for b in before], "last": ends[::-1], "first": starts})
+    def make():
+        def run(key, rows):
+            mats = [np.array(r[2]).reshape(STATES, STATES) for r in rows]
+            alpha, before = np.zeros(STATES), []
+            for m in mats:
+                before.append(alpha)
+                alpha = (alpha[:, None] + m).max(0)
+            last, ends = int(alpha.argmax()), []
+            for m, a in zip(reversed(mats), reversed(before)):
+                ends.append(last)
+                last = int((a + m[:, last]).argmax())
+            ends = ends[::-1]
+            return [(key[0], r[1], b.tolist(), e, f) for r, b, e, f in zip(rows, before, ends, [-1, *ends[:-1]])]
 
-    return run
+        return run
+
+    return make
 
 
 def render(role: str, text: str) -> str:
@@ -199,43 +239,44 @@ def render(role: str, text: str) -> str:
 
 
 def _decode(model: Model):
-    def run(key, pdf, edge):
-        import pandas as pd
-
-        if not len(pdf):
-            return pd.DataFrame(columns=["conv", "chunk", "at", "turn", "role", "text", "continued"])
-        e = edge.iloc[0]
-        rows = list(_ordered(pdf))
-        parts = [features(t.split("\n"), o) for _, t, o in rows]
-        before = np.full(STATES, -np.inf) if e["first"] >= 0 else np.array(e["before"])
-        if e["first"] >= 0:
-            before[int(e["first"])] = 0.0
-        states = model.path(np.concatenate([f for f, _ in parts]), rows[0][2], before, int(e["last"]))
-        out, k = [], 0
-        for (turn, _, _), (f, bare) in zip(rows, parts):
-            for line in bare:
-                role, inside = divmod(int(states[k]), 2)
-                if not inside or not out:
-                    out.append([turn, role, [line], bool(inside)])
-                else:
-                    out[-1][2].append(line)
-                k += 1
-        return pd.DataFrame({"conv": [key[0]] * len(out), "chunk": key[1], "at": range(len(out)), "turn": [o[0] for o in out], "role": [ROLES[o[1]] for o in out], "text": ["\n".join(o[2]) for o in out], "continued": [o[3] for o in out]})
-
-    return run
+    def make():
+        def run(key, rows):
+            opens = rows[0][3]
+            parts = [features(r[2].split("\n"), opens and k == 0) for k, r in enumerate(rows)]
+            _, _, _, _, _, before, last, first = rows[0]
+            alpha = np.array(before, float)
+            if first >= 0:
+                alpha = np.full(STATES, -np.inf)
+                alpha[first] = 0.0
+            states = model.path(np.concatenate([f for f, _ in parts]), opens, alpha, last)
+            out, k = [], 0
+            for r, (_, bare) in zip(rows, parts):
+                for line in bare:
+                    role, inside = divmod(int(states[k]), 2)
+                    if not inside or not out:
+                        out.append([r[1], role, [line], bool(inside)])
+                    else:
+                        out[-1][2].append(line)
+                    k += 1
+            return [(*key, i, turn, ROLES[role], "\n".join(lines), inside) for i, (turn, role, lines, inside) in enumerate(out)]
+
+        return run
+
+    return make
 
 
 def parse(rows: DataFrame, model: Model, chunk: int = CHUNK) -> DataFrame:
     """Recovered turns of transcripts (conv_id, turn, text): conv_id, chunk, at, turn, role, text, continued, rendered."""
-    spark = session(rows)
-    ship(spark)
     clean = rows.select(F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     first = clean.groupBy("conv").agg(F.min(F.coalesce("turn", F.lit(-(1 << 62)))).alias("first")).toDF("c", "first")
     clean = clean.join(first, F.col("conv").eqNullSafe(F.col("c"))).select("conv", "turn", "text", (F.coalesce("turn", F.lit(-(1 << 62))) == F.col("first")).alias("opens"))
     clean = stage(clean.withColumn("chunk", F.coalesce(F.floor(F.col("turn") / chunk), F.lit(-(1 << 55))).cast("long")), "chat-rows")
-    matrices = clean.groupBy("conv", "chunk").applyInPandas(_chunk_matrix(model), "conv long, chunk long, m array<double>")
-    edges = stage(matrices.groupBy("conv").applyInPandas(_edges(model), "conv long, chunk long, before array<double>, last int, first int"), "chat-edges")
-    turns = clean.groupBy("conv", "chunk").cogroup(edges.groupBy("conv", "chunk")).applyInPandas(_decode(model), "conv long, chunk long, at int, turn long, role string, text string, continued boolean")
+    order = [F.col("turn").asc_nulls_first(), "text"]
+    matrices = by_key(clean, ["conv", "chunk"], order, _chunk_matrix(model), "conv long, chunk long, m array<double>")
+    edges = stage(by_key(matrices, ["conv"], ["chunk"], _edges(model), "conv long, chunk long, before array<double>, last int, first int"), "chat-edges").toDF("c", "k", "before", "last", "first")
+    # a shuffled join at every size: edges grow with the conversations
+    joined = clean.join(edges.hint("shuffle_hash"), F.col("conv").eqNullSafe(F.col("c")) & (F.col("chunk") == F.col("k"))).drop("c", "k")
+    turns = by_key(joined, ["conv", "chunk"], order, _decode(model), "conv long, chunk long, at int, turn long, role string, text string, continued boolean")
     return turns.select(F.col("conv").alias("conv_id"), "chunk", "at", "turn", "role", "text", "continued", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("<|end|>")).alias("rendered"))
 
 
