@@ -26,6 +26,8 @@ Unknown or null roles are left out of learning.  Empty table: no rows.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +47,7 @@ N_LENGTH = 6
 SHAPE = (len(ROLES) + 1, N_LENGTH, 2, 2)
 
 
+@lru_cache
 def _marker_pattern():
     import re
 
