@@ -9,8 +9,11 @@ size; what blocks leave (at most two units each) is dealt into blocks again,
 until one block a source is left, whose last units land on the 0/1 corner with
 the least token error.
 
-Rows that agree in source, id and size are one unit whose weight is their
-common size, so a key that repeats without bound stays one row.
+Rows that agree in source, id and size are one unit of m rows, so a key that
+repeats without bound stays one row.  Of its rows ``floor(m * p)`` are taken for
+certain and one more with the probability that is left, so that the flight
+decides over single rows of weight size; a unit's rows are numbered and the
+first ones are taken.
 
 Null text: size 0.  Null source: a source of its own, ordered last.  Size-0
 rows are never sampled (they take 0 words).  Empty table: empty result.
@@ -22,6 +25,7 @@ import math
 import random
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import WORD, session, ship, stage, table
@@ -103,17 +107,21 @@ def _fly_groups(land: bool, seed: int):
     def run(key, pdf):
         pdf = pdf.sort_values(["doc_id", "size"], na_position="last", kind="stable")
         group_seed = (seed * 1_000_003 + int(key[0])) * 1_000_003 + int(key[1])
-        pdf["p"] = flight((pdf["size"] * pdf["m"]).astype(float).tolist(), pdf["p"].tolist(), group_seed, land)
+        pdf["p"] = flight(pdf["size"].astype(float).tolist(), pdf["p"].tolist(), group_seed, land)
         return pdf
 
     return run
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_repeat: int = MAX_REPEAT, block: int = BLOCK, seed: int = 17, id_col: str = "doc_id") -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, copies, taken."""
-    spark = session(docs)
+def _sized(id_col: str) -> list:
+    """The columns that a unit is made of."""
+    return [F.col(id_col).alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")]
+
+
+def _plan(sized: DataFrame, weights: tuple = WEIGHTS, max_repeat: int = MAX_REPEAT, block: int = BLOCK, seed: int = 17) -> DataFrame:
+    """One row per unit: doc_id, source, size, source_size, target, m rows of which all are taken ``full`` times and ``extra`` once more."""
+    spark = session(sized)
     ship(spark)
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     units = stage(sized.groupBy("source", "doc_id", "size").agg(F.count("*").alias("m")), "mix-units")
     totals = units.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
@@ -130,7 +138,10 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_repeat: int = MAX_REPEAT,
     schema = "s int, source string, source_size long, target double, full int, p double, nb long"
     known = spark.createDataFrame(info, schema)
     rows = units.join(F.broadcast(known) if len(info) <= 10_000 else known, units["source"].eqNullSafe(known["source"])).drop(units["source"])
-    columns = "s int, source string, source_size long, target double, full int, doc_id long, size long, m long, p double"
+    of_m = F.col("m") * F.col("p")
+    sure = F.when(F.col("size") > 0, F.floor(of_m + 1e-9)).otherwise(0).cast("long")
+    rows = rows.withColumn("sure", sure).withColumn("p", F.greatest(of_m - F.col("sure"), F.lit(0.0)))
+    columns = "s int, source string, source_size long, target double, full int, doc_id long, size long, m long, sure long, p double"
     names = [c.split()[0] for c in columns.split(", ")]
     live = (F.col("size") > 0) & (F.col("p") > 1e-12)
     done = [rows.filter(~live).select(*names[:-1], F.lit(0.0).alias("p"))]
@@ -148,19 +159,35 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_repeat: int = MAX_REPEAT,
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    out = out.withColumn("copies", (F.col("full") + F.col("p").cast("int")).cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
-    out = out.withColumn("_r", F.explode(F.array_repeat(F.lit(0), F.col("m").cast("int"))))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
-
-
-def take(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus itself: each document as often as the mix takes it (size-0 documents once per certain copy)."""
-    spark = session(docs)
-    plan = mix(docs, **options).groupBy("doc_id", "source").agg(F.max("copies").alias("_copies"))
-    plan = stage(plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "_copies"), "mix-copies")
-    # a shuffled join at every size: the plan has a row for every document
-    joined = docs.join(plan.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(plan["_id"]) & docs["source"].eqNullSafe(plan["_source"]))
-    return joined.filter("_copies > 0").withColumn("_r", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select(*docs.columns)
+    return out.withColumn("extra", F.col("sure") + F.col("p").cast("long"))
+
+
+def _copies(k):
+    """Copies of row ``k`` (from 0) of a unit."""
+    return (F.col("full") + (k < F.col("extra")).cast("int")).cast("long")
+
+
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_repeat: int = MAX_REPEAT, block: int = BLOCK, seed: int = 17, id_col: str = "doc_id") -> DataFrame:
+    """One row per input row: doc_id, source, size, source_size, target, copies, taken."""
+    out = _plan(docs.select(*_sized(id_col)), weights, max_repeat, block, seed)
+    out = out.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("m").cast("int") - 1))).withColumn("copies", _copies(F.col("_k")))
+    return out.withColumn("taken", F.col("copies") * F.col("size")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The mixed corpus itself: each row as often as the mix takes it (size-0 documents once per certain copy)."""
+    # rows are numbered and written once, so that each row's own copies find it again; unit columns stand beside the row's own
+    rows = stage(docs.select(F.struct(*docs.columns).alias("_doc"), *_sized(id_col)).withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    unit = ["doc_id", "source", "size"]
+    plan = stage(_plan(rows.select(*unit), **options).select(*[F.col(c).alias(f"_{c}") for c in unit], "full", "extra"), "mix-copies")
+    ranked = rows.select("_row", *unit).withColumn("_k", F.row_number().over(W.partitionBy(*unit).orderBy("_row")) - 1)
+    same = F.lit(True)
+    for c in unit:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    # shuffled joins at every size: the plan has a row for every unit, its copies one for every row
+    copies = stage(ranked.join(plan.hint("shuffle_hash"), same).select(F.col("_row").alias("_of"), _copies(F.col("_k")).alias("_copies")).filter("_copies > 0"), "mix-takes")
+    joined = rows.select("_doc", "_row").join(copies.hint("shuffle_hash"), F.col("_row") == F.col("_of"))
+    return joined.withColumn("_r", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select("_doc.*")
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
