@@ -5,7 +5,8 @@ region exactly: documents go to the cell of their nearest pivot and, where
 ``d(x, q) <= d(x, nearest) + 2 * radius``, to the cells of other pivots, and
 cells join recursively until they are small.  Two facts shape what comes before:
 
-* equal sets are one point: a class is represented by its smallest id;
+* equal sets are one point: a class is represented by its smallest id, and where
+  one id stands for several sets, all but its first class by a 64-bit hash;
 * sets that share little lie at distance near 1 from one another and from every
   pivot, where no window excludes anything.  Root regions therefore come from
   signatures: ``BANDS`` keys of ``ROWS`` minima each.  A pair at the threshold
@@ -70,10 +71,18 @@ class MinHash:
             return mix(keys + np.arange(self.bands, dtype=np.uint64)).view(np.int64)
 
 
+def _identity(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set."""
+    from .shingles import mix
+
+    with np.errstate(over="ignore"):
+        return tuple(int(mix(x).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for x in (s, s ^ np.uint64(0x5851F42D4C957F2D)))
+
+
 def _signatures():
     import pyarrow as pa
 
-    from .shingles import Hasher, mix
+    from .shingles import Hasher
 
     hasher, sketch = Hasher(), MinHash()
 
@@ -85,11 +94,28 @@ def _signatures():
                 for text in part.column(1).to_pylist():
                     s = hasher.shingles((text or "").encode(), WIDTH)
                     n.append(len(s))
-                    with np.errstate(over="ignore"):
-                        one.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
-                        two.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
+                    h1, h2 = _identity(s)
+                    one.append(h1)
+                    two.append(h2)
                     keys.append(sketch(s) if len(s) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "h1", "h2", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "row", "n", "h1", "h2", "keys"])
+
+    return run
+
+
+def _identities():
+    import pyarrow as pa
+
+    from .shingles import Hasher
+
+    hasher = Hasher()
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                both = [_identity(hasher.shingles((t or "").encode(), WIDTH)) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([b[k] for b in both], pa.int64()) for k in (0, 1))], ["least", "text", "h1", "h2"])
 
     return run
 
@@ -277,47 +303,76 @@ def _join_large(members: DataFrame, text: DataFrame) -> DataFrame:
     return links.union(more)
 
 
-def similar(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row."""
-    spark = session(docs)
+def _classes(text: DataFrame) -> tuple[DataFrame, bool]:
+    """Classes of equal sets and their components, from (row, doc_id, text).
+
+    One row per input row: row, doc_id, n, h1, h2, label (the least node of the component; null without words or id), and
+    whether any id stands for more than one set.
+    """
+    spark = session(text)
     ship(spark)
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = stage(map_arrow(text, lambda: _signatures(), "doc_id long, n long, h1 long, h2 long, keys array<long>"), "join-signatures")
+    rows = stage(map_arrow(text.select("doc_id", "text", "row"), lambda: _signatures(), "doc_id long, row long, n long, h1 long, h2 long, keys array<long>"), "join-signatures")
     real = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    classes = rows.filter(real).groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
-    alone = rows.filter(~real).select("doc_id", "n", F.col("doc_id").alias("rep"), F.lit(None).cast("array<long>").alias("keys"))
-    known = rows.filter(real).join(classes, ["n", "h1", "h2"]).select("doc_id", "n", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys"))
+    identity = ["n", "h1", "h2"]
+    ends = rows.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in identity for f in (F.min, F.max)])
+    shared = ends.filter(" or ".join(f"min_{c} <> max_{c}" for c in identity)).limit(1).count() > 0
+    classes = rows.filter(real).groupBy(*identity).agg(F.min("doc_id").alias("least"))
+    first = F.row_number().over(W.partitionBy("least").orderBy(*identity)) == 1
+    classes = stage(classes.withColumn("node", F.when(first, F.col("least")).otherwise(F.xxhash64(*identity))), "join-nodes") if shared else classes.withColumn("node", F.col("least"))
+    none = lambda kind: F.lit(None).cast(kind)
+    alone = rows.filter(~real).select("row", "doc_id", *identity, none("long").alias("least"), none("long").alias("node"), none("array<long>").alias("keys"))
+    known = rows.filter(real).join(classes, identity).select("row", "doc_id", *identity, "least", "node", F.when(F.col("doc_id") == F.col("least"), F.col("keys")).alias("keys"))
     known = stage(known.union(alone), "join-classes")
-    entries = known.filter(F.col("keys").isNotNull()).select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
+    nodes = known.filter(F.col("keys").isNotNull()).withColumnRenamed("node", "id")
+    entries = nodes.select(F.explode("keys").alias("key"), "id")
     meet = entries.withColumn("b", F.min("id").over(W.partitionBy("key"))).filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
     region = stage(components(meet).withColumnRenamed("component", "region"), "join-regions")
-    sized = region.join(known.filter(F.col("keys").isNotNull()).select(F.col("doc_id").alias("id"), "n").distinct(), "id")
+    sized = region.join(nodes.select("id", "n").distinct(), "id")
     weight = sized.groupBy("region").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
     large = (F.col("docs") > REGION_DOCS) | (F.col("shingles") > REGION_SHINGLES)
     weight = weight.select("region", large.alias("large"), F.greatest(F.ceil(F.col("docs") / BLOCK), F.ceil(F.col("shingles") / (REGION_SHINGLES // 4))).cast("long").alias("blocks"))
     members = stage(region.join(weight, "region"), "join-members")
     few = members.count() <= BROADCAST_IDS
     ids = members.select("id", "region", "large")
-    found = stage(text.join(F.broadcast(ids) if few else ids, text["doc_id"] == ids["id"]).select("region", "id", "large", "text"), "join-texts")
+    if shared:  # an id does not say which of its texts is meant: the set does
+        ids = stage(ids.join(nodes.select("id", "least", "h1", "h2").distinct(), "id"), "join-ids")
+        some = text.join(ids.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
+        named = map_arrow(some, lambda: _identities(), "least long, text string, h1 long, h2 long")
+        found = named.join(F.broadcast(ids) if few else ids, ["least", "h1", "h2"])
+    else:
+        found = text.join(F.broadcast(ids) if few else ids, text["doc_id"] == ids["id"])
+    found = stage(found.select("region", "id", "large", "text"), "join-texts")
     small = found.filter(~F.col("large")).select("region", "id", "text").groupBy("region").applyInPandas(_join_region, "id long, component long")
     result = small
     if members.filter("large").limit(1).count():
         unique = found.filter("large").select("region", "id", "text").dropDuplicates(["id"])
         result = result.union(components(_join_large(members.filter("large"), unique)))
-    result = stage(result, "join-components").withColumnRenamed("id", "rep")
-    out = known.select("doc_id", "n", "rep").join(result, "rep", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    result = stage(result, "join-components").withColumnRenamed("id", "node")
+    out = known.select("row", "doc_id", *identity, "node").join(result, "node", "left")
+    return out.select("row", "doc_id", *identity, F.coalesce("component", "node").alias("label")), shared
+
+
+def similar(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row."""
+    found, _ = _classes(docs.select(F.lit(0).cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of every component, once."""
-    first = stage(similar(docs), "join-result").filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("times"))
-    keep = stage(first, "join-keep")
-    # a shuffled join at every size: ids of what stays grow with the corpus
-    kept = docs.join(keep.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
-    if keep.filter("times > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept
+    """Of every component of similar texts the row with the smallest id, once; all rows without id.
+
+    Texts alone decide: rows that share an id but not a component stay.  Rows without words are copies of one another
+    only under one id.
+    """
+    # rows are numbered and written once, so that what stays finds its row again
+    rows = stage(docs.select(F.struct(*docs.columns).alias("_doc")).withColumn("row", F.monotonically_increasing_id()), "join-rows")
+    found, _ = _classes(rows.select("row", F.col("_doc.doc_id").cast("long").alias("doc_id"), F.col("_doc.text").alias("text")))
+    found = stage(found, "join-result")
+    of = found.filter(F.col("doc_id").isNotNull()).groupBy(F.col("label").isNull(), F.coalesce("label", "doc_id"))
+    first = of.agg(F.min(F.struct("doc_id", "n", "h1", "h2", "row")).alias("first")).select("first.row")
+    keep = stage(first.union(found.filter(F.col("doc_id").isNull()).select("row")), "join-keep")
+    # a shuffled join at every size: what stays grows with the corpus
+    return rows.join(keep.hint("shuffle_hash"), "row", "left_semi").select("_doc.*")
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:

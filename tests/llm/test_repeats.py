@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from patchweave.llm import mixing
+from patchweave.llm import jaccard_join, mixing
 
 DOCS = "doc_id long, text string, source string"
 
@@ -34,3 +34,17 @@ def test_take_follows_the_mix(spark):
     for r in taken:
         got[r.source, r.doc_id, words(r)] += 1
     assert got == +plan and set(map(tuple, taken)) <= set(rows)
+
+
+def some_words(seed, n=60):
+    return " ".join(f"s{seed}x{k}" for k in range(n))
+
+
+def test_deduplicate_by_text(spark):
+    """Rows without id stay; a repeated id leaves only with a similar text."""
+    a, b, c = some_words(1), some_words(2), some_words(3)
+    near = a + " more"
+    stay = [(None, a, "x"), (None, a, "y"), (None, None, "x"), (1, a, "p"), (1, b, "q"), (4, c, "r"), (8, "", "e"), (9, None, "e")]
+    leave = [(1, b, "q"), (2, near, "p"), (3, b, "p"), (4, near, "t"), (5, c, "u"), (8, "", "e")]
+    for rows in (stay, stay + leave):
+        assert sorted(map(tuple, jaccard_join.deduplicate(spark.createDataFrame(rows, DOCS)).collect()), key=str) == sorted(stay, key=str)
