@@ -119,10 +119,9 @@ def masked(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """All rows with base and linked spans masked; n_chars follows the text.  Null texts stay null."""
-    linked = scan(docs).filter((F.size("linked") > 0) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.flatten(F.collect_set("linked")).alias("_linked")).withColumnRenamed("doc_id", "_id")
-    rows = docs.join(stage(linked, "secret-links"), F.col("doc_id") == F.col("_id"), "left")
-    spans = F.concat(base_spans(F.coalesce("text", F.lit(""))), F.coalesce("_linked", F.array().cast(SPAN)))
-    text = rows.withColumn("_spans", spans).withColumn("text", masked(F.col("text"), F.col("_spans"), mark))
+    # a row's spans stay beside it, whatever its id
+    found = scan(docs.select(F.struct(*docs.columns).alias("_doc"), "text"), ["_doc"])
+    text = found.select("_doc.*", F.concat("base", "linked").alias("_spans")).withColumn("text", masked(F.col("text"), F.col("_spans"), mark))
     if "n_chars" in docs.columns:
         text = text.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return text.select(*docs.columns)

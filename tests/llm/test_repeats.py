@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from patchweave.llm import jaccard_join, mixing
+from patchweave.llm import jaccard_join, mixing, secret_scans
 
 DOCS = "doc_id long, text string, source string"
 
@@ -48,3 +48,11 @@ def test_deduplicate_by_text(spark):
     leave = [(1, b, "q"), (2, near, "p"), (3, b, "p"), (4, near, "t"), (5, c, "u"), (8, "", "e")]
     for rows in (stay, stay + leave):
         assert sorted(map(tuple, jaccard_join.deduplicate(spark.createDataFrame(rows, DOCS)).collect()), key=str) == sorted(stay, key=str)
+
+
+def test_redact_masks_each_row(spark):
+    """Linked parts are masked without an id, and never at the places of another text with the same id."""
+    part = "user = mary77 then Xk29fjQpLmZ81vbTrQ5n"
+    rows = [(None, part, "a"), (None, "clean words", "b"), (1, part, "a"), (1, "some other words that hold no secret at all", "b"), (2, None, "c")]
+    want = [(None, "[SECRET] then [SECRET]", "a"), (None, "clean words", "b"), (1, "[SECRET] then [SECRET]", "a"), *rows[3:]]
+    assert sorted(map(tuple, secret_scans.redact(spark.createDataFrame(rows, DOCS)).collect()), key=str) == sorted(want, key=str)
