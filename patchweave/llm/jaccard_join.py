@@ -352,10 +352,24 @@ def _classes(text: DataFrame) -> tuple[DataFrame, bool]:
     return out.select("row", "doc_id", *identity, F.coalesce("component", "node").alias("label")), shared
 
 
+def _unite(found: DataFrame) -> DataFrame:
+    """doc_id, component_id of every id: components whose rows share an id are one, named by the smallest id in it."""
+    labels = stage(found.filter(F.col("doc_id").isNotNull()).select("doc_id", "label").distinct(), "join-labels")
+    home = labels.groupBy("doc_id").agg(F.min("label").alias("home"))
+    pairs = labels.join(home, "doc_id").filter("label <> home").select(F.col("label").alias("a"), F.col("home").alias("b"))
+    whole = stage(components(pairs), "join-united").select(F.col("id").alias("home"), "component")
+    placed = home.join(whole, "home", "left").select("doc_id", F.coalesce("component", "home").alias("whole"))
+    named = placed.filter(F.col("whole").isNotNull()).groupBy("whole").agg(F.min("doc_id").alias("component_id"))
+    return placed.join(named, "whole", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
 def similar(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row."""
-    found, _ = _classes(docs.select(F.lit(0).cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
+    """doc_id, n_shingles, component_id for every row; the texts of one id belong together."""
+    found, shared = _classes(docs.select(F.lit(0).cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    if not shared:
+        return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
+    found = stage(found, "join-result")
+    return found.join(_unite(found), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

@@ -56,3 +56,11 @@ def test_redact_masks_each_row(spark):
     rows = [(None, part, "a"), (None, "clean words", "b"), (1, part, "a"), (1, "some other words that hold no secret at all", "b"), (2, None, "c")]
     want = [(None, "[SECRET] then [SECRET]", "a"), (None, "clean words", "b"), (1, "[SECRET] then [SECRET]", "a"), *rows[3:]]
     assert sorted(map(tuple, secret_scans.redact(spark.createDataFrame(rows, DOCS)).collect()), key=str) == sorted(want, key=str)
+
+
+def test_texts_of_one_id_keep_their_links(spark):
+    """A repeated id brings the links of all its texts, in one task and over blocks."""
+    a, b, c = some_words(1), some_words(2), some_words(3)
+    rows = [(1, a), (3, a + " x"), (3, b), (4, b + " y"), (6, c), (6, ""), (7, c + " z"), (7, some_words(4)), (9, some_words(4)), (8, ""), (None, a)]
+    got = {(r.doc_id, r.component_id) for r in jaccard_join.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (3, 1), (4, 1), (6, 6), (7, 6), (9, 6), (8, 8), (None, None)}
