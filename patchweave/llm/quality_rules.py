@@ -10,7 +10,8 @@ ordered conditional expression.
 Everything the data meet is a Spark expression.  Learning sees only a
 contingency table (bins of the statistics by label and part), whose size is
 bounded by the bins, not by the data: cut points are the quantiles of the
-labelled rows, and all labelled rows are counted.
+labelled rows, and all labelled rows are counted.  Where the table would be too
+large for the driver, neighbouring bins are merged and all rows counted again.
 
 Null text: no words.  Empty and blank texts: all counts 0 (base_failed).  Texts
 may be of any length.  Repeated rows: one result each.  No labels: base rules
@@ -104,11 +105,14 @@ def contingency(stats: DataFrame, labels: DataFrame, bins: int = BINS) -> tuple[
     # label-0 rows are the rarer: their quantiles place cuts where rules are wanted, those of label 1 where they end
     found = rows.groupBy("label").agg(*[F.percentile_approx(s, at, 10_000).alias(s) for s in STATISTICS]).collect()
     cuts = {s: sorted({float(x) for r in found for x in (r[s] or [])}) for s in STATISTICS}
-    binned = rows.select("label", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("prune"), *[sum((F.when(F.col(s) > c, 1).otherwise(0) for c in cuts[s]), F.lit(0)).alias(s) for s in STATISTICS])
-    cells = binned.groupBy("label", "prune", *STATISTICS).count().limit(MAX_CELLS + 1).collect()
-    if len(cells) > MAX_CELLS:
-        raise ValueError("too many cells: use fewer bins")
-    return cells, cuts
+    label, prune = (F.col("label") != 0).cast("int").alias("label"), (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("prune")
+    while True:
+        binned = rows.select(label, prune, *[sum((F.when(F.col(s) > c, 1).otherwise(0) for c in cuts[s]), F.lit(0)).alias(s) for s in STATISTICS])
+        cells = binned.groupBy("label", "prune", *STATISTICS).count().limit(MAX_CELLS + 1).collect()
+        widest = max(STATISTICS, key=lambda s: len(cuts[s]))
+        if len(cells) <= MAX_CELLS or not cuts[widest]:
+            return cells, cuts
+        cuts[widest] = cuts[widest][1::2]
 
 
 def learn(cells: list, cuts: dict[str, list[float]], max_rules: int = MAX_RULES, precision: float = PRECISION, min_cover: int = MIN_COVER) -> list[Rule]:

@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from patchweave.llm import jaccard_join, mixing, secret_scans
+from patchweave.llm import jaccard_join, mixing, quality_rules, secret_scans
 
 DOCS = "doc_id long, text string, source string"
 
@@ -64,3 +64,16 @@ def test_texts_of_one_id_keep_their_links(spark):
     rows = [(1, a), (3, a + " x"), (3, b), (4, b + " y"), (6, c), (6, ""), (7, c + " z"), (7, some_words(4)), (9, some_words(4)), (8, ""), (None, a)]
     got = {(r.doc_id, r.component_id) for r in jaccard_join.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(1, 1), (3, 1), (4, 1), (6, 6), (7, 6), (9, 6), (8, 8), (None, None)}
+
+
+def test_more_cells_than_the_bound(spark, monkeypatch):
+    """Bins are merged until the cells fit, and every labelled row is still counted."""
+    rows = [(i, i / 100, i % 7 / 7, i % 11 / 11, i % 13 / 13, i % 5 + 0.5, 100, 0) for i in range(400)]
+    stats = spark.createDataFrame(rows, f"doc_id long, {', '.join(f'{s} double' for s in quality_rules.STATISTICS)}, n_words long, n_repeat_words long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    for most in (50, 4):
+        monkeypatch.setattr(quality_rules, "MAX_CELLS", most)
+        cells, cuts = quality_rules.contingency(stats, labels)
+        assert len(cells) <= most and sum(c["count"] for c in cells) == 400
+        assert all(0 <= c[s] <= len(cuts[s]) for c in cells for s in quality_rules.STATISTICS)
+        quality_rules.learn(cells, cuts)
