@@ -45,9 +45,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged() -> int:
+    """The number of tables staged so far."""
+    return len(_staged)
+
+
+def release(first: int, last: int) -> None:
+    """Delete the tables staged from number ``first`` to before ``last``; no frame may read them any more."""
+    _drop(_staged[first:last])
+    del _staged[first:last]
+
+
 @atexit.register
 def _drop_staged() -> None:
-    for spark, path in _staged:
+    _drop(_staged)
+
+
+def _drop(tables: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in tables:
         try:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import map_arrow, session, ship, stage, table
+from .common import map_arrow, release, session, ship, stage, staged, table
 from .graph import components
 
 WIDTH = 5
@@ -380,11 +380,14 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """
     # rows are numbered and written once, so that what stays finds its row again
     rows = stage(docs.select(F.struct(*docs.columns).alias("_doc")).withColumn("row", F.monotonically_increasing_id()), "join-rows")
+    began = staged()
     found, _ = _classes(rows.select("row", F.col("_doc.doc_id").cast("long").alias("doc_id"), F.col("_doc.text").alias("text")))
     found = stage(found, "join-result")
     of = found.filter(F.col("doc_id").isNotNull()).groupBy(F.col("label").isNull(), F.coalesce("label", "doc_id"))
     first = of.agg(F.min(F.struct("doc_id", "n", "h1", "h2", "row")).alias("first")).select("first.row")
+    ended = staged()
     keep = stage(first.union(found.filter(F.col("doc_id").isNull()).select("row")), "join-keep")
+    release(began, ended)
     # a shuffled join at every size: what stays grows with the corpus
     return rows.join(keep.hint("shuffle_hash"), "row", "left_semi").select("_doc.*")
 
