@@ -16,8 +16,13 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
 
+#: Rows and bytes of a batch that crosses to a Python worker, at most; smaller settings of the session are kept.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
+#: Bytes of a row group of a staged table: what a writing task holds.
+ROW_GROUP = 32 << 20
+
 _shipped: set[str] = set()
-_staged: list[tuple[SparkSession, str]] = []
+_staged: dict[str, SparkSession] = {}
 
 
 def session(df: DataFrame) -> SparkSession:
@@ -25,54 +30,69 @@ def session(df: DataFrame) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; only where that is unset, one of our own."""
+    """The folder all executors share: spark.checkpoint.dir.
+
+    Where that is unset, the checkpoint folder of the context; else one of our own: below the warehouse, or a temporary
+    one if driver and executors are one process on one machine.
+    """
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if not current:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="patchweave-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current.rstrip("/")
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        alone = context.master.startswith("local") and not context.master.startswith("local-cluster")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="patchweave-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_patchweave")
+    return context.getCheckpointDir().rstrip("/")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and lost executors cost nothing before it."""
     spark = session(df)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _staged.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    _staged[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._patchweave_path = path
+    return out
+
 
+def path_of(df: DataFrame) -> str:
+    """Where a frame that ``stage`` gave is written."""
+    return df._patchweave_path
 
-def staged() -> int:
-    """The number of tables staged so far."""
-    return len(_staged)
 
+def staged() -> set[str]:
+    """The tables that are staged now."""
+    return set(_staged)
 
-def release(first: int, last: int) -> None:
-    """Delete the tables staged from number ``first`` to before ``last``; no frame may read them any more."""
-    _drop(_staged[first:last])
-    del _staged[first:last]
+
+def release(paths) -> None:
+    """Delete these staged tables; no frame may read them any more."""
+    for path in list(paths):
+        spark = _staged.pop(path, None)
+        if spark is not None:
+            _drop(spark, path)
 
 
 @atexit.register
 def _drop_staged() -> None:
-    _drop(_staged)
+    release(_staged)
 
 
-def _drop(tables: list[tuple[SparkSession, str]]) -> None:
-    for spark, path in tables:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session is gone; the cluster cleans its checkpoint folder
-            return
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session is gone; the cluster cleans its checkpoint folder
+        return
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers (once per application), so that it need not be installed there."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, str(1 << 30)).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -88,7 +108,7 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def map_arrow(df: DataFrame, make: Callable[[], Callable[[Iterator], Iterator]], schema: str, batch: int | None = None) -> DataFrame:
+def map_arrow(df: DataFrame, make: Callable[[], Callable[[Iterator], Iterator]], schema: str) -> DataFrame:
     """``mapInArrow`` of an importable factory ``make(...)``; the factory runs in the worker, so tables are built there."""
     ship(session(df))
 

@@ -5,8 +5,7 @@ region exactly: documents go to the cell of their nearest pivot and, where
 ``d(x, q) <= d(x, nearest) + 2 * radius``, to the cells of other pivots, and
 cells join recursively until they are small.  Two facts shape what comes before:
 
-* equal sets are one point: a class is represented by its smallest id, and where
-  one id stands for several sets, all but its first class by a 64-bit hash;
+* equal sets are one point: a class is represented by its row of smallest number;
 * sets that share little lie at distance near 1 from one another and from every
   pivot, where no window excludes anything.  Root regions therefore come from
   signatures: ``BANDS`` keys of ``ROWS`` minima each.  A pair at the threshold
@@ -27,13 +26,15 @@ Empty table: no rows.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import map_arrow, release, session, ship, stage, staged, table
-from .graph import components
+from .common import map_arrow, path_of, release, session, ship, stage, staged, table
+from .graph import apart, components
 
 WIDTH = 5
 NUM, DEN = 75, 100
@@ -42,8 +43,6 @@ ROWS, BANDS = 6, 80
 REGION_DOCS, REGION_SHINGLES = 1_000, 2_000_000
 BLOCK = 256
 PIVOTS = 6
-#: Ids that may be broadcast (8 bytes each); beyond, the join is a shuffle.
-BROADCAST_IDS = 300_000
 RADIUS = 1 - NUM / DEN
 
 
@@ -79,43 +78,35 @@ def _identity(s: np.ndarray) -> tuple[int, int]:
         return tuple(int(mix(x).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0 for x in (s, s ^ np.uint64(0x5851F42D4C957F2D)))
 
 
+@lru_cache
+def _hasher():
+    from .shingles import Hasher
+
+    return Hasher()
+
+
+def _set(text: str | None) -> np.ndarray:
+    return _hasher().shingles((text or "").encode(), WIDTH)
+
+
 def _signatures():
     import pyarrow as pa
 
-    from .shingles import Hasher
-
-    hasher, sketch = Hasher(), MinHash()
+    sketch = MinHash()
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 n, one, two, keys = [], [], [], []
-                for text in part.column(1).to_pylist():
-                    s = hasher.shingles((text or "").encode(), WIDTH)
+                for text in part.column(2):
+                    s = _set(text.as_py())
                     n.append(len(s))
                     h1, h2 = _identity(s)
                     one.append(h1)
                     two.append(h2)
                     keys.append(sketch(s) if len(s) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "row", "n", "h1", "h2", "keys"])
-
-    return run
-
-
-def _identities():
-    import pyarrow as pa
-
-    from .shingles import Hasher
-
-    hasher = Hasher()
-
-    def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                both = [_identity(hasher.shingles((t or "").encode(), WIDTH)) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([b[k] for b in both], pa.int64()) for k in (0, 1))], ["least", "text", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["row", "doc_id", "n", "h1", "h2", "keys"])
 
     return run
 
@@ -195,27 +186,20 @@ class Region:
 def _join_region(pdf):
     import pandas as pd
 
-    from .shingles import Hasher
-
-    hasher = Hasher()
-    pdf = pdf.sort_values("id", kind="stable").drop_duplicates("id")
+    pdf = pdf.sort_values("id", kind="stable")
     ids = pdf["id"].to_numpy()
-    group = Region([hasher.shingles((t or "").encode(), WIDTH) for t in pdf["text"]]).unite(np.arange(len(ids)))
+    group = Region([_set(t) for t in pdf["text"]]).unite(np.arange(len(ids)))
     return pd.DataFrame({"id": ids, "component": ids[[np.flatnonzero(group == g)[0] for g in group]]})
 
 
 def _sets():
     import pyarrow as pa
 
-    from .shingles import Hasher
-
-    hasher = Hasher()
-
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([hasher.shingles((t or "").encode(), WIDTH).tobytes() for t in part.column(2).to_pylist()], pa.binary())], ["region", "id", "s"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([_set(t.as_py()).tobytes() for t in part.column(2)], pa.binary())], ["region", "id", "s"])
 
     return run
 
@@ -288,14 +272,14 @@ def _join_large(members: DataFrame, text: DataFrame) -> DataFrame:
     cells = placed.join(label.withColumnRenamed("component", "l"), "id", "left").select("region", "id", "d", F.coalesce("l", F.lit(-1)).alias("l"), F.coalesce("l", "id").alias("label"), home.alias("home"), F.floor(F.array_min("d") * 8).alias("ring"))
     by = ["region", "l", "home", "ring"]
     counted = cells.groupBy(*by).agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    cells = cells.join(counted, by)
+    cells = apart(apart(cells, "region").join(apart(counted, "region").hint("merge"), by), "region")
     cells = stage(cells.withColumn("cell", F.xxhash64(*by, F.pmod(F.xxhash64("id", F.lit(3)), "parts"))), "join-cells")
     windows = [F.struct(F.min(F.col("d")[k]).alias("lo"), F.max(F.col("d")[k]).alias("hi")) for k in range(PIVOTS)]
     blocks = cells.groupBy("region", "cell", "l").agg(F.array(*windows).alias("w"))
     blocks = stage(blocks, "join-windows")
     x, y = blocks.alias("x"), blocks.alias("y")
-    apart = F.exists(F.zip_with("x.w", "y.w", lambda p, q: F.coalesce((p["lo"] - q["hi"] > RADIUS + 1e-9) | (q["lo"] - p["hi"] > RADIUS + 1e-9), F.lit(False))), lambda b: b)
-    pairs = x.join(y, F.col("x.region") == F.col("y.region")).filter((F.col("x.cell") <= F.col("y.cell")) & ((F.col("x.l") < 0) | (F.col("x.l") != F.col("y.l"))) & ~apart)
+    excluded = F.exists(F.zip_with("x.w", "y.w", lambda p, q: F.coalesce((p["lo"] - q["hi"] > RADIUS + 1e-9) | (q["lo"] - p["hi"] > RADIUS + 1e-9), F.lit(False))), lambda b: b)
+    pairs = x.join(y, F.col("x.region") == F.col("y.region")).filter((F.col("x.cell") <= F.col("y.cell")) & ((F.col("x.l") < 0) | (F.col("x.l") != F.col("y.l"))) & ~excluded)
     pairs = stage(pairs.select(F.col("x.cell").alias("c0"), F.col("y.cell").alias("c1")), "join-pairs")
     sides = pairs.select("c0", "c1", F.col("c0").alias("cell"), F.lit(0).alias("side")).union(pairs.filter("c0 <> c1").select("c0", "c1", F.col("c1").alias("cell"), F.lit(1).alias("side")))
     dealt = sides.join(cells.select("cell", "id", "label"), "cell").join(sets.select("id", "s"), "id")
@@ -303,73 +287,76 @@ def _join_large(members: DataFrame, text: DataFrame) -> DataFrame:
     return links.union(more)
 
 
-def _classes(text: DataFrame) -> tuple[DataFrame, bool]:
-    """Classes of equal sets and their components, from (row, doc_id, text).
+def _numbered(docs: DataFrame, *columns) -> DataFrame:
+    """Rows written once with a number, so that what is found for a row finds it again, whatever its id."""
+    return stage(docs.select(F.monotonically_increasing_id().alias("row"), *columns), "join-rows")
+
 
-    One row per input row: row, doc_id, n, h1, h2, label (the least node of the component; null without words or id), and
-    whether any id stands for more than one set.
+def _classes(rows: DataFrame) -> DataFrame:
+    """Classes of equal sets and their components, from staged (row, doc_id, text), numbers unique.
+
+    One row per input row: row, doc_id, n, h1, h2, least (the smallest id of the component) and label (its smallest
+    number); both null without words or id.  Tables that only lead there are deleted.
     """
-    spark = session(text)
-    ship(spark)
-    rows = stage(map_arrow(text.select("doc_id", "text", "row"), lambda: _signatures(), "doc_id long, row long, n long, h1 long, h2 long, keys array<long>"), "join-signatures")
+    ship(session(rows))
+    began, identity = staged(), ["n", "h1", "h2"]
+    signed = stage(map_arrow(rows.select("row", "doc_id", "text"), lambda: _signatures(), "row long, doc_id long, n long, h1 long, h2 long, keys array<long>"), "join-signatures")
     real = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    identity = ["n", "h1", "h2"]
-    ends = rows.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in identity for f in (F.min, F.max)])
-    shared = ends.filter(" or ".join(f"min_{c} <> max_{c}" for c in identity)).limit(1).count() > 0
-    classes = rows.filter(real).groupBy(*identity).agg(F.min("doc_id").alias("least"))
-    first = F.row_number().over(W.partitionBy("least").orderBy(*identity)) == 1
-    classes = stage(classes.withColumn("node", F.when(first, F.col("least")).otherwise(F.xxhash64(*identity))), "join-nodes") if shared else classes.withColumn("node", F.col("least"))
-    none = lambda kind: F.lit(None).cast(kind)
-    alone = rows.filter(~real).select("row", "doc_id", *identity, none("long").alias("least"), none("long").alias("node"), none("array<long>").alias("keys"))
-    known = rows.filter(real).join(classes, identity).select("row", "doc_id", *identity, "least", "node", F.when(F.col("doc_id") == F.col("least"), F.col("keys")).alias("keys"))
-    known = stage(known.union(alone), "join-classes")
-    nodes = known.filter(F.col("keys").isNotNull()).withColumnRenamed("node", "id")
-    entries = nodes.select(F.explode("keys").alias("key"), "id")
-    meet = entries.withColumn("b", F.min("id").over(W.partitionBy("key"))).filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    region = stage(components(meet).withColumnRenamed("component", "region"), "join-regions")
-    sized = region.join(nodes.select("id", "n").distinct(), "id")
-    weight = sized.groupBy("region").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
+    # keys depend on the set alone: copies of a set leave one array a task before the shuffle
+    classes = stage(signed.filter(real).groupBy(*identity).agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.first("keys").alias("keys")), "join-classes")
+    entries = classes.select(F.explode("keys").alias("key"), "node")
+    shared = entries.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("c")).filter("b < c").select("key", "b")
+    meet = apart(entries, "key").join(apart(shared, "key").hint("merge"), "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    region = components(meet).withColumnRenamed("component", "region")
+    sized = region.join(classes.select(F.col("node").alias("id"), "n", "least").hint("merge"), "id")
     large = (F.col("docs") > REGION_DOCS) | (F.col("shingles") > REGION_SHINGLES)
-    weight = weight.select("region", large.alias("large"), F.greatest(F.ceil(F.col("docs") / BLOCK), F.ceil(F.col("shingles") / (REGION_SHINGLES // 4))).cast("long").alias("blocks"))
-    members = stage(region.join(weight, "region"), "join-members")
-    few = members.count() <= BROADCAST_IDS
-    ids = members.select("id", "region", "large")
-    if shared:  # an id does not say which of its texts is meant: the set does
-        ids = stage(ids.join(nodes.select("id", "least", "h1", "h2").distinct(), "id"), "join-ids")
-        some = text.join(ids.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
-        named = map_arrow(some, lambda: _identities(), "least long, text string, h1 long, h2 long")
-        found = named.join(F.broadcast(ids) if few else ids, ["least", "h1", "h2"])
-    else:
-        found = text.join(F.broadcast(ids) if few else ids, text["doc_id"] == ids["id"])
-    found = stage(found.select("region", "id", "large", "text"), "join-texts")
-    small = found.filter(~F.col("large")).select("region", "id", "text").groupBy("region").applyInPandas(_join_region, "id long, component long")
-    result = small
+    blocks = F.greatest(F.ceil(F.col("docs") / BLOCK), F.ceil(F.col("shingles") / (REGION_SHINGLES // 4))).cast("long")
+    weight = sized.groupBy("region").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")).select("region", large.alias("large"), blocks.alias("blocks"))
+    members = stage(apart(apart(sized, "region").join(apart(weight, "region").hint("merge"), "region"), "region"), "join-members")
+    # shuffled at every size: members grow with the corpus
+    found = lambda some: some.join(rows.select(F.col("row").alias("id"), "text").hint("merge"), "id")
+    result = found(members.filter("not large").select("id", "region")).select("region", "id", "text").groupBy("region").applyInPandas(_join_region, "id long, component long")
     if members.filter("large").limit(1).count():
-        unique = found.filter("large").select("region", "id", "text").dropDuplicates(["id"])
-        result = result.union(components(_join_large(members.filter("large"), unique)))
-    result = stage(result, "join-components").withColumnRenamed("id", "node")
-    out = known.select("row", "doc_id", *identity, "node").join(result, "node", "left")
-    return out.select("row", "doc_id", *identity, F.coalesce("component", "node").alias("label")), shared
+        result = result.union(components(_join_large(members.filter("large"), found(members.filter("large").select("id", "region")))))
+    result = stage(result, "join-components")
+    mine = result.join(members.select("id", "least").hint("merge"), "id")
+    named = mine.groupBy("component").agg(F.min("least").alias("first"))
+    ended = apart(apart(mine, "component").join(apart(named, "component").hint("merge"), "component"), "component").select(F.col("id").alias("node"), "component", "first")
+    # both sides of a join by a hot key are written tables or placed anew, so that Spark can split the key over tasks
+    own = signed.select("row", "doc_id", *identity)
+    known = own.filter(real).join(classes.select(*identity, "node", "least").hint("merge"), identity).select("row", "doc_id", *identity, "node", "least")
+    alone = own.filter(~real).select("*", F.lit(None).cast("long").alias("least"), F.lit(None).cast("long").alias("label"))
+    linked_ = known.join(ended.hint("merge"), "node", "left").select("row", "doc_id", *identity, F.coalesce("first", "least").alias("least"), F.coalesce("component", "node").alias("label"))
+    out = stage(linked_.union(alone), "join-result")
+    release(staged() - began - {path_of(out)})
+    return out
 
 
 def _unite(found: DataFrame) -> DataFrame:
     """doc_id, component_id of every id: components whose rows share an id are one, named by the smallest id in it."""
-    labels = stage(found.filter(F.col("doc_id").isNotNull()).select("doc_id", "label").distinct(), "join-labels")
+    began = staged()
+    labels = found.filter(F.col("doc_id").isNotNull()).select("doc_id", "label").distinct()
     home = labels.groupBy("doc_id").agg(F.min("label").alias("home"))
-    pairs = labels.join(home, "doc_id").filter("label <> home").select(F.col("label").alias("a"), F.col("home").alias("b"))
-    whole = stage(components(pairs), "join-united").select(F.col("id").alias("home"), "component")
-    placed = home.join(whole, "home", "left").select("doc_id", F.coalesce("component", "home").alias("whole"))
+    pairs = apart(labels, "doc_id").join(apart(home, "doc_id").hint("merge"), "doc_id").filter("label <> home").select(F.col("label").alias("a"), F.col("home").alias("b"))
+    whole = components(pairs).select(F.col("id").alias("home"), "component")
+    placed = stage(home.join(whole.hint("merge"), "home", "left").select("doc_id", F.coalesce("component", "home").alias("whole")), "join-placed")
     named = placed.filter(F.col("whole").isNotNull()).groupBy("whole").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(named, "whole", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = stage(apart(placed, "whole").join(apart(named, "whole").hint("merge"), "whole", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id")), "join-ids")
+    release(staged() - began - {path_of(out)})
+    return out
 
 
 def similar(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row; the texts of one id belong together."""
-    found, shared = _classes(docs.select(F.lit(0).cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    if not shared:
-        return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
-    found = stage(found, "join-result")
-    return found.join(_unite(found), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    began = staged()
+    found = _classes(_numbered(docs, F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    split = found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n"), F.count("label").alias("m"))
+    if not split.filter("a <> b or (m > 0 and m < n)").limit(1).count():
+        release(staged() - began - {path_of(found)})
+        return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    united = _unite(found)
+    release(staged() - began - {path_of(found), path_of(united)})
+    return found.join(united.hint("merge"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -378,16 +365,13 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     Texts alone decide: rows that share an id but not a component stay.  Rows without words are copies of one another
     only under one id.
     """
-    # rows are numbered and written once, so that what stays finds its row again
-    rows = stage(docs.select(F.struct(*docs.columns).alias("_doc")).withColumn("row", F.monotonically_increasing_id()), "join-rows")
     began = staged()
-    found, _ = _classes(rows.select("row", F.col("_doc.doc_id").cast("long").alias("doc_id"), F.col("_doc.text").alias("text")))
-    found = stage(found, "join-result")
+    rows = _numbered(docs, F.struct(*docs.columns).alias("_doc"))
+    found = _classes(rows.select("row", F.col("_doc.doc_id").cast("long").alias("doc_id"), F.col("_doc.text").alias("text")))
     of = found.filter(F.col("doc_id").isNotNull()).groupBy(F.col("label").isNull(), F.coalesce("label", "doc_id"))
     first = of.agg(F.min(F.struct("doc_id", "n", "h1", "h2", "row")).alias("first")).select("first.row")
-    ended = staged()
     keep = stage(first.union(found.filter(F.col("doc_id").isNull()).select("row")), "join-keep")
-    release(began, ended)
+    release(staged() - began - {path_of(rows), path_of(keep)})
     # a shuffled join at every size: what stays grows with the corpus
     return rows.join(keep.hint("shuffle_hash"), "row", "left_semi").select("_doc.*")
 
