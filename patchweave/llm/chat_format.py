@@ -8,16 +8,17 @@ marker class of a line, its length class, whether it asks, and whether it opens
 the conversation.  Initial, transition and emission probabilities are counted
 (with add-one smoothing) from rows with known roles; Viterbi recovers the roles.
 
-Conversations of any length are decoded without gathering them: max-plus products
-are associative, so every row becomes a matrix over roles, ``CHUNK`` turns of a
-conversation multiply to one matrix, a scan over those (one small matrix for
-``CHUNK`` turns) gives every chunk the states at its edges, and chunks decode by
-themselves.  Ties go to the role listed first.
-
-Recovered turns begin at a line in a first-line state; adjacent rows of one
-turn are merged within a chunk, and a turn that goes on over a chunk's edge has
-``continued`` set.  Markers are stripped and turns rendered as
-``<|role|>\\ntext<|end|>``.
+Conversations of any length are decoded without gathering them.  Rows are sorted by
+ranges and numbered; ``CHUNK`` neighbours of a conversation are a chunk.  Max-plus
+products are associative, so every chunk becomes a matrix over states, ``2**FAN_BITS``
+neighbouring matrices multiply to one, and so on until a conversation has one.  On
+the way back every product hands the states at its edges to its factors, and
+chunks decode by themselves between the states at their edges.  Ties go to the
+role listed first.
+
+Recovered turns begin at a line in a first-line state; adjacent rows of one turn
+are merged, over the edges of chunks too.  Markers are stripped and turns rendered
+as ``<|role|>\\ntext<|end|>``.
 
 Null and empty texts: one empty line.  Null turn: ordered first.  Null
 conversation: a conversation of its own.  Exactly repeated rows count once.
@@ -30,9 +31,10 @@ from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stage, table
+from .common import map_arrow, path_of, release, stage, staged, table
 
 ROLES = ("system", "user", "assistant")
 #: Speaker markers by role.
@@ -42,6 +44,8 @@ MARKERS = {
     "assistant": ("Assistant", "AI", "[assistant]", "A", "Agent"),
 }
 CHUNK = 128
+#: Neighbouring matrices that are multiplied at a time: 2**FAN_BITS.
+FAN_BITS = 7
 N_LENGTH = 6
 #: marker class (0: none), length class, asks, opens
 SHAPE = (len(ROLES) + 1, N_LENGTH, 2, 2)
@@ -207,7 +211,7 @@ def _chunk_matrix(model: Model):
     def make():
         def run(key, rows):
             out = None
-            for k, (_, _, text, opens, _) in enumerate(rows):
+            for k, (_, _, _, text, opens) in enumerate(rows):
                 one = model.matrix(features(text.split("\n"), opens and k == 0)[0], opens and k == 0)
                 out = one if out is None else (out[:, :, None] + one[None]).max(1)
             return [(*key, out.ravel().tolist())]
@@ -217,24 +221,55 @@ def _chunk_matrix(model: Model):
     return make
 
 
-def _edges(model: Model):
-    def make():
-        def run(key, rows):
-            mats = [np.array(r[2]).reshape(STATES, STATES) for r in rows]
-            alpha, before = np.zeros(STATES), []
-            for m in mats:
-                before.append(alpha)
-                alpha = (alpha[:, None] + m).max(0)
-            last, ends = int(alpha.argmax()), []
-            for m, a in zip(reversed(mats), reversed(before)):
-                ends.append(last)
-                last = int((a + m[:, last]).argmax())
-            ends = ends[::-1]
-            return [(key[0], r[1], b.tolist(), e, f) for r, b, e, f in zip(rows, before, ends, [-1, *ends[:-1]])]
+def _product():
+    def run(key, rows):
+        out = None
+        for r in rows:
+            one = np.array(r[3]).reshape(STATES, STATES)
+            out = one if out is None else (out[:, :, None] + one[None]).max(1)
+        return [(*key, out.ravel().tolist())]
 
-        return run
+    return run
 
-    return make
+
+def _whole():
+    """The last state of a whole conversation from its matrix; no state lies before it."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            last = [int(np.array(m).reshape(STATES, STATES).max(0).argmax()) for m in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([-1] * len(last), pa.int32()), pa.array(last, pa.int32())], ["key", "g", "first", "last"])
+
+    return run
+
+
+def _before(first: int) -> np.ndarray:
+    alpha = np.zeros(STATES)
+    if first >= 0:
+        alpha[:] = -np.inf
+        alpha[first] = 0.0
+    return alpha
+
+
+def _factors():
+    """The states before and at the end of every factor, from those of the product."""
+
+    def run(key, rows):
+        mats = [np.array(r[3]).reshape(STATES, STATES) for r in rows]
+        first, last = rows[0][4:6]
+        alpha, before = _before(first), []
+        for m in mats:
+            before.append(alpha)
+            alpha = (alpha[:, None] + m).max(0)
+        ends = []
+        for m, a in zip(reversed(mats), reversed(before)):
+            ends.append(last)
+            last = int((a + m[:, last]).argmax())
+        ends = ends[::-1]
+        return [(key[0], r[2], f, e) for r, f, e in zip(rows, [first, *ends[:-1]], ends)]
+
+    return run
 
 
 def render(role: str, text: str) -> str:
@@ -244,20 +279,15 @@ def render(role: str, text: str) -> str:
 def _decode(model: Model):
     def make():
         def run(key, rows):
-            opens = rows[0][3]
-            parts = [features(r[2].split("\n"), opens and k == 0) for k, r in enumerate(rows)]
-            _, _, _, _, _, before, last, first = rows[0]
-            alpha = np.array(before, float)
-            if first >= 0:
-                alpha = np.full(STATES, -np.inf)
-                alpha[first] = 0.0
-            states = model.path(np.concatenate([f for f, _ in parts]), opens, alpha, last)
+            opens, first, last = rows[0][5:8]
+            parts = [features(r[4].split("\n"), opens and k == 0) for k, r in enumerate(rows)]
+            states = model.path(np.concatenate([f for f, _ in parts]), opens, _before(first), last)
             out, k = [], 0
             for r, (_, bare) in zip(rows, parts):
                 for line in bare:
                     role, inside = divmod(int(states[k]), 2)
                     if not inside or not out:
-                        out.append([r[1], role, [line], bool(inside)])
+                        out.append([r[3], role, [line], bool(inside)])
                     else:
                         out[-1][2].append(line)
                     k += 1
@@ -268,19 +298,62 @@ def _decode(model: Model):
     return make
 
 
+def _numbered(rows: DataFrame, chunk: int) -> DataFrame:
+    """key (the conversation as text), pos (its place among all rows in order), g (chunk), turn, text; written.
+
+    Ranges are cut on a prefix of the text, so that rows without turn are dealt as well and samples of it stay small.
+    """
+    clean = rows.select(F.coalesce(F.col("conv_id").cast("long").cast("string"), F.lit("")).alias("key"), F.col("turn").cast("long").alias("turn"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    order = [F.col("key"), F.col("turn").asc_nulls_first(), F.substring("text", 1, 32)]
+    ranged = clean.repartitionByRange(*order).sortWithinPartitions(*order[:2], "text").withColumn("_at", F.monotonically_increasing_id())
+    ranged = stage(ranged.withColumn("_part", F.shiftright("_at", 33)), "chat-sorted")
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    # a row of 16 bytes a partition of the shuffle
+    before = F.broadcast(counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before")))
+    pos = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)
+    return ranged.join(before, "_part").withColumn("pos", pos).select("key", F.floor(F.col("pos") / chunk).alias("g"), "pos", "turn", "text")
+
+
+def _edges(nodes: DataFrame) -> DataFrame:
+    """key, g, first, last: the states before (-1: none) and at the end of every chunk, from their matrices (key, g, m)."""
+    levels, tops, kinds = [], [], "key string, g long, first int, last int"
+    while True:
+        several = nodes.groupBy("key").agg(F.count("*").alias("n"))
+        tops.append(map_arrow(nodes.join(several.filter("n = 1").select("key").hint("merge"), "key", "left_semi"), lambda: _whole(), kinds))
+        below = nodes.join(several.filter("n > 1").select("key").hint("merge"), "key", "left_semi").select("key", F.shiftright("g", FAN_BITS).alias("p"), "g", "m")
+        if not below.limit(1).count():
+            break
+        levels.append(below)
+        nodes = stage(by_key(below, ["key", "p"], ["g"], _product, "key string, g long, m array<double>"), "chat-products")
+    edges = tops.pop()
+    while levels:
+        above = edges.withColumnRenamed("g", "p")
+        # shuffled at every size: edges grow with the conversations
+        own = levels.pop().join(above.hint("merge"), ["key", "p"]).select("key", "p", "g", "m", "first", "last")
+        edges = by_key(own, ["key", "p"], ["g"], _factors, kinds).union(tops.pop())
+    return edges
+
+
 def parse(rows: DataFrame, model: Model, chunk: int = CHUNK) -> DataFrame:
-    """Recovered turns of transcripts (conv_id, turn, text): conv_id, chunk, at, turn, role, text, continued, rendered."""
-    clean = rows.select(F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    first = clean.groupBy("conv").agg(F.min(F.coalesce("turn", F.lit(-(1 << 62)))).alias("first")).toDF("c", "first")
-    clean = clean.join(first, F.col("conv").eqNullSafe(F.col("c"))).select("conv", "turn", "text", (F.coalesce("turn", F.lit(-(1 << 62))) == F.col("first")).alias("opens"))
-    clean = stage(clean.withColumn("chunk", F.coalesce(F.floor(F.col("turn") / chunk), F.lit(-(1 << 55))).cast("long")), "chat-rows")
-    order = [F.col("turn").asc_nulls_first(), "text"]
-    matrices = by_key(clean, ["conv", "chunk"], order, _chunk_matrix(model), "conv long, chunk long, m array<double>")
-    edges = stage(by_key(matrices, ["conv"], ["chunk"], _edges(model), "conv long, chunk long, before array<double>, last int, first int"), "chat-edges").toDF("c", "k", "before", "last", "first")
-    # a shuffled join at every size: edges grow with the conversations
-    joined = clean.join(edges.hint("shuffle_hash"), F.col("conv").eqNullSafe(F.col("c")) & (F.col("chunk") == F.col("k"))).drop("c", "k")
-    turns = by_key(joined, ["conv", "chunk"], order, _decode(model), "conv long, chunk long, at int, turn long, role string, text string, continued boolean")
-    return turns.select(F.col("conv").alias("conv_id"), "chunk", "at", "turn", "role", "text", "continued", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("<|end|>")).alias("rendered"))
+    """Recovered turns of transcripts (conv_id, turn, text): conv_id, chunk, at, turn, role, text, rendered."""
+    began = staged()
+    lines = _numbered(rows, chunk)
+    first = lines.groupBy("key").agg(F.min("g").alias("g")).withColumn("opens", F.lit(True))
+    lines = lines.join(first.hint("merge"), ["key", "g"], "left").select("key", "g", "pos", "turn", "text", F.coalesce("opens", F.lit(False)).alias("opens"))
+    nodes = by_key(lines.select("key", "g", "pos", "text", "opens"), ["key", "g"], ["pos"], _chunk_matrix(model), "key string, g long, m array<double>")
+    edges = _edges(stage(nodes, "chat-chunks"))
+    joined = lines.join(edges.hint("merge"), ["key", "g"]).select("key", "g", "pos", "turn", "text", "opens", "first", "last")
+    pieces = stage(by_key(joined, ["key", "g"], ["pos"], _decode(model), "key string, g long, at int, turn long, role string, text string, goes_on boolean"), "chat-pieces")
+    # a piece that goes on belongs to the last turn that began in a chunk before it: one row a chunk is looked through
+    begun = pieces.groupBy("key", "g").agg(F.max(F.when(~F.col("goes_on"), F.col("at"))).alias("s"), F.bool_or("goes_on").alias("goes_on"))
+    last = F.last(F.when(F.col("s").isNotNull(), F.struct(F.col("g").alias("g"), F.col("s").alias("at"))), True).over(W.partitionBy("key").orderBy("g").rowsBetween(W.unboundedPreceding, -1))
+    home = begun.withColumn("home", last).filter("goes_on").select("key", "g", F.col("home.g").alias("hg"), F.col("home.at").alias("hat"))
+    tails = pieces.filter("goes_on").join(home.hint("merge"), ["key", "g"]).groupBy("key", F.col("hg").alias("g"), F.col("hat").alias("at")).agg(F.array_sort(F.collect_list(F.struct("g", "text"))).alias("more"))
+    turns = pieces.filter(~F.col("goes_on")).join(tails.hint("merge"), ["key", "g", "at"], "left")
+    release(staged() - began - {path_of(pieces)})
+    text = F.concat_ws("\n", F.col("text"), F.array_join(F.transform("more", lambda x: x["text"]), "\n"))
+    turns = turns.select(F.nullif("key", F.lit("")).cast("long").alias("conv_id"), F.col("g").alias("chunk"), "at", "turn", "role", text.alias("text"))
+    return turns.withColumn("rendered", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("<|end|>")))
 
 
 def transcripts(rows: DataFrame) -> DataFrame:

@@ -288,17 +288,33 @@ def test_op4_viterbi_is_exhaustive_best():
     assert model.path(f, True, np.zeros(s), None).tolist() == list(best)
 
 
-def test_op4_chunks_agree(spark):
-    raw = chat_format.transcripts(spark.read.parquet(f"{SF2}/conversations.parquet"))
+def test_op4_chunks_agree(spark, monkeypatch):
+    """The same turns wherever chunks end, and however many matrices are multiplied at a time."""
+    raw = chat_format.transcripts(spark.read.parquet(f"{SF}/conversations.parquet"))
     model = chat_format.train(raw)
 
-    def lines(chunk):
+    def turns(chunk):
         out = defaultdict(list)
         for r in sorted(chat_format.parse(raw, model, chunk=chunk).collect(), key=lambda r: (r.conv_id, r.chunk, r["at"])):
-            out[r.conv_id] += [(r.role, x, r.continued or k > 0) for k, x in enumerate(r.text.split("\n"))]
+            out[r.conv_id].append((r.turn, r.role, r.text, r.rendered))
         return out
 
-    assert lines(1_000) == lines(2)
+    whole = turns(1_000)
+    monkeypatch.setattr(chat_format, "FAN_BITS", 1)
+    assert whole == turns(2)
+
+
+def test_op4_long_turn_is_one(spark):
+    """A turn over many chunks is rendered once; null turns of a conversation are dealt as well."""
+    turns = [(1, 0, "user", "User: go on"), (1, 1, "assistant", "Assistant: x0")] + [(1, 1 + i, "assistant", f"x{i}") for i in range(1, 60)] + [(1, 61, "user", "User: thanks")]
+    lone = [(None, None, None, f"User: line {i:03}") for i in range(40)]
+    learn = spark.createDataFrame([(c, t, r, x) for c in range(20) for t, r, x in [(0, "user", "User: go on"), (1, "assistant", "Assistant: x\n" + "\n".join(["x"] * 30)), (2, "user", "User: so")]], "conv_id long, turn long, role string, text string")
+    model = chat_format.train(learn)
+    rows = spark.createDataFrame(turns + lone, learn.schema)
+    for chunk in (4, 128):
+        got = sorted(chat_format.parse(rows, model, chunk=chunk).collect(), key=lambda r: (r.conv_id is None, r.chunk, r["at"]))
+        assert [(r.turn, r.role, r.text) for r in got if r.conv_id == 1] == [(0, "user", "go on"), (1, "assistant", "\n".join(f"x{i}" for i in range(60))), (61, "user", "thanks")]
+        assert [r.text for r in got if r.conv_id is None] == [f"line {i:03}" for i in range(40)]
 
 
 def test_op4_roles(spark):
