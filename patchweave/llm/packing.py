@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import map_arrow, session, stage, table
-from .tokens import WordIds, tokenizer_path
+from .tokens import tokenizer_path, word_ids
 
 WINDOW = 2048
 END_ID = 1
@@ -31,7 +31,7 @@ def _tokenise(path: str, end_id: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        ids = WordIds(path)
+        ids = word_ids(path)
         part = TaskContext.get().partitionId()
         end = np.array([end_id], "<u2").tobytes()
 

@@ -11,10 +11,12 @@ from __future__ import annotations
 
 import re
 import struct
+from functools import lru_cache
 
 #: Probed characters: Latin blocks and general punctuation.
 PROBED = [*range(0x00, 0x180), *range(0x2010, 0x2028), *range(0x2030, 0x205F), 0x20AC]
-CACHE = 600_000
+#: Bytes that a worker's cache of ids may take, about.
+CACHE = 64 << 20
 
 
 def tokenizer_path(name: str) -> str:
@@ -34,6 +36,29 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+class Cache:
+    """Byte strings by text, bounded in bytes: what comes first stays, until a full cache has missed four times what it holds; then it starts anew."""
+
+    #: What an entry takes besides its characters and bytes: two objects and their place in a table, about.
+    ENTRY = 150
+
+    def __init__(self, most: int):
+        self.known: dict[str, bytes] = {}
+        self.room = self.most = most
+        self.missed = 0
+
+    def add(self, key: str, value: bytes) -> None:
+        cost = len(key) * (1 if key.isascii() else 4) + len(value) + self.ENTRY
+        if cost <= min(self.room, self.most // 64):
+            self.known[key] = value
+            self.room -= cost
+            return
+        self.missed += 1
+        if self.missed > 4 * len(self.known):
+            self.known.clear()
+            self.room, self.missed = self.most, 0
+
+
 class WordIds:
     """Ids (two bytes each, little-endian) of a text under a tokenizer with blanks dropped and words cut by class.
 
@@ -46,9 +71,7 @@ class WordIds:
         self.tok = Tokenizer.from_file(path)
         self.model = self.tok.model
         self.alphabet = byte_alphabet()
-        self.cache: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.limit = cache
+        self.cache = Cache(cache)
         norm, pre = self.tok.normalizer, self.tok.pre_tokenizer
         pieces = lambda s: len(pre.pre_tokenize_str(norm.normalize_str(s)))
         kinds: dict[str, list[int]] = {"L": [], "N": [], "O": []}
@@ -76,28 +99,38 @@ class WordIds:
             return bool(self.odd(text))
         return any(c in text for c in self.odd_latin)
 
+    def _word(self, w: str) -> bytes:
+        plain = w if w.isascii() and w.isprintable() else "".join([self.alphabet[b] for b in w.encode()])
+        return self._pack([t.id for t in self.model.tokenize(plain)])
+
     def _stretch(self, chunk: str) -> bytes:
-        out = []
-        for w in self.split(chunk):
-            got = self.words.get(w)
-            if got is None:
-                plain = w if w.isascii() and w.isprintable() else "".join([self.alphabet[b] for b in w.encode()])
-                got = self._pack([t.id for t in self.model.tokenize(plain)])
-                if len(self.words) < self.limit:
-                    self.words[w] = got
-            out.append(got)
-        got = b"".join(out)
-        if len(self.cache) < self.limit:
-            self.cache[chunk] = got
-        return got
+        find, add = self.cache.known.get, self.cache.add
+        words = self.split(chunk)
+        if len(words) == 1:  # a stretch that is a word takes one entry
+            out = self._word(chunk)
+        else:
+            parts = []
+            for w in words:
+                if (got := find(w)) is None:
+                    add(w, got := self._word(w))
+                parts.append(got)
+            out = b"".join(parts)
+        add(chunk, out)
+        return out
 
     def __call__(self, text: str) -> bytes:
         if "<|" in text or self._is_odd(text):
             return self._pack(self.tok.encode(text, add_special_tokens=False).ids)
-        get, make = self.cache.get, self._stretch
+        get, make = self.cache.known.get, self._stretch
         return b"".join([get(c) or make(c) for c in text.lower().split()])
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One for all tasks of a worker, whose bounded cache then serves the next task as well."""
+    return WordIds(path)
+
+
 class PreTokens:
     """Raw pre-tokens of a text under a byte-level tokenizer, and how many special tokens it holds."""
 
