@@ -137,7 +137,10 @@ def split_segments(spark, sf):
     return sampling.split_segments(sample_uniform(spark, sf), 3)
 
 
-@query("energy_cdf_sample")
+CDF_SAMPLE = f"{BINS}, v AS (SELECT video, count(*)::INT AS n, count(*) / greatest(max(pts_time), 1.0) AS fps FROM packet GROUP BY 1), es AS (SELECT video, sum(greatest(energy, 0)) AS s, avg(greatest(energy, 0)) AS m FROM bins GROUP BY 1), w0 AS (SELECT b.video, bin, 0.7::DOUBLE * greatest(energy, 0) + 0.3::DOUBLE * m AS w FROM bins b JOIN es ON es.video = b.video WHERE s > 1e-12), w1 AS (SELECT *, w / sum(w) OVER (PARTITION BY video) * 16 AS share FROM w0), w2 AS (SELECT *, least(floor(share)::BIGINT, 16) AS c, row_number() OVER (PARTITION BY video ORDER BY round(share - floor(share), 9) DESC, bin) AS r FROM w1), w3 AS (SELECT *, c + CASE WHEN r <= 16 - sum(c) OVER (PARTITION BY video) THEN 1 ELSE 0 END AS k FROM w2), w4 AS (SELECT w3.video, k, n, greatest(0, floor(bin * {DAY} * fps)::BIGINT) AS lo, least(n - 1, ceil((bin + 1) * {DAY} * fps)::BIGINT - 1) AS hi0 FROM w3 JOIN v ON v.video = w3.video), w5 AS (SELECT *, greatest(lo, hi0) AS hi, unnest(range(k)) AS i FROM w4 WHERE k > 0 AND lo <= n - 1), dealt AS (SELECT video, least(n - 1, CASE WHEN k = 1 THEN round_even((lo + hi) / 2.0::DOUBLE, 0)::BIGINT WHEN i = k - 1 THEN hi ELSE trunc(lo + i * ((hi - lo) / (k - 1)::DOUBLE))::BIGINT END) AS frame_id FROM w5), short AS (SELECT v.video, n, 16 - (SELECT count(*) FROM dealt d WHERE d.video = v.video) AS lack FROM v JOIN es ON es.video = v.video), filled AS (SELECT * FROM dealt UNION ALL SELECT video, CASE WHEN lack = 1 THEN 0 WHEN i = lack - 1 THEN n - 1 ELSE trunc(i * ((n - 1) / (lack - 1)::DOUBLE))::BIGINT END FROM (SELECT *, unnest(range(lack)) AS i FROM short WHERE lack > 0))"
+
+
+@query("energy_cdf_sample", with_views(f"{CDF_SAMPLE} SELECT video, row_number() OVER (PARTITION BY video ORDER BY frame_id) - 1 AS t, frame_id FROM filled", "packet"))
 def energy_cdf_sample(spark, sf):
     v = src.packet(spark, sf).groupBy("video").agg(F.count("*").cast("int").alias("total_frames"), (F.count("*") / F.greatest(F.max("pts_time"), F.lit(1.0))).alias("fps"))
     return sampling.sample_energy_cdf(_bins(spark, sf), v, DAY, 16)
@@ -222,7 +225,11 @@ def readiness_threshold(spark, sf):
     return groups.readiness_threshold(readiness_stats(spark, sf), NB)
 
 
-@query("readiness_groups")
+SPREAD = ", ".join(f"CASE WHEN count(*) FILTER (t_rel >= ({EDGE.format(k=k)}) AND t_rel < greatest(({EDGE.format(k=k + 1)}), ({EDGE.format(k=k)}) + 1)) > 0 THEN 1 ELSE 0 END AS h{k}" for k in range(NB))
+READY = f"{STATS}, th AS (SELECT video, round(coalesce(avg(CASE WHEN frame_count >= 5 THEN topk_sum END), 0), 6) AS threshold FROM stats GROUP BY 1), fc AS (SELECT video, max(t) + 1 AS n FROM block GROUP BY 1), win AS (SELECT video, n, s, unnest(range(least(n, s + 8), least(n, s + 40) + 1)) AS e FROM (SELECT *, unnest(range(0, n - 7)) AS s FROM fc WHERE n >= 8)), wr AS (SELECT w.video, w.n, s, e, b.t - s AS t_rel, e - s AS len, score, row_number() OVER (PARTITION BY w.video, s, e ORDER BY round(score, 6) DESC, b.t, block_idx) AS r FROM win w JOIN block b ON b.video = w.video AND b.t > s AND b.t < e), wt AS (SELECT video, n, s, e, len, sum(score) AS total, {SPREAD} FROM wr WHERE r <= {BUDGET} GROUP BY video, n, s, e, len), wp AS (SELECT wt.*, (total - lag(total) OVER w) / greatest(abs(lag(total) OVER w), 1e-6) AS delta, total >= threshold AND h0 + h1 + h2 + h3 >= 3 AS pass FROM wt JOIN th ON th.video = wt.video WINDOW w AS (PARTITION BY wt.video, s ORDER BY e)), jump AS MATERIALIZED (SELECT video, n, s, coalesce(min(e) FILTER (pass AND delta < 0.02), max(e) FILTER (pass), max(e)) AS e, CASE WHEN bool_or(pass AND delta < 0.02) THEN 'readiness_threshold_low_gain' WHEN bool_or(pass) THEN 'readiness_threshold' WHEN max(e) = n THEN 'tail_flush' ELSE 'max_group_frames' END AS why FROM wp GROUP BY video, n, s), walk AS (SELECT video, 0 AS g, s, e, why FROM jump WHERE s = 0 UNION ALL SELECT w.video, g + 1, j.s, j.e, j.why FROM walk w JOIN jump j ON j.video = w.video AND j.s = w.e)"
+
+
+@query("readiness_groups", with_views(f"{READY} SELECT video, g AS group_idx, s AS start, e AS \"end\", e - s AS frame_count, why AS stop_reason FROM walk", "grid", recursive=True))
 def readiness_groups(spark, sf):
     return groups.readiness_groups(_blocks(spark, sf), readiness_threshold(spark, sf), BUDGET, 8, 40, NB, 3)
 
@@ -239,12 +246,18 @@ def adaptive_gop(spark, sf):
     return r6(_gop(spark, sf), "split_cost")
 
 
-@query("adaptive_gop_merge")
+MERGED = f"{GOP}, seq AS (SELECT video, list({{'s': start, 'e': \"end\", 'c': split_cost}} ORDER BY start) AS l FROM gop GROUP BY video), mg AS (SELECT video, l FROM seq UNION ALL SELECT video, l[:k - 1] || [{{'s': l[k].s, 'e': l[k + 1].e, 'c': l[k].c}}] || l[k + 2:] FROM (SELECT video, l, list_position([coalesce(x.c, 0) for x in l[:len(l) - 1]], list_min([coalesce(x.c, 0) for x in l[:len(l) - 1]])) AS k FROM mg WHERE len(l) > 4)), done AS (SELECT video, arg_min(l, len(l)) AS l FROM mg GROUP BY video), parts AS (SELECT video, unnest(l) AS x, unnest(range(len(l))) AS group_idx FROM done)"
+
+
+@query("adaptive_gop_merge", with_views(f"{MERGED} SELECT video, group_idx, x.s AS start, x.e AS \"end\", x.e - x.s AS frame_count FROM parts", "frame_seq", recursive=True))
 def adaptive_gop_merge(spark, sf):
     return groups.merge_gops(_gop(spark, sf), 4)
 
 
-@query("variable_gops")
+VGOP = f"{BINS}, es AS MATERIALIZED (SELECT video, list(greatest(energy, 0) ORDER BY bin) AS e0 FROM bins GROUP BY 1), ee AS MATERIALIZED (SELECT video, CASE WHEN list_sum(e0) <= 1e-12 THEN [1.0::DOUBLE for x in e0] ELSE e0 END AS e, e0, len(e0) AS n FROM es), walk AS (SELECT video, e, n, 0 AS b, 0 AS start, 0.0::DOUBLE AS acc, NULL::INT AS g0, NULL::INT AS g1 FROM ee UNION ALL SELECT video, e, n, CASE WHEN hit THEN cut + 1 ELSE b + 1 END, CASE WHEN hit THEN cut + 1 ELSE start END, CASE WHEN hit THEN 0.0 ELSE a2 END, CASE WHEN hit THEN start END, CASE WHEN hit THEN cut END FROM (SELECT *, CASE WHEN least(start + 7, b + 2, n - 2) >= greatest(start + 1, b - 2) THEN list_min([{{'e': e[c + 1], 'd': abs(c - b), 'c': c}} for c in range(greatest(start + 1, b - 2), least(start + 7, b + 2, n - 2) + 1)]).c ELSE b END::INT AS cut, b < n - 1 AND (b - start + 1 >= 8 OR (b - start + 1 >= 2 AND a2 >= list_sum(e) / 6)) AS hit FROM (SELECT *, acc + e[b + 1] AS a2 FROM walk WHERE b < n))), cuts AS (SELECT video, g0, g1 FROM walk WHERE g0 IS NOT NULL UNION ALL SELECT video, max(start), any_value(n) - 1 FROM walk GROUP BY video HAVING max(start) < any_value(n)), od AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY g0) AS k, count(*) OVER (PARTITION BY video) AS m FROM cuts), tl AS (SELECT video, g0 FROM od WHERE k = m AND m > 1 AND (g1 - g0 + 1) * {DAY} < {DAY}), fin AS (SELECT od.video, od.g0, CASE WHEN tl.video IS NOT NULL AND k = m - 1 THEN n - 1 ELSE g1 END AS g1, k, m, tl.video IS NOT NULL AND k = m AS gone, e0 FROM od JOIN ee ON ee.video = od.video LEFT JOIN tl ON tl.video = od.video)"
+
+
+@query("variable_gops", with_views(f"{VGOP} SELECT video, k - 1 AS gop_idx, g0 AS start_bin, g1 AS end_bin, (g0 + g1) // 2 AS anchor_bin, round(list_sum(e0[g0 + 1:g1 + 1]), 6) AS energy_sum FROM fin WHERE NOT gone", "packet", recursive=True))
 def variable_gops(spark, sf):
     return groups.energy_gops(_bins(spark, sf), DAY, 6, 2 * DAY, 8 * DAY)
 
@@ -328,7 +341,19 @@ def mad_cdf_by_video(spark, sf):
     return rollup.merged_distribution(mad_cdf(spark, sf))
 
 
-@query("diverse_mixed_select")
+def greedy(cand: str, fraction: float, threshold: float) -> str:
+    """CTEs that pick from ``cand`` (video, group_idx, t, block_idx, anchor_t, score, diversity, adjacent) one candidate a step; result: picked."""
+    return f"""gc AS MATERIALIZED (SELECT *, (t - anchor_t) * 16 + block_idx AS cid, CASE WHEN lead(t) OVER wb = t + 1 THEN lead(adjacent) OVER wb END AS adjacent_next, row_number() OVER (PARTITION BY video, group_idx ORDER BY round(score, 6) DESC, t, block_idx) AS rc, row_number() OVER (PARTITION BY video, group_idx ORDER BY round(diversity, 6) DESC, t, block_idx) AS rd, count(*) OVER (PARTITION BY video, group_idx) AS n FROM {cand} WINDOW wb AS (PARTITION BY video, group_idx, block_idx ORDER BY t)),
+gw AS (SELECT DISTINCT video, group_idx, n, least({BUDGET}, n) AS target, floor(least({BUDGET}, n) * {fraction} + 0.5)::INT AS quota, 1 AS phase, 1 AS pos, []::BIGINT[] AS s1, []::BIGINT[] AS s2, []::BIGINT[] AS s3, []::BIGINT[] AS rej, 0 AS cmp FROM gc
+UNION ALL SELECT video, group_idx, n, target, quota, CASE WHEN over_ THEN phase + 1 ELSE phase END, CASE WHEN over_ THEN 1 ELSE pos + 1 END, CASE WHEN pick AND phase = 1 THEN s1 || [cid] ELSE s1 END, CASE WHEN pick AND phase = 2 THEN s2 || [cid] ELSE s2 END, CASE WHEN pick AND phase = 3 THEN s3 || [cid] ELSE s3 END, CASE WHEN free AND dup THEN rej || [cid] ELSE rej END, cmp + CASE WHEN free AND phase < 3 THEN before_::INT + CASE WHEN after_ AND NOT (before_ AND near0) THEN 1 ELSE 0 END ELSE 0 END
+FROM (SELECT *, free AND NOT dup AS pick FROM (SELECT *, NOT over_ AND NOT list_contains(taken, cid) AS free, phase < 3 AND ((before_ AND near0) OR (after_ AND near1)) AS dup FROM (SELECT *, pos > n OR len(CASE phase WHEN 1 THEN s1 WHEN 2 THEN s2 ELSE s3 END) >= CASE phase WHEN 1 THEN target - quota WHEN 2 THEN CASE WHEN quota > 0 THEN target - len(s1) ELSE 0 END ELSE target - len(s1) - len(s2) END AS over_, coalesce(t - 1 = anchor_t, false) OR list_contains(taken, cid - 16) AS before_, list_contains(taken, cid + 16) AS after_, coalesce(adjacent <= {threshold}, false) AS near0, coalesce(adjacent_next <= {threshold}, false) AS near1 FROM (SELECT w.*, s1 || s2 || s3 AS taken, c.cid, c.t, c.anchor_t, c.adjacent, c.adjacent_next FROM gw w LEFT JOIN gc c ON c.video = w.video AND c.group_idx = w.group_idx AND CASE WHEN w.phase = 2 THEN c.rd ELSE c.rc END = w.pos WHERE w.phase < 4))))),
+ge AS (SELECT * FROM gw WHERE phase = 4), go AS (SELECT video, group_idx, unnest(s1) AS cid, 'bitcost' AS origin FROM ge UNION ALL SELECT video, group_idx, unnest(s2), 'diversity' FROM ge UNION ALL SELECT video, group_idx, unnest(s3), 'backfill' FROM ge), picked AS (SELECT gc.*, origin, len(rej) AS rejected, len(list_distinct(rej)) AS rejected_unique, cmp AS comparisons FROM go JOIN gc ON gc.video = go.video AND gc.group_idx = go.group_idx AND gc.cid = go.cid JOIN ge ON ge.video = go.video AND ge.group_idx = go.group_idx)"""
+
+
+MIXED = f"{DESC}, dz AS (SELECT *, round(0.5 * novelty_rank + 0.5 * edge_rank, 6) AS diversity FROM dr), {greedy('dz', 0.10, 0.025)}"
+
+
+@query("diverse_mixed_select", with_views(f"{MIXED} SELECT video, group_idx, t, block_idx, round(score, 6) AS score, origin FROM picked", "grid", recursive=True))
 def diverse_mixed_select(spark, sf):
     return r6(sel.diverse_mixed(_diverse(spark, sf), BUDGET), "score")
 
@@ -417,7 +442,7 @@ def eval_grouping_sets(spark, sf):
     return rollup.scores_by_sets(src.eval_sample(spark, sf), "candidate")
 
 
-MCN = "agg AS (SELECT count(*) AS n, sum(baseline) AS baseline_sum, sum(candidate) AS candidate_sum, count(*) FILTER (candidate > 0 AND baseline <= 0) AS gained, count(*) FILTER (candidate <= 0 AND baseline > 0) AS lost FROM eval_sample) SELECT n, baseline_sum, candidate_sum, gained, lost, CASE WHEN gained + lost = 0 THEN 1.0 ELSE round(least(1.0, 2 * (SELECT sum(exp(lgamma(gained + lost + 1) - lgamma(k + 1) - lgamma(gained + lost - k + 1) - (gained + lost) * ln(2.0))) FROM range(0, least(gained, lost) + 1) r(k))), 6) END AS p_value FROM agg"
+MCN = "agg AS (SELECT count(*) AS n, sum(baseline) AS baseline_sum, sum(candidate) AS candidate_sum, count(*) FILTER (candidate > 0.5 AND baseline <= 0.5) AS gained, count(*) FILTER (candidate <= 0.5 AND baseline > 0.5) AS lost FROM eval_sample) SELECT n, baseline_sum, candidate_sum, gained, lost, CASE WHEN gained + lost = 0 THEN 1.0 ELSE round(least(1.0, 2 * (SELECT sum(exp(lgamma(gained + lost + 1) - lgamma(k + 1) - lgamma(gained + lost - k + 1) - (gained + lost) * ln(2.0))) FROM range(0, least(gained, lost) + 1) r(k))), 6) END AS p_value FROM agg"
 
 
 @query("paired_mcnemar", with_views(MCN, "eval_sample"))
@@ -485,10 +510,16 @@ def chat_rewrite(spark, sf):
 JOB = "'/data/' || source || '/' || lang || '/doc ' || doc_id || '.mp4'"
 
 
-@query("key_inference", f"WITH j AS (SELECT doc_id, {JOB} AS path FROM documents) SELECT doc_id, regexp_extract(path, '([^/]+)/[^/]*$', 1) || '__' || regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]*$', '') AS key, regexp_replace(regexp_replace(regexp_replace(regexp_replace(path, '^/+', ''), '\\.[^./]*$', ''), '/+', '__', 'g'), '[^A-Za-z0-9_.-]', '_', 'g') AS mirror, substr(sha1(path), 1, 8) AS sha FROM j")
+JOBS = f"WITH j AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '/elsewhere/' || doc_id || '.tar.gz' ELSE {JOB} END AS path, CASE WHEN doc_id % 7 = 0 THEN 'given_' || doc_id END AS key, CASE doc_id % 3 WHEN 1 THEN 'sample-' || doc_id WHEN 2 THEN '' END AS id FROM documents), n AS (SELECT *, CASE WHEN doc_id % 5 = 0 THEN doc_id || '.tar' ELSE 'doc ' || doc_id END AS stem FROM j)"
+
+
+@query("key_inference", f"{JOBS} SELECT doc_id, coalesce(key, stem || '__' || substr(sha1(path), 1, 8) || CASE WHEN id <> '' THEN '__' || substr(id, 1, 8) ELSE '' END) AS key, CASE WHEN starts_with(path, '/data/') THEN substr(path, 7, length(path) - 10) END AS mirror, substr(sha1(path), 1, 8) AS sha FROM n")
 def key_inference(spark, sf):
-    path = F.concat(F.lit("/data/"), "source", F.lit("/"), "lang", F.lit("/doc "), F.col("doc_id").cast("string"), F.lit(".mp4"))
-    return src.table(spark, sf, "documents").select("doc_id", tx.key_from_path(path).alias("key"), tx.mirror_key(path).alias("mirror"), tx.sha1_8(path).alias("sha"))
+    i = F.col("doc_id").cast("string")
+    path = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("/elsewhere/"), i, F.lit(".tar.gz"))).otherwise(F.concat(F.lit("/data/"), "source", F.lit("/"), "lang", F.lit("/doc "), i, F.lit(".mp4")))
+    own = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("given_"), i))
+    id_ = F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("sample-"), i)).when(F.col("doc_id") % 3 == 2, "")
+    return src.table(spark, sf, "documents").select("doc_id", tx.key_of(path, own, id_).alias("key"), tx.mirror_key(path, F.lit("/data")).alias("mirror"), tx.sha1_8(path).alias("sha"))
 
 
 @query("timestamp_format", with_views("f AS (SELECT video, pkt_idx, pts_time, floor(pts_time)::BIGINT AS s FROM packet) SELECT video, pkt_idx, CASE WHEN s >= 3600 THEN printf('%02d:%02d:%02d', s // 3600, (s // 60) % 60, s % 60) ELSE printf('%02d:%02d', s // 60, s % 60) END AS clock, printf('<%d seconds>', s) AS tag FROM f", "packet"))
@@ -502,3 +533,6 @@ def bad_frame_flags(spark, sf):
     s = src.grid(spark, sf).groupBy("video", "t").agg(F.avg("cost").alias("m"), F.stddev_pop("cost").alias("sd"), (F.max("cost") - F.min("cost")).alias("rg"))
     black, solid = (F.col("m") <= 0.04) & (F.col("sd") <= 0.06), (F.col("sd") <= 0.055) & (F.col("rg") <= 0.2)
     return s.select("video", "t", black.alias("is_black"), solid.alias("is_solid"), (black | solid).alias("is_bad"))
+
+
+from . import catalog_frames  # noqa: E402, F401  (registers its queries)

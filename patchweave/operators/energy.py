@@ -7,6 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Times that a stream can have: 31 years.
+MAX_SEC = 1e9
+STRETCH = 4096
+
+
 def _usable() -> Column:
     number = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.col(c) >= 0) & (F.col(c) != float("inf"))
     return ~F.coalesce(F.contains("flags", F.lit("K")), F.lit(False)) & number("pts_time") & number("size")
@@ -25,25 +30,38 @@ def validity_counters(packets: DataFrame) -> DataFrame:
     )
 
 
-def energy_bins(packets: DataFrame, bin_sec: float = 0.5, smooth_bins: int = 1) -> DataFrame:
-    """video, bin, center_sec, energy: sums of log(1 + size) by time bin, empty bins kept, centred moving average."""
-    ok = packets.filter(_usable()).select("video", "pts_time", "size")
+def energy_bins(packets: DataFrame, bin_sec: float = 0.5, smooth_bins: int = 1, max_sec: float = MAX_SEC) -> DataFrame:
+    """video, bin, center_sec, energy: sums of log(1 + size) by time bin, empty bins kept, centred moving average.
+
+    Packets from ``max_sec`` on are left out like other unusable times: one of them would make bins without bound.
+    """
+    ok = packets.filter(_usable() & (F.col("pts_time") < max_sec)).select("video", "pts_time", "size")
     # the last bin's number follows from the largest time; partial sums come first, so that the second shuffle is small
     raw = ok.withColumn("raw", F.floor(F.col("pts_time") / bin_sec)).groupBy("video", "raw").agg(F.sum(F.log1p("size")).alias("e"), F.max("pts_time").alias("tmax"))
     nb = F.greatest(F.lit(1), F.ceil((F.max("tmax").over(W.partitionBy("video")) + 1e-9) / bin_sec))
     summed = raw.withColumn("nb", nb).groupBy("video", F.least(F.col("nb") - 1, "raw").alias("bin")).agg(F.sum("e").alias("e"), F.first("nb").alias("nb"))
-    frame = summed.groupBy("video").agg(F.first("nb").alias("nb")).select("video", "nb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("bin"))
+    # numbers of empty bins in stretches, so that no row holds them all
+    frame = summed.groupBy("video").agg(F.first("nb").alias("nb")).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("nb") - 1) / STRETCH))))
+    frame = frame.select("video", "nb", F.explode(F.sequence(F.col("s") * STRETCH, F.least((F.col("s") + 1) * STRETCH, F.col("nb")) - 1)).alias("bin"))
     dense = frame.join(summed.select("video", "bin", "e"), ["video", "bin"], "left").withColumn("e", F.coalesce("e", F.lit(0.0)))
     near = F.avg("e").over(W.partitionBy("video").orderBy("bin").rowsBetween(-smooth_bins, smooth_bins)) if smooth_bins > 0 else F.col("e")
     return dense.select("video", "bin", ((F.col("bin") + 0.5) * bin_sec).alias("center_sec"), F.when(F.col("nb") > 1, near).otherwise(F.col("e")).alias("energy"))
 
 
 def window_sizes(packets: DataFrame, windows: DataFrame) -> DataFrame:
-    """Sum of sizes of packets in ``[start, start + dur)`` of every window (video, win, start, dur); 0 where none."""
+    """Sum of sizes of packets in ``[start, start + dur)`` of every window (video, win, start, dur); 0 where none.
+
+    Packets and window ends are one ordered set with a running sum: no pairs of packets and windows, however many overlap.
+    """
     size = F.expr("try_cast(size AS DOUBLE)")
-    hit = (F.col("p.pts_time") >= F.col("w.start")) & (F.col("p.pts_time") < F.col("w.start") + F.col("w.dur"))
-    joined = windows.alias("w").join(packets.withColumn("size", size).alias("p"), (F.col("w.video") == F.col("p.video")) & hit, "left")
-    return joined.groupBy("w.video", "w.win").agg(F.coalesce(F.sum("p.size"), F.lit(0.0)).alias("total"))
+    none = F.lit(None)
+    p = packets.select("video", F.col("pts_time").cast("double").alias("x"), F.lit(1).alias("o"), F.coalesce(size, F.lit(0.0)).alias("size"), none.cast("long").alias("win"), F.lit(0).alias("sign")).filter("x is not null")
+    edge = lambda at, sign: windows.select("video", at.cast("double").alias("x"), F.lit(0).alias("o"), F.lit(0.0).alias("size"), F.col("win").cast("long").alias("win"), F.lit(sign).alias("sign"))
+    both = p.union(edge(F.col("start"), -1)).union(edge(F.col("start") + F.greatest(F.col("dur"), F.lit(0.0)), 1))
+    # an end stands before the packets of its own time
+    running = F.sum("size").over(W.partitionBy("video").orderBy("x", "o").rowsBetween(W.unboundedPreceding, 0))
+    ends = both.withColumn("running", running).filter("win is not null")
+    return ends.groupBy("video", "win").agg(F.sum(F.col("sign") * F.col("running")).alias("total"))
 
 
 def top_bins(bins: DataFrame, per_sec: float, cap: int, bin_sec: float) -> DataFrame:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .stream import Fold, fold
+
 SPEC = "video long, group_idx int, start int, end int, frame_count int, stop_reason string"
 
 
@@ -15,6 +21,22 @@ def budget(images_per_group: int, patches: int, block: int) -> int:
     return max(0, (images_per_group * patches - patches) // block**2)
 
 
+def auto_patches(patches, total_frames, fps, cap: int = 30_000):
+    """struct(images, patches): how many full canvases a video gets by resolution and duration, a multiple of four.
+
+    Fixed values: tiers of patches a canvas (7000, 2500), of seconds (6, 7, 12) and the images they allow.
+    """
+    s = F.greatest(F.lit(1), patches)
+    rate = F.when(fps > 0, fps).otherwise(30.0)
+    sec = F.when(total_frames > 0, total_frames / rate).otherwise(0.0)
+    by_time = F.when(sec <= 7, 8).when(sec <= 12, 12).otherwise(F.greatest(F.lit(1), F.ceil(sec * 1.2)))
+    tier = lambda short, long: F.when(sec <= 6, short).otherwise(long)
+    by_size = F.when(s >= 7000, tier(4, 8)).when(s >= 2500, tier(8, 12)).otherwise(tier(12, 28))
+    by_cap = F.greatest(F.lit(1), F.floor(F.greatest(s, F.lit(cap)) / s))
+    images = F.greatest(F.lit(4), F.floor(F.least(by_size, by_cap, by_time) / 4) * 4).cast("int")
+    return F.struct(images.alias("images"), (images * s).cast("long").alias("patches"))
+
+
 def fixed_groups(frames: DataFrame, size: int) -> DataFrame:
     """Tumbling groups of ``size`` frames; frames(video, t)."""
     g = F.floor(F.col("t") / size).cast("int")
@@ -61,58 +83,116 @@ def clamped_threshold(videos: DataFrame, norm: float, low: float = 0.015, high:
     return videos.select("video", (norm * F.sqrt(F.greatest(F.lit(low), F.least(F.lit(high), bits)))).alias("threshold"))
 
 
-def readiness_cuts(scores: np.ndarray, threshold: float, block_budget: int, min_frames: int, max_frames: int, bins: int, need_bins: int, delta_ratio: float) -> list[tuple[int, int, str]]:
-    """(start, end, reason) of groups that end once their top blocks are worth enough and spread enough.
+class ReadinessCuts(Fold):
+    """(group_idx, start, end, frame_count, reason) of groups that end once their top blocks are worth enough and spread enough.
 
-    ``scores`` is frames x blocks.  The longest passing end wins unless an extension gains too little; the tail that
-    is too short for a group is dropped.
+    The longest passing end wins unless an extension gains too little; the tail that is too short for a group is
+    dropped.  Frames are held from the open group's start on, ``max_frames`` at most; its top blocks are kept in a heap.
     """
-    n, out, start = len(scores), [], 0
-    min_frames = max(4, min_frames)
-    while n - start >= min_frames:
-        best, prev, reason = None, None, ""
-        last = min(n, start + max_frames)
-        for end in range(min(n, start + min_frames), last + 1):
-            rel = scores[start + 1 : end]
-            flat = np.round(rel.ravel(), 6)
-            k = min(block_budget, len(flat))
-            order = np.argsort(-flat, kind="stable")[:k]
-            total = float(rel.ravel()[order].sum()) if k else 0.0
-            t_rel = np.unique(order // rel.shape[1]) + 1 if k else np.zeros(0, int)
-            length = end - start
-            edges = (1 + np.arange(bins + 1) * ((max(2, length) - 1) / bins)).astype(int)
-            edges[-1] = max(2, length)
-            hit = set()
-            for t in t_rel:
-                for b in range(bins):
-                    if edges[b] <= t < max(edges[b + 1], edges[b] + 1):
-                        hit.add(b)
-                        break
+
+    def __init__(self, block_budget: int, min_frames: int, max_frames: int, bins: int, need_bins: int, delta_ratio: float):
+        self.budget, self.least, self.bins, self.need, self.ratio = block_budget, max(4, min_frames), bins, need_bins, delta_ratio
+        self.most = max(max_frames, self.least)
+        self.frames: list[list[float]] = []
+        self.threshold = 0.0
+        self.t, self.start, self.count = None, 0, 0
+
+    def row(self, t, block_idx, score, threshold):
+        self.threshold = threshold
+        if t != self.t:
+            self.t, out = t, self._open(final=False)
+            self.frames.append([])
+        else:
+            out = []
+        self.frames[-1].append(score)
+        return out
+
+    def end(self):
+        return self._open(final=True)
+
+    def _open(self, final: bool) -> list[tuple]:
+        """Groups whose end is known: all that need no frame beyond those held."""
+        out = []
+        while len(self.frames) >= (self.least if final else self.most):
+            length, reason = self._cut(len(self.frames), final)
+            out.append((self.count, self.start, self.start + length, length, reason))
+            self.frames, self.start, self.count = self.frames[length:], self.start + length, self.count + 1
+        return out
+
+    def _cut(self, n: int, final: bool) -> tuple[int, str]:
+        best, prev, reason, top, taken = None, None, "", [], Counter()
+        last = min(n, self.most)
+        for end in range(1, last + 1):
+            if end > 1:
+                for b, score in enumerate(self.frames[end - 1]):
+                    item = (round(score, 6), -(end - 1), -b, score)
+                    if len(top) < self.budget:
+                        heapq.heappush(top, item)
+                        taken[end - 1] += 1
+                    elif top and item > top[0]:
+                        gone = heapq.heapreplace(top, item)
+                        taken[end - 1] += 1
+                        taken[-gone[1]] -= 1
+            if end < min(n, self.least):
+                continue
+            total = math.fsum(x[3] for x in top)
             delta = 1.0 if prev is None else (total - prev) / max(abs(prev), 1e-6)
-            if len(hit) >= need_bins and total >= threshold:
+            if self._bins_hit([t for t, k in taken.items() if k], end) >= self.need and total >= self.threshold:
                 best, reason = end, "readiness_threshold"
-                if prev is not None and delta < delta_ratio:
+                if prev is not None and delta < self.ratio:
                     reason = "readiness_threshold_low_gain"
                     break
             prev = total
         if best is None:
-            best, reason = last, "tail_flush" if last == n else "max_group_frames"
-        out.append((start, best, reason))
-        start = best
-    return out
+            best, reason = last, "tail_flush" if final and last == n else "max_group_frames"
+        return best, reason
+
+    def _bins_hit(self, frames: list[int], length: int) -> int:
+        top = max(2, length)
+        edges = [int(1 + k * ((top - 1) / self.bins)) for k in range(self.bins)] + [top]
+        spans = [(a, max(b, a + 1)) for a, b in zip(edges, edges[1:])]
+        return len({next((k for k, (a, b) in enumerate(spans) if a <= t < b), None) for t in frames} - {None})
+
+
+def readiness_cuts(scores: np.ndarray, threshold: float, block_budget: int, min_frames: int, max_frames: int, bins: int, need_bins: int, delta_ratio: float) -> list[tuple[int, int, str]]:
+    """(start, end, reason) of the groups of one video; ``scores`` is frames x blocks."""
+    cuts, out = ReadinessCuts(block_budget, min_frames, max_frames, bins, need_bins, delta_ratio), []
+    for t, frame in enumerate(scores):
+        for b, x in enumerate(frame):
+            out += cuts.row(t, b, float(x), threshold)
+    return [(start, end, reason) for _, start, end, _, reason in out + cuts.end()]
 
 
 def readiness_groups(blocks: DataFrame, thresholds: DataFrame, block_budget: int, min_frames: int, max_frames: int, bins: int, need_bins: int, delta_ratio: float = 0.02) -> DataFrame:
-    """Data-driven groups; one video's block scores meet in one group, as every end depends on the one before."""
+    """Data-driven groups; every end depends on the one before, so a video is read in order."""
+    rows = blocks.join(thresholds, "video").select(F.col("video").cast("long").alias("video"), "t", "block_idx", "score", "threshold")
+    return fold(rows, ["video"], ["t", "block_idx"], lambda: ReadinessCuts(block_budget, min_frames, max_frames, bins, need_bins, delta_ratio), SPEC)
 
-    def cut(pdf):
-        import pandas as pd
 
-        wide = pdf.pivot(index="t", columns="block_idx", values="score").sort_index().to_numpy()
-        found = readiness_cuts(wide, float(pdf["threshold"].iloc[0]), block_budget, min_frames, max_frames, bins, need_bins, delta_ratio)
-        return pd.DataFrame([(pdf["video"].iloc[0], i, a, b, b - a, r) for i, (a, b, r) in enumerate(found)], columns=["video", "group_idx", "start", "end", "frame_count", "stop_reason"])
+class CostCuts(Fold):
+    """(group_idx, start, end, frame_count, reason, split_cost) of groups cut by cost or length."""
+
+    def __init__(self, min_len: int, max_len: int):
+        self.least, self.most = min_len, max_len
+        self.i = self.start = self.count = 0
+
+    def _close(self, reason, cost):
+        out = [(self.count, self.start, self.i, self.i - self.start, reason, cost)]
+        self.start, self.count = self.i, self.count + 1
+        return out
+
+    def row(self, t, cost, threshold):
+        length, out = self.i - self.start, []
+        if self.i:
+            if cost is not None and threshold is not None and cost > threshold and length >= self.least:
+                out = self._close("adaptive_gop_cost", cost)
+            elif length >= self.most:
+                out = self._close("adaptive_gop_max", cost)
+        self.i += 1
+        return out
 
-    return blocks.join(thresholds, "video").select("video", "t", "block_idx", "score", "threshold").groupBy("video").applyInPandas(cut, SPEC)
+    def end(self):
+        return self._close("adaptive_gop_tail", None)
 
 
 def adaptive_gop(costs: DataFrame, percentile: float, min_len: int, max_len: int, gamma: float = 0.0) -> DataFrame:
@@ -120,20 +200,12 @@ def adaptive_gop(costs: DataFrame, percentile: float, min_len: int, max_len: int
 
     A fold over the ordered costs of a video; costs(video, t, cost).  split_cost is the cost that cut a group.
     """
-    per = costs.groupBy("video").agg(F.array_sort(F.collect_list(F.struct("t", "cost"))).alias("x"), (F.lit(float(gamma)) if gamma > 0 else F.percentile("cost", F.lit(percentile / 100))).alias("thr"))
-    group = "array<struct<start:int,end:int,stop_reason:string,split_cost:double>>"
-
-    def step(acc, e):
-        i, length = acc["i"], acc["i"] - acc["start"]
-        by_cost = (e["cost"] > acc["thr"]) & (length >= min_len)
-        cut = (i > 0) & (by_cost | (length >= max_len))
-        done = F.struct(acc["start"].alias("start"), i.alias("end"), F.when(by_cost, "adaptive_gop_cost").otherwise("adaptive_gop_max").alias("stop_reason"), e["cost"].alias("split_cost"))
-        return F.struct((i + 1).alias("i"), F.when(cut, i).otherwise(acc["start"]).alias("start"), acc["thr"].alias("thr"), F.when(cut, F.concat(acc["out"], F.array(done))).otherwise(acc["out"]).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("start"), F.col("thr").alias("thr"), F.array().cast(group).alias("out"))
-    tail = lambda a: F.concat(a["out"], F.array(F.struct(a["start"].alias("start"), a["i"].alias("end"), F.lit("adaptive_gop_tail").alias("stop_reason"), F.lit(None).cast("double").alias("split_cost"))))
-    folded = per.select("video", F.aggregate("x", zero, step, tail).alias("g"))
-    return folded.select("video", F.posexplode("g").alias("group_idx", "s")).select("video", "group_idx", "s.start", "s.end", (F.col("s.end") - F.col("s.start")).alias("frame_count"), "s.stop_reason", "s.split_cost")
+    if gamma > 0:
+        rows = costs.select("video", "t", "cost", F.lit(float(gamma)).alias("thr"))
+    else:
+        rows = costs.join(costs.groupBy("video").agg(F.percentile("cost", F.lit(percentile / 100)).alias("thr")), "video").select("video", "t", "cost", "thr")
+    rows = rows.withColumn("video", F.col("video").cast("long"))
+    return fold(rows, ["video"], ["t"], lambda: CostCuts(min_len, max_len), "video long, group_idx int, start int, end int, frame_count int, stop_reason string, split_cost double")
 
 
 def merge_cheapest(spans: list[tuple[int, int, float | None]], target: int) -> list[tuple[int, int, float | None]]:

@@ -16,19 +16,47 @@ def forward_fill(requested: DataFrame, decoded: DataFrame, value: str) -> DataFr
     return joined.select("video", "t", "frame_id", F.coalesce(filled, at_last).alias(value), F.col(value).isNull().alias("was_missing"))
 
 
-def _both_sides(points: DataFrame, frames: DataFrame, point: str, frame: str) -> DataFrame:
-    """Each point with the nearest frame at or before and at or after it: one ordered union, no pairs."""
+def decoded(requested: DataFrame, frames: DataFrame, videos: DataFrame, value: str) -> DataFrame:
+    """Requested (video, t, frame_id), ids clamped to the video, with their value; a miss takes the last good one before it,
+    or, where none is before, that of the nearest decoded frame (the smaller id of two)."""
+    want = requested.join(videos.select("video", F.col("total_frames").cast("long").alias("n")), "video").select("video", "t", F.greatest(F.lit(0), F.least(F.col("frame_id").cast("long"), F.col("n") - 1)).alias("frame_id"))
+    have = frames.select("video", F.col("frame_id").cast("long").alias("frame_id"), F.col(value).alias("_value")).dropDuplicates(["video", "frame_id"])
+    joined = want.join(have, ["video", "frame_id"], "left")
+    before = F.last("_value", True).over(W.partitionBy("video").orderBy("t").rowsBetween(W.unboundedPreceding, 0))
+    filled = joined.withColumn("_filled", before).withColumn("was_missing", F.col("_value").isNull())
+    # what stands before the first good one is looked up by distance; few rows, so their values come by a join
+    early = filled.filter("_filled is null").select("video", F.col("t").cast("long").alias("id"), F.col("frame_id").alias("x"))
+    near = nearest(early, have.filter("_value is not null")).select("video", F.col("id").alias("t"), F.col("near").alias("frame_id"))
+    found = near.join(have, ["video", "frame_id"]).select("video", "t", F.col("_value").alias("_near"))
+    return filled.join(found, ["video", "t"], "left").select("video", "t", "frame_id", F.coalesce("_filled", "_near").alias(value), "was_missing")
+
+
+def selected(frames: DataFrame, wanted: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Frames (video, frame_id, ..) in decode order as often as they are wanted; negative ids ask for nothing.
+
+    ``first`` and ``last`` bound the scan of a segment.
+    """
+    ask = wanted.filter("frame_id >= 0").groupBy("video", "frame_id").agg(F.count("*").alias("_n"))
+    inside = frames
+    if first is not None:
+        inside = inside.filter(F.col("frame_id") >= first)
+    if last is not None:
+        inside = inside.filter(F.col("frame_id") <= last)
+    return inside.join(ask, ["video", "frame_id"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).drop("_n")
+
+
+def _sides(points: DataFrame, frames: DataFrame, point: str, frame: str) -> DataFrame:
+    """Points and frames as one ordered set, with the nearest frame at or before each: no pairs."""
     p = points.select("video", F.col(point).cast("double").alias("x"), F.col("id"), F.lit(None).cast("double").alias("f"))
     f = frames.select("video", F.col(frame).cast("double").alias("x"), F.lit(None).cast("long").alias("id"), F.col(frame).cast("double").alias("f")).distinct()
-    both = p.unionByName(f)
     order = W.partitionBy("video").orderBy("x", F.col("f").isNull())
-    back = W.partitionBy("video").orderBy(F.desc("x"), F.col("f").isNull())
-    return both.withColumn("before", F.last("f", True).over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("after", F.last("f", True).over(back.rowsBetween(W.unboundedPreceding, 0))).filter("id is not null")
+    return p.unionByName(f).withColumn("before", F.last("f", True).over(order.rowsBetween(W.unboundedPreceding, 0)))
 
 
 def nearest(points: DataFrame, frames: DataFrame, point: str = "x", frame: str = "frame_id", ties: str = "before") -> DataFrame:
     """video, id, near: the frame nearest to each point (video, id, x); equal distances go to ``ties``."""
-    s = _both_sides(points, frames, point, frame)
+    back = W.partitionBy("video").orderBy(F.desc("x"), F.col("f").isNull())
+    s = _sides(points, frames, point, frame).withColumn("after", F.last("f", True).over(back.rowsBetween(W.unboundedPreceding, 0))).filter("id is not null")
     a, b = F.col("x") - F.col("before"), F.col("after") - F.col("x")
     first = a <= b if ties == "before" else a < b
     near = F.when(F.col("after").isNull(), F.col("before")).when(F.col("before").isNull(), F.col("after")).when(first, F.col("before")).otherwise(F.col("after"))
@@ -37,7 +65,7 @@ def nearest(points: DataFrame, frames: DataFrame, point: str = "x", frame: str =
 
 def as_of(points: DataFrame, keys: DataFrame, point: str = "x", key: str = "key") -> DataFrame:
     """The last key at or before each point; the first key of all where there is none."""
-    s = _both_sides(points, keys, point, key)
+    s = _sides(points, keys, point, key).filter("id is not null")
     first = keys.groupBy("video").agg(F.min(key).cast("double").alias("first"))
     return s.join(first, "video", "left").select("video", "id", "x", F.coalesce("before", "first").alias("key"))
 

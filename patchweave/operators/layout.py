@@ -7,30 +7,42 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def placements(blocks: DataFrame, selected: DataFrame, block: int, hb: int, wb: int) -> DataFrame:
+def placements(blocks: DataFrame, selected: DataFrame, block: int, hb: int, wb: int, order: str = "block_raster") -> DataFrame:
     """Patches of the anchor's blocks, then of selected blocks by (frame, block row, block column), laid out block by block.
 
     Patch rank r of a group: canvas r div (hb wb); the block at k div block**2 in raster order, patch k mod block**2 in it.
+    With ``wh_raster`` patches follow one another row by row whatever their blocks.
     """
+    if order not in ("block_raster", "wh_raster"):
+        raise ValueError(f"unknown order {order!r}")
+    if order == "block_raster" and (hb % block or wb % block):
+        raise ValueError(f"{hb} x {wb} patches cannot be cut into blocks of {block}")
     cols = ["video", "group_idx", "t", "block_idx", "bh", "bw"]
     anchor = blocks.filter(F.col("t") == F.col("anchor_t")).select(*cols, F.lit(0).alias("part"))
     chosen = selected.select(*cols, F.lit(1).alias("part"))
-    order = W.partitionBy("video", "group_idx").orderBy("part", "t", "bh", "bw")
-    ranked = anchor.unionByName(chosen).withColumn("r", F.row_number().over(order) - 1)
+    ranked = anchor.unionByName(chosen).withColumn("r", F.row_number().over(W.partitionBy("video", "group_idx").orderBy("part", "t", "bh", "bw")) - 1)
     per, sq, wide = (hb * wb) // block**2, block * block, wb // block
     patch = ranked.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(sq - 1))))
     slot = F.col("r") % per
     dh, dw = F.floor(F.col("k") / block), F.col("k") % block
+    canvas, row, column = F.floor(F.col("r") / per), F.floor(slot / wide) * block + dh, (slot % wide) * block + dw
+    if order == "wh_raster":
+        rank = F.col("r") * sq + F.col("k")
+        canvas, row, column = F.floor(rank / (hb * wb)), F.floor(rank % (hb * wb) / wb), rank % wb
     return patch.select(
-        "video", "group_idx", F.floor(F.col("r") / per).cast("int").alias("canvas_idx"),
-        (F.floor(slot / wide) * block + dh).cast("int").alias("patch_h"), ((slot % wide) * block + dw).cast("int").alias("patch_w"),
+        "video", "group_idx", canvas.cast("int").alias("canvas_idx"), row.cast("int").alias("patch_h"), column.cast("int").alias("patch_w"),
         F.col("t").alias("src_frame"), (F.col("bh") * block + dh).cast("int").alias("src_patch_h"), (F.col("bw") * block + dw).cast("int").alias("src_patch_w"),
     )
 
 
-def padded(placed: DataFrame, hb: int, wb: int) -> DataFrame:
-    """Every canvas that is in use filled up: patches without a source hold -1."""
+def padded(placed: DataFrame, hb: int, wb: int, images: int | None = None) -> DataFrame:
+    """Every canvas that is in use filled up: patches without a source hold -1.
+
+    With ``images`` every group has just as many canvases: missing ones are all padding, those beyond are cut.
+    """
     used = placed.select("video", "group_idx", "canvas_idx").distinct()
+    if images is not None:
+        used = used.select("video", "group_idx").distinct().withColumn("canvas_idx", F.explode(F.sequence(F.lit(0), F.lit(images - 1))))
     full = used.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(hb * wb - 1)))).select("video", "group_idx", "canvas_idx", F.floor(F.col("n") / wb).cast("int").alias("patch_h"), (F.col("n") % wb).cast("int").alias("patch_w"))
     keys = ["video", "group_idx", "canvas_idx", "patch_h", "patch_w"]
     joined = full.join(placed, keys, "left")
@@ -63,3 +75,18 @@ def timestamp_runs(positions: DataFrame, fps: float, merge: int, decimals: int =
     tokens = F.floor(F.col("n") / merge**2)
     label = F.format_string(f"<%.{decimals}f seconds>", F.col("src_frame") / F.lit(float(fps)))
     return counted.select("video", "group_idx", "run", "src_frame", label.alias("label"), tokens.alias("tokens")).filter("src_frame >= 0 and tokens > 0")
+
+
+def raster(placed: DataFrame, hb: int, wb: int) -> DataFrame:
+    """Placements with their place n in raster order through all canvases of the video (groups one after another)."""
+    canvas = F.dense_rank().over(W.partitionBy("video").orderBy("group_idx", "canvas_idx")) - 1
+    return placed.withColumn("n", (canvas * hb * wb + F.col("patch_h") * wb + F.col("patch_w")).cast("long"))
+
+
+def vision_text(messages: DataFrame, runs: DataFrame) -> DataFrame:
+    """id, text with its vision stretch replaced by the runs of ``timestamp_runs`` (their video is the id)."""
+    from ..functions.text import with_vision_runs
+
+    per = runs.groupBy(F.col("video").alias("id")).agg(F.array_sort(F.collect_list(F.struct("group_idx", "run", "label", "tokens"))).alias("runs"))
+    labelled = F.transform("runs", lambda r: F.struct(r["label"].alias("label"), r["tokens"].alias("tokens")))
+    return messages.join(per, "id").select("id", with_vision_runs(F.col("text"), labelled).alias("text"))

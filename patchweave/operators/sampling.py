@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import geometry
+from . import energy, groups
+from .stream import Fold, fold
+
 
 def sample_fps(videos: DataFrame, rate: float) -> DataFrame:
     """video, t, frame_id at ``rate`` frames a second; fps <= 0 counts as 30, rate <= 0 as 4."""
@@ -62,9 +66,12 @@ def refill(sampled: DataFrame, keyframes: DataFrame, videos: DataFrame) -> DataF
     whole = base.filter("want = have").select("video", "t", F.col("frame_id").cast("long").alias("frame_id"))
     kept = base.filter("want > have and r = 1").select("video", F.col("frame_id").cast("long").alias("frame_id"), "want", "have")
     short = kept.groupBy("video").agg((F.first("want") - F.first("have")).alias("lack"))
-    every = short.join(videos.select("video", "total_frames"), "video").select("video", "lack", "total_frames", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total_frames").cast("long") - 1)).alias("frame_id"))
-    flags = kept.select("video", "frame_id", F.lit(True).alias("is_kept"))
-    tagged = every.join(flags, ["video", "frame_id"], "left").join(keyframes.select("video", F.col("frame_id").cast("long").alias("frame_id"), F.lit(True).alias("is_key")).distinct(), ["video", "frame_id"], "left").na.fill(False, ["is_kept", "is_key"])
+    # every frame, kept ids and keyframes as one set of rows: flags meet by one sum instead of two joins
+    none, yes, no = F.lit(None).cast("long"), F.lit(True), F.lit(False)
+    every = short.join(videos.select("video", "total_frames"), "video").select("video", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total_frames").cast("long") - 1)).alias("frame_id"), F.col("lack").cast("long").alias("lack"), F.col("total_frames").cast("long").alias("total_frames"), no.alias("is_kept"), no.alias("is_key"))
+    flags = kept.select("video", "frame_id", none.alias("lack"), none.alias("total_frames"), yes.alias("is_kept"), no.alias("is_key"))
+    flags = flags.union(keyframes.select("video", F.col("frame_id").cast("long").alias("frame_id"), none.alias("lack"), none.alias("total_frames"), no.alias("is_kept"), yes.alias("is_key")))
+    tagged = every.union(flags).groupBy("video", "frame_id").agg(F.max("lack").alias("lack"), F.max("total_frames").alias("total_frames"), F.bool_or("is_kept").alias("is_kept"), F.bool_or("is_key").alias("is_key")).filter("total_frames is not null")
     # the kept ids before and after by running values in both directions: a frame that grows to the end is summed anew for every row
     mine = F.when(F.col("is_kept"), F.col("frame_id"))
     so_far = lambda order: F.last(mine, True).over(of.orderBy(order).rowsBetween(W.unboundedPreceding, 0))
@@ -154,3 +161,118 @@ def cover_time(sampled: DataFrame, videos: DataFrame, every_sec: float, k: int)
     last = all_.groupBy("video").agg(F.max("frame_id").alias("last"))
     slots = last.select("video", "last", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("t"))
     return slots.join(all_, ["video", "t"], "left").select("video", "t", F.coalesce("frame_id", "last").alias("frame_id"))
+
+
+def numbered(ids: DataFrame) -> DataFrame:
+    """(video, frame_id) in order, numbered by t."""
+    return ids.select("video", (F.row_number().over(W.partitionBy("video").orderBy("frame_id")) - 1).alias("t"), F.col("frame_id").cast("long").alias("frame_id"))
+
+
+def with_fallback(sampled: DataFrame, videos: DataFrame, rate: float) -> DataFrame:
+    """Videos without a sample are sampled at ``rate`` frames a second."""
+    empty = videos.join(sampled.select("video").distinct(), "video", "left_anti")
+    return sampled.select("video", "t", F.col("frame_id").cast("long").alias("frame_id")).unionByName(sample_fps(empty, rate).select("video", "t", F.col("frame_id").cast("long").alias("frame_id")))
+
+
+def keyframe_ids(packets: DataFrame, videos: DataFrame) -> DataFrame:
+    """video, frame_id of key packets: times rounded to frames (half to even), clamped, distinct; frame 0 is always one."""
+    v = videos.select("video", F.when(F.col("fps") > 0, F.col("fps")).otherwise(30.0).alias("fps"), F.col("total_frames").cast("long").alias("n"))
+    timed = F.col("pts_time").isNotNull() & ~F.isnan("pts_time") & (F.abs("pts_time") < float("inf"))
+    at = F.bround(F.col("pts_time") * F.col("fps")).cast("long")
+    clamped = F.when(F.col("n") > 0, F.greatest(F.lit(0), F.least(at, F.col("n") - 1))).otherwise(at)
+    keys = packets.filter(F.contains("flags", F.lit("K")) & timed).join(v, "video").select("video", clamped.alias("frame_id"))
+    first = F.lit(0).cast("long").alias("frame_id")
+    return keys.union(v.filter("n > 0").select("video", first)).union(keys.select("video", first)).distinct()
+
+
+def cap_candidates(sampled: DataFrame, peaks: DataFrame, most: int) -> DataFrame:
+    """video, t, frame_id: at most ``most`` distinct ids; peaks are kept first, the others thinned evenly."""
+    flagged = sampled.select("video", F.col("frame_id").cast("long").alias("frame_id")).distinct().join(peaks.select("video", F.col("frame_id").cast("long").alias("frame_id"), F.lit(True).alias("peak")).distinct(), ["video", "frame_id"], "left").na.fill(False, ["peak"])
+    kind = W.partitionBy("video", "peak")
+    rows = flagged.withColumn("r", F.row_number().over(kind.orderBy("frame_id")) - 1).withColumn("n", F.count("*").over(kind)).withColumn("peaks", F.sum(F.col("peak").cast("int")).over(W.partitionBy("video")))
+    need, last = F.lit(most) - F.col("peaks"), F.col("n") - 1
+    # row r is the truncated i-th of ``need`` even steps for the first i that reaches it
+    step = last / F.greatest(need - 1, F.lit(1)).cast("double")
+    i = F.ceil(F.col("r") / step)
+    even = F.when(need == 1, F.col("r") == 0).otherwise((F.col("r") == last) | ((i < need - 1) & ((i * step).cast("long") == F.col("r"))))
+    keep = F.when(F.col("peak"), F.col("r") < most).otherwise((need > 0) & ((F.col("n") <= need) | even))
+    return numbered(rows.filter(keep))
+
+
+def adaptive_parameters(videos: DataFrame, patch: int = 14, min_pixels: int = 3136, max_pixels: int = 150_000, max_patches: int = 0, cap: int = 30_000, multiplier: float = 8.0, max_frames: int = 1024) -> DataFrame:
+    """Sampling parameters by duration and size; videos(video, total_frames, fps, height, width).
+
+    num_gops, num_images, seq_len, window_len, num_windows, top_windows.  Fixed values: 8 s a group, windows of 6, 10
+    and 12 s up to 15 s, 60 s and beyond.
+    """
+    total, rate = F.col("total_frames"), F.when(F.col("fps") > 0, F.col("fps")).otherwise(30.0)
+    sec = F.when(total > 0, total / rate).otherwise(0.0)
+    clamp = lambda x, lo, hi: F.greatest(F.lit(lo), F.least(hi if not isinstance(hi, int) else F.lit(hi), x.cast("int")))
+    size = geometry.smart_resize(F.col("height"), F.col("width"), 2 * patch, max_pixels, min_pixels)
+    v = videos.withColumn("_s", size).withColumn("num_gops", F.least(clamp(F.bround(sec / 8), 1, 16), F.greatest(F.lit(1), total)))
+    patches = F.greatest(F.lit(1), (F.floor(F.col("_s.h") / patch) * F.floor(F.col("_s.w") / patch)).cast("int"))
+    budget = F.lit(min(max_patches, cap)) if max_patches > 0 else groups.auto_patches(patches, total, rate, cap)["patches"]
+    images = F.greatest(F.lit(4), F.floor(F.greatest(F.lit(1), F.floor(budget / patches)) / 4) * 4, F.col("num_gops") * 4).cast("int")
+    v = v.withColumn("num_images", images)
+    seq = clamp(F.lit(float(multiplier)) * F.col("num_images"), 64, max_frames)
+    window = F.bround(rate * F.when(sec <= 15, 6.0).when(sec <= 60, 10.0).otherwise(12.0) / 16) * 16
+    windows = F.greatest(F.lit(5), F.least(F.lit(20), F.ceil(sec / 5))).cast("int")
+    top = F.least(F.greatest(F.lit(2), F.least(F.lit(8), F.ceil(sec / 20))).cast("int"), windows)
+    return v.select("video", "num_gops", "num_images", F.when(total > 0, F.least(seq, F.greatest(F.lit(16), total))).otherwise(seq).alias("seq_len"), F.greatest(F.lit(32), F.least(window.cast("int"), total)).alias("window_len"), windows.alias("num_windows"), top.alias("top_windows"))
+
+
+def sampled_count(total_frames, target_canvas: int, images_per_group: int, group_size: int):
+    """How many frames fill the canvases asked for, no more than there are."""
+    return F.least(F.lit(target_canvas // images_per_group * group_size), F.greatest(F.lit(1), total_frames)).cast("int")
+
+
+def pick_windows(videos: DataFrame, packets: DataFrame, length: int, candidates: int, top: int) -> DataFrame:
+    """video, rank, start, end, score: evenly spaced windows of ``length`` frames with the most bytes, ties to earlier ones.
+
+    A video no longer than a window is one window of score 0; so is a video without frames.
+    """
+    v = videos.select("video", F.col("total_frames").cast("long").alias("n"), F.when(F.col("fps") > 0, F.col("fps")).otherwise(30.0).alias("fps"))
+    whole = v.filter((F.col("n") <= max(0, length)) | F.lit(length <= 0)).select("video", F.lit(1).alias("rank"), F.lit(0).cast("long").alias("start"), F.greatest(F.lit(0), F.col("n") - 1).alias("end"), F.lit(0).cast("long").alias("score"))
+    if length <= 0:
+        return whole
+    many = v.filter(F.col("n") > length).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(max(1, candidates) - 1))))
+    many = many.withColumn("start", _line(F.col("i"), F.lit(0.0), F.col("n") - length, F.lit(candidates)).cast("long") if candidates > 1 else F.lit(0).cast("long"))
+    windows = many.select("video", F.col("i").alias("win"), (F.col("start") / F.col("fps")).alias("start"), (F.lit(float(length)) / F.col("fps")).alias("dur"))
+    scored = many.join(energy.window_sizes(packets, windows).withColumnRenamed("win", "i"), ["video", "i"]).withColumn("score", F.round("total", 6).cast("long"))
+    rank = F.row_number().over(W.partitionBy("video").orderBy(F.desc("score"), "i"))
+    picked = scored.withColumn("rank", rank).filter(F.col("rank") <= max(1, top))
+    return picked.select("video", "rank", "start", F.least(F.col("n") - 1, F.col("start") + length - 1).alias("end"), "score").unionByName(whole)
+
+
+def allocate_ids(windows: list[tuple[int, int, float]], k: int) -> list[int]:
+    """``k`` ids dealt to (start, end, score) by score, one at least each; evenly in a window, repeats dropped, the last one repeated to ``k``."""
+    if k <= 0:
+        return []
+    if len(windows) == 1:
+        return line(windows[0][0], windows[0][1], k).tolist()
+    w = np.array([max(0.0, s) for _, _, s in windows])
+    w = w / w.sum() if w.sum() > 0 else np.full(len(w), 1 / len(w))
+    count = np.maximum(1, np.floor(w * k).astype(int))
+    while count.sum() > k and count.max() > 1:
+        count[count.argmax()] -= 1
+    count[w.argmax()] += max(0, k - count.sum())
+    ids = sorted({int(x) for (a, b, _), c in zip(windows, count) for x in line(a, b, c)})
+    return (ids + [ids[-1]] * k)[:k]
+
+
+def allocate_frames(windows: DataFrame, k: int) -> DataFrame:
+    """video, t, frame_id over the windows of ``pick_windows`` (a few rows a video)."""
+
+    class Deal(Fold):
+        def __init__(self):
+            self.windows = []
+
+        def row(self, rank, start, end, score):
+            self.windows.append((start, end, float(score)))
+            return []
+
+        def end(self):
+            return list(enumerate(allocate_ids(self.windows, k)))
+
+    rows = windows.select(F.col("video").cast("long").alias("video"), "rank", "start", "end", "score")
+    return fold(rows, ["video"], ["rank"], Deal, "video long, t int, frame_id long")

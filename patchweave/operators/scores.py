@@ -69,13 +69,33 @@ def distribute(units: DataFrame, cells: str, cost: str) -> DataFrame:
     return units.select("unit", F.explode(F.sequence(F.lit(0), F.col(cells).cast("int") - 1)).alias("cell"), (F.col(cost) / F.col(cells)).alias("share"))
 
 
-def fuse_motion(cells: DataFrame, mv_weight: float = 0.5, direction: str = "max") -> DataFrame:
-    """Motion and residual fused: |y - 128| and |mv| / 4 over their frame's 95th percentile, clipped, weighted mean.
+#: Fixed names: grids of a frame's costs.
+GRIDS = {"sub": "sub_mb_bit_cost", "mb": "mb_bit_cost", "ctu": "ctu_bit_cost"}
 
-    cells(video, t, i, j, residual, mv0, mv1); direction: l0, l1, max, sum or biw (mean).
+
+def grid_cells(frames: DataFrame, grid: str = "adaptive") -> DataFrame:
+    """Cells (video, t, i, j, cost) of frames(video, t, codec_name, bitcost) from the grid asked for, else the first there is.
+
+    ``adaptive``: the large units of codecs that have them, macroblocks otherwise.
+    """
+    kind = F.when(F.lower("codec_name").isin("hevc", "h265", "vp9"), "ctu").otherwise("mb") if grid in ("adaptive", "auto") else F.lit(grid)
+    names = [f.name for f in frames.schema["bitcost"].dataType.fields]
+    own = {k: F.col("bitcost")[n].cast("array<array<double>>") for k, n in GRIDS.items() if n in names}
+    asked = F.coalesce(*[F.when(kind == k, c) for k, c in own.items()], F.lit(None).cast("array<array<double>>"))
+    cells = frames.select("video", "t", F.coalesce(asked, *own.values()).alias("g")).select("video", "t", F.posexplode("g").alias("i", "r"))
+    return cells.select("video", "t", "i", F.posexplode("r").alias("j", "cost"))
+
+
+def fuse_motion(cells: DataFrame, mv_weight: float = 0.5, direction: str = "max", compensate: bool = False, unit: float = 4.0, weights: tuple[float, float] = (1.0, 1.0), quantile: float = 0.95) -> DataFrame:
+    """Motion and residual fused: |y - 128| and the size of motion over their frame's quantile, clipped, weighted mean.
+
+    cells(video, t, i, j, residual, vx0, vy0, vx1, vy1); direction: l0, l1, max, sum or biw (by ``weights``);
+    ``compensate`` takes the frame's median motion off first.
     """
-    mv = {"l0": F.col("mv0"), "l1": F.col("mv1"), "max": F.greatest("mv0", "mv1"), "sum": F.col("mv0") + F.col("mv1"), "biw": (F.col("mv0") + F.col("mv1")) / 2}[direction]
     by = W.partitionBy("video", "t")
-    raw = cells.withColumn("r", F.abs(F.col("residual") - 128)).withColumn("m", mv / 4)
-    part = lambda c, least: F.least(F.lit(1.0), F.col(c) / F.greatest(F.percentile(F.col(c), F.lit(0.95)).over(by), F.lit(least)))
-    return raw.select("video", "t", "i", "j", (mv_weight * part("m", 1e-6) + (1 - mv_weight) * part("r", 1.0)).alias("cost"))
+    shift = lambda c: F.col(c) / unit - (F.percentile(F.col(c) / unit, F.lit(0.5)).over(by) if compensate else 0.0)
+    moved = cells.select("video", "t", "i", "j", F.abs(F.col("residual") - 128).alias("r"), *[shift(c).alias(c) for c in ("vx0", "vy0", "vx1", "vy1")])
+    size = lambda k: F.sqrt(F.col(f"vx{k}") ** 2 + F.col(f"vy{k}") ** 2)
+    m = {"l1": size(1), "max": F.greatest(size(0), size(1)), "sum": size(0) + size(1), "biw": weights[0] * size(0) + weights[1] * size(1)}.get(direction, size(0))
+    part = lambda c, least: F.least(F.lit(1.0), F.col(c) / F.greatest(F.percentile(F.col(c), F.lit(quantile)).over(by), F.lit(least)))
+    return moved.withColumn("m", m).select("video", "t", "i", "j", (mv_weight * part("m", 1e-6) + (1 - mv_weight) * part("r", 1.0)).alias("cost"))

@@ -21,14 +21,20 @@ def _order(*first):
     return W.partitionBy(*GROUP).orderBy(*first, F.desc(F.round("score", 6)), "t", "block_idx")
 
 
+def candidates(blocks: DataFrame) -> DataFrame:
+    """Blocks of frames that may be taken: not the anchor's and, where frames are marked (column ``good``), of good ones."""
+    usable = F.col("t") != F.col("anchor_t")
+    return blocks.filter(usable & F.col("good") if "good" in blocks.columns else usable)
+
+
 def topk(blocks: DataFrame, budget: int) -> DataFrame:
     """The ``budget`` best candidate blocks of every group, ties to earlier frames and blocks; column rank from 1."""
-    return blocks.filter(F.col("t") != F.col("anchor_t")).withColumn("rank", F.row_number().over(_order())).filter(F.col("rank") <= budget)
+    return candidates(blocks).withColumn("rank", F.row_number().over(_order())).filter(F.col("rank") <= budget)
 
 
 def topk_by_events(blocks: DataFrame, budget: int, bins: int, min_blocks: int) -> DataFrame:
     """Up to ``min_blocks`` of each of ``bins`` stretches of frames first, then the best of the rest."""
-    cand = blocks.filter(F.col("t") != F.col("anchor_t"))
+    cand = candidates(blocks)
     frames = cand.select(*GROUP, "t").distinct().withColumn("bin", F.ntile(bins).over(W.partitionBy(*GROUP).orderBy("t")))
     binned = cand.join(frames, [*GROUP, "t"])
     local = W.partitionBy(*GROUP, "bin").orderBy(F.desc(F.round("score", 6)), "t", "block_idx")
@@ -90,8 +96,7 @@ def diversity(blocks: DataFrame, desc: DataFrame, novelty_weight: float, side: i
     before = F.lag("desc").over(W.partitionBy(*GROUP, "block_idx").orderBy("t"))
     first = F.first(F.when(F.col("t") == F.col("anchor_t"), F.col("desc")), True).over(W.partitionBy(*GROUP, "block_idx").orderBy("t").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     measured = joined.withColumn("anchor_desc", first).withColumn("adjacent", mad(F.col("desc"), before)).withColumn("novelty", F.round(mad(F.col("desc"), F.col("anchor_desc")), 6)).withColumn("edge", F.round(edge_score(F.col("desc"), side), 6))
-    cand = measured.filter(F.col("t") != F.col("anchor_t"))
-    ranked = rank01(rank01(cand, "novelty", GROUP, "novelty_rank"), "edge", GROUP, "edge_rank")
+    ranked = rank01(rank01(candidates(measured), "novelty", GROUP, "novelty_rank"), "edge", GROUP, "edge_rank")
     return ranked.withColumn("diversity", F.round(novelty_weight * F.col("novelty_rank") + (1 - novelty_weight) * F.col("edge_rank"), 6)).drop("desc", "anchor_desc")
 
 
@@ -115,9 +120,9 @@ def diverse_pick(t: np.ndarray, block: np.ndarray, score: np.ndarray, diverse: n
     def duplicate(k):
         a, b, hit = int(t[k]), int(block[k]), False
         for other, diff in ((a - 1, adjacent[k]), (a + 1, adjacent[at[a + 1, b]] if (a + 1, b) in at else np.inf)):
-            if taken(other, b):
+            if not hit and taken(other, b):
                 counters["comparisons"] += 1
-                hit = hit or diff <= threshold
+                hit = diff <= threshold
         return hit
 
     def greedy(order, limit, tag):
@@ -151,16 +156,22 @@ def diverse_mixed(candidates: DataFrame, budget: int, fraction: float = 0.10, de
     """Candidates with diversity (see ``diversity``) -> picked rows with origin; greedy within a group, so one group a task."""
     if fraction == 0 and not dedup:
         return topk(candidates, budget).select("video", "group_idx", "t", "block_idx", "score", F.lit("bitcost").alias("origin"))
+    return diverse_counted(candidates, budget, fraction, dedup, threshold).select("video", "group_idx", "t", "block_idx", "score", "origin")
+
+
+def diverse_counted(candidates: DataFrame, budget: int, fraction: float = 0.10, dedup: bool = True, threshold: float = 0.025) -> DataFrame:
+    """Picked rows with origin and, the same in all rows of a group, the counters rejected, rejected_unique, comparisons."""
 
     def pick(pdf):
         pdf = pdf.sort_values(["t", "block_idx"]).reset_index(drop=True)
         adjacent = pdf["adjacent"].fillna(np.inf).to_numpy(float)
-        origin, _ = diverse_pick(pdf["t"].to_numpy(), pdf["block_idx"].to_numpy(), pdf["score"].to_numpy(), pdf["diversity"].to_numpy(), adjacent, int(pdf["anchor_t"].iloc[0]), budget, fraction, dedup, threshold)
+        origin, counters = diverse_pick(pdf["t"].to_numpy(), pdf["block_idx"].to_numpy(), pdf["score"].to_numpy(), pdf["diversity"].to_numpy(), adjacent, int(pdf["anchor_t"].iloc[0]), budget, fraction, dedup, threshold)
         pdf["origin"] = np.array(["", "bitcost", "diversity", "backfill"])[origin]
-        return pdf.loc[origin > 0, ["video", "group_idx", "t", "block_idx", "score", "origin"]]
+        pdf["rejected"], pdf["rejected_unique"], pdf["comparisons"] = counters["rejected"], len(counters["unique"]), counters["comparisons"]
+        return pdf.loc[origin > 0, ["video", "group_idx", "t", "block_idx", "score", "origin", "rejected", "rejected_unique", "comparisons"]]
 
     rows = candidates.select(F.col("video").cast("long").alias("video"), "group_idx", F.col("t").cast("long").alias("t"), F.col("block_idx").cast("long").alias("block_idx"), "score", "diversity", "adjacent", F.col("anchor_t").cast("long").alias("anchor_t"))
-    return rows.groupBy(*GROUP).applyInPandas(pick, "video long, group_idx int, t long, block_idx long, score double, origin string")
+    return rows.groupBy(*GROUP).applyInPandas(pick, "video long, group_idx int, t long, block_idx long, score double, origin string, rejected long, rejected_unique long, comparisons long")
 
 
 def penalised(blocks: DataFrame, penalty: float) -> DataFrame:
@@ -169,24 +180,58 @@ def penalised(blocks: DataFrame, penalty: float) -> DataFrame:
     return blocks.withColumn("nth", n).withColumn("penalised", F.col("score") / F.sqrt(1 + penalty * (F.col("nth") - 1)))
 
 
-def stratified_pick(mass: np.ndarray, pools: list[list[tuple[float, int]]], k: int) -> list[tuple[int, int]]:
-    """(frame, block) picks: equal slices of the frames' energy, the best unused block of a slice, then of wider ones."""
-    n = len(mass)
-    peak = np.array([p[0][0] if p else 0.0 for p in pools])
-    w = np.maximum(mass + 0.35 * peak, 0)
-    cdf = np.cumsum(w) / w.sum() if w.sum() > 0 else (np.arange(n) + 1) / n
-    used, out = set(), []
-    for i in range(k):
-        lo, hi = (int(np.searchsorted(cdf, q / k, "left")) for q in (i, i + 1))
-        hit = None
-        for radius in (0, 1, 2, 4, n):
-            frames = range(max(0, lo - radius), min(n, max(hi, lo) + radius + 1))
-            free = [(-s, f, b) for f in frames for s, b in pools[f] if (f, b) not in used]
-            if free:
-                hit = min(free)
-                break
-        if hit is None:
-            break
-        used.add(hit[1:])
-        out.append(hit[1:])
+def energy_cdf(frames: DataFrame, by: list[str]) -> DataFrame:
+    """frames(.., t, mass, peak) with w = max(1e-6, mass + 0.35 peak) and the running share of it, in order of t."""
+    w = F.greatest(F.lit(1e-6), F.col("mass") + 0.35 * F.col("peak"))
+    weighed = frames.withColumn("w", w)
+    before = F.sum("w").over(W.partitionBy(*by).orderBy("t").rowsBetween(W.unboundedPreceding, 0))
+    return weighed.withColumn("cdf", before / F.sum("w").over(W.partitionBy(*by)))
+
+
+def stratified_pick(t: np.ndarray, block: np.ndarray, score: np.ndarray, images: int, per_image: int) -> list[tuple[int, int]]:
+    """(image, row) picks in order: equal slices of the frames' energy, each filled with its best unused blocks, then with
+    those around its middle, then with any."""
+    frames = np.unique(t)
+    gain = np.maximum(score, 0)
+    at = np.searchsorted(frames, t)
+    mass, peak = np.bincount(at, gain), np.zeros(len(frames))
+    np.maximum.at(peak, at, gain)
+    w = np.maximum(1e-6, mass + 0.35 * peak)
+    cdf = np.cumsum(w) / w.sum()
+    order, used, out = np.lexsort((block, t, -np.round(score, 9))), np.zeros(len(t), bool), []
+    place = lambda q: min(len(frames) - 1, int(np.searchsorted(cdf, q, "left")))
+    for i in range(images):
+        lo, mid = place(i / images), place((i + 0.5) / images)
+        first, last = frames[lo], frames[max(lo, place((i + 1) / images))] + 1
+        radius = max(1, last - first)
+        need = per_image
+        for a, b in ((first, last), (frames[mid] - radius, frames[mid] + radius + 1), (frames[0], frames[-1] + 1)):
+            free = order[(t[order] >= a) & (t[order] < b) & ~used[order]][:need]
+            used[free] = True
+            out += [(i, int(k)) for k in free]
+            need -= len(free)
     return out
+
+
+def stratified(candidates: DataFrame, images: int, per_image: int, by: list[str] | None = None) -> DataFrame:
+    """Candidates(.., t, block_idx, score) that fill ``images`` canvases of ``per_image`` blocks each: columns image and place.
+
+    Greedy within a bucket (columns ``by``, video and bucket if not given): what one slice takes is not there for the next.
+    """
+    by = by or ["video", "bucket"]
+
+    def pick(pdf):
+        pdf = pdf.sort_values(["t", "block_idx"]).reset_index(drop=True)
+        found = stratified_pick(pdf["t"].to_numpy(), pdf["block_idx"].to_numpy(), pdf["score"].to_numpy(float), images, per_image)
+        out = pdf.loc[[k for _, k in found], [*by, "t", "block_idx", "score"]].copy()
+        out["image"], out["place"] = [i for i, _ in found], range(len(found))
+        return out
+
+    rows = candidates.select(*[F.col(c).cast("long").alias(c) for c in by], F.col("t").cast("long").alias("t"), F.col("block_idx").cast("long").alias("block_idx"), F.col("score").cast("double").alias("score"))
+    return rows.groupBy(*by).applyInPandas(pick, ", ".join(f"{c} long" for c in by) + ", t long, block_idx long, score double, image int, place int")
+
+
+def reordered(chosen: DataFrame, mode: str, by: list[str] | None = None) -> DataFrame:
+    """Chosen blocks with their place (from 0): by time and position (``time``), else strongest first."""
+    order = ["t", "bh", "bw", F.desc("score")] if mode.strip().lower() == "time" else [F.desc(F.round("score", 9)), "t", "bh", "bw"]
+    return chosen.withColumn("place", F.row_number().over(W.partitionBy(*(by or ["video", "bucket"])).orderBy(*order)) - 1)

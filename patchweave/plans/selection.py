@@ -8,26 +8,28 @@ import os
 from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..operators import groups, layout, sampling, scores, select
+from ..operators import energy, groups, layout, pixels, rollup, sampling, scores, select
 from .registry import GROUPERS, PACKERS, SAMPLERS, SCORERS, SELECTORS
 
-for _name, _f in {"fps": sampling.sample_fps, "uniform_count": sampling.sample_uniform, "all_frames": sampling.sample_all}.items():
-    SAMPLERS.register(_name, _f)
-SCORERS.register("bitcost", scores.normalised)
-GROUPERS.register("fixed", groups.fixed_groups)
-GROUPERS.register("readiness", groups.readiness_groups)
-SELECTORS.register("topk", select.topk)
-SELECTORS.register("diverse_mixed", select.diverse_mixed)
-PACKERS.register("canvas", layout.placements)
-
 ENV = "PATCHWEAVE_"
 
 
 @dataclass(frozen=True)
 class Config:
     selector: str = "topk"
+    grouping: str = "fixed"
+    anchor: str = "fixed"
     group_size: int = 32
+    min_frames: int = 8
+    max_frames: int = 64
+    readiness_bins: int = 4
+    readiness_need: int = 3
+    readiness_threshold: float = 0.0
+    gop_percentile: float = 75.0
+    gop_gamma: float = 0.0
+    target_groups: int = 0
     images_per_group: int = 4
     patch: int = 1
     block: int = 2
@@ -43,9 +45,11 @@ class Config:
     dedup_threshold: float | None = None
 
     def normalised(self) -> "Config":
-        c = replace(self, selector=self.selector.strip().lower(), dedup_descriptor=self.dedup_descriptor.strip().lower(), group_size=max(1, self.group_size), images_per_group=max(1, self.images_per_group))
-        if c.selector not in SELECTORS.names():
-            raise ValueError(f"unknown selector {c.selector!r}")
+        low = {n: getattr(self, n).strip().lower() for n in ("selector", "grouping", "anchor", "dedup_descriptor")}
+        c = replace(self, **low, group_size=max(1, self.group_size), images_per_group=max(1, self.images_per_group))
+        for what, known in (("selector", SELECTORS.names()), ("grouping", GROUPERS.names()), ("anchor", ["adaptive", "fixed"])):
+            if getattr(c, what) not in known:
+                raise ValueError(f"unknown {what} {getattr(c, what)!r}")
         for name in ("diversity_fraction", "novelty_weight"):
             if not 0 <= getattr(c, name) <= 1:
                 raise ValueError(f"{name} must lie in [0, 1]")
@@ -68,21 +72,157 @@ class Config:
                 values[name] = raw.strip().lower() in ("1", "true", "yes", "on") if kind == "bool" else float(raw) if "float" in kind else int(raw) if kind == "int" else raw
         return cls(**values).normalised()
 
+    def budget(self) -> int:
+        return groups.budget(self.images_per_group, (self.rows // self.patch) * (self.cols // self.patch), self.block)
+
     def key(self) -> str:
         return hashlib.md5(json.dumps(asdict(self), sort_keys=True).encode()).hexdigest()
 
 
-def select_patches(grid: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
-    """(selected blocks, placements) of a cost grid; everything is keyed by video and group."""
-    c = config.normalised()
-    shaped = scores.normalised(grid) if c.normalise else grid
-    blocks = select.grouped(scores.block_scores(shaped, c.patch, c.block, c.cols), c.group_size)
-    budget = groups.budget(c.images_per_group, (c.rows // c.patch) * (c.cols // c.patch), c.block)
-    if c.selector == "topk" and c.event_bins:
-        chosen = select.topk_by_events(blocks, budget, c.event_bins, c.event_min_blocks)
-    elif c.selector == "topk" or (c.diversity_fraction == 0 and not c.dedup):
-        chosen = select.topk(blocks, budget)
+# samplers: (videos, packets, parameters) -> video, t, frame_id ------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Sampling:
+    """Parameters of all samplers; each takes what it needs."""
+
+    rate: float = 4.0
+    count: int = 0
+    bin_sec: float = 0.5
+    smooth_bins: int = 1
+    peaks_per_sec: float = 0.5
+    peaks_cap: int = 8
+    neighbour: int = 1
+
+
+def _fps(videos, packets, p):
+    return sampling.sample_fps(videos, p.rate)
+
+
+def _uniform(videos, packets, p):
+    if p.count <= 0:
+        raise ValueError("uniform_count needs a count above 0")
+    return sampling.sample_uniform(videos, p.count)
+
+
+def _peaks(videos, packets, p):
+    bins = energy.energy_bins(packets, p.bin_sec, p.smooth_bins)
+    return sampling.numbered(energy.peak_frames(bins, videos, p.peaks_per_sec, p.peaks_cap, p.bin_sec, p.neighbour))
+
+
+SAMPLERS.register("fps", _fps)
+SAMPLERS.register("uniform_count", _uniform)
+SAMPLERS.register("all_frames", lambda videos, packets, p: sampling.sample_all(videos))
+SAMPLERS.register("pkt_size_peak", lambda videos, packets, p: sampling.with_fallback(_peaks(videos, packets, p), videos, p.rate))
+SAMPLERS.register("fps_plus_pkt_size_peak", lambda videos, packets, p: sampling.with_fallback(sampling.union_distinct(_fps(videos, packets, p), _peaks(videos, packets, p)), videos, p.rate))
+
+
+def sample(videos: DataFrame, packets: DataFrame | None, mode: str = "fps", **parameters) -> DataFrame:
+    """video, t, frame_id by a named sampler; any other name samples by rate."""
+    name = mode.strip().lower()
+    return SAMPLERS.get(name if name in SAMPLERS.names() else "fps")(videos, packets, Sampling(**parameters))
+
+
+# groupers: (blocks, config) -> video, group_idx, start, end ---------------------------------------------------------
+
+
+def _readiness(blocks: DataFrame, c: Config) -> DataFrame:
+    budget = c.budget()
+    if c.readiness_threshold > 0:
+        thresholds = blocks.select("video").distinct().withColumn("threshold", F.lit(float(c.readiness_threshold)))
     else:
-        cand = select.diversity(blocks, select.descriptors(grid, c.patch * c.block, c.cols), c.novelty_weight, c.patch * c.block)
-        chosen = select.diverse_mixed(cand, budget, c.diversity_fraction, c.dedup, c.dedup_threshold).join(blocks.select("video", "group_idx", "t", "block_idx", "bh", "bw"), ["video", "group_idx", "t", "block_idx"])
-    return chosen, layout.placements(blocks, chosen, c.block, c.rows // c.patch, c.cols // c.patch)
+        thresholds = groups.readiness_threshold(groups.readiness_stats(blocks, c.group_size, budget, c.readiness_bins), c.readiness_bins)
+    need = min(c.readiness_need, max(1, c.images_per_group - 1))
+    return groups.readiness_groups(blocks, thresholds, budget, c.min_frames, c.max_frames, c.readiness_bins, need)
+
+
+def _adaptive(blocks: DataFrame, c: Config) -> DataFrame:
+    costs = blocks.groupBy("video", "t").agg(F.sum("score").alias("cost"))
+    cut = groups.adaptive_gop(costs, c.gop_percentile, c.min_frames, c.max_frames, c.gop_gamma)
+    return groups.merge_gops(cut, c.target_groups) if c.target_groups > 0 else cut
+
+
+GROUPERS.register("fixed", lambda blocks, c: groups.fixed_groups(blocks.select("video", "t").distinct(), c.group_size))
+GROUPERS.register("readiness", _readiness)
+GROUPERS.register("adaptive_gop", _adaptive)
+
+# selectors: (blocks, grid, frames, config) -> picked blocks ---------------------------------------------------------
+
+
+def _topk(blocks, grid, frames, c):
+    budget = c.budget()
+    return select.topk_by_events(blocks, budget, c.event_bins, c.event_min_blocks) if c.event_bins else select.topk(blocks, budget)
+
+
+def _measured(blocks, grid, frames, c):
+    side = c.patch * c.block
+    if frames is not None:
+        return pixels.diversity(blocks, frames, c.rows // side, c.cols // side, c.novelty_weight, c.dedup_descriptor)
+    if c.dedup_descriptor == "full":
+        raise ValueError("the full descriptor needs pixel frames")
+    return select.diversity(blocks, select.descriptors(grid, side, c.cols), c.novelty_weight, side)
+
+
+def _diverse(blocks, grid, frames, c):
+    if c.diversity_fraction == 0 and not c.dedup:
+        return select.topk(blocks, c.budget())
+    picked = select.diverse_mixed(select.candidates(_measured(blocks, grid, frames, c)), c.budget(), c.diversity_fraction, c.dedup, c.dedup_threshold)
+    return picked.join(blocks.select("video", "group_idx", "t", "block_idx", "bh", "bw"), ["video", "group_idx", "t", "block_idx"])
+
+
+SCORERS.register("bitcost", scores.normalised)
+SELECTORS.register("topk", _topk)
+SELECTORS.register("diverse_mixed", _diverse)
+PACKERS.register("canvas", layout.placements)
+
+
+def grouped(blocks: DataFrame, specs: DataFrame, min_frames: int = 4) -> DataFrame:
+    """Blocks of groups (video, group_idx, start, end) of at least ``min_frames`` frames, with the group's first frame as anchor."""
+    frames = specs.filter(F.col("end") - F.col("start") >= min_frames).select("video", "group_idx", F.col("start").cast("long").alias("anchor_t"), (F.col("end") - F.col("start")).cast("long").alias("frame_count"), F.explode(F.sequence(F.col("start").cast("long"), F.col("end").cast("long") - 1)).alias("t"))
+    return blocks.join(frames, ["video", "t"])
+
+
+def _anchored(blocks: DataFrame, c: Config) -> DataFrame:
+    """Blocks with the anchor that the configuration asks for; a bad one (column ``good``) is replaced by the first good frame."""
+    if c.anchor == "adaptive":
+        chosen = select.adaptive_anchor(blocks, 0.3, 0.7).select("video", "group_idx", F.col("anchor_t").alias("a"))
+        blocks = blocks.join(chosen, ["video", "group_idx"]).withColumn("anchor_t", F.col("a")).drop("a")
+    if "good" in blocks.columns:
+        frames = blocks.select("video", "group_idx", "t", "anchor_t", "good").distinct()
+        moved = select.replace_bad_anchor(frames).select("video", "group_idx", F.col("new_anchor_t").alias("a"))
+        blocks = blocks.join(moved, ["video", "group_idx"]).withColumn("anchor_t", F.col("a")).drop("a")
+    return blocks
+
+
+def grouped_blocks(grid: DataFrame, config: Config, good: DataFrame | None = None) -> DataFrame:
+    """Scored blocks in the groups and with the anchors of a configuration; good(video, t, good) marks usable frames."""
+    c = config.normalised()
+    shaped = SCORERS.get("bitcost")(grid) if c.normalise else grid
+    blocks = scores.block_scores(shaped, c.patch, c.block, c.cols)
+    out = grouped(blocks, GROUPERS.get(c.grouping)(blocks, c))
+    if good is not None:
+        out = out.join(good.select("video", "t", "good"), ["video", "t"], "left").withColumn("good", F.coalesce("good", F.lit(True)))
+    return _anchored(out, c)
+
+
+def select_patches(grid: DataFrame, config: Config, frames: DataFrame | None = None, good: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(selected blocks, placements) of a cost grid; everything is keyed by video and group.
+
+    frames(video, t, h, w, bgr) lets the diverse selector measure pixels instead of costs; good(video, t, good) leaves
+    bad frames out.
+    """
+    c = config.normalised()
+    blocks = grouped_blocks(grid, c, good)
+    chosen = SELECTORS.get(c.selector)(blocks, grid, frames, c)
+    return chosen, PACKERS.get("canvas")(blocks, chosen, c.block, c.rows // c.patch, c.cols // c.patch)
+
+
+def diagnostics(grid: DataFrame, config: Config, frames: DataFrame | None = None, good: DataFrame | None = None) -> DataFrame:
+    """One row a group of a diverse selection with all that the summaries need."""
+    c = config.normalised()
+    blocks = grouped_blocks(grid, c, good)
+    cand = select.candidates(_measured(blocks, grid, frames, c))
+    picked = select.diverse_counted(cand, c.budget(), c.diversity_fraction, c.dedup, c.dedup_threshold)
+    anchors = blocks.filter(F.col("t") == F.col("anchor_t")).select("video", "group_idx", "t", "block_idx", "anchor_t", F.lit(None).cast("double").alias("adjacent"))
+    measures = cand.select("video", "group_idx", "t", "block_idx", "anchor_t", "adjacent").unionByName(anchors)
+    return rollup.group_diagnostics(picked, cand, measures, c.dedup_threshold)

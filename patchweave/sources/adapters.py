@@ -7,6 +7,7 @@ Schemas (all keyed by ``video``):
 * grid(video, t, i, j, cost): one row a cell
 * videos(video, total_frames, fps, duration)
 * eval_sample(key, baseline, candidate, question_type, duration)
+* pixel(video, t, h, w, bgr): frames of 8 x 8 pixels; every seventh is black, every seventh of one grey, every third has a dark top row
 * audit(video, subprocess_ms), chat(id, turn, role, content)
 """
 
@@ -45,6 +46,19 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("video", "t", F.floor(F.col("pos") / 8).cast("int").alias("i"), (F.col("pos") % 8).alias("j"), F.greatest(F.col("v").cast("double"), F.lit(0.0)).alias("cost"))
 
 
+def pixel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    framed = e.select(F.col("label").alias("video"), (F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1).alias("t"), "embedding")
+
+    def byte(p, times, plus):
+        level = F.least(F.lit(255), F.floor(F.abs(F.element_at("embedding", (p * times + plus) % 64 + 1).cast("double")) * 600)).cast("int")
+        shown = F.when(F.col("t") % 7 == 3, 0).when(F.col("t") % 7 == 5, 90).when((F.col("t") % 3 == 0) & (p < 8), 0).otherwise(level)
+        return F.lpad(F.hex(shown), 2, "0")
+
+    cells = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda p: F.concat(byte(p, 1, 0), byte(p, 1, 21), byte(p, 3, 7)))
+    return framed.select("video", "t", F.lit(8).alias("h"), F.lit(8).alias("w"), F.unhex(F.array_join(cells, "")).alias("bgr"))
+
+
 def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     e = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("video"))
@@ -69,6 +83,7 @@ SQL = {
     "packet": "packet AS (SELECT user_id AS video, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pkt_idx, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1e6::DOUBLE AS pts_time, value AS size, CASE event_type WHEN 'signup' THEN 'K__' ELSE '___' END AS flags FROM events)",
     "frame_seq": "frame_seq AS (SELECT user_id AS video, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, CASE event_type WHEN 'signup' THEN 'I' WHEN 'view' THEN 'B' ELSE 'P' END AS pict_type, ln(1 + value) AS cost FROM events)",
     "grid": "framed AS (SELECT label AS video, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t, embedding FROM embeddings), poses AS (SELECT video, t, embedding, unnest(range(len(embedding))) AS pos FROM framed), grid AS (SELECT video, t, pos // 8 AS i, pos % 8 AS j, greatest(embedding[pos + 1]::DOUBLE, 0.0) AS cost FROM poses)",
+    "pixel": "pixel AS (SELECT video, t, pos // 8 AS i, pos % 8 AS j, " + ", ".join(f"CASE WHEN t % 7 = 3 THEN 0 WHEN t % 7 = 5 THEN 90 WHEN t % 3 = 0 AND pos < 8 THEN 0 ELSE least(255, floor(abs(embedding[((pos * {a} + {b}) % 64) + 1]::DOUBLE) * 600)) END::INT AS {c}" for c, a, b in (("b", 1, 0), ("g", 1, 21), ("r", 3, 7))) + " FROM poses)",
     "videos": "videos AS (SELECT video, count(*)::INT AS total_frames, 25.0::DOUBLE AS fps, max(pts_time) AS duration FROM packet GROUP BY video)",
     "eval_sample": "eval_sample AS (SELECT l.doc_id AS key, l.quality::DOUBLE AS baseline, l.toxic::DOUBLE AS candidate, d.lang AS question_type, CASE WHEN d.n_chars < 1000 THEN 'short' ELSE 'long' END AS duration FROM labels l JOIN documents d USING (doc_id))",
 }

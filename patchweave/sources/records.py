@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -11,29 +12,53 @@ MESSAGE = "array<struct<role:string,content:string>>"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a JSONL file as (line, json); blank and malformed lines are skipped."""
-    lines = spark.read.text(path).withColumnRenamed("value", "line")
-    return lines.filter(F.trim("line") != "").withColumn("json", F.try_parse_json("line")).filter(F.col("json").isNotNull()).withColumn("json", F.col("line")).select("line", "json")
+    """Rows of JSONL files as (at, line, json); blank and malformed lines are skipped.  ``at`` orders them as they stand."""
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    good = lines.filter((F.trim("line") != "") & F.try_parse_json("line").isNotNull())
+    return good.withColumn("json", F.col("line"))
 
 
-def jobs(lines: DataFrame, ok_only: bool = True, max_jobs: int | None = None) -> DataFrame:
-    """Jobs of records: usable responses, existing files, one row an image source (or the record's own path)."""
-    j = F.col("json")
-    rows = lines.select(
-        j.alias("json"), F.from_json(F.get_json_object(j, "$.images_source"), "array<string>").alias("sources"), tx.first_path(j).alias("path"), tx.caption(j).alias("caption"),
-        F.coalesce(F.get_json_object(j, "$.exists"), F.lit("true")).alias("exists"), F.get_json_object(j, "$.response.status_code").try_cast("int").alias("status"), F.coalesce(F.get_json_object(j, "$.id"), F.get_json_object(j, "$.key")).alias("id"),
+def _first(df: DataFrame, order: list, n: int | None) -> DataFrame:
+    """The first ``n`` rows in order: the same rows in every run."""
+    return df.orderBy(*order).limit(n) if n else df
+
+
+def jobs(lines: DataFrame, ok_only: bool = True, max_jobs: int | None = None, max_lines: int | None = None, mirror_root: str | None = None, existing: DataFrame | None = None) -> DataFrame:
+    """Jobs of records: usable responses, existing files, one row an image source (or the record's own path).
+
+    id is the record's id, with the number of the video behind it where there are several; key is the path below
+    ``mirror_root``, else the record's own or one made of path and id.  ``existing`` (video) lists the paths that exist.
+    """
+    j, get = F.col("json"), lambda p: F.get_json_object("json", p)
+    text = lambda p: F.when(F.schema_of_variant(F.try_variant_get(F.try_parse_json(j), p, "variant")) == "STRING", get(p))
+    rows = _first(lines, ["at"], max_lines).select(
+        "at", j.alias("json"), F.from_json(get("$.images_source"), "array<string>").alias("sources"), tx.first_path(j).alias("path"), tx.caption(j).alias("caption"), F.coalesce(get("$.exists"), F.lit("true")).alias("exists"),
+        get("$.response.status_code").try_cast("int").alias("status"), F.coalesce(get("$.error"), F.lit("null")).alias("error"), text("$.id").alias("id"), text("$.key").alias("own"), F.from_json(get("$.messages"), MESSAGE).alias("messages"),
     )
     if ok_only:
-        rows = rows.filter(F.coalesce(F.col("status") == 200, F.lit(True)))
+        rows = rows.filter(F.coalesce(F.col("status") == 200, F.lit(True)) & (F.col("error") == "null"))
     rows = rows.filter("exists <> 'false'").withColumn("sources", F.when(F.size("sources") > 0, F.col("sources")).otherwise(F.array("path")))
-    out = rows.select("id", "caption", F.posexplode("sources").alias("n", "video")).filter("video is not null and video <> ''")
-    out = out.withColumn("key", tx.key_from_path(F.col("video")))
-    return out.limit(max_jobs) if max_jobs else out
+    rows = rows.withColumn("sources", F.filter("sources", lambda v: v.isNotNull() & (v != "")))
+    out = rows.select("at", "id", "own", "caption", "messages", F.posexplode("sources").alias("n", "video"))
+    if existing is not None:
+        out = out.join(existing.select("video").distinct(), "video", "left_semi")
+        out = out.withColumn("n", F.row_number().over(W.partitionBy("at").orderBy("n")) - 1)
+    several = F.count("*").over(W.partitionBy("at")) > 1
+    sample = F.when(several & (F.coalesce("id", F.lit("")) != ""), F.concat("id", F.lit("__v"), F.col("n").cast("string"))).otherwise(F.col("id"))
+    key = tx.key_of(F.col("video"), F.col("own"), F.col("id"))
+    key = F.coalesce(tx.mirror_key(F.col("video"), F.lit(mirror_root)), key) if mirror_root else key
+    named = out.select("at", "n", sample.alias("id"), "caption", "messages", "video", key.alias("key"))
+    return _first(named, ["at", "n"], max_jobs)
+
+
+#: Codecs whose streams carry costs.
+CODECS = ("h264", "hevc")
 
 
-def remaining(jobs_: DataFrame, done: DataFrame, key: str = "key") -> DataFrame:
-    """Jobs whose key has no finished output."""
-    return jobs_.join(done.select(key).distinct(), key, "left_anti")
+def remaining(jobs_: DataFrame, done: DataFrame, key: str = "key", codecs: tuple[str, ...] | None = None) -> DataFrame:
+    """Jobs whose key has no finished output; with ``codecs``, those only whose codec_name is one of them."""
+    usable = jobs_.filter(F.lower("codec_name").isin(*codecs)) if codecs else jobs_
+    return usable.join(done.select(key).distinct(), key, "left_anti")
 
 
 def training_records(frames: DataFrame, messages: DataFrame) -> DataFrame:
@@ -49,17 +74,77 @@ def read_eval_samples(spark: SparkSession, path: str, run: str) -> DataFrame:
     """Evaluation samples of every file below ``path`` in either record form: run, key, score, duration, question_type, video_id."""
     lines = read_lines(spark, path)
     g = lambda p: F.get_json_object("json", p)
-    perception = F.struct(g("$.videomme_perception_score.question_id").alias("key"), g("$.videomme_perception_score.score").try_cast("double").alias("score"), g("$.videomme_perception_score.duration").alias("duration"), g("$.videomme_perception_score.task_category").alias("question_type"), g("$.videomme_perception_score.videoID").alias("video_id"))
+    known = lambda p: F.coalesce(g(p), F.lit("unknown"))
+    perception = F.struct(g("$.videomme_perception_score.question_id").alias("key"), g("$.videomme_perception_score.score").try_cast("double").alias("score"), known("$.videomme_perception_score.duration").alias("duration"), known("$.videomme_perception_score.task_category").alias("question_type"), known("$.videomme_perception_score.videoID").alias("video_id"))
     rating = F.coalesce(g("$.avg_accuracy.rating"), g("$.avg_accuracy.match_success"))
     number = F.coalesce(rating.try_cast("double"), F.when(F.lower(rating) == "true", 1.0).when(F.lower(rating) == "false", 0.0))
-    accuracy = F.struct(F.concat(g("$.avg_accuracy.video_id"), F.lit("::"), g("$.avg_accuracy.question")).alias("key"), number.alias("score"), F.lit("short").alias("duration"), g("$.avg_accuracy.dim").alias("question_type"), g("$.avg_accuracy.video_id").alias("video_id"))
+    accuracy = F.struct(F.concat(g("$.avg_accuracy.video_id"), F.lit("::"), g("$.avg_accuracy.question")).alias("key"), number.alias("score"), F.lit("short").alias("duration"), known("$.avg_accuracy.dim").alias("question_type"), known("$.avg_accuracy.video_id").alias("video_id"))
     picked = F.when(g("$.videomme_perception_score").isNotNull(), perception).when(g("$.avg_accuracy").isNotNull(), accuracy)
     return lines.select(F.lit(run).alias("run"), picked.alias("s")).filter("s is not null").select("run", "s.*")
 
 
 def write_meta(meta: DataFrame, path: str) -> None:
-    """One JSON record a video, partitioned by configuration hash, so that a run rewrites its own only."""
-    meta.write.mode("append").partitionBy("config").json(path)
+    """One JSON record a video, partitioned by configuration hash: a run rewrites its own parts and leaves the others."""
+    meta.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("config").json(path)
+
+
+def write_training(records: DataFrame, path: str, run: str) -> None:
+    """Training records as JSONL, a part for each run; a repeated run replaces its part."""
+    records.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").json(path)
+
+
+def write_result(placed: DataFrame, frames: DataFrame, path: str) -> None:
+    """Source positions in raster order and the sampled frames, a part for each video."""
+    placed.repartition("video").sortWithinPartitions("video", "group_idx", "canvas_idx", "patch_h", "patch_w").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video").parquet(f"{path}/src_patch_position")
+    frames.repartition("video").sortWithinPartitions("video", "t").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video").parquet(f"{path}/frame_ids")
+
+
+def read_result(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(positions, frames) that ``write_result`` wrote."""
+    return spark.read.parquet(f"{path}/src_patch_position"), spark.read.parquet(f"{path}/frame_ids")
+
+
+def as_png(canvas: DataFrame) -> DataFrame:
+    """video, name, png of canvases (video, n, h, w, rgb)."""
+    rows = canvas.select(F.col("video").cast("string").alias("video"), F.format_string("canvas_%03d.png", F.col("n").cast("int")).alias("name"), "h", "w", "rgb")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from ..functions import image
+
+        for batch in batches:
+            files = [image.png(np.frombuffer(x.as_py(), np.uint8).reshape(h.as_py(), w.as_py(), 3)) for x, h, w in zip(batch["rgb"], batch["h"], batch["w"])]
+            yield pa.RecordBatch.from_arrays([batch["video"], batch["name"], pa.array(files, pa.binary())], ["video", "name", "png"])
+
+    return rows.mapInArrow(run, "video string, name string, png binary")
+
+
+def write_canvases(canvas: DataFrame, path: str, kind: str = "png") -> DataFrame:
+    """Writes canvases (video, n, h, w, rgb) to ``path``/video/canvas_NNN.png through Spark's file systems; returns (video, name) written.
+
+    ``path`` has to be shared by the executors.  Other kinds than png need an encoder that is not at hand.
+    """
+    if kind != "png":
+        raise ValueError(f"unsupported canvas format {kind!r}")
+    files = as_png(canvas).repartition("video")
+    # a file a row: binary parts beside their names, in the layout of one folder a video
+    files.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video").parquet(path)
+    return files.select("video", "name")
+
+
+def export_canvases(files: DataFrame, folder: str) -> int:
+    """Loose files of (video, name, png) in a folder of this machine, one video's at a time; returns how many."""
+    import os
+
+    n = 0
+    for r in files.select("video", "name", "png").toLocalIterator():
+        os.makedirs(os.path.join(folder, r.video), exist_ok=True)
+        with open(os.path.join(folder, r.video, r.name), "wb") as f:
+            f.write(r.png)
+        n += 1
+    return n
 
 
 def markdown(rows: list[dict], columns: list[str]) -> str:
@@ -73,13 +158,45 @@ VIDEO = "video string, total_frames int, fps double, height int, width int, code
 
 
 def probe_rows(lines: DataFrame) -> DataFrame:
-    """Stream and format records (numbers as strings) as the videos table; frame counts fall back to rate times duration."""
+    """Stream and format records (numbers as strings) as the videos table; frame counts fall back to rate times duration.
+
+    The video is the column of that name, or the record's own file name.
+    """
     from ..functions.geometry import parse_fps
 
     g = lambda p: F.get_json_object("json", p)
     num = lambda p: F.greatest(F.lit(0.0), F.coalesce(g(p).try_cast("double"), F.lit(0.0)))
     fps, duration, frames = parse_fps(g("$.streams[0].avg_frame_rate")), num("$.format.duration"), num("$.streams[0].nb_frames")
+    video = F.col("video") if "video" in lines.columns else g("$.format.filename")
     return lines.select(
-        F.col("video"), F.when(frames > 0, frames).otherwise(F.bround(fps * duration)).cast("int").alias("total_frames"), fps.alias("fps"), num("$.streams[0].height").cast("int").alias("height"), num("$.streams[0].width").cast("int").alias("width"),
+        video.alias("video"), F.when(frames > 0, frames).otherwise(F.bround(fps * duration)).cast("int").alias("total_frames"), fps.alias("fps"), num("$.streams[0].height").cast("int").alias("height"), num("$.streams[0].width").cast("int").alias("width"),
         F.coalesce(g("$.streams[0].codec_name"), F.lit("")).alias("codec_name"), num("$.streams[0].bit_rate").alias("stream_bit_rate"), num("$.format.bit_rate").alias("format_bit_rate"), duration.alias("duration"),
     )
+
+
+def bit_rate():
+    """Of the stream, else of the format."""
+    return F.coalesce(F.nullif("stream_bit_rate", F.lit(0.0)), "format_bit_rate")
+
+
+def read_preprocess(spark: SparkSession, path: str) -> DataFrame:
+    """(video, subprocess_ms) of audit records below ``path``."""
+    lines = read_lines(spark, path)
+    g = lambda p: F.get_json_object("json", p)
+    return lines.select(F.coalesce(g("$.video"), F.lit("unknown")).alias("video"), F.coalesce(g("$.subprocess_ms").try_cast("double"), F.lit(0.0)).alias("subprocess_ms"))
+
+
+#: The fields of a video's selector summary.
+SUMMARY = (
+    "mode string, group_count long, target_blocks long, bitcost_selected long, diversity_selected long, backfill_selected long, dedup_rejected long, dedup_rejected_unique long, dedup_comparisons long, "
+    "mean_unique_source_frames_per_group double, mean_unique_spatial_positions_per_group double, mean_temporal_distribution_entropy_normalized double, mean_max_blocks_per_frame_fraction double, "
+    "adjacent_same_position_pairs long, adjacent_same_position_duplicates long, adjacent_mad_count long, mean_adjacent_mad_fraction_le_threshold double, adjacent_mad_cdf map<string,double>, "
+    "selected_bitcost_mean double, selected_novelty_mean double, selected_edge_mean double, timing_sec map<string,double>"
+)
+
+
+def read_selector(spark: SparkSession, path: str) -> DataFrame:
+    """Selector summaries of all meta.json files below ``path``; unreadable ones and those without a summary are left out."""
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "meta.json").text(path, wholetext=True)
+    summary = F.from_json(F.get_json_object("value", "$.selector_summary"), SUMMARY)
+    return files.select(summary.alias("s")).filter("s is not null and s.group_count is not null").select("s.*")

@@ -1,13 +1,18 @@
 """Operators on hand-made cases."""
 
+import hashlib
+import os
+import struct
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from patchweave.functions import geometry, image, text
-from patchweave.operators import energy, groups, joins, layout, rollup, sampling, scores, select
-from patchweave.plans import registry, selection
-from patchweave.sources import records
+from patchweave.operators import anchors, energy, groups, joins, layout, pixels, rollup, sampling, scores, select
+from patchweave.plans import cache, registry, selection
+from patchweave.sources import mp4, records
 
 
 def frame(height=56, width=56, shift=0):
@@ -189,15 +194,81 @@ def test_geometry(spark):
 
 
 def test_text(spark):
-    r = spark.range(1).select(text.clock(F.lit(3725.9)).alias("a"), text.clock(F.lit(65)).alias("b"), text.image_tags(F.lit(" <image>\n<IMAGE> hi"), F.lit(2)).alias("c"), text.key_from_path(F.lit("/a/b/c.d.mp4")).alias("d"), text.seconds_tag(F.lit(1.25)).alias("e")).first()
-    assert (r.a, r.b, r.c, r.d) == ("01:02:05", "01:05", "<image>\n<image>\nhi", "b__c.d")
+    r = spark.range(1).select(text.clock(F.lit(3725.9)).alias("a"), text.clock(F.lit(65)).alias("b"), text.image_tags(F.lit(" <image>\n<IMAGE> hi"), F.lit(2)).alias("c"), text.stem(F.lit("/a/b/c.d.mp4")).alias("d"), text.seconds_tag(F.lit(1.25)).alias("e")).first()
+    assert (r.a, r.b, r.c, r.d) == ("01:02:05", "01:05", "<image>\n<image>\nhi", "c.d")
 
 
 def test_records(spark, tmp_path):
     path = tmp_path / "jobs.jsonl"
     path.write_text('{"video": "/x/a.mp4", "id": "1", "response": {"status_code": 200, "body": {"choices": [{"message": {"content": "cap"}}]}}}\n\nnot json\n{"custom": {"path": "/x/b.mp4"}, "id": "2", "exists": false}\n{"images_source": ["/y/c.mp4", "/y/d.mp4"], "id": "3"}\n{"video": "/x/e.mp4", "response": {"status_code": 500}}\n')
     got = records.jobs(records.read_lines(spark, str(path))).orderBy("id", "n").collect()
-    assert [(r.id, r.video, r.caption, r.key) for r in got] == [("1", "/x/a.mp4", "cap", "x__a"), ("3", "/y/c.mp4", "", "y__c"), ("3", "/y/d.mp4", "", "y__d")]
+    made = lambda path, id_: f"{os.path.basename(path)[:-4]}__{hashlib.sha1(path.encode()).hexdigest()[:8]}__{id_}"
+    assert [(r.id, r.video, r.caption, r.key) for r in got] == [("1", "/x/a.mp4", "cap", made("/x/a.mp4", "1")), ("3__v0", "/y/c.mp4", "", made("/y/c.mp4", "3")), ("3__v1", "/y/d.mp4", "", made("/y/d.mp4", "3"))]
+    lines = records.read_lines(spark, str(path))
+    assert [r.video for r in records.jobs(lines, max_jobs=2).collect()] == ["/x/a.mp4", "/y/c.mp4"]
+    assert [r.video for r in records.jobs(lines, ok_only=False, max_lines=2).collect()] == ["/x/a.mp4"]
+    there = spark.createDataFrame([("/y/d.mp4",)], "video string")
+    assert [(r.id, r.key) for r in records.jobs(lines, existing=there, mirror_root="/y").collect()] == [("3", "d")]
+
+
+def test_keys(spark):
+    rows = [("/a/b/c.d.mp4", None, None), ("/a/b/c.mp4", "own", "x"), ("/a/b/.hid", "", "0123456789"), ("a//./b/../c.tar.gz", None, ""), ("/a/b", None, None), ("/ab/c.mp4", None, None)]
+    df = spark.createDataFrame(rows, "p string, k string, i string")
+    got = df.select(text.key_of(F.col("p"), F.col("k"), F.col("i")).alias("key"), text.mirror_key(F.col("p"), F.lit("/a/b/")).alias("m"), text.mirror_key(F.col("p"), F.lit("a"), False).alias("n")).collect()
+    sha = [hashlib.sha1(p.encode()).hexdigest()[:8] for p, _, _ in rows]
+    assert [r.key for r in got] == [f"c.d__{sha[0]}", "own", f".hid__{sha[2]}__01234567", f"c.tar__{sha[3]}", f"b__{sha[4]}", f"c__{sha[5]}"]
+    assert [r.m for r in got] == ["c.d", "c", ".hid", None, None, None] and [r.n for r in got] == [None, None, None, "c.tar.gz", None, None]
+
+
+def test_sinks(spark, tmp_path):
+    meta = spark.createDataFrame([("c1", "a", 1), ("c1", "b", 2), ("c2", "a", 3)], "config string, video string, n int")
+    for _ in range(2):
+        records.write_meta(meta.filter("config = 'c1'"), str(tmp_path / "meta"))
+    records.write_meta(meta.filter("config = 'c2'"), str(tmp_path / "meta"))
+    assert spark.read.json(str(tmp_path / "meta")).count() == 3
+    pixels_ = np.arange(2 * 3 * 3, dtype=np.uint8).reshape(2, 3, 3)
+    canvas = spark.createDataFrame([(7, 0, 2, 3, pixels_.tobytes())], "video long, n int, h int, w int, rgb binary")
+    records.write_canvases(canvas, str(tmp_path / "canvas"))
+    files = spark.read.parquet(str(tmp_path / "canvas"))
+    assert (image.read_png(bytes(files.first().png)) == pixels_).all()
+    assert records.export_canvases(files.select(F.col("video").cast("string").alias("video"), "name", "png"), str(tmp_path / "loose")) == 1 and (tmp_path / "loose/7/canvas_000.png").exists()
+    with pytest.raises(ValueError):
+        records.write_canvases(canvas, str(tmp_path / "x"), "npy")
+
+
+def test_readers(spark, tmp_path):
+    probe = tmp_path / "probe.jsonl"
+    probe.write_text('{"streams": [{"codec_name": "h264", "width": 640, "height": 360, "avg_frame_rate": "30000/1001"}], "format": {"filename": "/v/a.mp4", "duration": "10.0", "bit_rate": "-5"}}\n')
+    r = records.probe_rows(records.read_lines(spark, str(probe))).first()
+    assert (r.video, r.total_frames, r.codec_name, r.width, r.format_bit_rate) == ("/v/a.mp4", 300, "h264", 640, 0.0)
+    audit = tmp_path / "audit"
+    audit.mkdir()
+    (audit / "a.jsonl").write_text('{"video": "a", "subprocess_ms": 5}\n{"video": "a", "subprocess_ms": 7}\n{"subprocess_ms": "x"}\n')
+    found = records.read_preprocess(spark, str(audit))
+    assert rollup.preprocess_times(found).first().total == 7.0 and rollup.audit_repeats(found).first().duplicate_audit_rows == 1
+    for name, body in (("a", '{"selector_summary": {"group_count": 2, "target_blocks": 8}}'), ("b", "{}"), ("c", "no json")):
+        (tmp_path / "run" / name).mkdir(parents=True)
+        (tmp_path / "run" / name / "meta.json").write_text(body)
+    assert [(r.group_count, r.target_blocks) for r in records.read_selector(spark, str(tmp_path / "run")).collect()] == [(2, 8)]
+    samples = tmp_path / "x_samples.jsonl"
+    samples.write_text('{"doc_id": 1, "videomme_perception_score": {"question_id": "q", "score": 1}}\n{"doc_id": 2, "avg_accuracy": {"video_id": "v", "question": "why", "match_success": true, "dim": "d"}}\n')
+    assert [(r.key, r.score, r.duration, r.question_type) for r in records.read_eval_samples(spark, str(samples), "r").collect()] == [("q", 1.0, "unknown", "unknown"), ("v::why", 1.0, "short", "d")]
+
+
+def box(kind, body):
+    return struct.pack(">I4s", 8 + len(body), kind) + body
+
+
+def test_mp4_keyframes(spark, tmp_path):
+    def movie(handler, numbers):
+        table = box(b"stss", struct.pack(f">II{len(numbers)}I", 0, len(numbers), *numbers))
+        return box(b"trak", box(b"mdia", box(b"hdlr", bytes(8) + handler) + box(b"minf", box(b"stbl", table))))
+
+    data = box(b"ftyp", b"isom") + box(b"moov", movie(b"soun", [1]) + movie(b"vide", [31, 61, 61]))
+    assert mp4.keyframes(data) == [0, 30, 60] and mp4.keyframes(box(b"moov", b"")) is None and mp4.keyframes(b"\0\0\0\2junk") is None
+    (tmp_path / "a.MP4").write_bytes(data)
+    (tmp_path / "b.txt").write_bytes(data)
+    assert [r.frame_id for r in mp4.read_keyframes(spark, str(tmp_path)).orderBy("frame_id").collect()] == [0, 30, 60]
 
 
 def test_config(monkeypatch):
@@ -219,3 +290,176 @@ def test_registry():
         r.get("b")
     with pytest.raises(ValueError):
         r.register(" ", len)
+
+
+def pixel_frames(spark, shifts=(0, 0, 0, 0)):
+    rows = [(7, t, 56, 56, frame(shift=k).tobytes()) for t, k in enumerate(shifts)]
+    return spark.createDataFrame(rows, "video long, t long, h int, w int, bgr binary")
+
+
+def test_diverse_on_pixels(spark):
+    """Four equal frames: every block is a duplicate of the anchor's, so that all picks of the diverse phase are refused."""
+    g, frames = blocks(spark), pixel_frames(spark)
+    for descriptor in ("pooled4", "full"):
+        cand = pixels.diversity(g, frames, 2, 2, 0.5, descriptor)
+        assert {(r.novelty, r.adjacent) for r in cand.select("novelty", "adjacent").collect()} == {(0.0, 0.0)}
+        got = select.diverse_counted(cand, 8, 0.25, True, 0.025).collect()
+        assert Counter(r.origin for r in got) == {"bitcost": 4, "backfill": 4} and {(r.rejected, r.rejected_unique, r.comparisons) for r in got} == {(16, 8, 16)}
+    moving = pixels.measured(g.select("video", "group_idx", "t", "anchor_t").distinct().join(pixel_frames(spark, (0, 9, 9, 30)), ["video", "t"]), 2, 2, "full")
+    got = {(r.t, r.block_idx): (r.adjacent, r.novelty) for r in moving.collect()}
+    f = [frame(shift=k) for k in (0, 9, 9, 30)]
+    for t in range(1, 4):
+        want = image.full_difference(f[t - 1], f[t], 2, 2).ravel()
+        far = np.abs(image.block_descriptors(f[t], 2, 2) - image.block_descriptors(f[0], 2, 2)).mean((-2, -1)).ravel()
+        assert all(abs(got[t, b][0] - want[b]) < 1e-9 and abs(got[t, b][1] - far[b]) < 1e-9 for b in range(4))
+    assert all(got[0, b][0] is None for b in range(4))
+
+
+def test_measures_around_a_middle_anchor(spark):
+    rows = [(7, 0, t, 2, 56, 56, frame(shift=7 * t).tobytes()) for t in range(4)]
+    frames = spark.createDataFrame(rows, "video long, group_idx int, t long, anchor_t long, h int, w int, bgr binary")
+    got = {(r.t, r.block_idx): r for r in pixels.measured(frames, 1, 1).collect()}
+    d = [image.block_descriptors(frame(shift=7 * t), 1, 1) for t in range(4)]
+    for t in range(4):
+        assert abs(got[t, 0].novelty - np.abs(d[t] - d[2]).mean()) < 1e-12
+        assert got[t, 0].adjacent is None if t == 0 else abs(got[t, 0].adjacent - np.abs(d[t] - d[t - 1]).mean()) < 1e-12
+
+
+def test_canvases(spark):
+    g, frames = blocks(spark), pixel_frames(spark, (0, 1, 2, 3))
+    placed = layout.placements(g, select.topk(g, 8), 2, 4, 4)
+    found = pixels.numbered_canvases(pixels.canvases(frames, placed, 4, 4, 14)).orderBy("n").collect()
+    assert [r.n for r in found] == [0, 1, 2]
+    first = np.frombuffer(bytes(found[0].rgb), np.uint8).reshape(56, 56, 3)
+    assert (first == frame()[..., ::-1]).all()
+    second = np.frombuffer(bytes(found[1].rgb), np.uint8).reshape(56, 56, 3)
+    assert (second == frame(shift=1)[..., ::-1]).all()
+    masked = {r.t: np.frombuffer(bytes(r.bgr), np.uint8).reshape(56, -1, 3) for r in pixels.masked_frames(frames, placed, 14, True).collect()}
+    assert (masked[1][:, :56] == frame(shift=1)).all() and (masked[1][:, 56:] == frame(shift=1)).all() and not masked[3][:, 56:].any()
+    n = layout.raster(placed, 4, 4).orderBy("n").collect()
+    assert [r.n for r in n] == list(range(48)) and n[17].patch_w == 1 and n[17].patch_h == 0
+    full = layout.padded(placed.filter("canvas_idx < 1"), 4, 4, 3)
+    assert full.count() == 48 and full.filter("src_frame = -1").count() == 32
+    rows = layout.placements(g, select.topk(g, 8), 2, 4, 4, "wh_raster").filter("canvas_idx = 0").orderBy("patch_h", "patch_w").collect()
+    assert [(r.src_patch_h, r.src_patch_w) for r in rows[:4]] == [(0, 0), (0, 1), (1, 0), (1, 1)]
+
+
+def test_letterbox_masks(spark):
+    boxed = np.zeros((20, 20, 3), np.uint8)
+    boxed[4:16] = 200
+    df = spark.createDataFrame([(1, 0, 20, 20, boxed.tobytes()), (1, 1, 20, 20, None)], "video long, t long, h int, w int, bgr binary")
+    boxes = pixels.letterboxes(df)
+    assert tuple(boxes.filter("t = 0").select("top", "bottom", "left", "right").first()) == (4, 16, 0, 20)
+    grid = spark.createDataFrame([(1, 0, i, j, 1.0) for i in range(5) for j in range(5)], "video long, t long, i int, j int, cost double")
+    assert sorted((r.i, r.cost) for r in pixels.content_mask(grid, boxes).filter("j = 0").collect()) == [(0, 0.0), (1, 1.0), (2, 1.0), (3, 1.0), (4, 0.0)]
+
+
+def test_anchor_rules(spark):
+    assert anchors.evenly([0, 5, 9, 14, 20], 3) == [0, 9, 20] and anchors.evenly([4], 3) == [4] and anchors.evenly([], 2) == [0]
+    assert anchors.even_spaced(3, 30, 4, 25) == [0, 10, 20]
+    assert anchors.dense([0, 2, 10], np.array([True] * 3 + [False] * 5 + [True] * 8), 2, 3) == [0, 10]
+    assert anchors.without_tail([0, 40], 60, 10.0, 8.0) == [0] and anchors.without_tail([0, 10], 60, 10.0, 8.0) == [0, 10]
+    df = spark.createDataFrame([(1, t) for t in (0, 2, 4, 5, 9)], "video long, t long")
+    assert [r.t for r in anchors.spaced(df, 4).orderBy("t").collect()] == [0, 4, 9]
+    rows = [(1, t, t != 3, t in (0, 2, 6, 30, 38), 1.0) for t in range(40)]
+    frames = spark.createDataFrame(rows, "video long, t long, good boolean, anchor boolean, fps double")
+    assert [(r.bucket, r.t) for r in anchors.thinned(frames, 4, 3, 3).orderBy("t").collect()] == [(0, 0), (1, 6), (2, 30)]
+    chosen = spark.createDataFrame([(1, 0, 3, 0), (1, 0, 5, 1), (1, 0, 4, 2)], "video long, bucket int, t long, place int")
+    buckets = spark.createDataFrame([(1, 0, 3), (1, 1, 6)], "video long, bucket int, anchor_t long")
+    assert sorted((r.bucket, r.used_t) for r in anchors.usable_anchor(buckets, chosen, frames).collect()) == [(0, 5), (1, 6)]
+
+
+def test_stratified_spreads(spark):
+    rows = [(1, 0, t, b, 10.0 if t < 2 else 1.0) for t in range(8) for b in range(4)]
+    got = select.stratified(spark.createDataFrame(rows, "video long, bucket int, t long, block_idx long, score double"), 2, 6).orderBy("place").collect()
+    assert len(got) == 12 and len({(r.t, r.block_idx) for r in got}) == 12 and {r.t for r in got if r.image == 0} == {0, 1}
+    assert [r.place for r in select.reordered(spark.createDataFrame([(1, 0, 5, 0, 0, 1.0), (1, 0, 2, 1, 0, 9.0)], "video long, bucket int, t long, bh int, bw int, score double"), "time").orderBy("t").collect()] == [0, 1]
+
+
+def test_more_samplers(spark):
+    assert sampling.allocate_ids([(0, 9, 90), (20, 29, 1), (40, 49, 1)], 6) == [0, 3, 6, 9, 20, 40] and sampling.allocate_ids([(0, 10, 0)], 3) == [0, 5, 10]
+    assert sampling.allocate_ids([(0, 1, 5), (0, 1, 5)], 6) == [0, 1, 1, 1, 1, 1]
+    s = spark.createDataFrame([(1, i) for i in range(10)], "video long, frame_id long")
+    peaks = spark.createDataFrame([(1, 4), (1, 5)], "video long, frame_id long")
+    assert [r.frame_id for r in sampling.cap_candidates(s, peaks, 5).orderBy("t").collect()] == [0, 3, 4, 5, 9]
+    assert [r.frame_id for r in sampling.cap_candidates(s, peaks, 1).collect()] == [4] and sampling.cap_candidates(s, peaks, 20).count() == 10
+    v = spark.createDataFrame([(1, 100, 10.0), (2, 0, 0.0)], "video long, total_frames int, fps double")
+    p = spark.createDataFrame([(1, 0.0, 1.0, "K__"), (1, 3.26, 1.0, "K__"), (1, 99.0, 1.0, "K"), (1, None, 1.0, "K"), (2, 1.0, 1.0, "_")], "video long, pts_time double, size double, flags string")
+    assert sorted((r.video, r.frame_id) for r in sampling.keyframe_ids(p, v).collect()) == [(1, 0), (1, 33), (1, 99)]
+    got = selection.sample(v.filter("video = 1"), p.filter("video = 2"), "PKT_SIZE_PEAK", rate=0.5).orderBy("t").collect()
+    assert [r.frame_id for r in got] == [0, 20, 40, 60, 80] and selection.sample(v.filter("video = 1"), None, "pkt_peak", rate=0.5).count() == 5
+    with pytest.raises(ValueError):
+        selection.sample(v, None, "uniform_count")
+    assert v.select(sampling.sampled_count(F.col("total_frames"), 16, 4, 32).alias("n")).collect()[0].n == 100
+    size = spark.createDataFrame([(1, 900, 30.0, 720, 1280), (2, 90, 30.0, 360, 640)], "video long, total_frames int, fps double, height int, width int")
+    assert [tuple(r)[1:] for r in sampling.adaptive_parameters(size).orderBy("video").collect()] == [(4, 28, 224, 304, 6, 2), (1, 8, 64, 90, 5, 2)]
+    w = sampling.pick_windows(v, spark.createDataFrame([(1, 5.0, 10.0, "_"), (1, 5.05, 3.7, "_")], p.schema), 20, 5, 2)
+    assert sorted((r.video, r["rank"], r.start, r.end, r.score) for r in w.collect()) == [(1, 1, 40, 59, 13), (1, 2, 0, 19, 0), (2, 1, 0, 0, 0)]
+
+
+def test_huge_times(spark):
+    p = spark.createDataFrame([(1, 1.0, 2.0, "_"), (1, 1e300, 2.0, "_")], "video long, pts_time double, size double, flags string")
+    assert energy.energy_bins(p, 1.0, 0).count() == 2
+
+
+def test_decoded_and_selected(spark):
+    v = spark.createDataFrame([(1, 10)], "video long, total_frames int")
+    want = spark.createDataFrame([(1, 0, 5), (1, 1, 7), (1, 2, 99), (1, 3, -4)], "video long, t int, frame_id long")
+    have = spark.createDataFrame([(1, 7, "x"), (1, 3, "y"), (1, 0, "z")], "video long, frame_id long, px string")
+    assert [(r.frame_id, r.px, r.was_missing) for r in joins.decoded(want, have, v, "px").orderBy("t").collect()] == [(5, "y", True), (7, "x", False), (9, "x", True), (0, "z", False)]
+    twice = spark.createDataFrame([(1, 7), (1, 7), (1, -1), (1, 4)], "video long, frame_id long")
+    assert [(r.frame_id, r.copy) for r in joins.selected(have, twice).orderBy("copy").collect()] == [(7, 1), (7, 2)] and joins.selected(have, twice, 0, 6).count() == 0
+
+
+def test_grid_choice(spark):
+    rows = [(1, 0, "h264", ([[1, 2]], None, None)), (2, 0, "HEVC", ([[1, 2]], [[9]], None)), (3, 0, "vp9", (None, None, [[0.5]]))]
+    df = spark.createDataFrame(rows, "video long, t int, codec_name string, bitcost struct<mb_bit_cost:array<array<int>>,ctu_bit_cost:array<array<int>>,sub_mb_bit_cost:array<array<float>>>")
+    assert sorted((r.video, r.i, r.j, r.cost) for r in scores.grid_cells(df).collect()) == [(1, 0, 0, 1.0), (1, 0, 1, 2.0), (2, 0, 0, 9.0), (3, 0, 0, 0.5)]
+
+
+def test_motion_fusion(spark):
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 256, 40).astype(float)
+    v = rng.normal(size=(40, 4)) * 8
+    df = spark.createDataFrame([(1, 0, i // 8, i % 8, float(x[i]), *map(float, v[i])) for i in range(40)], "video long, t int, i int, j int, residual double, vx0 double, vy0 double, vx1 double, vy1 double")
+    u = v / 4 - np.median(v / 4, axis=0)
+    m = np.hypot(u[:, 0], u[:, 1]) + np.hypot(u[:, 2], u[:, 3])
+    r = np.abs(x - 128)
+    want = 0.5 * np.minimum(1, m / np.percentile(m, 95)) + 0.5 * np.minimum(1, r / max(1, np.percentile(r, 95)))
+    got = [c.cost for c in scores.fuse_motion(df, 0.5, "sum", True).orderBy("i", "j").collect()]
+    assert np.allclose(got, want)
+
+
+def test_vision_text(spark):
+    runs = spark.createDataFrame([(1, 0, 1, 0, "<0.0 seconds>", 2), (1, 0, 2, 3, "<0.1 seconds>", 1)], "video long, group_idx int, run long, src_frame int, label string, tokens long")
+    said = spark.createDataFrame([(1, "hi <|vision_start|>a<|vision_end|>\nx<|vision_start|>b<|vision_end|>\nbye"), (1, "plain")], "id long, text string")
+    got = {r.text for r in layout.vision_text(said, runs).collect()}
+    assert got == {"hi <0.0 seconds><|vision_start|><|image_pad|><|image_pad|><|vision_end|>\n<0.1 seconds><|vision_start|><|image_pad|><|vision_end|>\nbye", "plain"}
+
+
+def test_plans(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    grid = spark.createDataFrame([(v, t, i, j, float(rng.random())) for v in (1, 2) for t in range(24) for i in range(8) for j in range(8)], "video long, t long, i int, j int, cost double").cache()
+    for grouping in ("fixed", "readiness", "adaptive_gop"):
+        c = selection.Config(grouping=grouping, anchor="adaptive", group_size=12, min_frames=6, max_frames=12)
+        good = spark.createDataFrame([(1, 0, False), (1, 1, False)], "video long, t long, good boolean")
+        chosen, placed = selection.select_patches(grid, c, good=good)
+        assert chosen.filter("video = 1 and t < 2").count() == 0 and placed.count() > 0 and chosen.groupBy("video", "group_idx").count().filter("count > 48").count() == 0
+    c = selection.Config(selector="diverse_mixed", group_size=12)
+    groups_ = selection.diagnostics(grid, c)
+    r = rollup.full_summary(groups_).orderBy("video").collect()
+    assert [x.group_count for x in r] == [2, 2] and all(x.bitcost_selected + x.diversity_selected + x.backfill_selected == x.target_blocks == 96 for x in r)
+    assert rollup.full_run_summary(rollup.full_summary(groups_)).first().target_blocks == 192
+    with pytest.raises(ValueError):
+        selection.select_patches(grid, selection.Config(selector="diverse_mixed", dedup_descriptor="full"))
+    out = str(tmp_path / "out")
+    first = cache.run_missing(grid.filter("video = 1"), out, selection.Config(group_size=12)).count()
+    stamp = sorted(p.name for p in (tmp_path / "out").rglob("*.parquet"))
+    assert cache.run_missing(grid, out, selection.Config(group_size=12)).count() == 2 * first
+    assert set(stamp) < {p.name for p in (tmp_path / "out").rglob("*.parquet")}
+
+
+def test_doctor(capsys):
+    from patchweave.__main__ import main
+
+    assert main(["doctor"]) == 0 and "pyspark: OK" in capsys.readouterr().out
