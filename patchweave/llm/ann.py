@@ -15,7 +15,8 @@ Equal vectors are one entry of the index that lists its 21 smallest ids, so that
 a vector that repeats without bound takes one place among the candidates and ties
 still go to smaller ids.  Vectors that are null, zero, of another length than the
 commonest, or hold null or non-finite components take no part; rows without id
-neither.  Rows that repeat an id count once.  Empty table: no rows.
+neither.  Rows that repeat an id count once, with the least of their vectors.
+Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -177,7 +178,7 @@ def valid_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.filter(~bad & F.exists("v", lambda x: x != 0))
     length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    return rows.filter(F.size("v") == (length[0].n if length else 0)).dropDuplicates(["id"])
+    return rows.filter(F.size("v") == (length[0].n if length else 0)).groupBy("id").agg(F.min("v").alias("v"))
 
 
 def search(vectors: DataFrame, every: int = EVERY, k: int = K, keep: int = KEEP, sample: int = SAMPLE, **columns) -> DataFrame:
