@@ -3,8 +3,8 @@
 Pass one gathers the distinct pre-tokens of the corpus with their frequencies;
 each is tokenised once.  Pass two joins the counts to the frequencies of
 pre-tokens in every document and sums; ids are never materialised.  The join has
-two arms: the ``hot`` most frequent pre-tokens (a fixed bound) are broadcast and
-met while a document is read, so that words that stand in every document never
+two arms: the ``hot`` most frequent pre-tokens of up to ``HOT_LENGTH`` characters
+(a fixed bound) are broadcast and met while a document is read, so that words that stand in every document never
 travel; occurrences of all others are shuffled to the vocabulary and summed.
 
 A pre-token is here a stretch without an inner blank, with its leading space,
@@ -29,8 +29,10 @@ from .tokens import PreTokens, tokenizer_path
 VOCABULARY = "byte_bpe_50k.json"
 HOT = 200_000
 LIMIT = 1024
-#: Distinct pre-tokens that a task holds before it passes them on.
-HOLD = 200_000
+#: Characters of a pre-token that may be broadcast: with ``HOT`` the bound of the broadcast.
+HOT_LENGTH = 48
+#: Distinct pre-tokens, and characters of text they may come from, that a task holds before it passes them on.
+HOLD, HOLD_CHARACTERS = 200_000, 32 << 20
 
 
 def _frequencies(path: str):
@@ -41,6 +43,7 @@ def _frequencies(path: str):
 
         def run(batches):
             seen: Counter = Counter()
+            read = 0
 
             def out():
                 keys = list(seen)
@@ -50,10 +53,13 @@ def _frequencies(path: str):
 
             for batch in batches:
                 for text in batch.column(0):
-                    seen.update(pre(text.as_py() or "")[0])
-                    if len(seen) > HOLD:
+                    text = text.as_py() or ""
+                    seen.update(pre(text)[0])
+                    read += len(text)
+                    if len(seen) > HOLD or read > HOLD_CHARACTERS:
                         yield from out()
                         seen.clear()
+                        read = 0
             yield from out()
 
         return run
@@ -129,7 +135,8 @@ def token_counts(docs: DataFrame, path: str | None = None, hot: int = HOT) -> Da
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     seen = map_arrow(text.select("text"), _frequencies(path), "piece string, freq long").groupBy("piece").agg(F.sum("freq").alias("freq"))
     vocabulary = stage(map_arrow(seen, _piece_counts(path), "piece string, freq long, n long"), "pieces")
-    top = vocabulary.filter(F.col("freq") >= hot_from(vocabulary, hot)).select("piece", F.col("n").cast("int")).toArrow()
+    short = vocabulary.filter(F.length("piece") <= HOT_LENGTH)
+    top = short.filter(F.col("freq") >= hot_from(short, hot)).select("piece", F.col("n").cast("int")).toArrow()
     buffer = BytesIO()
     with pa.ipc.new_stream(buffer, top.schema) as out:
         out.write_table(top)
