@@ -7,7 +7,8 @@ out-of-place distance: the sum over its n-grams of how far their ranks differ,
 the length of a profile for an n-gram the language does not list.
 
 Profiles are learned from text and lang of rows whose crc32(doc_id) mod 4 is not
-2, ``per_language`` documents a language (those whose hash of the id lies below the share that gives that many).  Every
+2, ``per_language`` documents of each of the ``languages`` most frequent (those whose
+hash of the id lies below the share that gives that many).  Every
 whole text is predicted.  Null text or no letter: ``und`` with score 0; so are
 all texts if nothing could be learned.  Ties: the language first by code point.
 Repeated rows: one result each; empty table: no rows.
@@ -24,6 +25,8 @@ from .common import crc_fold, held_out, map_arrow, table
 
 PROFILE = 300
 PER_LANGUAGE = 3_000
+#: Languages that are learned: the most frequent ones.
+LANGUAGES = 1_000
 
 
 class Grams:
@@ -87,10 +90,11 @@ def _predict(profiles: dict[str, list[int]], size: int):
         import pyarrow as pa
 
         grams, langs = Grams(), sorted(profiles)
-        union = np.array(sorted({g for p in profiles.values() for g in p}), np.int64)
-        ranks = np.full((len(union), len(langs)), size, np.int64)
-        for j, lang in enumerate(langs):
-            ranks[np.searchsorted(union, profiles[lang]), j] = np.arange(len(profiles[lang]))
+        # for every n-gram the languages that list it and its rank there: as much as the profiles themselves
+        listed = np.array([(g, r, j) for j, lang in enumerate(langs) for r, g in enumerate(profiles[lang])], np.int64).reshape(-1, 3)
+        listed = listed[np.argsort(listed[:, 0], kind="stable")]
+        union, start = np.unique(listed[:, 0], return_index=True)
+        end = np.append(start[1:], len(listed))
 
         def one(text):
             if not text or not len(union):
@@ -99,11 +103,11 @@ def _predict(profiles: dict[str, list[int]], size: int):
             if not len(mine):
                 return "und", 0.0
             at = np.searchsorted(union, mine).clip(max=len(union) - 1)
-            found = union[at] == mine
-            there = ranks[at]
-            apart = np.abs(there - np.arange(len(mine))[:, None])
-            apart[~found[:, None] | (there == size)] = size
-            total = apart.sum(0)
+            found = np.flatnonzero(union[at] == mine)
+            lo, n = start[at[found]], end[at[found]] - start[at[found]]
+            rows = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(found) else np.zeros(0, np.int64)
+            apart = np.abs(listed[rows, 1] - np.repeat(found, n))
+            total = size * len(mine) - np.bincount(listed[rows, 2], size - apart, len(langs))
             best = int(total.argmin())
             return langs[best], 1 - total[best] / (size * len(mine))
 
@@ -120,12 +124,12 @@ def _predict(profiles: dict[str, list[int]], size: int):
     return make
 
 
-def train(docs: DataFrame, size: int = PROFILE, per_language: int = PER_LANGUAGE) -> dict[str, list[int]]:
-    """Profiles of the languages of the learning folds."""
+def train(docs: DataFrame, size: int = PROFILE, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> dict[str, list[int]]:
+    """Profiles of the (at most ``languages``) languages of the learning folds."""
     learn = F.coalesce(crc_fold() != 2, F.lit(False)) & F.col("lang").isNotNull() & F.col("text").isNotNull()
     known = docs.filter(learn).select("doc_id", "text", "lang")
-    # one row a language: as many as there are profiles on the driver
-    share = known.groupBy("lang").agg((per_language / F.count("*")).alias("share"))
+    # one row a language, as many as there are profiles
+    share = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang", (per_language / F.col("n")).alias("share"))
     part = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) / (1 << 20)
     rows = known.join(F.broadcast(share), "lang").filter(part < F.col("share")).select("text", "lang")
     counts = map_arrow(rows, lambda: _count(), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
