@@ -106,38 +106,50 @@ def _scores(weights: np.ndarray, bias: float):
     return make
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def risks(w: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[float, float]:
+    """Both parts of the unbiased risk for weights and bias ``w`` under the sigmoid loss: what positives and what negatives cost."""
+    sp, su = _sigmoid(xp @ w[:-1] + w[-1]), _sigmoid(xu @ w[:-1] + w[-1])
+    return prior * (1 - sp).mean(), su.mean() - prior * sp.mean()
+
+
+def _mean(x: np.ndarray, g: np.ndarray) -> np.ndarray:
+    return np.concatenate([x.T @ g, [g.sum()]]) / len(g)
+
+
+def descent(w: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float) -> np.ndarray:
+    """The gradient that non-negative learning follows: that of both parts, the second reversed while it is below zero."""
+    sp, su = _sigmoid(xp @ w[:-1] + w[-1]), _sigmoid(xu @ w[:-1] + w[-1])
+    slope = prior * _mean(xp, sp * (1 - sp))
+    negative = _mean(xu, su * (1 - su)) - slope
+    return -slope + (negative if su.mean() >= prior * sp.mean() else -negative)
+
+
 def fit(xp: np.ndarray, xu: np.ndarray, prior: float, warm: int = 120, rounds: int = 150, rate: float = 0.03, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights and bias on unscaled features.
 
     Full-batch Adam: a logistic start that tells positives from the unlabelled, its bias set where the prior's
-    share of the unlabelled lies above, then descent on the non-negative risk with the (bounded) sigmoid loss;
-    while the negative part is below zero, its gradient is reversed.
+    share of the unlabelled lies above, then descent on the non-negative risk with the (bounded) sigmoid loss.
     """
     mean, scale = xu.mean(0), xu.std(0) + 0.02 * np.sqrt(np.maximum(xu.mean(0), 1e-6)) + 1e-4
-    xp, xu = ((xp - mean) / scale).clip(-8, 8), ((xu - mean) / scale).clip(-8, 8)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    gain = lambda x, g: np.concatenate([x.T @ g, [g.sum()]]) / len(g)
-    xp, xu = xp.astype(np.float32), xu.astype(np.float32)
+    xp, xu = (((x - mean) / scale).clip(-8, 8).astype(np.float32) for x in (xp, xu))
     w = np.zeros(xp.shape[1] + 1, np.float32)
 
-    def descend(gradient, steps):
-        nonlocal w
+    def follow(gradient, w, steps):
         m = v = 0.0
         for step in range(1, steps + 1):
-            grad = gradient(xp @ w[:-1] + w[-1], xu @ w[:-1] + w[-1])
+            grad = gradient(w)
             grad[:-1] += np.float32(ridge) * w[:-1]
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
             w = (w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+        return w
 
-    def risk(zp, zu):
-        sp, su = sig(zp), sig(zu)
-        positive = -prior * gain(xp, sp * (1 - sp))
-        negative = gain(xu, su * (1 - su)) - prior * gain(xp, sp * (1 - sp))
-        return positive + negative if su.mean() >= prior * sp.mean() else positive - negative
-
-    descend(lambda zp, zu: gain(xp, sig(zp) - 1) + gain(xu, sig(zu)), warm)
+    w = follow(lambda w: _mean(xp, _sigmoid(xp @ w[:-1] + w[-1]) - 1) + _mean(xu, _sigmoid(xu @ w[:-1] + w[-1])), w, warm)
     w[-1] -= np.quantile(xu @ w[:-1] + w[-1], 1 - prior)
-    descend(risk, rounds)
+    w = follow(lambda w: descent(w, xp, xu, prior), w, rounds)
     weights = (w[:-1] / scale).astype(np.float64)
     return weights, float(w[-1] - mean @ weights)
 
