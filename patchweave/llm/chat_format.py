@@ -324,7 +324,7 @@ def _edges(nodes: DataFrame) -> DataFrame:
         if not below.limit(1).count():
             break
         levels.append(below)
-        nodes = stage(by_key(below, ["key", "p"], ["g"], _product, "key string, g long, m array<double>"), "chat-products")
+        nodes = stage(by_key(below, ["key", "p"], ["g"], _product, "key string, g long, m array<double>"), "chat-products", narrow=True)
     edges = tops.pop()
     while levels:
         above = edges.withColumnRenamed("g", "p")
@@ -341,7 +341,7 @@ def parse(rows: DataFrame, model: Model, chunk: int = CHUNK) -> DataFrame:
     first = lines.groupBy("key").agg(F.min("g").alias("g")).withColumn("opens", F.lit(True))
     lines = lines.join(first.hint("merge"), ["key", "g"], "left").select("key", "g", "pos", "turn", "text", F.coalesce("opens", F.lit(False)).alias("opens"))
     nodes = by_key(lines.select("key", "g", "pos", "text", "opens"), ["key", "g"], ["pos"], _chunk_matrix(model), "key string, g long, m array<double>")
-    edges = _edges(stage(nodes, "chat-chunks"))
+    edges = _edges(stage(nodes, "chat-chunks", narrow=True))
     joined = lines.join(edges.hint("merge"), ["key", "g"]).select("key", "g", "pos", "turn", "text", "opens", "first", "last")
     pieces = stage(by_key(joined, ["key", "g"], ["pos"], _decode(model), "key string, g long, at int, turn long, role string, text string, goes_on boolean"), "chat-pieces")
     # a piece that goes on belongs to the last turn that began in a chunk before it: one row a chunk is looked through

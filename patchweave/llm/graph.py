@@ -23,7 +23,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     A node with very many neighbours is the common case (the centre of a star): sums by node are pre-aggregated, and
     joins by node can be split (``apart``).
     """
-    now = stage(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct(), "edges")
+    now = stage(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct(), "edges", narrow=True)
     print_ = lambda df: tuple(df.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
     mark = print_(now)
     while mark[0]:
@@ -32,7 +32,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = apart(both, "u").join(apart(least, "u").hint("merge"), "u").filter("v > ~u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         star = apart(large, "a").join(apart(small, "a").hint("merge"), "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
-        was, now = now, stage(star.distinct(), "edges")
+        was, now = now, stage(star.distinct(), "edges", narrow=True)
         release({path_of(was)})
         before, mark = mark, print_(now)
         if mark == before:

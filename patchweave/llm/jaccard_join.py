@@ -267,7 +267,7 @@ def _join_large(members: DataFrame, text: DataFrame) -> DataFrame:
     met = dealt.select("region", "block", "id", "s").groupBy("region", "block").cogroup(pivots.groupBy("region", "block"))
     placed = stage(met.applyInPandas(_meet_pivots, "region long, id long, d array<double>, near array<long>"), "join-pivots")
     links = placed.select("id", F.explode("near").alias("b")).select(F.col("id").alias("a"), "b")
-    label = stage(components(links), "join-labels")
+    label = stage(components(links), "join-labels", narrow=True)
     home = F.array_position("d", F.array_min("d"))
     cells = placed.join(label.withColumnRenamed("component", "l"), "id", "left").select("region", "id", "d", F.coalesce("l", F.lit(-1)).alias("l"), F.coalesce("l", "id").alias("label"), home.alias("home"), F.floor(F.array_min("d") * 8).alias("ring"))
     by = ["region", "l", "home", "ring"]
@@ -276,11 +276,11 @@ def _join_large(members: DataFrame, text: DataFrame) -> DataFrame:
     cells = stage(cells.withColumn("cell", F.xxhash64(*by, F.pmod(F.xxhash64("id", F.lit(3)), "parts"))), "join-cells")
     windows = [F.struct(F.min(F.col("d")[k]).alias("lo"), F.max(F.col("d")[k]).alias("hi")) for k in range(PIVOTS)]
     blocks = cells.groupBy("region", "cell", "l").agg(F.array(*windows).alias("w"))
-    blocks = stage(blocks, "join-windows")
+    blocks = stage(blocks, "join-windows", narrow=True)
     x, y = blocks.alias("x"), blocks.alias("y")
     excluded = F.exists(F.zip_with("x.w", "y.w", lambda p, q: F.coalesce((p["lo"] - q["hi"] > RADIUS + 1e-9) | (q["lo"] - p["hi"] > RADIUS + 1e-9), F.lit(False))), lambda b: b)
     pairs = x.join(y, F.col("x.region") == F.col("y.region")).filter((F.col("x.cell") <= F.col("y.cell")) & ((F.col("x.l") < 0) | (F.col("x.l") != F.col("y.l"))) & ~excluded)
-    pairs = stage(pairs.select(F.col("x.cell").alias("c0"), F.col("y.cell").alias("c1")), "join-pairs")
+    pairs = stage(pairs.select(F.col("x.cell").alias("c0"), F.col("y.cell").alias("c1")), "join-pairs", narrow=True)
     sides = pairs.select("c0", "c1", F.col("c0").alias("cell"), F.lit(0).alias("side")).union(pairs.filter("c0 <> c1").select("c0", "c1", F.col("c1").alias("cell"), F.lit(1).alias("side")))
     dealt = sides.join(cells.select("cell", "id", "label"), "cell").join(sets.select("id", "s"), "id")
     more = dealt.groupBy("c0", "c1").applyInPandas(_meet_blocks, "a long, b long")
@@ -312,13 +312,13 @@ def _classes(rows: DataFrame) -> DataFrame:
     large = (F.col("docs") > REGION_DOCS) | (F.col("shingles") > REGION_SHINGLES)
     blocks = F.greatest(F.ceil(F.col("docs") / BLOCK), F.ceil(F.col("shingles") / (REGION_SHINGLES // 4))).cast("long")
     weight = sized.groupBy("region").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")).select("region", large.alias("large"), blocks.alias("blocks"))
-    members = stage(apart(apart(sized, "region").join(apart(weight, "region").hint("merge"), "region"), "region"), "join-members")
+    members = stage(apart(apart(sized, "region").join(apart(weight, "region").hint("merge"), "region"), "region"), "join-members", narrow=True)
     # shuffled at every size: members grow with the corpus
     found = lambda some: some.join(rows.select(F.col("row").alias("id"), "text").hint("merge"), "id")
     result = found(members.filter("not large").select("id", "region")).select("region", "id", "text").groupBy("region").applyInPandas(_join_region, "id long, component long")
     if members.filter("large").limit(1).count():
         result = result.union(components(_join_large(members.filter("large"), found(members.filter("large").select("id", "region")))))
-    result = stage(result, "join-components")
+    result = stage(result, "join-components", narrow=True)
     mine = result.join(members.select("id", "least").hint("merge"), "id")
     named = mine.groupBy("component").agg(F.min("least").alias("first"))
     ended = apart(apart(mine, "component").join(apart(named, "component").hint("merge"), "component"), "component").select(F.col("id").alias("node"), "component", "first")
@@ -339,9 +339,9 @@ def _unite(found: DataFrame) -> DataFrame:
     home = labels.groupBy("doc_id").agg(F.min("label").alias("home"))
     pairs = apart(labels, "doc_id").join(apart(home, "doc_id").hint("merge"), "doc_id").filter("label <> home").select(F.col("label").alias("a"), F.col("home").alias("b"))
     whole = components(pairs).select(F.col("id").alias("home"), "component")
-    placed = stage(home.join(whole.hint("merge"), "home", "left").select("doc_id", F.coalesce("component", "home").alias("whole")), "join-placed")
+    placed = stage(home.join(whole.hint("merge"), "home", "left").select("doc_id", F.coalesce("component", "home").alias("whole")), "join-placed", narrow=True)
     named = placed.filter(F.col("whole").isNotNull()).groupBy("whole").agg(F.min("doc_id").alias("component_id"))
-    out = stage(apart(placed, "whole").join(apart(named, "whole").hint("merge"), "whole", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id")), "join-ids")
+    out = stage(apart(placed, "whole").join(apart(named, "whole").hint("merge"), "whole", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id")), "join-ids", narrow=True)
     release(staged() - began - {path_of(out)})
     return out
 
@@ -370,7 +370,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     found = _classes(rows.select("row", F.col("_doc.doc_id").cast("long").alias("doc_id"), F.col("_doc.text").alias("text")))
     of = found.filter(F.col("doc_id").isNotNull()).groupBy(F.col("label").isNull(), F.coalesce("label", "doc_id"))
     first = of.agg(F.min(F.struct("doc_id", "n", "h1", "h2", "row")).alias("first")).select("first.row")
-    keep = stage(first.union(found.filter(F.col("doc_id").isNull()).select("row")), "join-keep")
+    keep = stage(first.union(found.filter(F.col("doc_id").isNull()).select("row")), "join-keep", narrow=True)
     release(staged() - began - {path_of(rows), path_of(keep)})
     # a shuffled join at every size: what stays grows with the corpus
     return rows.join(keep.hint("shuffle_hash"), "row", "left_semi").select("_doc.*")

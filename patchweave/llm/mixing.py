@@ -125,7 +125,7 @@ def _placed(sources: DataFrame) -> DataFrame:
     """Sources with their place in code point order (null last), counted by ranges: no task sees them all."""
     order = F.col("source").asc_nulls_last()
     ranged = sources.repartitionByRange(order).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id())
-    ranged = stage(ranged.withColumn("part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1)), "mix-sources")
+    ranged = stage(ranged.withColumn("part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1)), "mix-sources", narrow=True)
     counts = ranged.groupBy("part").agg(F.count("*").alias("_n"))
     before = counts.select("part", (F.sum("_n").over(W.orderBy("part")) - F.col("_n")).alias("_before"))
     # a row of 16 bytes a partition of the shuffle
@@ -152,7 +152,7 @@ def _plan(sized: DataFrame, weights: tuple = WEIGHTS, max_repeat: int = MAX_REPE
     """One row per unit: doc_id, source, size, source_size, target, m rows of which all are taken ``full`` times and ``extra`` once more."""
     spark = session(sized)
     ship(spark)
-    units = stage(sized.groupBy("source", "doc_id", "size").agg(F.count("*").alias("m")), "mix-units")
+    units = stage(sized.groupBy("source", "doc_id", "size").agg(F.count("*").alias("m")), "mix-units", narrow=True)
     sources = _placed(units.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count("*").alias("n")))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("s") % len(weights) + 1).cast("int"))
     sources = sources.withColumn("weight", weight)
@@ -175,7 +175,7 @@ def _plan(sized: DataFrame, weights: tuple = WEIGHTS, max_repeat: int = MAX_REPE
     while not last:
         last = nb <= 1
         keyed = pending.withColumn("b", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed + round_)), part)).select(*names, "b")
-        flown = stage(keyed.groupBy("s", "b").applyInArrow(_fly_groups(last, seed + round_), columns + ", b long").drop("b"), f"mix-flight{round_}")
+        flown = stage(keyed.groupBy("s", "b").applyInArrow(_fly_groups(last, seed + round_), columns + ", b long").drop("b"), f"mix-flight{round_}", narrow=True)
         whole = (F.col("p") == 0) | (F.col("p") == 1)
         done.append(flown.filter(whole) if not last else flown)
         pending = flown.filter(~whole)
@@ -209,19 +209,19 @@ def take(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     rows = stage(docs.select(F.struct(*docs.columns).alias("_doc"), *_sized(id_col)).withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
     unit = ["doc_id", "source", "size"]
     plan = _plan(rows.select(*unit), **options).select(*[F.col(c).alias(f"_{c}") for c in unit], F.monotonically_increasing_id().alias("u"), "m", "full", "extra")
-    plan = stage(plan, "mix-copies")
+    plan = stage(plan, "mix-copies", narrow=True)
     same = F.lit(True)
     for c in unit:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
     # shuffled joins at every size: the plan has a row for every unit, its copies one for every row
-    placed = stage(rows.select("_row", *unit).join(plan.hint("merge"), same).select("_row", "u", "m", "full", "extra"), "mix-placed")
+    placed = stage(rows.select("_row", *unit).join(plan.hint("merge"), same).select("_row", "u", "m", "full", "extra"), "mix-placed", narrow=True)
     # rows of a unit are numbered by the partition they were written in, then in it: a unit that repeats without bound is dealt over tasks
     many = placed.filter("m > 1").withColumn("_part", F.shiftright("_row", 33))
     parts = many.groupBy("u", "_part").agg(F.count("*").alias("_n"))
     parts = parts.select("u", "_part", (F.sum("_n").over(W.partitionBy("u").orderBy("_part")) - F.col("_n")).alias("_before"))
     local = many.withColumn("_k", F.row_number().over(W.partitionBy("u", "_part").orderBy("_row")) - 1).join(parts, ["u", "_part"]).withColumn("_k", F.col("_k") + F.col("_before"))
     copies = placed.filter("m = 1").select("_row", _copies(F.lit(0)).alias("_copies")).union(local.select("_row", _copies(F.col("_k")).alias("_copies")))
-    copies = stage(copies.filter("_copies > 0").withColumnRenamed("_row", "_of"), "mix-takes")
+    copies = stage(copies.filter("_copies > 0").withColumnRenamed("_row", "_of"), "mix-takes", narrow=True)
     release(staged() - began - {path_of(rows), path_of(copies)})
     joined = rows.select("_doc", "_row").join(copies.hint("shuffle_hash"), F.col("_row") == F.col("_of"))
     return joined.withColumn("_r", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select("_doc.*")
