@@ -3,7 +3,6 @@
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from patchweave.llm import ann, chat_format, jaccard_join, language_id, mixing, packing, quality_classifier, quality_rules, secret_scans, token_counts
 
@@ -88,10 +87,14 @@ def test_vectors(spark):
 
 
 def test_conversations(spark):
-    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", None), (1, 1, "assistant", None), (1, None, None, "lost"), (None, 0, "user", ""), (2, 0, "odd", "line\n\nother"), (2, 0, "user", "tie")]
-    t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", None), (1, 1, "assistant", None), (1, None, None, "lost"), (None, 0, "user", ""), (2, 0, "odd", "line\n\nother"), (2, 0, "user", "tie"), (3, 0, "user", "User: " + LONG), (3, 1, "assistant", "Assistant: " + "x" * 50_000)]
+    rows = [(*r, 5, "k", True, 1, 2) for r in rows]
+    t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, g long, key string, opens boolean, pos long, at int")
     model = chat_format.train(t)
-    assert chat_format.parse(t, model).count() >= 3
+    got = chat_format.parse(t, model).collect()
+    assert {r.conv_id for r in got} == {1, 2, 3, None} and all(r.rendered == chat_format.render(r.role, r.text) for r in got)
+    assert "\n".join(r.text for r in sorted((r for r in got if r.conv_id == 3), key=lambda r: (r.chunk, r["at"]))) == f"{LONG}\n{'x' * 50_000}"
+    lines = [x for r in got if r.conv_id in (1, 2) for x in r.text.split("\n")]
+    assert sorted(lines) == sorted(["hi", "", "lost", "line", "", "other", "tie"])
     assert chat_format.parse(t.filter("false"), chat_format.train(t.filter("false"))).count() == 0
     assert chat_format.transcripts(t).count() == len(rows)
-    assert F is not None

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from patchweave.llm import jaccard_join, mixing, quality_rules, secret_scans
 
@@ -23,6 +24,30 @@ def test_mix_deals_repeated_rows(spark, key):
     assert sum(r.copies for r in mine if r.doc_id == key) in (50, 51)
 
 
+@pytest.mark.parametrize("stretch", [3, 10_000])
+def test_mix_keeps_ids_and_counts_of_a_hot_unit(spark, monkeypatch, stretch):
+    """1,001 equal rows near their target, and ids above 2**53 beside a null."""
+    monkeypatch.setattr(mixing, "STRETCH", stretch)
+    big = [9007199254740993, 9007199254740995, -9007199254740993]
+    rows = [(7, "w " * 10, "a")] * 1001 + [(i, "x y", "b") for i in (None, *big, *range(2000, 4000))] + [(None, "solo", None)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS)).collect()
+    mine = [r for r in got if r.source == "a"]
+    assert len(mine) == 1001 and abs(sum(r.taken for r in mine) - mine[0].target) <= 10
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+
+
+def test_mix_of_many_sources(spark):
+    """Targets as a plain loop makes them, whatever the number of sources."""
+    rows = [(i, "w " * (1 + i * i % 40), f"s{i % 97:02}") for i in range(1500)] + [(5000, "w " * 3000, "s50"), (5001, "w", None)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS)).collect()
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += len(t.split())
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    want = dict(zip(names, mixing.targets([size[s] for s in names], [1 + i % 3 for i in range(len(names))])))
+    assert all(abs(r.target - want[r.source]) < 1e-6 for r in got)
+
+
 def test_take_follows_the_mix(spark):
     """Rows that share an id keep their own copies."""
     rows = [(i % 40, f"t{i} " * (1 + i % 7), "ab"[i % 2]) for i in range(300)] + [(None, f"n{i} " * (3 + i % 2), "a") for i in range(60)] + [(5, "same text", "b")] * 21 + [(None, None, None), (6, "", "a")]
@@ -77,3 +102,23 @@ def test_more_cells_than_the_bound(spark, monkeypatch):
         assert len(cells) <= most and sum(c["count"] for c in cells) == 400
         assert all(0 <= c[s] <= len(cuts[s]) for c in cells for s in quality_rules.STATISTICS)
         quality_rules.learn(cells, cuts)
+
+
+def test_vectors_of_one_id(spark):
+    """An id with two vectors counts once, with the least of them, in every run."""
+    from patchweave.llm import ann
+
+    rows = [(i, [float(i % 5), float(i % 3), 1.0, float(i % 7)]) for i in range(60)] + [(20, [-9.0, 0.0, 1.0, 2.0]), (20, [50.0, 0.0, 1.0, 2.0])]
+    for seed in (1, 2):
+        got = {(r.query_id, r.vec_id): r.score for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").orderBy(F.rand(seed))).collect()}
+        assert got[20, 0] == 1.0 and {q for q, _ in got} == {0, 20, 40}
+
+
+def test_token_counts_of_long_pieces(spark):
+    """Pieces too long for the broadcast are counted by the join."""
+    from patchweave.llm import token_counts, tokens
+
+    rows = [(i, "z" * 200 + " and " + "q9" * 60) for i in range(50)] + [(99, None)]
+    tok = tokens.PreTokens(tokens.tokenizer_path(token_counts.VOCABULARY)).tok
+    n = len(tok.encode(rows[0][1], add_special_tokens=False).ids)
+    assert {(r.doc_id, r.n_tokens) for r in token_counts.token_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {(i, n) for i in range(50)} | {(99, 0)}
