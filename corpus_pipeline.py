@@ -3,14 +3,20 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next one's docs.  All but the last return the
 columns of documents.
+
+A stage's result has to be written before the next stage is called: the tables
+that the stage before staged on the way are deleted then.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchweave.llm.common import stage, table
+from patchweave.llm.common import path_of, release, stage, staged, table
 from patchweave.llm.jaccard_join import deduplicate
 from patchweave.llm.mixing import take
 from patchweave.llm.packing import pack
@@ -18,26 +24,52 @@ from patchweave.llm.quality_classifier import accept
 from patchweave.llm.secret_scans import redact
 
 
+#: Tables that the last stage staged.
+_left: set[str] = set()
+
+
+def following(step: Callable) -> Callable:
+    """A stage that first deletes what its predecessor staged, and notes what it stages itself."""
+
+    @wraps(step)
+    def run_stage(spark, docs, sf_dir):
+        if step.__name__ != "quality":  # what stands before the first stage belongs to another run
+            release(_left)
+        _left.clear()
+        began = staged()
+        out = step(spark, docs, sf_dir)
+        if step.__name__ != "packing":  # the last result is the caller's
+            _left.update(staged() - began)
+        return out
+
+    return run_stage
+
+
+@following
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the positive-unlabelled classifier accepts."""
     return accept(docs, table(spark, sf_dir, "labels"))
 
 
+@following
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest id) of each group of similar documents."""
     return deduplicate(docs)
 
 
+@following
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets masked."""
     return redact(docs)
 
 
+@following
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return take(docs)
 
 
+@following
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences, with their ids."""
     return pack(docs).withColumn("ids_crc32", F.crc32("ids"))
@@ -50,7 +82,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), set()
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        release(before)
+        before = {path_of(docs)}
     return STAGES[-1][1](spark, docs, sf_dir)
