@@ -400,3 +400,18 @@ def test_op4_roles(spark):
     truth = {(r.conv_id, r.turn): r.role for r in spark.read.parquet(f"{SF2}/conversations.parquet").collect()}
     held = [truth[r["conv_id"], r["turn"]] == r["role"] for r in rows(spark, "op4_chat_format", SF2) if r["held_out"]]
     assert np.mean(held) > 0.9
+
+
+@pytest.mark.parametrize("name", list(registry.ORACLES))
+def test_oracles(spark, name):
+    import os
+
+    import duckdb
+
+    con = duckdb.connect()
+    for f in os.listdir(SF):
+        con.sql(f"create view {f.removesuffix('.parquet')} as select * from '{SF}/{f}'")
+    want = con.sql(registry.ORACLES[name]).df()
+    got = registry.QUERIES[name](spark, SF).toPandas()[want.columns.tolist()]
+    plain = lambda df: sorted(tuple(round(v, 9) for v in r) for r in df.itertuples(index=False))
+    assert len(want) and plain(got) == plain(want)
