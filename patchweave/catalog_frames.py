@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import BUDGET, DAY, FPS_SQL, GROUPED, HB, KEYS, MIXED, PATCH, PEAKS, PLACED, RANK, TOP_CAP, TOP_RATE, TOPK, UNIFORM, WB, _diverse, _grouped, _keys, _placed, _topk, greedy, query, r6, sample_uniform
+from .catalog import BUDGET, DAY, FPS_SQL, GROUPED, HB, KEYS, LAYOUT, MIXED, PATCH, PEAKS, PLACED, RANK, TOP_CAP, TOP_RATE, TOPK, UNIFORM, WB, _diverse, _grouped, _keys, _placed, _topk, greedy, query, r6, sample_uniform
 from .catalog import BLOCK as SIDE
 from .functions import image
-from .operators import anchors, groups, joins, pixels, rollup, sampling, scores
+from .operators import anchors, groups, joins, layout, pixels, rollup, sampling, scores
 from .operators import select as sel
 from .plans import selection
 from .sources import adapters as src
@@ -127,6 +127,14 @@ def motion_fusion(spark, sf):
     return r6(scores.fuse_motion(cells, 0.5, "sum", True), "cost")
 
 
+@query("iframe_clip_by_area", with_views("n AS (SELECT floor(y * 8 / 14.0)::INT AS c, count(*) AS n FROM range(14) r(y) GROUP BY 1), gw AS (SELECT g.*, a.n * b.n AS w, t % 16 = 0 AS key FROM grid g JOIN n a ON a.c = i JOIN n b ON b.c = j), cap AS (SELECT video, quantile_cont(cost, 0.9) AS cap FROM (SELECT video, cost, unnest(range(w)) FROM gw WHERE NOT key) GROUP BY 1) SELECT g.video, t, i, j, round(CASE WHEN key THEN least(cost, coalesce(cap, cost)) ELSE cost END, 6) AS cost, key AND cap IS NOT NULL AND cost > cap AS changed FROM gw g LEFT JOIN cap ON cap.video = g.video", "grid"))
+def iframe_clip_by_area(spark, sf):
+    """The cap counts a cell as often as it has pixels after resizing to 14 x 14."""
+    g = scores.with_pixels(src.grid(spark, sf), 8, 8, 14, 14)
+    kinds = g.select("video", "t").distinct().withColumn("pict_type", F.when(F.col("t") % 16 == 0, "I").otherwise("P"))
+    return r6(scores.clip_iframes(g, kinds, 0.9, "weight"), "cost")
+
+
 # buckets ----------------------------------------------------------------------------------------------------------
 
 IMAGES, PER_IMAGE = 3, 16
@@ -249,6 +257,30 @@ def canvas_pixels(spark, sf):
     return drawn.select("video", "group_idx", "canvas_idx", "h", "w", F.md5(F.hex("rgb").cast("binary")).alias("digest"))
 
 
+@query("canvas_wh_raster", with_views(f"{PLACED}, wr AS (SELECT video, group_idx, r * 4 + k AS q, t AS src_frame, bh * 2 + k // 2 AS src_patch_h, bw * 2 + k % 2 AS src_patch_w FROM rr, range(4) x(k)) SELECT video, group_idx, q // 64 AS canvas_idx, (q % 64) // 8 AS patch_h, q % 8 AS patch_w, src_frame, src_patch_h, src_patch_w FROM wr", "grid"))
+def canvas_wh_raster(spark, sf):
+    return layout.placements(_grouped(spark, sf), _topk(spark, sf), SIDE, HB, WB, "wh_raster")
+
+
+@query("canvas_total_padding", with_views(f"{PLACED}, fullc AS (SELECT video, group_idx, c AS canvas_idx, n // 8 AS patch_h, n % 8 AS patch_w FROM (SELECT DISTINCT video, group_idx FROM placed), range(6) y(c), range(64) x(n)) SELECT f.*, coalesce(src_frame, -1) AS src_frame, coalesce(src_patch_h, -1) AS src_patch_h, coalesce(src_patch_w, -1) AS src_patch_w FROM fullc f LEFT JOIN placed USING (video, group_idx, canvas_idx, patch_h, patch_w)", "grid"))
+def canvas_total_padding(spark, sf):
+    """Six canvases a group, whatever is selected."""
+    return layout.padded(_placed(spark, sf), HB, WB, 6)
+
+
+@query("raster_positions", with_views(f"{PLACED}, cn AS (SELECT *, dense_rank() OVER (PARTITION BY video ORDER BY group_idx, canvas_idx) - 1 AS c FROM placed) SELECT video, c * 64 + patch_h * 8 + patch_w AS n, src_frame, src_patch_h, src_patch_w FROM cn", "grid"))
+def raster_positions(spark, sf):
+    return layout.raster(_placed(spark, sf), HB, WB).select("video", "n", "src_frame", "src_patch_h", "src_patch_w")
+
+
+@query("vision_text", with_views(f"{LAYOUT}, isl AS (SELECT *, CASE WHEN src_frame <> lag(src_frame) OVER w OR lag(src_frame) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM lay WINDOW w AS (PARTITION BY video, group_idx ORDER BY layout_pos)), rn AS (SELECT *, sum(new) OVER (PARTITION BY video, group_idx ORDER BY layout_pos) AS run FROM isl), ru AS (SELECT video, group_idx, run, printf('<%.1f seconds>', any_value(src_frame) / 25.0::DOUBLE) AS label, count(*) // 4 AS n FROM rn GROUP BY video, group_idx, run HAVING any_value(src_frame) >= 0 AND count(*) // 4 > 0) SELECT video AS id, 'before ' || string_agg(label || '<|vision_start|>' || repeat('<|image_pad|>', n) || '<|vision_end|>' || chr(10), '' ORDER BY group_idx, run) || 'after ' || video AS text FROM ru GROUP BY video", "grid"))
+def vision_text(spark, sf):
+    """The vision stretch of a message becomes one stretch a run of frames."""
+    runs = layout.timestamp_runs(layout.block_layout(layout.padded(_placed(spark, sf), HB, WB), HB, WB, SIDE), 25.0, 2)
+    said = src.grid(spark, sf).select(F.col("video").alias("id")).distinct().withColumn("text", F.concat(F.lit("before <|vision_start|>x<|vision_end|>\ny<|vision_start|><|vision_end|>\nafter "), F.col("id").cast("string")))
+    return layout.vision_text(said, runs)
+
+
 @query("keep_masks", with_views(f"{PLACED} SELECT DISTINCT video, src_frame AS t, src_patch_h AS patch_h, src_patch_w AS patch_w FROM placed", "grid"))
 def keep_masks(spark, sf):
     return pixels.keep_masks(_placed(spark, sf))

@@ -44,6 +44,19 @@ def resized_block_scores(grid: DataFrame, rows: int, cols: int, height: int, wid
     return joined.groupBy("video", "t", "bh", "bw").agg(F.sum(F.col("cost") * F.col("ni") * F.col("nj")).alias("score")).select("video", "t", (F.col("bh") * (width // factor) + F.col("bw")).alias("block_idx"), "bh", "bw", "score")
 
 
+def with_pixels(grid: DataFrame, rows: int, cols: int, height: int, width: int) -> DataFrame:
+    """Cells with the number of pixels (column weight) that fall on them when the grid is resized to height x width."""
+    spark = grid.sparkSession
+
+    def share(src: int, dst: int, cell: str, n: str) -> DataFrame:
+        return spark.range(dst).select(F.floor(F.col("id") * src / F.lit(dst)).cast("int").alias(cell)).groupBy(cell).agg(F.count("*").alias(n))
+
+    # at most one row a cell of a side, whatever the data
+    tall, wide = share(rows, height, "i", "_ni"), share(cols, width, "j", "_nj")
+    joined = grid.join(F.broadcast(tall), "i", "left").join(F.broadcast(wide), "j", "left")
+    return joined.select(*grid.columns, F.coalesce(F.col("_ni") * F.col("_nj"), F.lit(0)).alias("weight"))
+
+
 def clip_iframes(grid: DataFrame, kinds: DataFrame, quantile: float, weight: str | None = None) -> DataFrame:
     """Scores of I frames capped at the quantile over all other frames' cells of the video; kinds(video, t, pict_type)."""
     rows = grid.join(kinds.select("video", "t", "pict_type"), ["video", "t"])
