@@ -463,3 +463,19 @@ def test_doctor(capsys):
     from patchweave.__main__ import main
 
     assert main(["doctor"]) == 0 and "pyspark: OK" in capsys.readouterr().out
+
+
+def test_packet_stream(spark, tmp_path):
+    """Windows of a stream that comes in two files equal those of one table."""
+    from patchweave.streaming.energy import energy_windows
+
+    rows = [(v, f"2024-01-01 00:00:{s:02}", float(s), "K__" if s == 3 else "___") for v in (1, 2) for s in range(40)]
+    whole = spark.createDataFrame(rows, "video long, at string, size double, flags string").select("video", F.col("at").cast("timestamp").alias("ts"), "size", "flags")
+    for k in range(2):
+        whole.filter(f"second(ts) % 2 = {k}").coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
+    stream = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    query = energy_windows(stream, "10 seconds", "1 minute").writeStream.format("memory").queryName("packet_windows").outputMode("complete").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = {(r.video, r.start): (round(r.energy, 9), r.packets) for r in spark.table("packet_windows").collect()}
+    want = {(r.video, r.start): (round(r.energy, 9), r.packets) for r in energy_windows(whole, "10 seconds", "1 minute").collect()}
+    assert got == want and len(want) == 8 and sorted(n for _, n in want.values()) == [9, 9, 10, 10, 10, 10, 10, 10]
