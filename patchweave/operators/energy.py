@@ -36,16 +36,19 @@ def energy_bins(packets: DataFrame, bin_sec: float = 0.5, smooth_bins: int = 1,
     Packets from ``max_sec`` on are left out like other unusable times: one of them would make bins without bound.
     """
     ok = packets.filter(_usable() & (F.col("pts_time") < max_sec)).select("video", "pts_time", "size")
-    # the last bin's number follows from the largest time; partial sums come first, so that the second shuffle is small
+    # the last bin's number follows from the largest time; partial sums come first, so that the later shuffles are small
     raw = ok.withColumn("raw", F.floor(F.col("pts_time") / bin_sec)).groupBy("video", "raw").agg(F.sum(F.log1p("size")).alias("e"), F.max("pts_time").alias("tmax"))
-    nb = F.greatest(F.lit(1), F.ceil((F.max("tmax").over(W.partitionBy("video")) + 1e-9) / bin_sec))
-    summed = raw.withColumn("nb", nb).groupBy("video", F.least(F.col("nb") - 1, "raw").alias("bin")).agg(F.sum("e").alias("e"), F.first("nb").alias("nb"))
+    last = raw.groupBy("video").agg(F.greatest(F.lit(1), F.ceil((F.max("tmax") + 1e-9) / bin_sec)).alias("nb"))
+    summed = raw.join(last, "video").groupBy("video", F.least(F.col("nb") - 1, "raw").alias("bin")).agg(F.sum("e").alias("e"))
     # numbers of empty bins in stretches, so that no row holds them all
-    frame = summed.groupBy("video").agg(F.first("nb").alias("nb")).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("nb") - 1) / STRETCH))))
+    frame = last.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("nb") - 1) / STRETCH))))
     frame = frame.select("video", "nb", F.explode(F.sequence(F.col("s") * STRETCH, F.least((F.col("s") + 1) * STRETCH, F.col("nb")) - 1)).alias("bin"))
-    dense = frame.join(summed.select("video", "bin", "e"), ["video", "bin"], "left").withColumn("e", F.coalesce("e", F.lit(0.0)))
-    near = F.avg("e").over(W.partitionBy("video").orderBy("bin").rowsBetween(-smooth_bins, smooth_bins)) if smooth_bins > 0 else F.col("e")
-    return dense.select("video", "bin", ((F.col("bin") + 0.5) * bin_sec).alias("center_sec"), F.when(F.col("nb") > 1, near).otherwise(F.col("e")).alias("energy"))
+    dense = frame.join(summed, ["video", "bin"], "left").withColumn("e", F.coalesce("e", F.lit(0.0)))
+    if smooth_bins > 0:
+        # every bin gives its energy to its neighbours: bins meet by number, so that a long video is many groups
+        reach = F.sequence(F.greatest(F.lit(0), F.col("bin") - smooth_bins), F.least(F.col("nb") - 1, F.col("bin") + smooth_bins))
+        dense = dense.select("video", F.explode(reach).alias("bin"), "e").groupBy("video", "bin").agg(F.avg("e").alias("e"))
+    return dense.select("video", "bin", ((F.col("bin") + 0.5) * bin_sec).alias("center_sec"), F.col("e").alias("energy"))
 
 
 def window_sizes(packets: DataFrame, windows: DataFrame) -> DataFrame:
@@ -66,10 +69,12 @@ def window_sizes(packets: DataFrame, windows: DataFrame) -> DataFrame:
 
 def top_bins(bins: DataFrame, per_sec: float, cap: int, bin_sec: float) -> DataFrame:
     """The ``k`` most energetic bins of every video, ``k = min(cap, max(1, round(duration * per_sec)), bins)``."""
-    n = F.count("*").over(W.partitionBy("video"))
-    k = F.least(F.lit(cap), F.greatest(F.lit(1), F.bround(n * bin_sec * per_sec)), n)
     order = W.partitionBy("video").orderBy(F.desc(F.round("energy", 6)), "bin")
-    return bins.withColumn("k", k).withColumn("r", F.row_number().over(order)).filter("r <= k").drop("r", "k")
+    # no more than ``cap`` rows of a video and task reach the window
+    best = bins.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= cap)
+    n = bins.groupBy("video").agg(F.count("*").alias("n"))
+    k = F.least(F.greatest(F.lit(1), F.bround(F.col("n") * bin_sec * per_sec)), F.col("n"))
+    return best.join(n, "video").filter(F.col("r") <= k).drop("r", "n")
 
 
 def peak_frames(bins: DataFrame, videos: DataFrame, per_sec: float, cap: int, bin_sec: float, neighbour: int = 1) -> DataFrame:

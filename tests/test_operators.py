@@ -479,3 +479,20 @@ def test_packet_stream(spark, tmp_path):
     got = {(r.video, r.start): (round(r.energy, 9), r.packets) for r in spark.table("packet_windows").collect()}
     want = {(r.video, r.start): (round(r.energy, 9), r.packets) for r in energy_windows(whole, "10 seconds", "1 minute").collect()}
     assert got == want and len(want) == 8 and sorted(n for _, n in want.values()) == [9, 9, 10, 10, 10, 10, 10, 10]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from patchweave.__main__ import main
+
+    rng = np.random.default_rng(3)
+    grid = [(1, t, i, j, float(rng.random())) for t in range(8) for i in range(8) for j in range(8)]
+    spark.createDataFrame(grid, "video long, t long, i int, j int, cost double").write.parquet(str(tmp_path / "grid"))
+    args = ["select", "--grid", str(tmp_path / "grid"), "--out", str(tmp_path / "out"), "--group-size", "8", "--selector", "diverse_mixed"]
+    assert main(args) == 0 and main(args) == 0
+    first, again = capsys.readouterr().out.strip().splitlines()
+    assert first == again and '"patches": 256' in first
+    for name, scores_ in (("a", (1, 0)), ("b", (1, 1))):
+        (tmp_path / f"{name}.jsonl").write_text("".join(f'{{"videomme_perception_score": {{"question_id": "q{k}", "score": {s}, "duration": "short"}}}}\n' for k, s in enumerate(scores_)))
+    assert main(["summarize", "--run", f"a={tmp_path}/a.jsonl", "--run", f"b={tmp_path}/b.jsonl"]) == 0
+    said = capsys.readouterr().out
+    assert "| a | all | all | 2 | 1.0 | 0.5 |" in said and "| b | 2 | 1.0 | 2.0 | 1 | 0 | 1.0 |" in said
