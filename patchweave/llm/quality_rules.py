@@ -23,10 +23,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLANK, WORD, stage, table
+from .graph import apart
 
 BINS = 16
 MAX_RULES = 12
@@ -51,6 +53,15 @@ class Rule:
         return out
 
 
+def _neighbours(ordered: str, key: str) -> Column:
+    """The places i of entries (key, i) of an ordered array whose key equals that of the entry before or after."""
+    m, keys = F.size(ordered), F.col(f"{ordered}.{key}")
+    none = F.array(F.get(F.slice(keys, F.lit(1), F.lit(0)), F.lit(0)))
+    before = F.zip_with(ordered, F.concat(none, F.slice(keys, F.lit(1), m - 1)), lambda x, y: F.struct(x["i"].alias("i"), F.coalesce(x[key] == y, F.lit(False)).alias("same")))
+    after = F.zip_with(before, F.concat(F.slice(F.transform(before, lambda x: x["same"]), F.lit(2), m - 1), F.array(F.lit(False))), lambda x, y: F.when(x["same"] | y, x["i"]))
+    return F.filter(after, lambda i: i.isNotNull())
+
+
 def statistics(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """doc_id, the base counts and the shares that rules are made of, for every row."""
     keep = ["doc_id", *(extra or [])]
@@ -58,34 +69,29 @@ def statistics(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
     # \n-split lines with a word
     parts = base.withColumn("_w", F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).withColumn("_l", F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD)))
     n = F.size("_w")
-    # three-word windows; words hold no blanks, so that joining them by one keeps windows apart
-    parts = parts.withColumn("_t", F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.concat_ws(" ", F.slice("_w", i, F.lit(3))))).otherwise(F.array().cast("array<string>")))
     parts = parts.select(
         *keep,
+        "_w",
         n.cast("long").alias("n_words"),
         F.length(F.regexp_replace("text", BLANK, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         F.length(F.regexp_replace("text", r"[^\p{Lu}]+", "")).cast("long").alias("n_upper"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.size("_l").cast("long").alias("n_lines"),
-        "_t",
-        F.size(F.array_distinct("_t")).alias("_d"),
-    )
-    # windows in order, with their places: equal ones are neighbours
-    ordered = parts.withColumn("_s", F.when(F.size("_t") > F.col("_d"), F.array_sort(F.arrays_zip(F.col("_t").alias("t"), F.sequence(F.lit(1), F.size("_t")).alias("i")))))
-    m = F.size("_s")
-    ordered = ordered.withColumn(
-        "_p",
-        F.filter(
-            F.zip_with("_s", F.concat(F.array(F.lit(None).cast("string")), F.slice(F.col("_s.t"), F.lit(1), m - 1)), lambda x, before: F.struct(x["t"].alias("t"), x["i"].alias("i"), F.coalesce(x["t"] == before, F.lit(False)).alias("same"))),
-            lambda x: F.lit(True),
-        ),
+        F.transform("_w", lambda w: F.xxhash64(w)).alias("_x"),
     )
-    hit = F.zip_with("_p", F.concat(F.slice(F.col("_p.same"), F.lit(2), m - 1), F.array(F.lit(False))), lambda x, after: F.when(x["same"] | after, x["i"]))
-    starts = F.filter(hit, lambda x: x.isNotNull())
-    ordered = ordered.withColumn("_h", starts)
-    repeat = F.size(F.array_distinct(F.flatten(F.array("_h", F.transform("_h", lambda i: i + 1), F.transform("_h", lambda i: i + 2)))))
-    counted = ordered.withColumn("n_repeat_words", F.when(F.col("_s").isNull(), F.lit(0)).otherwise(repeat).cast("long"))
+    # three-word windows by hash first: a text whose hashes all differ repeats none, and texts are compared without joining words
+    at = lambda k: F.get(F.col("_x"), k)
+    hashed = F.when(F.col("n_words") >= 3, F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2)))).otherwise(F.array().cast("array<bigint>"))
+    parts = parts.withColumn("_h", hashed)
+    pairs = F.array_sort(F.arrays_zip(F.col("_h").alias("h"), F.sequence(F.lit(0), F.size("_h") - 1).alias("i")))
+    parts = parts.withColumn("_s", F.when(F.size("_h") > F.size(F.array_distinct("_h")), pairs))
+    # windows whose hash stands twice; the words themselves decide which of them are equal
+    twice = parts.withColumn("_c", _neighbours("_s", "h"))
+    texts = F.transform("_c", lambda i: F.struct(F.array_join(F.slice("_w", i + 1, F.lit(3)), " ").alias("t"), i.alias("i")))
+    same = twice.withColumn("_s", F.when(F.size("_c") > 0, F.array_sort(texts))).withColumn("_c", _neighbours("_s", "t"))
+    repeat = F.size(F.array_distinct(F.flatten(F.array("_c", F.transform("_c", lambda i: i + 1), F.transform("_c", lambda i: i + 2)))))
+    counted = same.withColumn("n_repeat_words", F.when(F.col("_c").isNull(), F.lit(0)).otherwise(repeat).cast("long"))
     share = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
     return counted.select(
         *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -100,7 +106,9 @@ def base_failed() -> Column:
 def contingency(stats: DataFrame, labels: DataFrame, bins: int = BINS) -> tuple[list, dict[str, list[float]]]:
     """Counts of labelled rows by binned statistics, label and part (grow or prune), and the cut points."""
     known = labels.filter(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).filter("lo = hi")
-    rows = stage(stats.filter(~base_failed()).join(known.select("doc_id", F.col("lo").alias("label")), "doc_id").select("doc_id", "label", *STATISTICS), "rule-statistics")
+    # an id may repeat without bound: its rows can be split over tasks
+    joined = apart(stats.filter(~base_failed()).withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").join(apart(known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lo").alias("label")), "doc_id").hint("merge"), "doc_id")
+    rows = stage(apart(joined, "doc_id").select("doc_id", "label", *STATISTICS), "rule-statistics", narrow=True)
     at = [i / bins for i in range(1, bins)]
     # label-0 rows are the rarer: their quantiles place cuts where rules are wanted, those of label 1 where they end
     found = rows.groupBy("label").agg(*[F.percentile_approx(s, at, 10_000).alias(s) for s in STATISTICS]).collect()
@@ -117,32 +125,33 @@ def contingency(stats: DataFrame, labels: DataFrame, bins: int = BINS) -> tuple[
 
 def learn(cells: list, cuts: dict[str, list[float]], max_rules: int = MAX_RULES, precision: float = PRECISION, min_cover: int = MIN_COVER) -> list[Rule]:
     """Sequential covering over contingency cells; rules for label 0 in order."""
-    grow = [(tuple(c[s] for s in STATISTICS), c["label"], c["count"]) for c in cells if not c["prune"]]
-    prune = [(tuple(c[s] for s in STATISTICS), c["label"], c["count"]) for c in cells if c["prune"]]
-
-    def holds(x, conditions):
-        return all((x[k] > b) if above else (x[k] <= b) for k, above, b in conditions)
+    x = np.array([[c[s] for s in STATISTICS] for c in cells], np.int64).reshape(len(cells), len(STATISTICS))
+    n, bad, held = (np.array([c[k] for c in cells], np.int64) for k in ("count", "label", "prune"))
+    bad, held = bad == 0, held == 1
+    left = np.ones(len(cells), bool)
+
+    def holds(conditions):
+        out = left.copy()
+        for k, above, b in conditions:
+            out &= (x[:, k] > b) if above else (x[:, k] <= b)
+        return out
 
     def tally(rows):
-        bad = sum(n for _, y, n in rows if y == 0)
-        return bad, sum(n for _, _, n in rows) - bad
+        return int(n[rows & bad].sum()), int(n[rows & ~bad].sum())
 
     rules: list[Rule] = []
     while len(rules) < max_rules:
-        covered, conditions = grow, []
+        covered, conditions = left & ~held, []
         p0, n0 = tally(covered)
         if p0 < min_cover:
             break
         while n0 and len(conditions) < MAX_CONDITIONS:
             best, base = None, math.log2(p0 / (p0 + n0))
             for k, name in enumerate(STATISTICS):
-                by_bin: dict[int, list[int]] = {}
-                for x, y, n in covered:
-                    by_bin.setdefault(x[k], [0, 0])[1 - (y == 0)] += n
-                p = q = 0
-                for b in range(len(cuts[name])):
-                    if b in by_bin:
-                        p, q = p + by_bin[b][0], q + by_bin[b][1]
+                bins = len(cuts[name]) + 1
+                below = [np.cumsum(np.bincount(x[rows, k], n[rows], bins)) for rows in (covered & bad, covered & ~bad)]
+                for b in range(bins - 1):
+                    p, q = int(below[0][b]), int(below[1][b])
                     for above, pp, qq in ((False, p, q), (True, p0 - p, n0 - q)):
                         if pp >= min_cover and (pp, qq) != (p0, n0):
                             gain = pp * (math.log2(pp / (pp + qq)) - base)
@@ -150,20 +159,19 @@ def learn(cells: list, cuts: dict[str, list[float]], max_rules: int = MAX_RULES,
             if best is None or best[0] <= 0:
                 break
             conditions.append(best[1:])
-            covered = [r for r in covered if holds(r[0], conditions)]
+            covered = holds(conditions) & ~held
             p0, n0 = tally(covered)
-        worth = lambda cs: (lambda p, n: ((p - n) / (p + n) if p + n else -1.0, p + n))(*tally([r for r in prune if holds(r[0], cs)]))
+        worth = lambda cs: (lambda p, n: ((p - n) / (p + n) if p + n else -1.0, p + n))(*tally(holds(cs) & held))
         while len(conditions) > 1 and worth(conditions[:-1])[0] >= worth(conditions)[0]:
             conditions = conditions[:-1]
         if not conditions:
             break
-        p, n = tally([r for r in prune if holds(r[0], conditions)])
-        gp, gn = tally([r for r in grow if holds(r[0], conditions)])
-        if (p + gp) < precision * (p + n + gp + gn) or p < precision * (p + n):
+        rows = holds(conditions)
+        (p, q), (gp, gq) = tally(rows & held), tally(rows & ~held)
+        if (p + gp) < precision * (p + q + gp + gq) or p < precision * (p + q):
             break
         rules.append(Rule(tuple((STATISTICS[k], above, cuts[STATISTICS[k]][b]) for k, above, b in conditions)))
-        grow = [r for r in grow if not holds(r[0], conditions)]
-        prune = [r for r in prune if not holds(r[0], conditions)]
+        left &= ~rows
     return rules
 
 
