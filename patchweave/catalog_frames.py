@@ -11,6 +11,7 @@ from .operators import anchors, groups, joins, layout, pixels, rollup, sampling,
 from .operators import select as sel
 from .plans import selection
 from .sources import adapters as src
+from .sources import records
 from .sources.adapters import with_views
 
 # videos whose rate follows from their packets
@@ -135,6 +136,18 @@ def iframe_clip_by_area(spark, sf):
     return r6(scores.clip_iframes(g, kinds, 0.9, "weight"), "cost")
 
 
+@query("training_messages", r"WITH m AS (SELECT conv_id AS id, turn, role, coalesce(text, '') AS content, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n, min(turn) FILTER (role = 'user') OVER (PARTITION BY conv_id) AS u FROM conversations) SELECT id::VARCHAR AS id, n, role, CASE WHEN turn = u THEN repeat('<image>' || chr(10), id % 3 + 1) || regexp_replace(content, '^\s*(?:<image>\s*)+', '', 'i') ELSE content END AS content FROM m")
+def training_messages(spark, sf):
+    """Messages of training records, conversations as jobs with one to three canvases."""
+    c = src.chat(spark, sf)
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    jobs = c.groupBy("id").agg(turns.alias("messages")).select(F.col("id").cast("string").alias("id"), F.col("id").cast("string").alias("key"), "messages", F.lit("").alias("caption"))
+    names = F.transform(F.sequence(F.lit(0), (F.col("id") % 3).cast("int")), lambda i: F.format_string("canvas_%03d.png", i))
+    assets = c.select("id").distinct().select(F.col("id").cast("string").alias("key"), F.lit("v").alias("video"), names.alias("images"), F.lit("p").alias("positions"), F.lit(25.0).alias("fps"), F.expr("array(named_struct('frame_id', 0, 'seconds', 0.0D))").alias("frames"))
+    made = records.training_records(jobs, assets)
+    return made.select("id", F.posexplode("messages").alias("n", "m")).select("id", "n", "m.role", "m.content")
+
+
 # buckets ----------------------------------------------------------------------------------------------------------
 
 IMAGES, PER_IMAGE = 3, 16

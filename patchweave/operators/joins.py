@@ -16,9 +16,9 @@ def forward_fill(requested: DataFrame, decoded: DataFrame, value: str) -> DataFr
     return joined.select("video", "t", "frame_id", F.coalesce(filled, at_last).alias(value), F.col(value).isNull().alias("was_missing"))
 
 
-def decoded(requested: DataFrame, frames: DataFrame, videos: DataFrame, value: str) -> DataFrame:
+def decoded(requested: DataFrame, frames: DataFrame, videos: DataFrame, value: str, within: int | None = None) -> DataFrame:
     """Requested (video, t, frame_id), ids clamped to the video, with their value; a miss takes the last good one before it,
-    or, where none is before, that of the nearest decoded frame (the smaller id of two)."""
+    or, where none is before, that of the nearest decoded frame (the smaller id of two), no farther than ``within``."""
     want = requested.join(videos.select("video", F.col("total_frames").cast("long").alias("n")), "video").select("video", "t", F.greatest(F.lit(0), F.least(F.col("frame_id").cast("long"), F.col("n") - 1)).alias("frame_id"))
     have = frames.select("video", F.col("frame_id").cast("long").alias("frame_id"), F.col(value).alias("_value")).dropDuplicates(["video", "frame_id"])
     joined = want.join(have, ["video", "frame_id"], "left")
@@ -26,7 +26,10 @@ def decoded(requested: DataFrame, frames: DataFrame, videos: DataFrame, value: s
     filled = joined.withColumn("_filled", before).withColumn("was_missing", F.col("_value").isNull())
     # what stands before the first good one is looked up by distance; few rows, so their values come by a join
     early = filled.filter("_filled is null").select("video", F.col("t").cast("long").alias("id"), F.col("frame_id").alias("x"))
-    near = nearest(early, have.filter("_value is not null")).select("video", F.col("id").alias("t"), F.col("near").alias("frame_id"))
+    near = nearest(early, have.filter("_value is not null"))
+    if within is not None:
+        near = near.filter(F.abs(F.col("near") - F.col("x")) <= within)
+    near = near.select("video", F.col("id").alias("t"), F.col("near").alias("frame_id"))
     found = near.join(have, ["video", "frame_id"]).select("video", "t", F.col("_value").alias("_near"))
     return filled.join(found, ["video", "t"], "left").select("video", "t", "frame_id", F.coalesce("_filled", "_near").alias(value), "was_missing")
 

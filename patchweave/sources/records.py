@@ -55,19 +55,38 @@ def jobs(lines: DataFrame, ok_only: bool = True, max_jobs: int | None = None, ma
 CODECS = ("h264", "hevc")
 
 
+def unsupported(jobs_: DataFrame, codecs: tuple[str, ...] = CODECS) -> DataFrame:
+    """Index records of jobs whose codec carries no costs."""
+    return jobs_.filter(~F.coalesce(F.lower("codec_name").isin(*codecs), F.lit(False))).withColumn("kind", F.lit("unsupported_codec"))
+
+
 def remaining(jobs_: DataFrame, done: DataFrame, key: str = "key", codecs: tuple[str, ...] | None = None) -> DataFrame:
     """Jobs whose key has no finished output; with ``codecs``, those only whose codec_name is one of them."""
     usable = jobs_.filter(F.lower("codec_name").isin(*codecs)) if codecs else jobs_
     return usable.join(done.select(key).distinct(), key, "left_anti")
 
 
-def training_records(frames: DataFrame, messages: DataFrame) -> DataFrame:
-    """id, messages, n_images, timestamps: the first user message opens with one tag an image; frames(id, t, seconds)."""
-    per = frames.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "seconds"))), lambda x: tx.seconds_tag(x["seconds"])).alias("timestamps"))
-    rows = messages.join(per, "id")
-    first = F.array_position(F.transform("messages", lambda m: m["role"]), "user") - 1
-    tagged = F.transform("messages", lambda m, i: F.struct(m["role"].alias("role"), F.when(i == first, tx.image_tags(m["content"], F.size("timestamps"))).otherwise(m["content"]).alias("content")))
-    return rows.select("id", tagged.alias("messages"), F.size("timestamps").alias("n_images"), "timestamps")
+def training_records(jobs_: DataFrame, assets: DataFrame) -> DataFrame:
+    """id, messages, images, patch_positions, fps, images_source, timestamps of finished jobs.
+
+    jobs(id, key, messages, caption); assets(key, video, images, positions, fps, frames), frames an array of
+    struct(frame_id, seconds).  The first user message opens with one tag an image; without messages the caption answers
+    an empty question.  timestamps: the clock of every source frame.
+    """
+    rows = jobs_.join(assets, "key")
+    message = lambda role, content: F.struct(role.alias("role"), content.alias("content"))
+    cap = F.coalesce("caption", F.lit(""))
+    own = F.transform("messages", lambda m: message(F.coalesce(F.nullif(m["role"], F.lit("")), F.lit("user")), F.coalesce(m["content"], F.lit(""))))
+    asked = F.array(message(F.lit("user"), F.lit("")))
+    said = F.when(F.size("messages") > 0, own).otherwise(F.when(cap != "", F.concat(asked, F.array(message(F.lit("assistant"), cap)))).otherwise(asked))
+    rows = rows.withColumn("_said", said).withColumn("_first", F.array_position(F.transform("_said", lambda m: m["role"]), "user") - 1)
+    tags = F.greatest(F.lit(0), F.size("images"))
+    tagged = F.transform("_said", lambda m, i: message(m["role"], F.when(i == F.col("_first"), tx.image_tags(m["content"], tags)).otherwise(m["content"])))
+    shown = F.array_distinct(F.transform(F.filter("frames", lambda f: f["frame_id"] >= 0), lambda f: F.struct(f["frame_id"].cast("string").alias("k"), tx.clock(f["seconds"]).alias("v"))))
+    return rows.select(
+        F.coalesce(F.nullif("id", F.lit("")), "key").alias("id"), tagged.alias("messages"), "images", F.array("positions").alias("patch_positions"), F.array(F.coalesce("fps", F.lit(0.0))).alias("fps"),
+        F.when(F.coalesce("video", F.lit("")) != "", F.array("video")).otherwise(F.array().cast("array<string>")).alias("images_source"), F.map_from_entries(shown).alias("timestamps"),
+    )
 
 
 def read_eval_samples(spark: SparkSession, path: str, run: str) -> DataFrame:

@@ -255,6 +255,23 @@ def test_readers(spark, tmp_path):
     assert [(r.key, r.score, r.duration, r.question_type) for r in records.read_eval_samples(spark, str(samples), "r").collect()] == [("q", 1.0, "unknown", "unknown"), ("v::why", 1.0, "short", "d")]
 
 
+def test_training_records(spark, tmp_path):
+    message = "array<struct<role:string,content:string>>"
+    jobs = spark.createDataFrame([("s1", "k1", [("system", "be"), ("user", " <image>\n<IMAGE>look"), ("user", "more")], ""), ("", "k2", [], "a cat"), (None, "k3", None, None), ("s4", "gone", [], "")], f"id string, key string, messages {message}, caption string")
+    frames = [(3, 3661.2), (3, 3661.2), (-1, -1.0), (0, 0.0)]
+    assets = spark.createDataFrame([("k1", "/v.mp4", ["a.png", "b.png"], "p", 25.0, frames), ("k2", "", ["c.png"], "p", None, []), ("k3", None, [], "p", 1.0, [])], "key string, video string, images array<string>, positions string, fps double, frames array<struct<frame_id:int,seconds:double>>")
+    got = {r.id: r for r in records.training_records(jobs, assets).collect()}
+    said = {i: [tuple(m) for m in r.messages] for i, r in got.items()}
+    assert said == {"s1": [("system", "be"), ("user", "<image>\n<image>\nlook"), ("user", "more")], "k2": [("user", "<image>\n"), ("assistant", "a cat")], "k3": [("user", "")]}
+    assert got["s1"].timestamps == {"3": "01:01:01", "0": "00:00"} and got["s1"].images_source == ["/v.mp4"] and got["k2"].images_source == [] and got["k2"].fps == [0.0]
+    for _ in range(2):
+        records.write_training(records.training_records(jobs, assets).drop("timestamps"), str(tmp_path / "train"), "r1")
+    assert spark.read.json(str(tmp_path / "train")).count() == 3
+    kinds = spark.createDataFrame([("a", "H264"), ("b", "av1"), ("c", None)], "key string, codec_name string")
+    assert sorted(r.key for r in records.unsupported(kinds).collect()) == ["b", "c"]
+    assert [r.key for r in records.remaining(kinds, kinds.filter("key = 'x'"), codecs=records.CODECS).collect()] == ["a"]
+
+
 def box(kind, body):
     return struct.pack(">I4s", 8 + len(body), kind) + body
 
@@ -407,6 +424,7 @@ def test_decoded_and_selected(spark):
     want = spark.createDataFrame([(1, 0, 5), (1, 1, 7), (1, 2, 99), (1, 3, -4)], "video long, t int, frame_id long")
     have = spark.createDataFrame([(1, 7, "x"), (1, 3, "y"), (1, 0, "z")], "video long, frame_id long, px string")
     assert [(r.frame_id, r.px, r.was_missing) for r in joins.decoded(want, have, v, "px").orderBy("t").collect()] == [(5, "y", True), (7, "x", False), (9, "x", True), (0, "z", False)]
+    assert [r.px for r in joins.decoded(want, have, v, "px", within=1).orderBy("t").collect()] == [None, "x", "x", "z"]
     twice = spark.createDataFrame([(1, 7), (1, 7), (1, -1), (1, 4)], "video long, frame_id long")
     assert [(r.frame_id, r.copy) for r in joins.selected(have, twice).orderBy("copy").collect()] == [(7, 1), (7, 2)] and joins.selected(have, twice, 0, 6).count() == 0
 
