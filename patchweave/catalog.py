@@ -38,7 +38,9 @@ def r6(df, *names):
 
 OK = "ok AS (SELECT video, pts_time, size FROM packet WHERE NOT coalesce(contains(flags, 'K'), false) AND pts_time >= 0 AND size >= 0)"
 BINS = f"{OK}, lim AS (SELECT video, greatest(1, ceil((max(pts_time) + 1e-9) / {DAY}))::BIGINT AS nb FROM ok GROUP BY 1), hit AS (SELECT video, least(nb - 1, floor(pts_time / {DAY})::BIGINT) AS bin, sum(ln(1 + size)) AS e FROM ok JOIN lim USING (video) GROUP BY ALL), dense AS (SELECT l.video, b.bin, l.nb, coalesce(h.e, 0) AS e FROM (SELECT video, nb, unnest(range(nb)) AS bin FROM lim) b JOIN lim l USING (video) LEFT JOIN hit h ON h.video = b.video AND h.bin = b.bin), bins AS (SELECT video, bin, (bin + 0.5) * {DAY} AS center_sec, CASE WHEN nb > 1 THEN avg(e) OVER (PARTITION BY video ORDER BY bin ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) ELSE e END AS energy FROM dense)"
-PEAKS = f"{BINS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY round(energy, 6) DESC, bin) AS r, count(*) OVER (PARTITION BY video) AS n FROM bins), top AS (SELECT * FROM ranked WHERE r <= least({TOP_CAP}, greatest(1, round_even(n * {DAY} * {TOP_RATE!r}, 0)), n)), peaks AS (SELECT DISTINCT video, greatest(0, least(round_even(center_sec * fps, 0)::BIGINT + d, total_frames - 1)) AS frame_id FROM top JOIN videos USING (video), (VALUES (-1), (0), (1)) o(d))"
+# videos whose rate follows from their packets
+RATED = "rated AS (SELECT video, total_frames, total_frames / greatest(duration, 1.0) AS fps FROM videos)"
+PEAKS = f"{BINS}, {RATED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY round(energy, 6) DESC, bin) AS r FROM bins), top AS (SELECT k.*, fps, total_frames FROM ranked k JOIN rated USING (video) WHERE r <= least({TOP_CAP}, greatest(1, round_even(total_frames / fps * {TOP_RATE!r}, 0)))), peaks AS (SELECT DISTINCT video, greatest(0, least(greatest(0, least(round_even(center_sec * fps, 0)::BIGINT, total_frames - 1)) + d, total_frames - 1)) AS frame_id FROM top, (VALUES (-1), (0), (1)) o(d))"
 SCORED = "block AS (SELECT video, t, (i // 2) * 4 + j // 2 AS block_idx, i // 2 AS bh, j // 2 AS bw, sum(cost) AS score FROM grid GROUP BY ALL)"
 GROUPED = f"{SCORED}, g0 AS (SELECT *, t // {SIZE} AS group_idx, (t // {SIZE}) * {SIZE} AS anchor_t FROM block), g AS (SELECT * FROM (SELECT *, max(t) OVER (PARTITION BY video, group_idx) - anchor_t + 1 AS frame_count FROM g0) WHERE frame_count >= 4)"
 TOPK = f"{GROUPED}, sel AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video, group_idx ORDER BY round(score, 6) DESC, t, block_idx) AS rank FROM g WHERE t <> anchor_t) WHERE rank <= {BUDGET})"
@@ -56,6 +58,10 @@ def _topk(spark, sf):
     return sel.topk(_grouped(spark, sf), BUDGET)
 
 
+def _rated(spark, sf):
+    return src.videos(spark, sf).select("video", "total_frames", (F.col("total_frames") / F.greatest("duration", F.lit(1.0))).alias("fps"))
+
+
 def _bins(spark, sf):
     return energy.energy_bins(src.packet(spark, sf), DAY, 1)
 
@@ -82,7 +88,7 @@ def window_packet_sum(spark, sf):
 
 @query("peak_frames", with_views(f"{PEAKS} SELECT video, frame_id FROM peaks", "packet", "videos"))
 def peak_frames(spark, sf):
-    return energy.peak_frames(_bins(spark, sf), src.videos(spark, sf), TOP_RATE, TOP_CAP, DAY)
+    return energy.peak_frames(_bins(spark, sf), _rated(spark, sf), TOP_RATE, TOP_CAP)
 
 
 FPS_SQL = "fps_s AS (SELECT video, t, greatest(0, least(round_even(t / 2.0::DOUBLE * fps, 0)::BIGINT, total_frames - 1)) AS frame_id FROM (SELECT *, unnest(range(greatest(1, ceil(total_frames / fps * 2.0))::INT)) AS t FROM videos))"
@@ -137,7 +143,7 @@ def split_segments(spark, sf):
     return sampling.split_segments(sample_uniform(spark, sf), 3)
 
 
-CDF_SAMPLE = f"{BINS}, v AS (SELECT video, count(*)::INT AS n, count(*) / greatest(max(pts_time), 1.0) AS fps FROM packet GROUP BY 1), es AS (SELECT video, sum(greatest(energy, 0)) AS s, avg(greatest(energy, 0)) AS m FROM bins GROUP BY 1), w0 AS (SELECT b.video, bin, 0.7::DOUBLE * greatest(energy, 0) + 0.3::DOUBLE * m AS w FROM bins b JOIN es ON es.video = b.video WHERE s > 1e-12), w1 AS (SELECT *, w / sum(w) OVER (PARTITION BY video) * 16 AS share FROM w0), w2 AS (SELECT *, least(floor(share)::BIGINT, 16) AS c, row_number() OVER (PARTITION BY video ORDER BY round(share - floor(share), 9) DESC, bin) AS r FROM w1), w3 AS (SELECT *, c + CASE WHEN r <= 16 - sum(c) OVER (PARTITION BY video) THEN 1 ELSE 0 END AS k FROM w2), w4 AS (SELECT w3.video, k, n, greatest(0, floor(bin * {DAY} * fps)::BIGINT) AS lo, least(n - 1, ceil((bin + 1) * {DAY} * fps)::BIGINT - 1) AS hi0 FROM w3 JOIN v ON v.video = w3.video), w5 AS (SELECT *, greatest(lo, hi0) AS hi, unnest(range(k)) AS i FROM w4 WHERE k > 0 AND lo <= n - 1), dealt AS (SELECT video, least(n - 1, CASE WHEN k = 1 THEN round_even((lo + hi) / 2.0::DOUBLE, 0)::BIGINT WHEN i = k - 1 THEN hi ELSE trunc(lo + i * ((hi - lo) / (k - 1)::DOUBLE))::BIGINT END) AS frame_id FROM w5), short AS (SELECT v.video, n, 16 - (SELECT count(*) FROM dealt d WHERE d.video = v.video) AS lack FROM v JOIN es ON es.video = v.video), filled AS (SELECT * FROM dealt UNION ALL SELECT video, CASE WHEN lack = 1 THEN 0 WHEN i = lack - 1 THEN n - 1 ELSE trunc(i * ((n - 1) / (lack - 1)::DOUBLE))::BIGINT END FROM (SELECT *, unnest(range(lack)) AS i FROM short WHERE lack > 0))"
+CDF_SAMPLE = f"{BINS}, v AS (SELECT video, count(*)::INT AS n, count(*) / greatest(max(pts_time), 1.0) AS fps FROM packet GROUP BY 1), es AS (SELECT video, CASE WHEN avg(greatest(energy, 0)) > 0 THEN avg(greatest(energy, 0)) ELSE 1.0 END AS m FROM bins GROUP BY 1), w0 AS (SELECT b.video, bin, greatest(0.7::DOUBLE * greatest(energy, 0) + 0.3::DOUBLE * m, 1e-12) AS w FROM bins b JOIN es ON es.video = b.video), w1 AS (SELECT *, w / sum(w) OVER (PARTITION BY video) * 16 AS share FROM w0), w2 AS (SELECT *, least(floor(share)::BIGINT, 16) AS c, row_number() OVER (PARTITION BY video ORDER BY round(share - floor(share), 9) DESC, bin) AS r FROM w1), w3 AS (SELECT *, c + CASE WHEN r <= 16 - sum(c) OVER (PARTITION BY video) THEN 1 ELSE 0 END AS k FROM w2), w4 AS (SELECT w3.video, k, n, greatest(0, least(n - 1, floor(bin * {DAY} * fps)::BIGINT)) AS lo, greatest(0, least(n - 1, ceil((bin + 1) * {DAY} * fps)::BIGINT - 1)) AS hi0 FROM w3 JOIN v ON v.video = w3.video), w5 AS (SELECT *, unnest(range(CASE WHEN hi = lo THEN 1 ELSE k END)) AS i FROM (SELECT *, greatest(lo, hi0) AS hi FROM w4 WHERE k > 0)), dealt AS (SELECT video, CASE WHEN k = 1 OR hi = lo THEN round_even((lo + hi) / 2.0::DOUBLE, 0)::BIGINT WHEN i = k - 1 THEN hi ELSE trunc(lo + i * ((hi - lo) / (k - 1)::DOUBLE))::BIGINT END AS frame_id FROM w5), short AS (SELECT v.video, n, 16 - (SELECT count(*) FROM dealt d WHERE d.video = v.video) AS lack FROM v JOIN es ON es.video = v.video), filled AS (SELECT * FROM dealt UNION ALL SELECT video, CASE WHEN lack = 1 THEN 0 WHEN i = lack - 1 THEN n - 1 ELSE trunc(i * ((n - 1) / (lack - 1)::DOUBLE))::BIGINT END FROM (SELECT *, unnest(range(lack)) AS i FROM short WHERE lack > 0))"
 
 
 @query("energy_cdf_sample", with_views(f"{CDF_SAMPLE} SELECT video, row_number() OVER (PARTITION BY video ORDER BY frame_id) - 1 AS t, frame_id FROM filled", "packet"))
@@ -146,7 +152,7 @@ def energy_cdf_sample(spark, sf):
     return sampling.sample_energy_cdf(_bins(spark, sf), v, DAY, 16)
 
 
-@query("cover_time", with_views(f"{UNIFORM}, c AS (SELECT video, greatest(0, least(round_even((b + 0.5) * 0.5 * fps, 0)::BIGINT, total_frames - 1)) AS frame_id FROM (SELECT *, unnest(range(greatest(1, ceil(total_frames / fps / 0.5))::INT)) AS b FROM videos)), u AS (SELECT video, frame_id FROM uni UNION SELECT video, frame_id FROM c), a AS (SELECT x.video, (SELECT count(*) FROM u y WHERE y.video = x.video AND y.frame_id < x.frame_id) AS t, x.frame_id FROM u x), k AS (SELECT * FROM a WHERE t < 24), s AS (SELECT video, last_, x.t FROM (SELECT video, max(frame_id) AS last_ FROM k GROUP BY 1), range(24) x(t)) SELECT s.video, s.t, coalesce(k.frame_id, last_) AS frame_id FROM s LEFT JOIN k ON k.video = s.video AND k.t = s.t", "packet", "videos"))
+@query("cover_time", with_views(f"{UNIFORM}, c AS (SELECT video, greatest(0, least(round_even((b + 0.5) * 0.5 * fps, 0)::BIGINT, total_frames - 1)) AS frame_id FROM (SELECT *, unnest(range(least(24, greatest(1, floor(total_frames / fps / 0.5 + 1e-9)))::INT)) AS b FROM videos)), u AS (SELECT video, frame_id FROM uni UNION SELECT video, frame_id FROM c), a AS (SELECT x.video, (SELECT count(*) FROM u y WHERE y.video = x.video AND y.frame_id < x.frame_id) AS t, x.frame_id FROM u x), k AS (SELECT * FROM a WHERE t < 24), s AS (SELECT video, last_, x.t FROM (SELECT video, max(frame_id) AS last_ FROM k GROUP BY 1), range(24) x(t)) SELECT s.video, s.t, coalesce(k.frame_id, last_) AS frame_id FROM s LEFT JOIN k ON k.video = s.video AND k.t = s.t", "packet", "videos"))
 def cover_time(spark, sf):
     return sampling.cover_time(sample_uniform(spark, sf), src.videos(spark, sf), 0.5, 24)
 

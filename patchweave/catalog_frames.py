@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import BUDGET, DAY, FPS_SQL, GROUPED, HB, KEYS, LAYOUT, MIXED, PATCH, PEAKS, PLACED, RANK, TOP_CAP, TOP_RATE, TOPK, UNIFORM, WB, _diverse, _grouped, _keys, _placed, _topk, greedy, query, r6, sample_uniform
+from .catalog import BUDGET, DAY, GROUPED, HB, KEYS, LAYOUT, MIXED, PATCH, PEAKS, PLACED, RANK, RATED, TOP_CAP, TOP_RATE, TOPK, UNIFORM, WB, _diverse, _grouped, _keys, _placed, _rated, _topk, greedy, query, r6, sample_uniform
 from .catalog import BLOCK as SIDE
 from .functions import image
 from .operators import anchors, groups, joins, layout, pixels, rollup, sampling, scores
@@ -14,22 +14,17 @@ from .sources import adapters as src
 from .sources import records
 from .sources.adapters import with_views
 
-# videos whose rate follows from their packets
-RATED = "rated AS (SELECT video, total_frames, total_frames / greatest(duration, 1.0) AS fps FROM videos)"
-
-
-def _rated(spark, sf):
-    return src.videos(spark, sf).select("video", "total_frames", (F.col("total_frames") / F.greatest("duration", F.lit(1.0))).alias("fps"))
+# samplers ---------------------------------------------------------------------------------------------------------
 
 
-# samplers ---------------------------------------------------------------------------------------------------------
+RARE = f"{PEAKS}, rare AS (SELECT video, t, greatest(0, least(round_even(t / {2 / DAY!r}::DOUBLE * fps, 0)::BIGINT, total_frames - 1)) AS frame_id FROM (SELECT *, unnest(range(greatest(1, ceil(total_frames / fps * {2 / DAY!r}::DOUBLE))::INT)) AS t FROM rated)), pk AS (SELECT video, row_number() OVER (PARTITION BY video ORDER BY frame_id) - 1 AS t, frame_id FROM peaks WHERE video % 2 = 0)"
 
 
-@query("sample_dispatch", with_views(f"{PEAKS}, {FPS_SQL}, pk AS (SELECT video, row_number() OVER (PARTITION BY video ORDER BY frame_id) - 1 AS t, frame_id FROM peaks WHERE video % 2 = 0) SELECT * FROM pk UNION ALL SELECT video, t, frame_id FROM fps_s WHERE video NOT IN (SELECT video FROM pk)", "packet", "videos"))
+@query("sample_dispatch", with_views(f"{RARE} SELECT * FROM pk UNION ALL SELECT video, t, frame_id FROM rare WHERE video NOT IN (SELECT video FROM pk)", "packet", "videos"))
 def sample_dispatch(spark, sf):
     """Peaks by name; videos without packets fall back to a rate."""
     packets = src.packet(spark, sf).filter("video % 2 = 0")
-    return selection.sample(src.videos(spark, sf), packets, "pkt_size_peak", rate=2.0, bin_sec=DAY, peaks_per_sec=TOP_RATE, peaks_cap=TOP_CAP)
+    return selection.sample(_rated(spark, sf), packets, "pkt_size_peak", rate=2 / DAY, bin_sec=DAY, peaks_per_sec=TOP_RATE, peaks_cap=TOP_CAP)
 
 
 @query("keyframe_ids", with_views(f"{RATED}, k AS (SELECT p.video, greatest(0, least(round_even(pts_time * fps, 0)::BIGINT, total_frames - 1)) AS frame_id FROM packet p JOIN rated r ON r.video = p.video WHERE contains(flags, 'K') AND pts_time IS NOT NULL) SELECT * FROM k UNION SELECT video, 0 FROM rated WHERE total_frames > 0", "packet", "videos"))

@@ -67,19 +67,27 @@ def window_sizes(packets: DataFrame, windows: DataFrame) -> DataFrame:
     return ends.groupBy("video", "win").agg(F.sum(F.col("sign") * F.col("running")).alias("total"))
 
 
-def top_bins(bins: DataFrame, per_sec: float, cap: int, bin_sec: float) -> DataFrame:
-    """The ``k`` most energetic bins of every video, ``k = min(cap, max(1, round(duration * per_sec)), bins)``."""
+def _rate() -> Column:
+    return F.when(F.col("fps") > 0, F.col("fps")).otherwise(30.0)
+
+
+def top_bins(bins: DataFrame, videos: DataFrame, per_sec: float, cap: int) -> DataFrame:
+    """The ``k`` most energetic bins of every video, ``k = min(cap, max(1, round(duration * per_sec)))``; with its fps and total_frames.
+
+    The duration is that of the frames; fps <= 0 counts as 30.
+    """
     order = W.partitionBy("video").orderBy(F.desc(F.round("energy", 6)), "bin")
     # no more than ``cap`` rows of a video and task reach the window
     best = bins.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= cap)
-    n = bins.groupBy("video").agg(F.count("*").alias("n"))
-    k = F.least(F.greatest(F.lit(1), F.bround(F.col("n") * bin_sec * per_sec)), F.col("n"))
-    return best.join(n, "video").filter(F.col("r") <= k).drop("r", "n")
+    v = videos.select("video", _rate().alias("fps"), F.col("total_frames").cast("long").alias("total_frames"))
+    k = F.greatest(F.lit(1), F.bround(F.greatest(F.lit(0.0), F.col("total_frames") / F.col("fps")) * per_sec))
+    return best.join(v, "video").filter(F.col("r") <= k).drop("r")
 
 
-def peak_frames(bins: DataFrame, videos: DataFrame, per_sec: float, cap: int, bin_sec: float, neighbour: int = 1) -> DataFrame:
-    """video, frame_id: frames at the centres of the top bins and beside them, clamped and distinct."""
-    top = top_bins(bins, per_sec, cap, bin_sec).join(videos.select("video", "fps", "total_frames"), "video")
-    at = F.bround(F.col("center_sec") * F.col("fps")).cast("long")
+def peak_frames(bins: DataFrame, videos: DataFrame, per_sec: float, cap: int, neighbour: int = 1) -> DataFrame:
+    """video, frame_id: frames at the centres of the top bins, clamped, and beside them, clamped and distinct."""
+    top = top_bins(bins, videos, per_sec, cap)
+    clamp = lambda x: F.when(F.col("total_frames") > 0, F.greatest(F.lit(0), F.least(x, F.col("total_frames") - 1))).otherwise(x)
+    at = clamp(F.bround(F.col("center_sec") * F.col("fps")).cast("long"))
     spread = top.select("video", "total_frames", F.explode(F.transform(F.sequence(F.lit(-neighbour), F.lit(neighbour)), lambda d: at + d)).alias("f"))
-    return spread.select("video", F.greatest(F.lit(0), F.least("f", F.col("total_frames") - 1)).alias("frame_id")).distinct()
+    return spread.select("video", clamp(F.col("f")).alias("frame_id")).distinct()

@@ -48,10 +48,12 @@ def union_distinct(*samples: DataFrame) -> DataFrame:
 
 
 def shift_off_keyframes(sampled: DataFrame, keyframes: DataFrame, videos: DataFrame, step: int = 1) -> DataFrame:
-    """A sampled keyframe moves to the first of +d, -d (d = step .. 4 step) that is in range and no keyframe."""
+    """A sampled keyframe moves to the first of +d, -d (d = step, 2 step, 3 step, 4 step) that is in range and no keyframe; ids are clamped first."""
+    last = F.greatest(F.lit(1), F.col("total_frames")).cast("long") - 1
+    sampled = sampled.join(videos.select("video", last.alias("_last")), "video").select("video", "t", F.greatest(F.lit(0), F.least(F.col("frame_id").cast("long"), F.col("_last"))).alias("frame_id"))
     keys = keyframes.select("video", F.col("frame_id").alias("kf")).distinct()
     on_key = sampled.join(keys, (sampled["video"] == keys["video"]) & (sampled["frame_id"] == keys["kf"]), "left").select(sampled["video"], "t", "frame_id", F.col("kf").isNotNull().alias("is_key"))
-    offsets = F.array(*[F.lit(s * d) for d in range(step, 4 * step + 1) for s in (1, -1)])
+    offsets = F.array(*[F.lit(s * d) for d in range(step, 4 * step + 1, step) for s in (1, -1)])
     tries = on_key.filter("is_key").select("video", "t", "frame_id", F.posexplode(offsets).alias("o", "d")).withColumn("cand", F.col("frame_id") + F.col("d"))
     tries = tries.join(videos.select("video", "total_frames"), "video").filter("cand >= 0 and cand < total_frames")
     free = tries.join(keys.withColumnRenamed("kf", "cand"), ["video", "cand"], "left_anti").groupBy("video", "t").agg(F.min_by("cand", "o").alias("moved"))
@@ -105,13 +107,14 @@ def line(first: float, last: float, n: int) -> np.ndarray:
 def energy_cdf_ids(energy: np.ndarray, bin_sec: float, fps: float, total: int, k: int, mix: float = 0.3, max_per_bin: int | None = None) -> np.ndarray:
     """``k`` ids dealt to time bins by energy: floors, largest remainders, round-robin by weight, even spacing in a bin."""
     e = np.maximum(np.asarray(energy, float), 0)
-    if not len(e) or e.sum() <= 1e-12:
+    if not len(e):
         return line(0, total - 1, k)
-    w = (1 - mix) * e + mix * e.mean()
+    mean = e.mean()
+    w = np.maximum((1 - mix) * e + mix * (mean if mean > 0 else 1.0), 1e-12)
     share = w / w.sum() * k
     cap = max_per_bin or k
     count = np.minimum(np.floor(share).astype(int), cap)
-    for b in np.lexsort((np.arange(len(w)), -(share - np.floor(share)))):
+    for b in np.lexsort((np.arange(len(w)), -np.round(share - np.floor(share), 9))):
         if count.sum() >= k:
             break
         if count[b] < cap:
@@ -125,12 +128,11 @@ def energy_cdf_ids(energy: np.ndarray, bin_sec: float, fps: float, total: int, k
                 count[b] += 1
     ids: list[int] = []
     for b, c in enumerate(count):
-        lo, hi = max(0, int(np.floor(b * bin_sec * fps))), min(total - 1, int(np.ceil((b + 1) * bin_sec * fps)) - 1)
-        if c <= 0 or lo > total - 1:
-            continue
-        hi = max(lo, hi)
-        ids += [int(np.round((lo + hi) / 2))] if c == 1 else line(lo, hi, c).tolist()
-    ids = sorted(min(total - 1, i) for i in ids)
+        if c > 0:
+            lo, hi = (max(0, min(total - 1, x)) for x in (int(np.floor(b * bin_sec * fps)), int(np.ceil((b + 1) * bin_sec * fps)) - 1))
+            hi = max(lo, hi)
+            ids += [round((lo + hi) / 2)] if c == 1 or lo == hi else line(lo, hi, c).tolist()
+    ids.sort()
     if len(ids) < k:
         ids = sorted(ids + line(0, total - 1, k - len(ids)).tolist())
     if len(ids) > k:
@@ -138,24 +140,26 @@ def energy_cdf_ids(energy: np.ndarray, bin_sec: float, fps: float, total: int, k
     return np.array(ids, np.int64)
 
 
-def sample_energy_cdf(bins: DataFrame, videos: DataFrame, bin_sec: float, k: int, mix: float = 0.3) -> DataFrame:
+def sample_energy_cdf(bins: DataFrame, videos: DataFrame, bin_sec: float, k: int, mix: float = 0.3, max_per_bin: int | None = None) -> DataFrame:
     """video, t, frame_id; the dealing of counts is sequential, so one video's bins meet in one group."""
 
     def deal(pdf):
         import pandas as pd
 
         pdf = pdf.sort_values("bin")
-        ids = energy_cdf_ids(pdf["energy"].to_numpy(), bin_sec, float(pdf["fps"].iloc[0]), int(pdf["total_frames"].iloc[0]), k, mix)
+        ids = energy_cdf_ids(pdf["energy"].to_numpy(), bin_sec, float(pdf["fps"].iloc[0]), int(pdf["total_frames"].iloc[0]), k, mix, max_per_bin)
         return pd.DataFrame({"video": pdf["video"].iloc[0], "t": range(len(ids)), "frame_id": ids})
 
     return bins.join(videos.select("video", "fps", "total_frames"), "video").groupBy("video").applyInPandas(deal, "video long, t int, frame_id long")
 
 
 def cover_time(sampled: DataFrame, videos: DataFrame, every_sec: float, k: int) -> DataFrame:
-    """Adds the frames at bin centres, sorts, cuts to ``k``; shorter ones repeat their last id."""
-    n = F.greatest(F.lit(1), F.ceil(F.col("total_frames") / F.col("fps") / every_sec)).cast("int")
-    centres = videos.select("video", "fps", "total_frames", F.explode(F.sequence(F.lit(0), n - 1)).alias("b"))
-    at = F.bround((F.col("b") + 0.5) * every_sec * F.col("fps")).cast("long")
+    """Adds the frames at the centres of whole bins (the first ``k``), sorts, cuts to ``k``; shorter ones repeat their last id."""
+    every = every_sec if every_sec > 0 else 1.0
+    v = videos.select("video", F.when(F.col("fps") > 0, F.col("fps")).otherwise(30.0).alias("fps"), F.col("total_frames").cast("long").alias("total_frames"))
+    n = F.least(F.lit(k), F.greatest(F.lit(1), F.floor(F.col("total_frames") / F.col("fps") / every + 1e-9))).cast("int")
+    centres = v.filter("total_frames > 0").select("video", "fps", "total_frames", F.explode(F.sequence(F.lit(0), n - 1)).alias("b"))
+    at = F.bround((F.col("b") + 0.5) * every * F.col("fps")).cast("long")
     centres = centres.select("video", F.lit(0).alias("t"), F.greatest(F.lit(0), F.least(at, F.col("total_frames") - 1)).cast("long").alias("frame_id"))
     all_ = union_distinct(sampled.select("video", "t", F.col("frame_id").cast("long").alias("frame_id")), centres).filter(F.col("t") < k)
     last = all_.groupBy("video").agg(F.max("frame_id").alias("last"))

@@ -45,14 +45,18 @@ def topk_by_events(blocks: DataFrame, budget: int, bins: int, min_blocks: int) -
 
 
 def adaptive_anchor(blocks: DataFrame, w_centre: float, w_low: float) -> DataFrame:
-    """The anchor of every group: near its centre and cheap; equal costs count as cheap; the first best wins."""
-    frames = blocks.groupBy(*GROUP, "t", "anchor_t", "frame_count").agg(F.sum("score").alias("c"))
+    """The anchor of every group: near its centre and cheap; equal costs count as cheap; the first best wins.
+
+    Where frames are marked (column ``good``), bad ones stand back unless all are bad.
+    """
     by = W.partitionBy(*GROUP)
+    good = F.bool_or("good") if "good" in blocks.columns else F.lit(True)
+    frames = blocks.groupBy(*GROUP, "t", "anchor_t", "frame_count").agg(F.sum("score").alias("c"), good.alias("good"))
     lo, hi = F.min("c").over(by), F.max("c").over(by)
     low = F.when(hi - lo > 1e-12, 1 - (F.col("c") - lo) / (hi - lo)).otherwise(1.0)
     half = (F.col("frame_count") - 1) / 2
     centre = 1 - F.abs(F.col("t") - F.col("anchor_t") - half) / F.greatest(half, F.lit(1e-9))
-    scored = frames.withColumn("s", F.round(w_centre * centre + w_low * low, 6))
+    scored = frames.withColumn("s", F.round(w_centre * centre + w_low * low, 6)).withColumn("some", F.bool_or("good").over(by)).filter("good or not some")
     return scored.groupBy(*GROUP).agg(F.max_by("t", F.struct("s", -F.col("t"))).alias("anchor_t"), F.max("s").alias("anchor_score"))
 
 

@@ -107,7 +107,7 @@ def _uniform(videos, packets, p):
 
 def _peaks(videos, packets, p):
     bins = energy.energy_bins(packets, p.bin_sec, p.smooth_bins)
-    return sampling.numbered(energy.peak_frames(bins, videos, p.peaks_per_sec, p.peaks_cap, p.bin_sec, p.neighbour))
+    return sampling.numbered(energy.peak_frames(bins, videos, p.peaks_per_sec, p.peaks_cap, p.neighbour))
 
 
 SAMPLERS.register("fps", _fps)
