@@ -4,8 +4,8 @@ A raw transcript is a sequence of rows (conversation, turn order, text) whose
 text may hold several lines, each perhaps opened by a speaker marker.  A hidden
 Markov model with two states for each role (a turn's first line, and lines inside
 it, which only follow lines of their turn) explains the lines: it emits the
-marker class of a line, its length class, whether it asks, and whether it opens
-the conversation.  Initial, transition and emission probabilities are counted
+marker class of a line (none, a role's marker, or a name that is not known), its
+length class, whether it asks, and whether it opens the conversation.  Initial, transition and emission probabilities are counted
 (with add-one smoothing) from rows with known roles; Viterbi recovers the roles.
 
 Conversations of any length are decoded without gathering them.  Rows are sorted by
@@ -17,8 +17,8 @@ chunks decode by themselves between the states at their edges.  Ties go to the
 role listed first.
 
 Recovered turns begin at a line in a first-line state; adjacent rows of one turn
-are merged, over the edges of chunks too.  Markers are stripped and turns rendered
-as ``<|role|>\\ntext<|end|>``.
+are merged, over the edges of chunks too.  Known markers are stripped (names that
+are not known stay, as they may be text) and turns rendered as ``<|role|>\\ntext<|end|>``.
 
 Null and empty texts: one empty line.  Null turn: ordered first.  Null
 conversation: a conversation of its own.  Exactly repeated rows count once.
@@ -43,12 +43,14 @@ MARKERS = {
     "user": ("User", "Human", "[user]", "Q", "Customer"),
     "assistant": ("Assistant", "AI", "[assistant]", "A", "Agent"),
 }
+#: Names that the transcripts of the query use and the parser does not know.
+FOREIGN = {"system": "Note", "user": "Guest", "assistant": "Bot"}
 CHUNK = 128
 #: Neighbouring matrices that are multiplied at a time: 2**FAN_BITS.
 FAN_BITS = 7
 N_LENGTH = 6
-#: marker class (0: none), length class, asks, opens
-SHAPE = (len(ROLES) + 1, N_LENGTH, 2, 2)
+#: marker class (0: none, then roles, then unknown names), length class, asks, opens
+SHAPE = (len(ROLES) + 2, N_LENGTH, 2, 2)
 
 
 @lru_cache
@@ -57,18 +59,20 @@ def _marker_pattern():
 
     every = sorted(((m, r) for r, ms in MARKERS.items() for m in ms), key=lambda x: (-len(x[0]), x[0]))
     names = "|".join(re.escape(m) for m, _ in every)
-    return re.compile(rf"^\s*(?:[#>*-]\s*)?({names})\s*:\s*", re.IGNORECASE), {m.lower(): ROLES.index(r) + 1 for m, r in every}
+    lead = r"^\s*(?:[#>*-]\s*)?"
+    return re.compile(rf"{lead}({names})\s*:\s*", re.IGNORECASE), {m.lower(): ROLES.index(r) + 1 for m, r in every}, re.compile(rf"{lead}[^\W\d_][\w.-]{{0,23}}:\s")
 
 
 def features(lines: list[str], opens: bool) -> tuple[np.ndarray, list[str]]:
     """Feature classes (lines x 4) and the lines without their markers."""
-    pattern, classes = _marker_pattern()
+    pattern, classes, name = _marker_pattern()
     out, bare = np.zeros((len(lines), 4), np.int64), []
     for i, line in enumerate(lines):
         m = pattern.match(line)
         body = line[m.end() :] if m else line
         bare.append(body)
-        out[i] = (classes[m[1].lower()] if m else 0, min(N_LENGTH - 1, max(0, len(body).bit_length() - 4)), body.rstrip().endswith("?"), opens and i == 0)
+        kind = classes[m[1].lower()] if m else len(ROLES) + 1 if name.match(line) else 0
+        out[i] = (kind, min(N_LENGTH - 1, max(0, len(body).bit_length() - 4)), body.rstrip().endswith("?"), opens and i == 0)
     return out, bare
 
 
@@ -357,13 +361,14 @@ def parse(rows: DataFrame, model: Model, chunk: int = CHUNK) -> DataFrame:
 
 
 def transcripts(rows: DataFrame) -> DataFrame:
-    """Raw transcripts made of a table with roles: five turns of six open with a marker of their role, chosen by hash."""
+    """Raw transcripts made of a table with roles: of six turns four open with a marker of their role, one with a name the parser does not know, one with none, by hash."""
     pick = F.pmod(F.xxhash64("conv_id", "turn", F.lit(4)), F.lit(6))
     marker = F.lit(None).cast("string")
     for role, names in MARKERS.items():
         at = F.pmod(F.xxhash64("conv_id", "turn", F.lit(5)), F.lit(len(names)))
         for i, n in enumerate(names):
             marker = F.when((F.col("role") == role) & (at == i), n).otherwise(marker)
+        marker = F.when((F.col("role") == role) & (pick == 1), FOREIGN[role]).otherwise(marker)
     text = F.when(marker.isNotNull() & (pick > 0), F.concat(marker, F.lit(": "), F.coalesce("text", F.lit("")))).otherwise(F.col("text"))
     return rows.select("conv_id", "turn", "role", text.alias("text"))
 

@@ -396,6 +396,12 @@ def test_op4_long_turn_is_one(spark):
         assert [r.text for r in got if r.conv_id is None] == [f"line {i:03}" for i in range(40)]
 
 
+def test_op4_names():
+    """Known markers are classes of their role and go; unknown names are a class of their own and stay."""
+    f, bare = chat_format.features(["User: hi", "> Guest: hi", "plain text: no", "AI:ok", "12: no"], True)
+    assert f[:, 0].tolist() == [2, 4, 0, 3, 0] and bare == ["hi", "> Guest: hi", "plain text: no", "ok", "12: no"] and f[:, 3].tolist() == [1, 0, 0, 0, 0]
+
+
 def test_op4_roles(spark):
     truth = {(r.conv_id, r.turn): r.role for r in spark.read.parquet(f"{SF2}/conversations.parquet").collect()}
     held = [truth[r["conv_id"], r["turn"]] == r["role"] for r in rows(spark, "op4_chat_format", SF2) if r["held_out"]]
