@@ -195,6 +195,12 @@ def spaced_anchors(spark, sf):
     return anchors.spaced(src.frame_seq(spark, sf).filter("pict_type = 'I'").select("video", "t"), 6)
 
 
+@query("anchor_positions", with_views(f"{UNIFORM}, pts AS (SELECT video, round_even((bin * 0.31::DOUBLE) * 25.0::DOUBLE, 0) AS x FROM (SELECT video, unnest(range(9)) AS bin FROM videos)) SELECT DISTINCT video, arg_min(t, (abs(frame_id - x), frame_id, t))::BIGINT AS t FROM (SELECT p.video, p.x, u.t, u.frame_id FROM pts p JOIN uni u ON u.video = p.video) GROUP BY video, x UNION SELECT video, 0 FROM videos", "packet", "videos"))
+def anchor_positions(spark, sf):
+    seconds = src.videos(spark, sf).select("video", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("i")).select("video", (F.col("i") * F.lit(0.31)).alias("sec"))
+    return anchors.from_seconds(seconds, sample_uniform(spark, sf), src.videos(spark, sf))
+
+
 THIN = "f AS MATERIALIZED (SELECT video, t, pict_type <> 'B' AS good, pict_type = 'I' AS anchor FROM frame_seq), a AS MATERIALIZED (SELECT video, t FROM f WHERE anchor), walk AS (SELECT video, min(t) AS t FROM a GROUP BY video UNION ALL SELECT w.video, min(a.t) FROM walk w JOIN a ON a.video = w.video AND a.t >= w.t + 5 GROUP BY w.video), lim AS (SELECT video, max(t) + 1 AS n, greatest(0, max(t) - 3) AS latest FROM f GROUP BY 1), an AS (SELECT w.video, list(w.t ORDER BY w.t) AS l FROM walk w JOIN lim ON lim.video = w.video AND w.t <= latest GROUP BY w.video), al AS (SELECT lim.video, n, latest, coalesce(l, [0]) AS l FROM lim LEFT JOIN an ON an.video = lim.video), ks AS (SELECT *, unnest(range(1, least(len(l), latest // 5 + 1, 3) + 1)) AS k FROM al), kept AS (SELECT video, n, k, CASE WHEN len(l) <= k THEN l WHEN k = 1 THEN l[:1] ELSE [l[CASE WHEN i = k - 1 THEN len(l) ELSE trunc(i * ((len(l) - 1) / (k - 1)::DOUBLE))::INT + 1 END] for i in range(k)] END AS s FROM ks), sp AS (SELECT *, unnest(range(1, len(s) + 1)) AS j FROM kept), gaps AS (SELECT video, k, s[j] AS lo, CASE WHEN j < len(s) THEN s[j + 1] ELSE n END AS hi FROM sp), cn AS (SELECT g.video, g.k, g.lo, count(f.t) AS c FROM gaps g LEFT JOIN f ON f.video = g.video AND f.good AND f.t > g.lo AND f.t < g.hi GROUP BY ALL), ok AS (SELECT video, k, bool_and(c >= 3) AS dense FROM cn GROUP BY ALL), best AS (SELECT kept.video, any_value(n) AS n, arg_max(s, kept.k) AS s FROM kept JOIN ok ON ok.video = kept.video AND ok.k = kept.k WHERE dense OR kept.k = 1 GROUP BY kept.video), cut AS (SELECT video, CASE WHEN len(s) >= 2 AND n - s[len(s)] < 4 THEN s[:len(s) - 1] ELSE s END AS s FROM best)"
 
 

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .joins import nearest
 from .sampling import line
 from .stream import Fold, fold
 
@@ -79,6 +80,16 @@ def without_tail(anchors: list[int], frames: int, fps: float, bucket_sec: float)
     return anchors[:-1] if len(anchors) >= 2 and short else anchors
 
 
+def from_seconds(seconds: DataFrame, sampled: DataFrame, videos: DataFrame) -> DataFrame:
+    """video, t: the sampled position nearest to each anchor second (video, sec), the first of several, distinct; 0 is always one."""
+    rate = F.when(F.col("fps") > 0, F.col("fps")).otherwise(30.0)
+    points = seconds.join(videos.select("video", rate.alias("fps")), "video").select("video", F.bround(F.col("sec") * F.col("fps")).alias("x")).distinct().withColumn("id", F.xxhash64("x"))
+    first = sampled.groupBy("video", "frame_id").agg(F.min("t").cast("long").alias("t"))
+    near = nearest(points, first).select("video", F.col("near").alias("frame_id"))
+    found = near.join(first, ["video", "frame_id"]).select("video", "t")
+    return found.union(sampled.select("video", F.lit(0).cast("long").alias("t"))).distinct()
+
+
 class _Thin(Fold):
     def __init__(self, gap, least, buckets, bucket_sec):
         self.gap, self.least, self.buckets, self.bucket_sec = gap, least, buckets, bucket_sec
