@@ -240,7 +240,7 @@ def readiness_groups(spark, sf):
     return groups.readiness_groups(_blocks(spark, sf), readiness_threshold(spark, sf), BUDGET, 8, 40, NB, 3)
 
 
-GOP = "thr AS (SELECT video, quantile_cont(cost, 0.75) AS thr FROM frame_seq GROUP BY 1), walk AS (SELECT f.video, f.t, 0 AS start, NULL::INT AS cut_end, NULL::VARCHAR AS why, NULL::DOUBLE AS sc, 0 AS cut_start FROM frame_seq f WHERE t = 0 UNION ALL SELECT w.video, f.t, CASE WHEN (f.cost > thr AND f.t - w.start >= 4) OR f.t - w.start >= 24 THEN f.t ELSE w.start END, CASE WHEN (f.cost > thr AND f.t - w.start >= 4) OR f.t - w.start >= 24 THEN f.t END, CASE WHEN f.cost > thr AND f.t - w.start >= 4 THEN 'adaptive_gop_cost' WHEN f.t - w.start >= 24 THEN 'adaptive_gop_max' END, CASE WHEN (f.cost > thr AND f.t - w.start >= 4) OR f.t - w.start >= 24 THEN f.cost END, w.start FROM walk w JOIN frame_seq f ON f.video = w.video AND f.t = w.t + 1 JOIN thr ON thr.video = w.video), cuts AS (SELECT video, cut_start AS start, cut_end AS \"end\", why AS stop_reason, sc AS split_cost FROM walk WHERE cut_end IS NOT NULL UNION ALL SELECT video, max(start), max(t) + 1, 'adaptive_gop_tail', NULL FROM walk GROUP BY video), gop AS (SELECT video, row_number() OVER (PARTITION BY video ORDER BY start) - 1 AS group_idx, start, \"end\", \"end\" - start AS frame_count, stop_reason, round(split_cost, 6) AS split_cost FROM cuts)"
+GOP = "thr AS (SELECT video, quantile_cont(cost, 0.75) AS thr FROM frame_seq GROUP BY 1), walk AS (SELECT f.video, f.t, 0 AS start, NULL::INT AS cut_end, NULL::VARCHAR AS why, NULL::DOUBLE AS sc, 0 AS cut_start FROM frame_seq f WHERE t = 0 UNION ALL SELECT w.video, f.t, CASE WHEN (f.cost > thr AND f.t - w.start >= 4) OR f.t - w.start >= 24 THEN f.t ELSE w.start END, CASE WHEN (f.cost > thr AND f.t - w.start >= 4) OR f.t - w.start >= 24 THEN f.t END, CASE WHEN f.cost > thr AND f.t - w.start >= 4 THEN 'adaptive_gop_cost' WHEN f.t - w.start >= 24 THEN 'adaptive_gop_max_group_frames' END, CASE WHEN (f.cost > thr AND f.t - w.start >= 4) OR f.t - w.start >= 24 THEN f.cost END, w.start FROM walk w JOIN frame_seq f ON f.video = w.video AND f.t = w.t + 1 JOIN thr ON thr.video = w.video), cuts AS (SELECT video, cut_start AS start, cut_end AS \"end\", why AS stop_reason, sc AS split_cost FROM walk WHERE cut_end IS NOT NULL UNION ALL SELECT video, max(start), max(t) + 1, 'adaptive_gop_tail', NULL FROM walk GROUP BY video), gop AS (SELECT video, row_number() OVER (PARTITION BY video ORDER BY start) - 1 AS group_idx, start, \"end\", \"end\" - start AS frame_count, stop_reason, round(split_cost, 6) AS split_cost FROM cuts)"
 
 
 def _gop(spark, sf):
@@ -252,10 +252,10 @@ def adaptive_gop(spark, sf):
     return r6(_gop(spark, sf), "split_cost")
 
 
-MERGED = f"{GOP}, seq AS (SELECT video, list({{'s': start, 'e': \"end\", 'c': split_cost}} ORDER BY start) AS l FROM gop GROUP BY video), mg AS (SELECT video, l FROM seq UNION ALL SELECT video, l[:k - 1] || [{{'s': l[k].s, 'e': l[k + 1].e, 'c': l[k].c}}] || l[k + 2:] FROM (SELECT video, l, list_position([coalesce(x.c, 0) for x in l[:len(l) - 1]], list_min([coalesce(x.c, 0) for x in l[:len(l) - 1]])) AS k FROM mg WHERE len(l) > 4)), done AS (SELECT video, arg_min(l, len(l)) AS l FROM mg GROUP BY video), parts AS (SELECT video, unnest(l) AS x, unnest(range(len(l))) AS group_idx FROM done)"
+MERGED = f"{GOP}, seq AS (SELECT video, list({{'s': start, 'e': \"end\", 'c': split_cost, 'w': stop_reason}} ORDER BY start) AS l FROM gop GROUP BY video), mg AS (SELECT video, l FROM seq UNION ALL SELECT video, l[:k - 1] || [{{'s': l[k].s, 'e': l[k + 1].e, 'c': l[k].c, 'w': 'adaptive_gop_target_canvas_merge'}}] || l[k + 2:] FROM (SELECT video, l, list_position([coalesce(x.c, 0) for x in l[:len(l) - 1]], list_min([coalesce(x.c, 0) for x in l[:len(l) - 1]])) AS k FROM mg WHERE len(l) > 4)), done AS (SELECT video, arg_min(l, len(l)) AS l FROM mg GROUP BY video), parts AS (SELECT video, unnest(l) AS x, unnest(range(len(l))) AS group_idx FROM done)"
 
 
-@query("adaptive_gop_merge", with_views(f"{MERGED} SELECT video, group_idx, x.s AS start, x.e AS \"end\", x.e - x.s AS frame_count FROM parts", "frame_seq", recursive=True))
+@query("adaptive_gop_merge", with_views(f"{MERGED} SELECT video, group_idx, x.s AS start, x.e AS \"end\", x.e - x.s AS frame_count, x.w AS stop_reason FROM parts", "frame_seq", recursive=True))
 def adaptive_gop_merge(spark, sf):
     return groups.merge_gops(_gop(spark, sf), 4)
 

@@ -77,6 +77,13 @@ def readiness_threshold(stats: DataFrame, bins: int) -> DataFrame:
     return stats.groupBy("video").agg(F.round(F.coalesce(F.avg(enough), F.lit(0.0)), 6).alias("threshold"))
 
 
+def frame_limits(sample_fps: float, min_frames: int, max_frames: int, min_sec: float = 0.0, max_sec: float = 0.0) -> tuple[int, int]:
+    """The least and most frames of a group: at least four, seconds before frames, the most no less than the least."""
+    rate = sample_fps if sample_fps > 0 else 1.0
+    least = max(4, round(min_sec * rate) if min_sec > 0 else min_frames)
+    return least, max(least, round(max_sec * rate) if max_sec > 0 else max_frames)
+
+
 def clamped_threshold(videos: DataFrame, norm: float, low: float = 0.015, high: float = 0.09) -> DataFrame:
     """norm * sqrt of bits a pixel and frame, clamped; videos(video, bit_rate, fps, width, height)."""
     bits = F.col("bit_rate") / F.col("fps") / (F.col("width") * F.col("height"))
@@ -173,7 +180,8 @@ class CostCuts(Fold):
     """(group_idx, start, end, frame_count, reason, split_cost) of groups cut by cost or length."""
 
     def __init__(self, min_len: int, max_len: int):
-        self.least, self.most = min_len, max_len
+        self.least = max(1, min_len)
+        self.most = max(self.least, max_len)
         self.i = self.start = self.count = 0
 
     def _close(self, reason, cost):
@@ -187,7 +195,7 @@ class CostCuts(Fold):
             if cost is not None and threshold is not None and cost > threshold and length >= self.least:
                 out = self._close("adaptive_gop_cost", cost)
             elif length >= self.most:
-                out = self._close("adaptive_gop_max", cost)
+                out = self._close("adaptive_gop_max_group_frames", cost)
         self.i += 1
         return out
 
@@ -218,15 +226,18 @@ def merge_cheapest(spans: list[tuple[int, int, float | None]], target: int) -> l
 
 
 def merge_gops(groups: DataFrame, target: int) -> DataFrame:
+    """Groups of ``adaptive_gop`` merged to ``target`` a video; merged ones say so."""
+
     def merge(pdf):
         import pandas as pd
 
         pdf = pdf.sort_values("group_idx")
-        spans = [(int(a), int(b), None if c != c else c) for a, b, c in zip(pdf["start"], pdf["end"], pdf["split_cost"])]
+        own = {(int(a), int(b)): r for a, b, r in zip(pdf["start"], pdf["end"], pdf["stop_reason"])}
+        spans = [(*k, None if c != c else c) for k, c in zip(own, pdf["split_cost"])]
         out = merge_cheapest(spans, target)
-        return pd.DataFrame([(pdf["video"].iloc[0], i, a, b, b - a) for i, (a, b, _) in enumerate(out)], columns=["video", "group_idx", "start", "end", "frame_count"])
+        return pd.DataFrame([(pdf["video"].iloc[0], i, a, b, b - a, own.get((a, b), "adaptive_gop_target_canvas_merge")) for i, (a, b, _) in enumerate(out)], columns=["video", "group_idx", "start", "end", "frame_count", "stop_reason"])
 
-    return groups.groupBy("video").applyInPandas(merge, "video long, group_idx int, start int, end int, frame_count int")
+    return groups.groupBy("video").applyInPandas(merge, SPEC)
 
 
 def variable_gops(energy: np.ndarray, bin_sec: float, target: int, min_sec: float, max_sec: float) -> list[tuple[int, int]]:

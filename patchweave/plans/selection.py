@@ -24,6 +24,11 @@ class Config:
     group_size: int = 32
     min_frames: int = 8
     max_frames: int = 64
+    min_sec: float = 0.0
+    max_sec: float = 0.0
+    sample_fps: float = 1.0
+    readiness_mode: str = "legacy"
+    readiness_norm: float = 2_250_000.0
     readiness_bins: int = 4
     readiness_need: int = 3
     readiness_threshold: float = 0.0
@@ -45,9 +50,9 @@ class Config:
     dedup_threshold: float | None = None
 
     def normalised(self) -> "Config":
-        low = {n: getattr(self, n).strip().lower() for n in ("selector", "grouping", "anchor", "dedup_descriptor")}
+        low = {n: getattr(self, n).strip().lower() for n in ("selector", "grouping", "anchor", "dedup_descriptor", "readiness_mode")}
         c = replace(self, **low, group_size=max(1, self.group_size), images_per_group=max(1, self.images_per_group))
-        for what, known in (("selector", SELECTORS.names()), ("grouping", GROUPERS.names()), ("anchor", ["adaptive", "fixed"])):
+        for what, known in (("selector", SELECTORS.names()), ("grouping", GROUPERS.names()), ("anchor", ["adaptive", "fixed"]), ("readiness_mode", ["auto", "clamped_sqrt_bpppf", "fixed", "legacy"])):
             if getattr(c, what) not in known:
                 raise ValueError(f"unknown {what} {getattr(c, what)!r}")
         for name in ("diversity_fraction", "novelty_weight"):
@@ -75,6 +80,9 @@ class Config:
     def budget(self) -> int:
         return groups.budget(self.images_per_group, (self.rows // self.patch) * (self.cols // self.patch), self.block)
 
+    def limits(self) -> tuple[int, int]:
+        return groups.frame_limits(self.sample_fps, self.min_frames, self.max_frames, self.min_sec, self.max_sec)
+
     def key(self) -> str:
         return hashlib.md5(json.dumps(asdict(self), sort_keys=True).encode()).hexdigest()
 
@@ -123,26 +131,30 @@ def sample(videos: DataFrame, packets: DataFrame | None, mode: str = "fps", **pa
     return SAMPLERS.get(name if name in SAMPLERS.names() else "fps")(videos, packets, Sampling(**parameters))
 
 
-# groupers: (blocks, config) -> video, group_idx, start, end ---------------------------------------------------------
+# groupers: (blocks, config, videos) -> video, group_idx, start, end -------------------------------------------------
 
 
-def _readiness(blocks: DataFrame, c: Config) -> DataFrame:
+def _readiness(blocks: DataFrame, c: Config, videos: DataFrame | None) -> DataFrame:
     budget = c.budget()
-    if c.readiness_threshold > 0:
+    if c.readiness_mode == "clamped_sqrt_bpppf":
+        if videos is None:
+            raise ValueError("a threshold from bit rates needs the videos table")
+        thresholds = groups.clamped_threshold(videos, c.readiness_norm)
+    elif c.readiness_mode == "fixed" or (c.readiness_mode == "legacy" and c.readiness_threshold > 0):
         thresholds = blocks.select("video").distinct().withColumn("threshold", F.lit(float(c.readiness_threshold)))
     else:
         thresholds = groups.readiness_threshold(groups.readiness_stats(blocks, c.group_size, budget, c.readiness_bins), c.readiness_bins)
-    need = min(c.readiness_need, max(1, c.images_per_group - 1))
-    return groups.readiness_groups(blocks, thresholds, budget, c.min_frames, c.max_frames, c.readiness_bins, need)
+    need = min(c.readiness_need, c.readiness_bins, c.images_per_group - 1)
+    return groups.readiness_groups(blocks, thresholds, budget, *c.limits(), c.readiness_bins, need)
 
 
-def _adaptive(blocks: DataFrame, c: Config) -> DataFrame:
+def _adaptive(blocks: DataFrame, c: Config, videos: DataFrame | None) -> DataFrame:
     costs = blocks.groupBy("video", "t").agg(F.sum("score").alias("cost"))
-    cut = groups.adaptive_gop(costs, c.gop_percentile, c.min_frames, c.max_frames, c.gop_gamma)
+    cut = groups.adaptive_gop(costs, c.gop_percentile, *c.limits(), c.gop_gamma)
     return groups.merge_gops(cut, c.target_groups) if c.target_groups > 0 else cut
 
 
-GROUPERS.register("fixed", lambda blocks, c: groups.fixed_groups(blocks.select("video", "t").distinct(), c.group_size))
+GROUPERS.register("fixed", lambda blocks, c, videos: groups.fixed_groups(blocks.select("video", "t").distinct(), c.group_size))
 GROUPERS.register("readiness", _readiness)
 GROUPERS.register("adaptive_gop", _adaptive)
 
@@ -187,32 +199,35 @@ def _anchored(blocks: DataFrame, c: Config) -> DataFrame:
     if c.anchor == "adaptive":
         chosen = select.adaptive_anchor(blocks, 0.3, 0.7).select("video", "group_idx", F.col("anchor_t").alias("a"))
         blocks = blocks.join(chosen, ["video", "group_idx"]).withColumn("anchor_t", F.col("a")).drop("a")
-    if "good" in blocks.columns:
+    elif "good" in blocks.columns:
         frames = blocks.select("video", "group_idx", "t", "anchor_t", "good").distinct()
         moved = select.replace_bad_anchor(frames).select("video", "group_idx", F.col("new_anchor_t").alias("a"))
         blocks = blocks.join(moved, ["video", "group_idx"]).withColumn("anchor_t", F.col("a")).drop("a")
     return blocks
 
 
-def grouped_blocks(grid: DataFrame, config: Config, good: DataFrame | None = None) -> DataFrame:
-    """Scored blocks in the groups and with the anchors of a configuration; good(video, t, good) marks usable frames."""
+def grouped_blocks(grid: DataFrame, config: Config, good: DataFrame | None = None, videos: DataFrame | None = None) -> DataFrame:
+    """Scored blocks in the groups and with the anchors of a configuration; good(video, t, good) marks usable frames.
+
+    videos(video, bit_rate, fps, width, height) is needed for readiness thresholds from bit rates.
+    """
     c = config.normalised()
     shaped = SCORERS.get("bitcost")(grid) if c.normalise else grid
     blocks = scores.block_scores(shaped, c.patch, c.block, c.cols)
-    out = grouped(blocks, GROUPERS.get(c.grouping)(blocks, c))
+    out = grouped(blocks, GROUPERS.get(c.grouping)(blocks, c, videos))
     if good is not None:
         out = out.join(good.select("video", "t", "good"), ["video", "t"], "left").withColumn("good", F.coalesce("good", F.lit(True)))
     return _anchored(out, c)
 
 
-def select_patches(grid: DataFrame, config: Config, frames: DataFrame | None = None, good: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def select_patches(grid: DataFrame, config: Config, frames: DataFrame | None = None, good: DataFrame | None = None, videos: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(selected blocks, placements) of a cost grid; everything is keyed by video and group.
 
     frames(video, t, h, w, bgr) lets the diverse selector measure pixels instead of costs; good(video, t, good) leaves
     bad frames out.
     """
     c = config.normalised()
-    blocks = grouped_blocks(grid, c, good)
+    blocks = grouped_blocks(grid, c, good, videos)
     chosen = SELECTORS.get(c.selector)(blocks, grid, frames, c)
     return chosen, PACKERS.get("canvas")(blocks, chosen, c.block, c.rows // c.patch, c.cols // c.patch)
 

@@ -477,6 +477,20 @@ def test_plans(spark, tmp_path):
     assert set(stamp) < {p.name for p in (tmp_path / "out").rglob("*.parquet")}
 
 
+def test_limits_and_thresholds(spark):
+    assert groups.frame_limits(0, 2, 64) == (4, 64) and groups.frame_limits(2.0, 8, 64, 2.5, 1.0) == (5, 5) and groups.frame_limits(1.0, 16, 8) == (16, 16)
+    grid = spark.createDataFrame([(1, t, i, j, 1.0 + (t * i * j) % 5) for t in range(24) for i in range(8) for j in range(8)], "video long, t long, i int, j int, cost double")
+    videos = spark.createDataFrame([(1, 1e6, 25.0, 640, 360)], "video long, bit_rate double, fps double, width int, height int")
+    c = selection.Config(grouping="readiness", readiness_mode="clamped_sqrt_bpppf", readiness_norm=1e9, max_frames=10)
+    assert {r.frame_count for r in selection.grouped_blocks(grid, c, videos=videos).select("group_idx", "frame_count").distinct().collect()} == {10}
+    with pytest.raises(ValueError):
+        selection.select_patches(grid, c)
+    costs = spark.createDataFrame([(1, t, 1.0) for t in range(10)], "video long, t int, cost double")
+    cut = groups.adaptive_gop(costs, 50, 2, 3)
+    assert [r.stop_reason for r in cut.orderBy("start").collect()] == ["adaptive_gop_max_group_frames"] * 3 + ["adaptive_gop_tail"]
+    assert [(r.start, r.end, r.stop_reason) for r in groups.merge_gops(cut, 3).orderBy("start").collect()] == [(0, 6, "adaptive_gop_target_canvas_merge"), (6, 9, "adaptive_gop_max_group_frames"), (9, 10, "adaptive_gop_tail")]
+
+
 def test_doctor(capsys):
     from patchweave.__main__ import main
 
