@@ -123,6 +123,15 @@ def motion_fusion(spark, sf):
     return r6(scores.fuse_motion(cells, 0.5, "sum", True), "cost")
 
 
+@query("bitcost_parts", "WITH u AS (SELECT o_orderkey AS unit, o_totalprice::DOUBLE AS total, CASE o_orderkey % 3 WHEN 0 THEN 'h264' WHEN 1 THEN 'hevc' ELSE 'vp9' END AS codec FROM orders), p AS (SELECT l_orderkey AS unit, (l_linenumber - 1) * 2 AS f, 1 + l_linenumber % 3 AS n, l_extendedprice::DOUBLE AS cost FROM lineitem), a AS (SELECT unit, sum(cost) AS assigned FROM p GROUP BY 1), r AS (SELECT u.*, total - coalesce(assigned, 0) AS rest FROM u LEFT JOIN a ON a.unit = u.unit), b AS (SELECT unit, unnest(range(16)) AS cell, CASE WHEN codec = 'vp9' THEN total WHEN codec = 'hevc' THEN CASE WHEN abs(rest) > 1e-3 THEN rest ELSE 0 END WHEN rest > 0 THEN rest ELSE 0 END / 16 AS share FROM r UNION ALL SELECT p.unit, unnest(range(f, f + n)), cost / n FROM p JOIN u ON u.unit = p.unit WHERE codec <> 'vp9') SELECT unit, cell, round(sum(share), 6) AS share FROM b GROUP BY ALL")
+def bitcost_parts(spark, sf):
+    """Orders as units of sixteen cells, their lines as parts with costs of their own."""
+    codec = F.when(F.col("o_orderkey") % 3 == 0, "h264").when(F.col("o_orderkey") % 3 == 1, "hevc").otherwise("vp9")
+    units = src.table(spark, sf, "orders").select(F.col("o_orderkey").alias("unit"), F.lit(16).alias("cells"), F.col("o_totalprice").cast("double").alias("total"), codec.alias("codec_name"))
+    parts = src.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("unit"), ((F.col("l_linenumber") - 1) * 2).alias("first"), (1 + F.col("l_linenumber") % 3).alias("count"), F.col("l_extendedprice").cast("double").alias("cost"))
+    return scores.distribute_parts(units, parts).withColumn("share", F.round("share", 6))
+
+
 @query("iframe_clip_by_area", with_views("n AS (SELECT floor(y * 8 / 14.0)::INT AS c, count(*) AS n FROM range(14) r(y) GROUP BY 1), gw AS (SELECT g.*, a.n * b.n AS w, t % 16 = 0 AS key FROM grid g JOIN n a ON a.c = i JOIN n b ON b.c = j), cap AS (SELECT video, quantile_cont(cost, 0.9) AS cap FROM (SELECT video, cost, unnest(range(w)) FROM gw WHERE NOT key) GROUP BY 1) SELECT g.video, t, i, j, round(CASE WHEN key THEN least(cost, coalesce(cap, cost)) ELSE cost END, 6) AS cost, key AND cap IS NOT NULL AND cost > cap AS changed FROM gw g LEFT JOIN cap ON cap.video = g.video", "grid"))
 def iframe_clip_by_area(spark, sf):
     """The cap counts a cell as often as it has pixels after resizing to 14 x 14."""
@@ -281,6 +290,21 @@ def canvas_pixels(spark, sf):
     return drawn.select("video", "group_idx", "canvas_idx", "h", "w", F.md5(F.hex("rgb").cast("binary")).alias("digest"))
 
 
+USED = "bk AS (SELECT DISTINCT video, group_idx AS bucket, anchor_t FROM g), bf AS (SELECT video, t FROM flags WHERE is_bad), pl AS (SELECT c.video, c.bucket, c.t, d.bh, d.bw, row_number() OVER (PARTITION BY c.video, c.bucket ORDER BY c.t, d.bh, d.bw) - 1 AS place FROM chosen c JOIN cd d ON d.video = c.video AND d.bucket = c.bucket AND d.t = c.t AND d.block_idx = c.block_idx), fg AS (SELECT video, bucket, arg_min(t, place) AS t FROM pl WHERE NOT EXISTS (SELECT 1 FROM bf WHERE bf.video = pl.video AND bf.t = pl.t) GROUP BY ALL), us AS (SELECT bk.video, bk.bucket, CASE WHEN EXISTS (SELECT 1 FROM bf WHERE bf.video = bk.video AND bf.t = bk.anchor_t) THEN coalesce(fg.t, anchor_t) ELSE anchor_t END AS used_t FROM bk LEFT JOIN fg ON fg.video = bk.video AND fg.bucket = bk.bucket), sl AS (SELECT us.*, c AS canvas_idx, s AS slot FROM us, range(4) x(c), range(16) y(s)), so AS (SELECT sl.video, sl.bucket, canvas_idx, slot, CASE WHEN canvas_idx = 0 THEN used_t ELSE pl.t END AS t, CASE WHEN canvas_idx = 0 THEN slot // 4 ELSE pl.bh END AS bh, CASE WHEN canvas_idx = 0 THEN slot % 4 ELSE pl.bw END AS bw FROM sl LEFT JOIN pl ON pl.video = sl.video AND pl.bucket = sl.bucket AND canvas_idx = 1 + place // 16 AND slot = place % 16 AND NOT EXISTS (SELECT 1 FROM bf WHERE bf.video = pl.video AND bf.t = pl.t))"
+
+
+@query("bucket_canvases", with_views(f"{CAND}, {_slices()}, {STATS}, {USED} SELECT video, bucket, canvas_idx, (slot // 4) * 2 + k // 2 AS patch_h, (slot % 4) * 2 + k % 2 AS patch_w, coalesce(t, -1) AS src_frame, coalesce(bh * 2 + k // 2, -1) AS src_patch_h, coalesce(bw * 2 + k % 2, -1) AS src_patch_w, round(coalesce(t / 25.0::DOUBLE, -1), 6) AS seconds FROM so, range(4) z(k)", "grid", "pixel"))
+def bucket_canvases(spark, sf):
+    """Whole anchors and stratified blocks in order of time; bad frames leave gaps."""
+    flags = _flags(spark, sf).select("video", "t", (~F.col("is_bad")).alias("good"), F.lit(25.0).alias("fps"))
+    blocks = _bucketed(spark, sf)
+    picked = sel.stratified(blocks, IMAGES, PER_IMAGE).select("video", "bucket", "t", "block_idx", "score")
+    chosen = sel.reordered(picked.join(blocks.select("video", "bucket", "t", "block_idx", "bh", "bw"), ["video", "bucket", "t", "block_idx"]), "time")
+    buckets = _grouped(spark, sf).select("video", F.col("group_idx").alias("bucket"), "anchor_t").distinct()
+    used = anchors.usable_anchor(buckets, chosen, flags)
+    return r6(layout.bucket_placements(used.select("video", "bucket", "used_t"), chosen, flags, SIDE, HB, WB, IMAGES), "seconds")
+
+
 @query("canvas_wh_raster", with_views(f"{PLACED}, wr AS (SELECT video, group_idx, r * 4 + k AS q, t AS src_frame, bh * 2 + k // 2 AS src_patch_h, bw * 2 + k % 2 AS src_patch_w FROM rr, range(4) x(k)) SELECT video, group_idx, q // 64 AS canvas_idx, (q % 64) // 8 AS patch_h, q % 8 AS patch_w, src_frame, src_patch_h, src_patch_w FROM wr", "grid"))
 def canvas_wh_raster(spark, sf):
     return layout.placements(_grouped(spark, sf), _topk(spark, sf), SIDE, HB, WB, "wh_raster")

@@ -35,6 +35,28 @@ def placements(blocks: DataFrame, selected: DataFrame, block: int, hb: int, wb:
     )
 
 
+def bucket_placements(buckets: DataFrame, chosen: DataFrame, frames: DataFrame, block: int, hb: int, wb: int, images: int) -> DataFrame:
+    """Canvases of buckets: first the whole anchor frame, then ``images`` of chosen blocks in their order; -1 where nothing is shown.
+
+    buckets(video, bucket, used_t), chosen(video, bucket, t, bh, bw, place), frames(video, t, good, fps).  Chosen blocks of
+    bad frames leave their place empty.  seconds is the time of the source frame, -1 for padding.
+    """
+    per, sq, wide = (hb * wb) // block**2, block * block, wb // block
+    rate = F.when(F.col("fps") > 0, F.col("fps")).otherwise(30.0)
+    slots = buckets.withColumn("canvas_idx", F.explode(F.sequence(F.lit(0), F.lit(images)))).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(per - 1))))
+    usable = chosen.join(frames.filter("good").select("video", "t"), ["video", "t"], "left_semi")
+    shown = usable.select("video", "bucket", (F.floor(F.col("place") / per) + 1).cast("int").alias("canvas_idx"), (F.col("place") % per).cast("int").alias("slot"), F.col("t").alias("_t"), F.col("bh").alias("_bh"), F.col("bw").alias("_bw"))
+    joined = slots.join(shown, ["video", "bucket", "canvas_idx", "slot"], "left")
+    first = F.col("canvas_idx") == 0
+    source = joined.select("video", "bucket", "canvas_idx", "slot", F.when(first, F.col("used_t")).otherwise(F.col("_t")).alias("t"), F.when(first, F.floor(F.col("slot") / wide)).otherwise(F.col("_bh")).alias("bh"), F.when(first, F.col("slot") % wide).otherwise(F.col("_bw")).alias("bw"))
+    timed = source.join(frames.select("video", "t", rate.alias("fps")), ["video", "t"], "left").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(sq - 1))))
+    dh, dw, none = F.floor(F.col("k") / block), F.col("k") % block, F.lit(-1)
+    return timed.select(
+        "video", "bucket", "canvas_idx", (F.floor(F.col("slot") / wide) * block + dh).cast("int").alias("patch_h"), ((F.col("slot") % wide) * block + dw).cast("int").alias("patch_w"), F.coalesce("t", none).alias("src_frame"),
+        F.coalesce((F.col("bh") * block + dh).cast("int"), none).alias("src_patch_h"), F.coalesce((F.col("bw") * block + dw).cast("int"), none).alias("src_patch_w"), F.coalesce(F.col("t") / F.col("fps"), F.lit(-1.0)).alias("seconds"),
+    )
+
+
 def padded(placed: DataFrame, hb: int, wb: int, images: int | None = None) -> DataFrame:
     """Every canvas that is in use filled up: patches without a source hold -1.
 

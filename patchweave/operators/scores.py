@@ -82,6 +82,23 @@ def distribute(units: DataFrame, cells: str, cost: str) -> DataFrame:
     return units.select("unit", F.explode(F.sequence(F.lit(0), F.col(cells).cast("int") - 1)).alias("cell"), (F.col(cost) / F.col(cells)).alias("share"))
 
 
+def distribute_parts(units: DataFrame, parts: DataFrame) -> DataFrame:
+    """Costs of a unit's cells (unit, cell, share): parts spread evenly over the cells they cover, the rest over all.
+
+    units(unit, cells, total, codec_name), parts(unit, first, count, cost).  The rest counts where it is above 0, with
+    hevc where it is not within 1e-3 of 0; vp9 spreads the total evenly whatever its parts.
+    """
+    codec = F.lower("codec_name")
+    assigned = parts.groupBy("unit").agg(F.sum("cost").alias("assigned"))
+    whole = units.join(assigned, "unit", "left")
+    rest = F.col("total") - F.coalesce("assigned", F.lit(0.0))
+    over_all = F.when(codec == "vp9", F.col("total")).when(codec == "hevc", F.when(F.abs(rest) > 1e-3, rest)).otherwise(F.when(rest > 0, rest))
+    base = whole.select("unit", F.explode(F.sequence(F.lit(0), F.col("cells").cast("int") - 1)).alias("cell"), (F.coalesce(over_all, F.lit(0.0)) / F.col("cells")).alias("share"))
+    own = parts.join(units.filter(~F.coalesce(codec == "vp9", F.lit(False))).select("unit"), "unit", "left_semi")
+    spread = own.select("unit", F.explode(F.sequence(F.col("first").cast("int"), (F.col("first") + F.col("count")).cast("int") - 1)).alias("cell"), (F.col("cost") / F.col("count")).alias("share"))
+    return base.union(spread).groupBy("unit", "cell").agg(F.sum("share").alias("share"))
+
+
 #: Fixed names: grids of a frame's costs.
 GRIDS = {"sub": "sub_mb_bit_cost", "mb": "mb_bit_cost", "ctu": "ctu_bit_cost"}
 

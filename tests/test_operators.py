@@ -528,3 +528,12 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["summarize", "--run", f"a={tmp_path}/a.jsonl", "--run", f"b={tmp_path}/b.jsonl"]) == 0
     said = capsys.readouterr().out
     assert "| a | all | all | 2 | 1.0 | 0.5 |" in said and "| b | 2 | 1.0 | 2.0 | 1 | 0 | 1.0 |" in said
+
+
+def test_cost_parts(spark):
+    units = spark.createDataFrame([(1, 4, 12.0, "h264"), (2, 4, 5.0, "h264"), (3, 4, 5.0, "HEVC"), (4, 2, 8.0, "vp9"), (5, 2, 3.0, None)], "unit long, cells int, total double, codec_name string")
+    parts = spark.createDataFrame([(1, 0, 2, 8.0), (2, 1, 1, 9.0), (3, 1, 1, 9.0), (4, 0, 1, 5.0)], "unit long, first int, count int, cost double")
+    got = {}
+    for r in scores.distribute_parts(units, parts).orderBy("unit", "cell").collect():
+        got.setdefault(r.unit, []).append(r.share)
+    assert got == {1: [5.0, 5.0, 1.0, 1.0], 2: [0.0, 9.0, 0.0, 0.0], 3: [-1.0, 8.0, -1.0, -1.0], 4: [4.0, 4.0], 5: [1.5, 1.5]}
