@@ -24,8 +24,8 @@ class _Apart(Fold):
 
 def spaced(anchors: DataFrame, gap: int) -> DataFrame:
     """Anchors (video, t) in order; one nearer than ``gap`` to the last that was kept goes."""
-    rows = anchors.select(F.col("video").cast("long").alias("video"), F.col("t").cast("long").alias("t")).distinct()
-    return fold(rows, ["video"], ["t"], lambda: _Apart(gap), "video long, t long")
+    rows = anchors.select("video", F.col("t").cast("long").alias("t")).distinct()
+    return fold(rows, ["video"], ["t"], lambda: _Apart(gap), "t long")
 
 
 def evenly(anchors: list[int], n: int) -> list[int]:
@@ -116,8 +116,8 @@ def thinned(frames: DataFrame, gap: int, least: int, buckets: int, bucket_sec: f
     Anchors keep ``gap`` frames apart and ``least`` frames from the end; no more than ``buckets``; every bucket has
     ``least`` good frames besides its anchor; a short tail joins the bucket before.
     """
-    rows = frames.select(F.col("video").cast("long").alias("video"), F.col("t").cast("long").alias("t"), "good", "anchor", F.col("fps").cast("double").alias("fps"))
-    return fold(rows, ["video"], ["t"], lambda: _Thin(gap, least, buckets, bucket_sec), "video long, bucket int, t long")
+    rows = frames.select("video", F.col("t").cast("long").alias("t"), "good", "anchor", F.col("fps").cast("double").alias("fps"))
+    return fold(rows, ["video"], ["t"], lambda: _Thin(gap, least, buckets, bucket_sec), "bucket int, t long")
 
 
 def usable_anchor(buckets: DataFrame, chosen: DataFrame, frames: DataFrame) -> DataFrame:

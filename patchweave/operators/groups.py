@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .stream import Fold, fold
+from .stream import Fold, fold, typed
 
-SPEC = "video long, group_idx int, start int, end int, frame_count int, stop_reason string"
+SPEC = "group_idx int, start int, end int, frame_count int, stop_reason string"
 
 
 def budget(images_per_group: int, patches: int, block: int) -> int:
@@ -172,7 +172,7 @@ def readiness_cuts(scores: np.ndarray, threshold: float, block_budget: int, min_
 
 def readiness_groups(blocks: DataFrame, thresholds: DataFrame, block_budget: int, min_frames: int, max_frames: int, bins: int, need_bins: int, delta_ratio: float = 0.02) -> DataFrame:
     """Data-driven groups; every end depends on the one before, so a video is read in order."""
-    rows = blocks.join(thresholds, "video").select(F.col("video").cast("long").alias("video"), "t", "block_idx", "score", "threshold")
+    rows = blocks.join(thresholds, "video").select("video", "t", "block_idx", "score", "threshold")
     return fold(rows, ["video"], ["t", "block_idx"], lambda: ReadinessCuts(block_budget, min_frames, max_frames, bins, need_bins, delta_ratio), SPEC)
 
 
@@ -212,8 +212,7 @@ def adaptive_gop(costs: DataFrame, percentile: float, min_len: int, max_len: int
         rows = costs.select("video", "t", "cost", F.lit(float(gamma)).alias("thr"))
     else:
         rows = costs.join(costs.groupBy("video").agg(F.percentile("cost", F.lit(percentile / 100)).alias("thr")), "video").select("video", "t", "cost", "thr")
-    rows = rows.withColumn("video", F.col("video").cast("long"))
-    return fold(rows, ["video"], ["t"], lambda: CostCuts(min_len, max_len), "video long, group_idx int, start int, end int, frame_count int, stop_reason string, split_cost double")
+    return fold(rows, ["video"], ["t"], lambda: CostCuts(min_len, max_len), SPEC + ", split_cost double")
 
 
 def merge_cheapest(spans: list[tuple[int, int, float | None]], target: int) -> list[tuple[int, int, float | None]]:
@@ -237,7 +236,7 @@ def merge_gops(groups: DataFrame, target: int) -> DataFrame:
         out = merge_cheapest(spans, target)
         return pd.DataFrame([(pdf["video"].iloc[0], i, a, b, b - a, own.get((a, b), "adaptive_gop_target_canvas_merge")) for i, (a, b, _) in enumerate(out)], columns=["video", "group_idx", "start", "end", "frame_count", "stop_reason"])
 
-    return groups.groupBy("video").applyInPandas(merge, SPEC)
+    return groups.groupBy("video").applyInPandas(merge, f"{typed(groups, 'video')}, {SPEC}")
 
 
 def variable_gops(energy: np.ndarray, bin_sec: float, target: int, min_sec: float, max_sec: float) -> list[tuple[int, int]]:
@@ -278,4 +277,4 @@ def energy_gops(bins: DataFrame, bin_sec: float, target: int, min_sec: float, ma
         spans = variable_gops(e, bin_sec, target, min_sec, max_sec)
         return pd.DataFrame([(pdf["video"].iloc[0], i, a, b, (a + b) // 2, round(float(e[a : b + 1].sum()), 6)) for i, (a, b) in enumerate(spans)], columns=["video", "gop_idx", "start_bin", "end_bin", "anchor_bin", "energy_sum"])
 
-    return bins.groupBy("video").applyInPandas(cut, "video long, gop_idx int, start_bin int, end_bin int, anchor_bin int, energy_sum double")
+    return bins.groupBy("video").applyInPandas(cut, f"{typed(bins, 'video')}, gop_idx int, start_bin int, end_bin int, anchor_bin int, energy_sum double")

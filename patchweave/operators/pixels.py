@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import image
 from .select import GROUP, candidates, rank01
-from .stream import Fold, fold
+from .stream import Fold, fold, typed
 
 KEYS = ["video", "group_idx"]
 
@@ -65,8 +65,8 @@ def measured(frames: DataFrame, rows: int, cols: int, descriptor: str = "pooled4
     """
     if descriptor not in ("pooled4", "full"):
         raise ValueError(f"unknown descriptor {descriptor!r}")
-    rows_ = frames.select(F.col("video").cast("long").alias("video"), F.col("group_idx").cast("int").alias("group_idx"), F.col("t").cast("long").alias("t"), "h", "w", "bgr", (F.col("t") == F.col("anchor_t")).alias("is_anchor"))
-    schema = "video long, group_idx int, t long, block_idx long, novelty double, edge double, adjacent double"
+    rows_ = frames.select("video", F.col("group_idx").cast("int").alias("group_idx"), F.col("t").cast("long").alias("t"), "h", "w", "bgr", (F.col("t") == F.col("anchor_t")).alias("is_anchor"))
+    schema = "t long, block_idx long, novelty double, edge double, adjacent double"
     return fold(rows_, KEYS, [F.desc("is_anchor"), "t"], lambda: _Measure(rows, cols, descriptor), schema)
 
 
@@ -112,7 +112,7 @@ def content_mask(grid: DataFrame, boxes: DataFrame) -> DataFrame:
 def patches(frames: DataFrame, placed: DataFrame, patch: int) -> DataFrame:
     """Placements with the pixels of their patch as RGB; a frame is read once for all its patches."""
     spots = placed.filter("src_frame >= 0").groupBy("video", F.col("src_frame").alias("t")).agg(F.collect_list(F.struct("group_idx", "canvas_idx", "patch_h", "patch_w", "src_patch_h", "src_patch_w")).alias("spots"))
-    rows = spots.join(frames.select("video", "t", "h", "w", "bgr"), ["video", "t"]).select(F.col("video").cast("long").alias("video"), "spots", "h", "w", "bgr")
+    rows = spots.join(frames.select("video", "t", "h", "w", "bgr"), ["video", "t"]).select("video", "spots", "h", "w", "bgr")
     names = ["video", "group_idx", "canvas_idx", "patch_h", "patch_w", "rgb"]
 
     def run(batches):
@@ -123,9 +123,9 @@ def patches(frames: DataFrame, placed: DataFrame, patch: int) -> DataFrame:
                 rgb = _array(bgr, h, w)[..., ::-1]
                 at = lambda s: np.ascontiguousarray(rgb[s["src_patch_h"] * patch : (s["src_patch_h"] + 1) * patch, s["src_patch_w"] * patch : (s["src_patch_w"] + 1) * patch]).tobytes()
                 cols = [[video] * len(spots_), *([s[k] for s in spots_] for k in names[1:5]), [at(s) for s in spots_]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), *[pa.int32()] * 4, pa.binary()])], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [batch.schema.field("video").type, *[pa.int32()] * 4, pa.binary()])], names)
 
-    return rows.mapInArrow(run, "video long, group_idx int, canvas_idx int, patch_h int, patch_w int, rgb binary")
+    return rows.mapInArrow(run, f"{typed(rows, 'video')}, group_idx int, canvas_idx int, patch_h int, patch_w int, rgb binary")
 
 
 class _Canvas(Fold):
@@ -145,7 +145,7 @@ class _Canvas(Fold):
 
 def canvases(frames: DataFrame, placed: DataFrame, hb: int, wb: int, patch: int) -> DataFrame:
     """video, group_idx, canvas_idx, h, w, rgb: canvases of hb x wb patches; places without a source are black."""
-    return fold(patches(frames, placed, patch), ["video", "group_idx", "canvas_idx"], ["patch_h", "patch_w"], lambda: _Canvas(hb, wb, patch), "video long, group_idx int, canvas_idx int, h int, w int, rgb binary")
+    return fold(patches(frames, placed, patch), ["video", "group_idx", "canvas_idx"], ["patch_h", "patch_w"], lambda: _Canvas(hb, wb, patch), "h int, w int, rgb binary")
 
 
 def keep_masks(placed: DataFrame) -> DataFrame:
@@ -156,7 +156,7 @@ def keep_masks(placed: DataFrame) -> DataFrame:
 def masked_frames(frames: DataFrame, placed: DataFrame, patch: int, side_by_side: bool = False) -> DataFrame:
     """video, t, h, w, bgr: frames with only the patches that are shown, beside the whole frame if asked for."""
     masks = keep_masks(placed).groupBy("video", "t").agg(F.collect_list(F.struct("patch_h", "patch_w")).alias("kept"))
-    rows = frames.select("video", "t", "h", "w", "bgr").join(masks, ["video", "t"], "left").select(F.col("video").cast("long").alias("video"), F.col("t").cast("long").alias("t"), "h", "w", "bgr", "kept")
+    rows = frames.select("video", "t", "h", "w", "bgr").join(masks, ["video", "t"], "left").select("video", F.col("t").cast("long").alias("t"), "h", "w", "bgr", "kept")
 
     def run(batches):
         import pyarrow as pa
@@ -172,9 +172,9 @@ def masked_frames(frames: DataFrame, placed: DataFrame, patch: int, side_by_side
                 shown = np.concatenate([whole, part], 1) if side_by_side else part
                 out.append((video, t, h, shown.shape[1], shown.tobytes()))
             cols = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()])], ["video", "t", "h", "w", "bgr"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [batch.schema.field("video").type, pa.int64(), pa.int32(), pa.int32(), pa.binary()])], ["video", "t", "h", "w", "bgr"])
 
-    return rows.mapInArrow(run, "video long, t long, h int, w int, bgr binary")
+    return rows.mapInArrow(run, f"{typed(rows, 'video')}, t long, h int, w int, bgr binary")
 
 
 def numbered_canvases(canvas: DataFrame) -> DataFrame:

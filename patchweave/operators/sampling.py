@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry
 from . import energy, groups
-from .stream import Fold, fold
+from .stream import Fold, fold, typed
 
 
 def sample_fps(videos: DataFrame, rate: float) -> DataFrame:
@@ -150,7 +150,7 @@ def sample_energy_cdf(bins: DataFrame, videos: DataFrame, bin_sec: float, k: int
         ids = energy_cdf_ids(pdf["energy"].to_numpy(), bin_sec, float(pdf["fps"].iloc[0]), int(pdf["total_frames"].iloc[0]), k, mix, max_per_bin)
         return pd.DataFrame({"video": pdf["video"].iloc[0], "t": range(len(ids)), "frame_id": ids})
 
-    return bins.join(videos.select("video", "fps", "total_frames"), "video").groupBy("video").applyInPandas(deal, "video long, t int, frame_id long")
+    return bins.join(videos.select("video", "fps", "total_frames"), "video").groupBy("video").applyInPandas(deal, f"{typed(bins, 'video')}, t int, frame_id long")
 
 
 def cover_time(sampled: DataFrame, videos: DataFrame, every_sec: float, k: int) -> DataFrame:
@@ -278,5 +278,4 @@ def allocate_frames(windows: DataFrame, k: int) -> DataFrame:
         def end(self):
             return list(enumerate(allocate_ids(self.windows, k)))
 
-    rows = windows.select(F.col("video").cast("long").alias("video"), "rank", "start", "end", "score")
-    return fold(rows, ["video"], ["rank"], Deal, "video long, t int, frame_id long")
+    return fold(windows.select("video", "rank", "start", "end", "score"), ["video"], ["rank"], Deal, "t int, frame_id long")

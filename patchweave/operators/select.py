@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .stream import typed
+
 GROUP = ["video", "group_idx"]
 
 
@@ -174,8 +176,8 @@ def diverse_counted(candidates: DataFrame, budget: int, fraction: float = 0.10,
         pdf["rejected"], pdf["rejected_unique"], pdf["comparisons"] = counters["rejected"], len(counters["unique"]), counters["comparisons"]
         return pdf.loc[origin > 0, ["video", "group_idx", "t", "block_idx", "score", "origin", "rejected", "rejected_unique", "comparisons"]]
 
-    rows = candidates.select(F.col("video").cast("long").alias("video"), "group_idx", F.col("t").cast("long").alias("t"), F.col("block_idx").cast("long").alias("block_idx"), "score", "diversity", "adjacent", F.col("anchor_t").cast("long").alias("anchor_t"))
-    return rows.groupBy(*GROUP).applyInPandas(pick, "video long, group_idx int, t long, block_idx long, score double, origin string, rejected long, rejected_unique long, comparisons long")
+    rows = candidates.select("video", "group_idx", F.col("t").cast("long").alias("t"), F.col("block_idx").cast("long").alias("block_idx"), "score", "diversity", "adjacent", F.col("anchor_t").cast("long").alias("anchor_t"))
+    return rows.groupBy(*GROUP).applyInPandas(pick, f"{typed(rows, *GROUP)}, t long, block_idx long, score double, origin string, rejected long, rejected_unique long, comparisons long")
 
 
 def penalised(blocks: DataFrame, penalty: float) -> DataFrame:
@@ -231,8 +233,8 @@ def stratified(candidates: DataFrame, images: int, per_image: int, by: list[str]
         out["image"], out["place"] = [i for i, _ in found], range(len(found))
         return out
 
-    rows = candidates.select(*[F.col(c).cast("long").alias(c) for c in by], F.col("t").cast("long").alias("t"), F.col("block_idx").cast("long").alias("block_idx"), F.col("score").cast("double").alias("score"))
-    return rows.groupBy(*by).applyInPandas(pick, ", ".join(f"{c} long" for c in by) + ", t long, block_idx long, score double, image int, place int")
+    rows = candidates.select(*by, F.col("t").cast("long").alias("t"), F.col("block_idx").cast("long").alias("block_idx"), F.col("score").cast("double").alias("score"))
+    return rows.groupBy(*by).applyInPandas(pick, f"{typed(rows, *by)}, t long, block_idx long, score double, image int, place int")
 
 
 def reordered(chosen: DataFrame, mode: str, by: list[str] | None = None) -> DataFrame:

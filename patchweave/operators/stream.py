@@ -17,13 +17,19 @@ class Fold:
         return []
 
 
+def typed(df: DataFrame, *columns: str) -> str:
+    """Columns with the types they have, as a piece of a schema: keys may be numbers or text."""
+    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
 def fold(df: DataFrame, keys: list[str], order: list, make: Callable[[], Fold], schema: str) -> DataFrame:
-    """``make()`` folds the rows of every key, in order; result rows are the key followed by what the fold returns.
+    """``make()`` folds the rows of every key, in order; result rows are the key followed by what the fold returns (``schema``).
 
     ``row`` is given the columns of ``df`` but the keys.  Results leave in batches, whatever the length of a key.
     """
     at = [df.columns.index(k) for k in keys]
     rest = [i for i in range(len(df.columns)) if i not in at]
+    schema = f"{typed(df, *keys)}, {schema}"
     kinds = df.sparkSession.createDataFrame([], schema).schema.json()
 
     def run(batches):

@@ -537,3 +537,22 @@ def test_cost_parts(spark):
     for r in scores.distribute_parts(units, parts).orderBy("unit", "cell").collect():
         got.setdefault(r.unit, []).append(r.share)
     assert got == {1: [5.0, 5.0, 1.0, 1.0], 2: [0.0, 9.0, 0.0, 0.0], 3: [-1.0, 8.0, -1.0, -1.0], 4: [4.0, 4.0], 5: [1.5, 1.5]}
+
+
+def test_videos_named_by_paths(spark):
+    """Everything that passes through Python keeps the type of the key."""
+    rng = np.random.default_rng(9)
+    cells = [(f"/v/{v}.mp4", t, i, j, float(rng.random())) for v in "ab" for t in range(24) for i in range(8) for j in range(8)]
+    grid = spark.createDataFrame(cells, "video string, t long, i int, j int, cost double").cache()
+    frames = spark.createDataFrame([(f"/v/{v}.mp4", t, 8, 8, rng.integers(0, 255, 192, dtype=np.uint8).tobytes()) for v in "ab" for t in range(24)], "video string, t long, h int, w int, bgr binary").cache()
+    names = {"/v/a.mp4", "/v/b.mp4"}
+    for c in (selection.Config(selector="diverse_mixed", dedup_descriptor="full", group_size=12), selection.Config(grouping="readiness", max_frames=12), selection.Config(grouping="adaptive_gop", target_groups=2, max_frames=9)):
+        chosen, placed = selection.select_patches(grid, c, frames)
+        assert {r.video for r in chosen.select("video").distinct().collect()} == names
+    drawn = pixels.numbered_canvases(pixels.canvases(frames, placed, 8, 8, 1))
+    assert {r.video for r in records.as_png(drawn).collect()} == names and {r.video for r in pixels.masked_frames(frames, placed, 1).collect()} == names
+    packets = spark.createDataFrame([(f"/v/{v}.mp4", float(s), float(s * s % 7), "___") for v in "ab" for s in range(30)], "video string, pts_time double, size double, flags string")
+    videos = spark.createDataFrame([(n, 300, 10.0) for n in names], "video string, total_frames int, fps double")
+    bins = energy.energy_bins(packets, 1.0, 1)
+    for got in (groups.energy_gops(bins, 1.0, 3, 2.0, 9.0), sampling.sample_energy_cdf(bins, videos, 1.0, 8), sampling.allocate_frames(sampling.pick_windows(videos, packets, 50, 5, 2), 8), anchors.spaced(grid.select("video", "t"), 5), anchors.thinned(frames.select("video", "t", F.lit(True).alias("good"), (F.col("t") % 4 == 0).alias("anchor"), F.lit(1.0).alias("fps")), 4, 2, 4), select.stratified(grid.filter("j = 0").select("video", F.lit(0).alias("bucket"), "t", F.col("i").alias("block_idx"), F.col("cost").alias("score")), 2, 4)):
+        assert {r.video for r in got.select("video").distinct().collect()} == names
