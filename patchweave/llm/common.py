@@ -45,7 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-def stage(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+def stage(df: DataFrame, name: str, narrow: bool = False, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and lost executors cost nothing before it.
 
     A ``narrow`` table (a few numbers a row) goes into an eighth as many files as there are shuffle partitions.
@@ -54,7 +54,7 @@ def stage(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     if narrow:
         df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).option("compression", codec).parquet(path)
     _staged[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._patchweave_path = path
