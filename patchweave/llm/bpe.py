@@ -26,18 +26,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, session, ship, stage, table
+from .common import map_arrow, release_part, session, ship, stage, table
 from .tokens import PreTokens, byte_alphabet, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Characters of text, distinct words and documents of a chunk.
-CHUNK_CHARACTERS, CHUNK_WORDS, CHUNK_DOCS = 24 << 20, 400_000, 50_000
-#: Bytes of packed ids that a task holds before it passes them on.
-HOLD = 32 << 20
+CHUNK_CHARACTERS, CHUNK_WORDS, CHUNK_DOCS = 32 << 20, 600_000, 50_000
+#: Places of words that a task encodes at a time.
+HOLD = 100_000
+#: Shares of the words (by hash) that are shuffled and encoded one after the other: what one needs on disk is gone before the next.
+SLICES = 3
+#: Compression of packed numbers.
+LEVEL = 9
 
 
 def _chunks(path: str, characters: int, words: int, docs: int):
-    """Rows (chunk, doc_ids, lengths, places, words): places are 32-bit numbers into words, lengths those of documents."""
+    """For every chunk a row of kind 0 with its doc_ids, the lengths of documents and the places of their words, and one of kind 1 with its words."""
 
     def make():
         from array import array
@@ -47,7 +51,7 @@ def _chunks(path: str, characters: int, words: int, docs: int):
         from pyspark import TaskContext
 
         pre = PreTokens(path)
-        names = ["chunk", "doc_ids", "lengths", "places", "words"]
+        kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.string())]
 
         def split(text):
             if pre.cut is None or not any(s in text for s in pre.special):
@@ -64,9 +68,15 @@ def _chunks(path: str, characters: int, words: int, docs: int):
             chunk = TaskContext.get().partitionId() << 32
             seen, ids, lengths, places, read = {}, [], [], array("I"), 0
 
-            def row():
-                one = [pa.array([chunk]), pa.array([ids], pa.list_(pa.int64())), pa.array([np.array(lengths, "<u4").tobytes()], pa.binary())]
-                return pa.RecordBatch.from_arrays([*one, pa.array([places.tobytes()], pa.binary()), pa.array([list(seen)], pa.list_(pa.string()))], names)
+            def both():
+                # the more frequent the word the smaller its place, which packs well
+                of = np.frombuffer(places, np.uint32)
+                order = np.argsort(-np.bincount(of, minlength=len(seen)), kind="stable")
+                rank = np.empty(len(seen), np.uint32)
+                rank[order] = np.arange(len(seen))
+                own = list(seen)
+                for row in ((0, chunk, ids, packed(lengths), packed(rank[of]), None), (1, chunk, None, None, None, [own[i] for i in order])):
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], ["kind", "chunk", "doc_ids", "lengths", "places", "words"])
 
             for batch in batches:
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -77,58 +87,86 @@ def _chunks(path: str, characters: int, words: int, docs: int):
                     places.extend(place)
                     read += len(text)
                     if read > characters or len(seen) > words or len(ids) >= docs:
-                        yield row()
+                        yield from both()
                         chunk += 1
                         seen, ids, lengths, places, read = {}, [], [], array("I"), 0
             if ids:
-                yield row()
+                yield from both()
 
         return run
 
     return make
 
 
+def packed(values) -> bytes:
+    """32-bit numbers byte plane by byte plane, compressed: what ``unpacked`` gives back."""
+    import numpy as np
+    import pyarrow as pa
+
+    planes = np.ascontiguousarray(np.asarray(values, "<u4")).view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(planes).to_bytes(8, "little") + (pa.Codec("zstd", compression_level=LEVEL).compress(planes, asbytes=True) if planes else b"")
+
+
+def unpacked(data: bytes):
+    import numpy as np
+    import pyarrow as pa
+
+    size = int.from_bytes(data[:8], "little")
+    planes = pa.decompress(data[8:], size, codec="zstd", asbytes=True) if size else b""
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _encode_words(path: str, hold: int):
-    """From (word, chunk, place), equal words together: rows (chunk, places, sizes, ids), each of many words of a chunk."""
+    """From (word, chunk, place), equal words together: rows (chunk, places, sizes, ids), each of many words of a chunk; of places the steps from one to the next."""
 
     def make():
-        from collections import defaultdict
+        import os
 
         import numpy as np
         import pyarrow as pa
 
-        pre = PreTokens(path)
-        special = {s: pre.tok.token_to_id(s) for s in pre.special}
-
-        def encode(word):
-            if word in special:
-                return np.array([special[word]], "<u4").tobytes()
-            tokenize = pre.tok.model.tokenize
-            return np.array([t.id for p, _ in pre.pre.pre_tokenize_str(word) for t in tokenize(p)], "<u4").tobytes()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one core's work
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_file(path)
+        tok.no_truncation()
+        tok.no_padding()
+        last: list = [None, None]
+
+        def rows(held):
+            rows = pa.Table.from_batches(held).combine_chunks()
+            words = rows.column(0).combine_chunks().dictionary_encode()
+            words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
+            fresh = words.dictionary.to_pylist()
+            again = fresh[0] == last[0]  # the word that the rows before ended in
+            ids = [last[1]] * again + [np.array(e.ids, "<u4") for e in tok.encode_batch_fast(fresh[again:], add_special_tokens=False)]
+            last[:] = fresh[-1], ids[-1]
+            size = np.array([len(x) for x in ids], np.int64)
+            start, flat = np.cumsum(size) - size, np.concatenate(ids)
+            word, chunk, place = (np.asarray(c) for c in (words.indices, rows.column(1), rows.column(2)))
+            order = np.argsort(chunk, kind="stable")
+            edges = np.flatnonzero(np.diff(chunk[order], prepend=-1, append=-1))
+            out = []
+            for a, b in zip(edges[:-1], edges[1:]):
+                mine = order[a:b]
+                mine = mine[np.argsort(place[mine])]
+                w = word[mine]
+                out.append((int(chunk[mine[0]]), packed(np.diff(place[mine], prepend=0)), packed(size[w]), packed(flat[gather(start[w], size[w])])))
+            for lo in range(0, len(out), 1000):
+                cols = list(zip(*out[lo : lo + 1000]))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["chunk", "places", "sizes", "ids"])
 
         def run(batches):
-            held: dict = defaultdict(lambda: ([], []))
-            size, last, ids = 0, None, b""
-
-            def out():
-                rows = [(c, np.array(p, "<u4").tobytes(), np.array([len(x) // 4 for x in i], "<u4").tobytes(), b"".join(i)) for c, (p, i) in held.items()]
-                for lo in range(0, len(rows), 64):
-                    cols = list(zip(*rows[lo : lo + 64]))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["chunk", "places", "sizes", "ids"])
-
+            held, n = [], 0
             for batch in batches:
-                for word, chunk, place in zip(*(c.to_pylist() for c in batch.columns)):
-                    if word != last:
-                        last, ids = word, encode(word)
-                    mine = held[chunk]
-                    mine[0].append(place)
-                    mine[1].append(ids)
-                    size += 24 + len(ids)
-                if size > hold:
-                    yield from out()
-                    held.clear()
-                    size = 0
-            yield from out()
+                if batch.num_rows:
+                    held.append(batch)
+                    n += batch.num_rows
+                if n >= hold:
+                    yield from rows(held)
+                    held, n = [], 0
+            if held:
+                yield from rows(held)
 
         return run
 
@@ -150,13 +188,15 @@ def _documents(docs, words):
 
     if not docs.num_rows:
         return pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.binary())})
-    numbers = lambda name: np.frombuffer(b"".join(words[name].to_pylist()), "<u4").astype(np.int64)
-    place, size, flat = numbers("places"), numbers("sizes"), np.frombuffer(b"".join(words["ids"].to_pylist()), "<u4")
+    none = np.zeros(0, "<u4")
+    column = lambda name: map(unpacked, words[name].to_pylist())
+    place = np.concatenate([none, *map(np.cumsum, column("places"))]).astype(np.int64)
+    size, flat = np.concatenate([none, *column("sizes")]).astype(np.int64), np.concatenate([none, *column("ids")])
     start = np.zeros(len(place), np.int64)
     length = np.zeros(len(place), np.int64)
     start[place], length[place] = np.cumsum(size) - size, size
     row = docs.to_pylist()[0]
-    of, n = np.frombuffer(row["places"], "<u4"), np.frombuffer(row["lengths"], "<u4").astype(np.int64)
+    of, n = unpacked(row["places"]), unpacked(row["lengths"]).astype(np.int64)
     edges, out = np.concatenate([[0], np.cumsum(n)]), []
     for a, b in zip(edges[:-1], edges[1:]):
         mine = of[a:b]
@@ -164,15 +204,21 @@ def _documents(docs, words):
     return pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "ids": pa.array(out, pa.binary())})
 
 
-def encode(docs: DataFrame, path: str | None = None, characters: int = CHUNK_CHARACTERS, words: int = CHUNK_WORDS, chunk_docs: int = CHUNK_DOCS, hold: int = HOLD) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, characters: int = CHUNK_CHARACTERS, words: int = CHUNK_WORDS, chunk_docs: int = CHUNK_DOCS, hold: int = HOLD, slices: int = SLICES) -> DataFrame:
     """doc_id, ids (unsigned 32-bit little-endian numbers) of every row of ``docs``."""
     ship(session(docs))
     path = path or tokenizer_path(VOCABULARY)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    chunks = stage(map_arrow(text, _chunks(path, characters, words, chunk_docs), "chunk long, doc_ids array<long>, lengths binary, places binary, words array<string>"), "bpe-chunks", codec="zstd")
-    placed = chunks.select("chunk", F.posexplode("words").alias("place", "word")).select("word", "chunk", "place")
-    encoded = map_arrow(placed.repartition("word").sortWithinPartitions("word"), _encode_words(path, hold), "chunk long, places binary, sizes binary, ids binary")
-    return chunks.select("chunk", "doc_ids", "lengths", "places").groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(_documents, "doc_id long, ids binary")
+    kinds = "kind int, chunk long, doc_ids array<long>, lengths binary, places binary, words array<string>"
+    chunks = stage(map_arrow(text, _chunks(path, characters, words, chunk_docs), kinds), "bpe-chunks", codec="zstd", by="kind")
+    placed = chunks.filter("kind = 1").select("chunk", F.posexplode("words").alias("place", "word")).select("word", "chunk", "place")
+    encoded = None
+    for k in range(slices):
+        part = placed.filter(F.pmod(F.xxhash64("word"), F.lit(slices)) == k).repartition("word").sortWithinPartitions("word")
+        part = stage(map_arrow(part, _encode_words(path, hold), "chunk long, places binary, sizes binary, ids binary"), "bpe-words")
+        encoded = part if encoded is None else encoded.union(part)
+    release_part(chunks, "kind=1")  # the words are encoded
+    return chunks.filter("kind = 0").select("chunk", "doc_ids", "lengths", "places").groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(_documents, "doc_id long, ids binary")
 
 
 def pieces(path: str) -> list[bytes]:

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ BLANK = r"[\x20\x09-\x0D]+"
 BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
 #: Bytes of a row group of a staged table: what a writing task holds.
 ROW_GROUP = 32 << 20
+#: Whether shuffle files are deleted when the query that made them has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _shipped: set[str] = set()
 _staged: dict[str, SparkSession] = {}
@@ -45,22 +48,41 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-def stage(df: DataFrame, name: str, narrow: bool = False, codec: str = "snappy") -> DataFrame:
+@contextmanager
+def ending_shuffles(spark: SparkSession):
+    """Shuffle files of what is written within go when it is written: nothing reads them again."""
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
+
+
+def stage(df: DataFrame, name: str, narrow: bool = False, codec: str = "snappy", by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and lost executors cost nothing before it.
 
-    A ``narrow`` table (a few numbers a row) goes into an eighth as many files as there are shuffle partitions.
+    A ``narrow`` table (a few numbers a row) goes into an eighth as many files as there are shuffle partitions.  ``by`` is
+    a column by which the table lies in folders.
     """
     spark = session(df)
     if narrow:
         df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("parquet.block.size", ROW_GROUP).option("compression", codec).parquet(path)
+    writer = df.write.option("parquet.block.size", ROW_GROUP).option("compression", codec)
+    with ending_shuffles(spark):
+        (writer.partitionBy(by) if by else writer).parquet(path)
     _staged[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._patchweave_path = path
     return out
 
 
+def release_part(df: DataFrame, folder: str) -> None:
+    """Delete a folder of a staged table that lies in folders; no frame may read that part any more."""
+    _drop(session(df), f"{path_of(df)}/{folder}")
+
+
 def path_of(df: DataFrame) -> str:
     """Where a frame that ``stage`` gave is written."""
     return df._patchweave_path
