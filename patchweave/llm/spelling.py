@@ -12,9 +12,9 @@ meet if only these are joined.  Where the third bigram of a word stands in it mo
 than once, all its places are joined, as which of them survives is not known.
 Positions limit the join: at equal length a bigram that survives keeps its place,
 in a word that is longer by one it keeps it or moves by one.  And as one edit
-leaves either the first ``END`` or the last ``END`` code points of such words as
-they are, the join asks for one of these to be equal, which keeps every block
-small however frequent its bigram.  What meets is verified by edit distance.
+leaves either the first or the second half of the shorter word as it is, the join
+asks for one of these to be equal, which keeps every block small however frequent
+its bigram.  What meets is verified by edit distance.
 
 Forms: the near word of largest count (ties: the smallest by code point), if it
 occurs ``RATIO`` times as often.  Counts grow along forms, so that following them
@@ -34,7 +34,7 @@ from .common import path_of, release, stage, table
 RUN = r"[A-Za-zÀ-ÿ]"
 SLIP = 31
 LEAST, OFTEN = 7, 2
-PREFIX, END = 3, 3
+PREFIX = 3
 RATIO = 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -72,18 +72,23 @@ def rarest(known: DataFrame, prefix: int = PREFIX) -> DataFrame:
     return kept.select("word", "n", F.explode("b").alias("b")).select("word", "n", "b.g", "b.p")
 
 
-def near(known: DataFrame, prefix: int = PREFIX, end: int = END) -> DataFrame:
+def near(known: DataFrame, prefix: int = PREFIX) -> DataFrame:
     """word, n, other, m: every pair of words exactly one edit apart, in both directions, once each.
 
-    ``known`` has words of 2 * ``end`` + 1 code points and more.
+    ``known`` has words of more than ``prefix`` code points.
     """
-    held = stage(rarest(known, prefix), "spelling-rarest")
-    ends = F.array(F.concat(F.lit("<"), F.substring("word", 1, end)), F.concat(F.lit(">"), F.expr(f"right(word, {end})")))
-    key = lambda p, length: F.xxhash64("g", p, length, "end")
-    held = held.select("word", "n", "g", "p", F.length("word").alias("l"), F.explode(ends).alias("end"))
-    index = held.select(key(F.col("p"), F.col("l")).alias("key"), F.col("word").alias("other"), F.col("n").alias("m"))
-    met = F.array(key(F.col("p"), F.col("l")), key(F.col("p"), F.col("l") + 1), key(F.col("p") + 1, F.col("l") + 1))
-    probe = held.select("word", "n", F.explode(met).alias("key"))
+    held = stage(rarest(known, prefix), "spelling-rarest").withColumn("l", F.length("word"))
+
+    def keys(place, length, shorter, longer):
+        """By bigram, its place, the longer word's length, whether the other is shorter, and one half of the shorter word."""
+        half = F.floor(shorter / 2).cast("int")
+        ends = F.array(F.concat(F.lit("<"), F.substring("word", F.lit(1), half)), F.concat(F.lit(">"), F.right("word", shorter - half)))
+        return F.transform(ends, lambda e: F.xxhash64("g", place, length, longer, e))
+
+    p, size, same, more = F.col("p"), F.col("l"), F.lit(0), F.lit(1)
+    # as a word of the same length, and as one that may be longer by one
+    index = held.select(F.explode(F.concat(keys(p, size, size, same), keys(p, size, size - 1, more))).alias("key"), F.col("word").alias("other"), F.col("n").alias("m"))
+    probe = held.select("word", "n", F.explode(F.concat(keys(p, size, size, same), keys(p, size + 1, size, more), keys(p + 1, size + 1, size, more))).alias("key"))
     shorter = F.length("word") < F.length("other")
     pairs = probe.join(index.hint("merge"), "key").filter((shorter | (F.col("word") < F.col("other"))) & (F.levenshtein("word", "other", 1) == 1)).select("word", "n", "other", "m").distinct()
     pairs = stage(pairs, "spelling-pairs")
@@ -113,8 +118,8 @@ def roots(steps: DataFrame) -> DataFrame:
 
 def variants(docs: DataFrame, least: int = LEAST, often: int = OFTEN, ratio: int = RATIO) -> DataFrame:
     """word, form, root, n, n_near, form_n of every word."""
-    if least < 2 * END + 1:
-        raise ValueError(f"words of {2 * END + 1} code points and more are compared")
+    if least <= PREFIX:
+        raise ValueError(f"words of more than {PREFIX} code points are compared")
     known = stage(words(docs, least, often), "spelling-words")
     found = stage(forms(near(known), ratio), "spelling-forms")
     ended = roots(found.filter(F.col("form").isNotNull()))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .cuts import cut_by_cost, merge_cheapest
 from .stream import Fold, fold, typed
 
 SPEC = "group_idx int, start int, end int, frame_count int, stop_reason string"
@@ -176,52 +177,16 @@ def readiness_groups(blocks: DataFrame, thresholds: DataFrame, block_budget: int
     return fold(rows, ["video"], ["t", "block_idx"], lambda: ReadinessCuts(block_budget, min_frames, max_frames, bins, need_bins, delta_ratio), SPEC)
 
 
-class CostCuts(Fold):
-    """(group_idx, start, end, frame_count, reason, split_cost) of groups cut by cost or length."""
-
-    def __init__(self, min_len: int, max_len: int):
-        self.least = max(1, min_len)
-        self.most = max(self.least, max_len)
-        self.i = self.start = self.count = 0
-
-    def _close(self, reason, cost):
-        out = [(self.count, self.start, self.i, self.i - self.start, reason, cost)]
-        self.start, self.count = self.i, self.count + 1
-        return out
-
-    def row(self, t, cost, threshold):
-        length, out = self.i - self.start, []
-        if self.i:
-            if cost is not None and threshold is not None and cost > threshold and length >= self.least:
-                out = self._close("adaptive_gop_cost", cost)
-            elif length >= self.most:
-                out = self._close("adaptive_gop_max_group_frames", cost)
-        self.i += 1
-        return out
-
-    def end(self):
-        return self._close("adaptive_gop_tail", None)
-
-
 def adaptive_gop(costs: DataFrame, percentile: float, min_len: int, max_len: int, gamma: float = 0.0) -> DataFrame:
     """Groups cut before a frame whose cost exceeds the threshold (``gamma``, or the video's percentile), or at full length.
 
-    A fold over the ordered costs of a video; costs(video, t, cost).  split_cost is the cost that cut a group.
+    costs(video, t, cost), cut in chunks (``cuts``).  split_cost is the cost that cut a group.
     """
     if gamma > 0:
         rows = costs.select("video", "t", "cost", F.lit(float(gamma)).alias("thr"))
     else:
         rows = costs.join(costs.groupBy("video").agg(F.percentile("cost", F.lit(percentile / 100)).alias("thr")), "video").select("video", "t", "cost", "thr")
-    return fold(rows, ["video"], ["t"], lambda: CostCuts(min_len, max_len), SPEC + ", split_cost double")
-
-
-def merge_cheapest(spans: list[tuple[int, int, float | None]], target: int) -> list[tuple[int, int, float | None]]:
-    """Merges neighbours until ``target`` groups are left: the left group with the least split cost goes first and keeps it."""
-    spans = list(spans)
-    while len(spans) > max(1, target):
-        i = min(range(len(spans) - 1), key=lambda k: (spans[k][2] or 0.0, k))
-        spans[i : i + 2] = [(spans[i][0], spans[i + 1][1], spans[i][2])]
-    return spans
+    return cut_by_cost(rows, min_len, max_len)
 
 
 def merge_gops(groups: DataFrame, target: int) -> DataFrame:

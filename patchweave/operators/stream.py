@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from ..ship import ship
+
 
 class Fold:
     """State of one key: ``row`` sees its rows in order, ``end`` follows the last; both return result rows (without the key)."""
@@ -27,6 +29,7 @@ def fold(df: DataFrame, keys: list[str], order: list, make: Callable[[], Fold],
 
     ``row`` is given the columns of ``df`` but the keys.  Results leave in batches, whatever the length of a key.
     """
+    ship(df.sparkSession)
     at = [df.columns.index(k) for k in keys]
     rest = [i for i in range(len(df.columns)) if i not in at]
     schema = f"{typed(df, *keys)}, {schema}"
