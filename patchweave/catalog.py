@@ -112,6 +112,24 @@ def sample_all(spark, sf):
     return sampling.sample_all(src.videos(spark, sf))
 
 
+#: Every seventh video has no frames.
+SOME_EMPTY = "emptied AS (SELECT video, CASE WHEN video % 7 = 0 THEN 0 ELSE total_frames END AS total_frames FROM videos)"
+
+
+def _some_empty(spark, sf):
+    return src.videos(spark, sf).withColumn("total_frames", F.when(F.col("video") % 7 == 0, 0).otherwise(F.col("total_frames")))
+
+
+@query("sample_all_without_frames", with_views(f"{SOME_EMPTY} SELECT video, unnest(range(greatest(1, total_frames)))::INT AS t, unnest(range(greatest(1, total_frames))) AS frame_id FROM emptied", "packet", "videos"))
+def sample_all_without_frames(spark, sf):
+    return sampling.sample_all(_some_empty(spark, sf))
+
+
+@query("sample_uniform_without_frames", with_views(f"{SOME_EMPTY} SELECT video, t, CASE WHEN t = 15 THEN greatest(1, total_frames) - 1 ELSE trunc(t * ((greatest(1, total_frames) - 1) / 15.0::DOUBLE))::BIGINT END AS frame_id FROM (SELECT *, unnest(range(16)) AS t FROM emptied)", "packet", "videos"))
+def sample_uniform_without_frames(spark, sf):
+    return sampling.sample_uniform(_some_empty(spark, sf), 16)
+
+
 @query("sample_fps_plus_peak", with_views(f"{PEAKS}, {FPS_SQL}, both_ AS (SELECT video, frame_id FROM peaks UNION SELECT video, frame_id FROM fps_s) SELECT video, row_number() OVER (PARTITION BY video ORDER BY frame_id) - 1 AS t, frame_id FROM both_", "packet", "videos"))
 def sample_fps_plus_peak(spark, sf):
     return sampling.union_distinct(sample_fps(spark, sf), peak_frames(spark, sf))
@@ -237,6 +255,11 @@ READY = f"{STATS}, th AS (SELECT video, round(coalesce(avg(CASE WHEN frame_count
 
 @query("readiness_groups", with_views(f"{READY} SELECT video, g AS group_idx, s AS start, e AS \"end\", e - s AS frame_count, why AS stop_reason FROM walk", "grid", recursive=True))
 def readiness_groups(spark, sf):
+    return groups.readiness_groups(_blocks(spark, sf), readiness_threshold(spark, sf), BUDGET, 8, 40, NB, 3, 0.02)
+
+
+@query("readiness_groups_default", with_views(f"{READY.replace('delta < 0.02', 'delta < 0.05')} SELECT video, g AS group_idx, s AS start, e AS \"end\", e - s AS frame_count, why AS stop_reason FROM walk", "grid", recursive=True))
+def readiness_groups_default(spark, sf):
     return groups.readiness_groups(_blocks(spark, sf), readiness_threshold(spark, sf), BUDGET, 8, 40, NB, 3)
 
 
@@ -289,6 +312,11 @@ def adaptive_anchor(spark, sf):
     return sel.adaptive_anchor(_grouped(spark, sf), 0.3, 0.7)
 
 
+@query("adaptive_anchor_default", with_views(f"{GROUPED}, c AS (SELECT video, group_idx, t, anchor_t, frame_count, sum(score) AS c FROM g GROUP BY ALL), l AS (SELECT *, min(c) OVER w AS lo, max(c) OVER w AS hi, (frame_count - 1) / 2.0::DOUBLE AS half FROM c WINDOW w AS (PARTITION BY video, group_idx)), s AS (SELECT *, round(0.7 * (1 - abs(t - anchor_t - half) / greatest(half, 1e-9)) + 0.3 * CASE WHEN hi - lo > 1e-12 THEN 1 - (c - lo) / (hi - lo) ELSE 1.0 END, 6) AS s FROM l) SELECT video, group_idx, t AS anchor_t, s AS anchor_score FROM (SELECT *, row_number() OVER (PARTITION BY video, group_idx ORDER BY s DESC, t) AS r FROM s) WHERE r = 1", "grid"))
+def adaptive_anchor_default(spark, sf):
+    return sel.adaptive_anchor(_grouped(spark, sf))
+
+
 GOOD = "score > 2.0"
 
 

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import heapq
-import math
-from collections import Counter
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .cuts import cut_by_cost, merge_cheapest
-from .stream import Fold, fold, typed
+from .readiness import Ready, cut_by_readiness
+from .stream import typed
 
 SPEC = "group_idx int, start int, end int, frame_count int, stop_reason string"
 
@@ -91,90 +88,17 @@ def clamped_threshold(videos: DataFrame, norm: float, low: float = 0.015, high:
     return videos.select("video", (norm * F.sqrt(F.greatest(F.lit(low), F.least(F.lit(high), bits)))).alias("threshold"))
 
 
-class ReadinessCuts(Fold):
-    """(group_idx, start, end, frame_count, reason) of groups that end once their top blocks are worth enough and spread enough.
-
-    The longest passing end wins unless an extension gains too little; the tail that is too short for a group is
-    dropped.  Frames are held from the open group's start on, ``max_frames`` at most; its top blocks are kept in a heap.
-    """
-
-    def __init__(self, block_budget: int, min_frames: int, max_frames: int, bins: int, need_bins: int, delta_ratio: float):
-        self.budget, self.least, self.bins, self.need, self.ratio = block_budget, max(4, min_frames), bins, need_bins, delta_ratio
-        self.most = max(max_frames, self.least)
-        self.frames: list[list[float]] = []
-        self.threshold = 0.0
-        self.t, self.start, self.count = None, 0, 0
-
-    def row(self, t, block_idx, score, threshold):
-        self.threshold = threshold
-        if t != self.t:
-            self.t, out = t, self._open(final=False)
-            self.frames.append([])
-        else:
-            out = []
-        self.frames[-1].append(score)
-        return out
-
-    def end(self):
-        return self._open(final=True)
-
-    def _open(self, final: bool) -> list[tuple]:
-        """Groups whose end is known: all that need no frame beyond those held."""
-        out = []
-        while len(self.frames) >= (self.least if final else self.most):
-            length, reason = self._cut(len(self.frames), final)
-            out.append((self.count, self.start, self.start + length, length, reason))
-            self.frames, self.start, self.count = self.frames[length:], self.start + length, self.count + 1
-        return out
-
-    def _cut(self, n: int, final: bool) -> tuple[int, str]:
-        best, prev, reason, top, taken = None, None, "", [], Counter()
-        last = min(n, self.most)
-        for end in range(1, last + 1):
-            if end > 1:
-                for b, score in enumerate(self.frames[end - 1]):
-                    item = (round(score, 6), -(end - 1), -b, score)
-                    if len(top) < self.budget:
-                        heapq.heappush(top, item)
-                        taken[end - 1] += 1
-                    elif top and item > top[0]:
-                        gone = heapq.heapreplace(top, item)
-                        taken[end - 1] += 1
-                        taken[-gone[1]] -= 1
-            if end < min(n, self.least):
-                continue
-            total = math.fsum(x[3] for x in top)
-            delta = 1.0 if prev is None else (total - prev) / max(abs(prev), 1e-6)
-            if self._bins_hit([t for t, k in taken.items() if k], end) >= self.need and total >= self.threshold:
-                best, reason = end, "readiness_threshold"
-                if prev is not None and delta < self.ratio:
-                    reason = "readiness_threshold_low_gain"
-                    break
-            prev = total
-        if best is None:
-            best, reason = last, "tail_flush" if final and last == n else "max_group_frames"
-        return best, reason
-
-    def _bins_hit(self, frames: list[int], length: int) -> int:
-        top = max(2, length)
-        edges = [int(1 + k * ((top - 1) / self.bins)) for k in range(self.bins)] + [top]
-        spans = [(a, max(b, a + 1)) for a, b in zip(edges, edges[1:])]
-        return len({next((k for k, (a, b) in enumerate(spans) if a <= t < b), None) for t in frames} - {None})
-
-
 def readiness_cuts(scores: np.ndarray, threshold: float, block_budget: int, min_frames: int, max_frames: int, bins: int, need_bins: int, delta_ratio: float) -> list[tuple[int, int, str]]:
     """(start, end, reason) of the groups of one video; ``scores`` is frames x blocks."""
-    cuts, out = ReadinessCuts(block_budget, min_frames, max_frames, bins, need_bins, delta_ratio), []
-    for t, frame in enumerate(scores):
-        for b, x in enumerate(frame):
-            out += cuts.row(t, b, float(x), threshold)
-    return [(start, end, reason) for _, start, end, _, reason in out + cuts.end()]
+    frames = [np.asarray(f, float) for f in scores]
+    found, _ = Ready(frames, threshold, block_budget, min_frames, max_frames, bins, need_bins, delta_ratio).walk(0, len(frames))
+    return [(start, start + n, reason) for start, n, reason in found]
 
 
-def readiness_groups(blocks: DataFrame, thresholds: DataFrame, block_budget: int, min_frames: int, max_frames: int, bins: int, need_bins: int, delta_ratio: float = 0.02) -> DataFrame:
-    """Data-driven groups; every end depends on the one before, so a video is read in order."""
+def readiness_groups(blocks: DataFrame, thresholds: DataFrame, block_budget: int, min_frames: int, max_frames: int, bins: int, need_bins: int, delta_ratio: float = 0.05) -> DataFrame:
+    """Data-driven groups, cut in chunks (``readiness``): every end depends on the one before only through its place."""
     rows = blocks.join(thresholds, "video").select("video", "t", "block_idx", "score", "threshold")
-    return fold(rows, ["video"], ["t", "block_idx"], lambda: ReadinessCuts(block_budget, min_frames, max_frames, bins, need_bins, delta_ratio), SPEC)
+    return cut_by_readiness(rows, block_budget, min_frames, max_frames, bins, need_bins, delta_ratio)
 
 
 def adaptive_gop(costs: DataFrame, percentile: float, min_len: int, max_len: int, gamma: float = 0.0) -> DataFrame:

@@ -27,15 +27,21 @@ def _line(i, first, last, n):
     return F.when(i == n - 1, last).otherwise((first + i * ((last - first) / F.greatest(n - 1, F.lit(1)).cast("double"))).cast("long"))
 
 
+def _frames():
+    """How many frames a video has, one at least."""
+    return F.greatest(F.lit(1), F.coalesce(F.col("total_frames"), F.lit(1))).cast("long")
+
+
 def sample_uniform(videos: DataFrame, k: int) -> DataFrame:
-    """``k`` evenly spaced ids; more than there are frames repeat."""
-    rows = videos.select("video", F.col("total_frames").cast("long").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("t"))
+    """``k`` evenly spaced ids; more than there are frames repeat.  A video without frames counts as one of a single frame."""
+    rows = videos.select("video", _frames().alias("n"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("t"))
     last = F.col("n") - 1
     return rows.select("video", "t", (F.lit(0).cast("long") if k == 1 else _line(F.col("t"), F.lit(0.0), last, F.lit(k))).cast("long").alias("frame_id"))
 
 
 def sample_all(videos: DataFrame) -> DataFrame:
-    ids = videos.select("video", F.explode(F.sequence(F.lit(0), F.col("total_frames") - 1)).alias("t"))
+    """Every frame; of a video without frames the first."""
+    ids = videos.select("video", F.explode(F.sequence(F.lit(0), _frames().cast("int") - 1)).alias("t"))
     return ids.select("video", "t", F.col("t").cast("long").alias("frame_id"))
 
 
@@ -70,7 +76,7 @@ def refill(sampled: DataFrame, keyframes: DataFrame, videos: DataFrame) -> DataF
     short = kept.groupBy("video").agg((F.first("want") - F.first("have")).alias("lack"))
     # every frame, kept ids and keyframes as one set of rows: flags meet by one sum instead of two joins
     none, yes, no = F.lit(None).cast("long"), F.lit(True), F.lit(False)
-    every = short.join(videos.select("video", "total_frames"), "video").select("video", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total_frames").cast("long") - 1)).alias("frame_id"), F.col("lack").cast("long").alias("lack"), F.col("total_frames").cast("long").alias("total_frames"), no.alias("is_kept"), no.alias("is_key"))
+    every = short.join(videos.select("video", "total_frames"), "video").select("video", F.explode(F.sequence(F.lit(0).cast("long"), _frames() - 1)).alias("frame_id"), F.col("lack").cast("long").alias("lack"), F.col("total_frames").cast("long").alias("total_frames"), no.alias("is_kept"), no.alias("is_key"))
     flags = kept.select("video", "frame_id", none.alias("lack"), none.alias("total_frames"), yes.alias("is_kept"), no.alias("is_key"))
     flags = flags.union(keyframes.select("video", F.col("frame_id").cast("long").alias("frame_id"), none.alias("lack"), none.alias("total_frames"), no.alias("is_kept"), yes.alias("is_key")))
     tagged = every.union(flags).groupBy("video", "frame_id").agg(F.max("lack").alias("lack"), F.max("total_frames").alias("total_frames"), F.bool_or("is_kept").alias("is_kept"), F.bool_or("is_key").alias("is_key")).filter("total_frames is not null")

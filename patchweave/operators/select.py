@@ -46,7 +46,7 @@ def topk_by_events(blocks: DataFrame, budget: int, bins: int, min_blocks: int) -
     return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= budget)
 
 
-def adaptive_anchor(blocks: DataFrame, w_centre: float, w_low: float) -> DataFrame:
+def adaptive_anchor(blocks: DataFrame, w_centre: float = 0.7, w_low: float = 0.3) -> DataFrame:
     """The anchor of every group: near its centre and cheap; equal costs count as cheap; the first best wins.
 
     Where frames are marked (column ``good``), bad ones stand back unless all are bad.

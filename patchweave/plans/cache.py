@@ -17,7 +17,7 @@ def finished(spark: SparkSession, path: str, config: Config) -> DataFrame:
     return spark.read.parquet(folder.toString()).select(F.col("video").cast("string").alias("video")).distinct()
 
 
-def run_missing(grid: DataFrame, path: str, config: Config, frames: DataFrame | None = None, good: DataFrame | None = None) -> DataFrame:
+def run_missing(grid: DataFrame, path: str, config: Config, frames: DataFrame | None = None, good: DataFrame | None = None, videos: DataFrame | None = None) -> DataFrame:
     """Placements of all videos of ``grid`` for the configuration; those not there yet are made and added.
 
     A part is written whole or not at all, so a run that was cut short leaves nothing to be taken for finished.
@@ -26,6 +26,6 @@ def run_missing(grid: DataFrame, path: str, config: Config, frames: DataFrame |
     done = finished(spark, path, c)
     todo = grid.join(done.withColumnRenamed("video", "_done"), F.col("video").cast("string") == F.col("_done"), "left_anti")
     if todo.limit(1).count():
-        _, placed = select_patches(todo, c, frames, good)
+        _, placed = select_patches(todo, c, frames, good, videos)
         placed.withColumn("config", F.lit(c.key())).repartition("video").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("config", "video").parquet(path)
     return spark.read.parquet(f"{path}/config={c.key()}").join(grid.select(F.col("video").alias("_v")).distinct(), F.col("video").cast("string") == F.col("_v").cast("string"), "left_semi")

@@ -32,6 +32,9 @@ class Config:
     readiness_bins: int = 4
     readiness_need: int = 3
     readiness_threshold: float = 0.0
+    readiness_delta: float = 0.05
+    anchor_centre: float = 0.7
+    anchor_low: float = 0.3
     gop_percentile: float = 75.0
     gop_gamma: float = 0.0
     target_groups: int = 0
@@ -145,7 +148,7 @@ def _readiness(blocks: DataFrame, c: Config, videos: DataFrame | None) -> DataFr
     else:
         thresholds = groups.readiness_threshold(groups.readiness_stats(blocks, c.group_size, budget, c.readiness_bins), c.readiness_bins)
     need = min(c.readiness_need, c.readiness_bins, c.images_per_group - 1)
-    return groups.readiness_groups(blocks, thresholds, budget, *c.limits(), c.readiness_bins, need)
+    return groups.readiness_groups(blocks, thresholds, budget, *c.limits(), c.readiness_bins, need, c.readiness_delta)
 
 
 def _adaptive(blocks: DataFrame, c: Config, videos: DataFrame | None) -> DataFrame:
@@ -197,7 +200,7 @@ def grouped(blocks: DataFrame, specs: DataFrame, min_frames: int = 4) -> DataFra
 def _anchored(blocks: DataFrame, c: Config) -> DataFrame:
     """Blocks with the anchor that the configuration asks for; a bad one (column ``good``) is replaced by the first good frame."""
     if c.anchor == "adaptive":
-        chosen = select.adaptive_anchor(blocks, 0.3, 0.7).select("video", "group_idx", F.col("anchor_t").alias("a"))
+        chosen = select.adaptive_anchor(blocks, c.anchor_centre, c.anchor_low).select("video", "group_idx", F.col("anchor_t").alias("a"))
         blocks = blocks.join(chosen, ["video", "group_idx"]).withColumn("anchor_t", F.col("a")).drop("a")
     elif "good" in blocks.columns:
         frames = blocks.select("video", "group_idx", "t", "anchor_t", "good").distinct()
@@ -232,10 +235,10 @@ def select_patches(grid: DataFrame, config: Config, frames: DataFrame | None = N
     return chosen, PACKERS.get("canvas")(blocks, chosen, c.block, c.rows // c.patch, c.cols // c.patch)
 
 
-def diagnostics(grid: DataFrame, config: Config, frames: DataFrame | None = None, good: DataFrame | None = None) -> DataFrame:
+def diagnostics(grid: DataFrame, config: Config, frames: DataFrame | None = None, good: DataFrame | None = None, videos: DataFrame | None = None) -> DataFrame:
     """One row a group of a diverse selection with all that the summaries need."""
     c = config.normalised()
-    blocks = grouped_blocks(grid, c, good)
+    blocks = grouped_blocks(grid, c, good, videos)
     cand = select.candidates(_measured(blocks, grid, frames, c))
     picked = select.diverse_counted(cand, c.budget(), c.diversity_fraction, c.dedup, c.dedup_threshold)
     anchors = blocks.filter(F.col("t") == F.col("anchor_t")).select("video", "group_idx", "t", "block_idx", "anchor_t", F.lit(None).cast("double").alias("adjacent"))
