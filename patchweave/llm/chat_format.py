@@ -21,7 +21,8 @@ are merged, over the edges of chunks too.  Known markers are stripped (names tha
 are not known stay, as they may be text) and turns rendered as ``<|role|>\\ntext<|end|>``.
 
 Null and empty texts: one empty line.  Null turn: ordered first.  Null
-conversation: a conversation of its own.  Exactly repeated rows count once.
+conversation: a conversation of its own.  Exactly repeated rows count once, in
+learning too; a conversation opens with its smallest turn.
 Unknown or null roles are left out of learning.  Empty table: no rows.
 """
 
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import map_arrow, path_of, release, stage, staged, table
+from .common import map_arrow, owned, stage, table
 
 ROLES = ("system", "user", "assistant")
 #: Speaker markers by role.
@@ -156,9 +157,13 @@ def _count():
 def train(rows: DataFrame) -> Model:
     """Counts over all given rows (conv_id, turn, role, text)."""
     # the role before, by an equality on the turn's number within the conversation
-    known = rows.filter(F.col("role").isin(*ROLES))
-    before = known.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("role").alias("prev"), F.coalesce(F.contains("text", F.lit("\n")), F.lit(False)).cast("int").alias("long")).dropDuplicates(["conv_id", "turn"])
-    joined = known.join(before, ["conv_id", "turn"], "left").select("text", "role", "prev", "long", (F.col("turn") == 0).alias("opens"))
+    known = rows.filter(F.col("role").isin(*ROLES)).select("conv_id", "turn", "role", "text").distinct()
+    # of rows that share a turn the least by role and text comes before the next turn
+    least = known.groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("r"))
+    before = least.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("r.role").alias("prev"), F.coalesce(F.contains("r.text", F.lit("\n")), F.lit(False)).cast("int").alias("long"))
+    first = rows.groupBy("conv_id").agg(F.min("turn").alias("first"))
+    opens = F.coalesce(F.col("turn") == F.col("first"), F.lit(False)).alias("opens")
+    joined = known.join(before, ["conv_id", "turn"], "left").join(first, "conv_id", "left").select("text", "role", "prev", "long", opens)
     flat = {r.k: r.n for r in map_arrow(joined, lambda: _count(), "k long, n double").groupBy("k").agg(F.sum("n").alias("n")).collect()}
     sizes = [STATES, STATES**2, *[STATES * n for n in SHAPE]]
     values = np.array([flat.get(i, 0.0) for i in range(sum(sizes))])
@@ -340,21 +345,21 @@ def _edges(nodes: DataFrame) -> DataFrame:
 
 def parse(rows: DataFrame, model: Model, chunk: int = CHUNK) -> DataFrame:
     """Recovered turns of transcripts (conv_id, turn, text): conv_id, chunk, at, turn, role, text, rendered."""
-    began = staged()
-    lines = _numbered(rows, chunk)
-    first = lines.groupBy("key").agg(F.min("g").alias("g")).withColumn("opens", F.lit(True))
-    lines = lines.join(first.hint("merge"), ["key", "g"], "left").select("key", "g", "pos", "turn", "text", F.coalesce("opens", F.lit(False)).alias("opens"))
-    nodes = by_key(lines.select("key", "g", "pos", "text", "opens"), ["key", "g"], ["pos"], _chunk_matrix(model), "key string, g long, m array<double>")
-    edges = _edges(stage(nodes, "chat-chunks"))
-    joined = lines.join(edges.hint("merge"), ["key", "g"]).select("key", "g", "pos", "turn", "text", "opens", "first", "last")
-    pieces = stage(by_key(joined, ["key", "g"], ["pos"], _decode(model), "key string, g long, at int, turn long, role string, text string, goes_on boolean"), "chat-pieces")
-    # a piece that goes on belongs to the last turn that began in a chunk before it: one row a chunk is looked through
-    begun = pieces.groupBy("key", "g").agg(F.max(F.when(~F.col("goes_on"), F.col("at"))).alias("s"), F.bool_or("goes_on").alias("goes_on"))
-    last = F.last(F.when(F.col("s").isNotNull(), F.struct(F.col("g").alias("g"), F.col("s").alias("at"))), True).over(W.partitionBy("key").orderBy("g").rowsBetween(W.unboundedPreceding, -1))
-    home = begun.withColumn("home", last).filter("goes_on").select("key", "g", F.col("home.g").alias("hg"), F.col("home.at").alias("hat"))
-    tails = pieces.filter("goes_on").join(home.hint("merge"), ["key", "g"]).groupBy("key", F.col("hg").alias("g"), F.col("hat").alias("at")).agg(F.array_sort(F.collect_list(F.struct("g", "text"))).alias("more"))
-    turns = pieces.filter(~F.col("goes_on")).join(tails.hint("merge"), ["key", "g", "at"], "left")
-    release(staged() - began - {path_of(pieces)})
+    with owned() as own:
+        lines = _numbered(rows, chunk)
+        first = lines.groupBy("key").agg(F.min("g").alias("g")).withColumn("opens", F.lit(True))
+        lines = lines.join(first.hint("merge"), ["key", "g"], "left").select("key", "g", "pos", "turn", "text", F.coalesce("opens", F.lit(False)).alias("opens"))
+        nodes = by_key(lines.select("key", "g", "pos", "text", "opens"), ["key", "g"], ["pos"], _chunk_matrix(model), "key string, g long, m array<double>")
+        edges = _edges(stage(nodes, "chat-chunks"))
+        joined = lines.join(edges.hint("merge"), ["key", "g"]).select("key", "g", "pos", "turn", "text", "opens", "first", "last")
+        pieces = stage(by_key(joined, ["key", "g"], ["pos"], _decode(model), "key string, g long, at int, turn long, role string, text string, goes_on boolean"), "chat-pieces")
+        # a piece that goes on belongs to the last turn that began in a chunk before it: one row a chunk is looked through
+        begun = pieces.groupBy("key", "g").agg(F.max(F.when(~F.col("goes_on"), F.col("at"))).alias("s"), F.bool_or("goes_on").alias("goes_on"))
+        last = F.last(F.when(F.col("s").isNotNull(), F.struct(F.col("g").alias("g"), F.col("s").alias("at"))), True).over(W.partitionBy("key").orderBy("g").rowsBetween(W.unboundedPreceding, -1))
+        home = begun.withColumn("home", last).filter("goes_on").select("key", "g", F.col("home.g").alias("hg"), F.col("home.at").alias("hat"))
+        tails = pieces.filter("goes_on").join(home.hint("merge"), ["key", "g"]).groupBy("key", F.col("hg").alias("g"), F.col("hat").alias("at")).agg(F.array_sort(F.collect_list(F.struct("g", "text"))).alias("more"))
+        turns = pieces.filter(~F.col("goes_on")).join(tails.hint("merge"), ["key", "g", "at"], "left")
+        own.keep(pieces)
     text = F.concat_ws("\n", F.col("text"), F.array_join(F.transform("more", lambda x: x["text"]), "\n"))
     turns = turns.select(F.nullif("key", F.lit("")).cast("long").alias("conv_id"), F.col("g").alias("chunk"), "at", "turn", "role", text.alias("text"))
     return turns.withColumn("rendered", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("<|end|>")))

@@ -9,6 +9,7 @@ import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +26,10 @@ ROW_GROUP = 32 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _shipped: set[str] = set()
+#: Every staged table of the process, to be deleted when it ends.
 _staged: dict[str, SparkSession] = {}
+#: The innermost ``owned`` block of this thread (or context).
+_owner: ContextVar["Owner | None"] = ContextVar("owner", default=None)
 
 
 def session(df: DataFrame) -> SparkSession:
@@ -62,17 +66,19 @@ def ending_shuffles(spark: SparkSession):
 def stage(df: DataFrame, name: str, narrow: bool = False, codec: str = "snappy", by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and lost executors cost nothing before it.
 
-    A ``narrow`` table (a few numbers a row) goes into an eighth as many files as there are shuffle partitions.  ``by`` is
-    a column by which the table lies in folders.
+    A ``narrow`` table (a few numbers a row) is dealt into files by its bytes.  ``by`` is a column by which the table lies
+    in folders.
     """
     spark = session(df)
     if narrow:
-        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+        df = df.hint("rebalance")  # after the work that made it, which keeps all its tasks
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("parquet.block.size", ROW_GROUP).option("compression", codec)
     with ending_shuffles(spark):
         (writer.partitionBy(by) if by else writer).parquet(path)
     _staged[path] = spark
+    if (owner := _owner.get()) is not None:
+        owner.paths.add(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._patchweave_path = path
     return out
@@ -88,9 +94,33 @@ def path_of(df: DataFrame) -> str:
     return df._patchweave_path
 
 
-def staged() -> set[str]:
-    """The tables that are staged now."""
-    return set(_staged)
+class Owner:
+    """The tables that one call staged; each call has its own, so that calls side by side never delete one another's."""
+
+    def __init__(self):
+        self.paths: set[str] = set()
+        self.kept: set[str] = set()
+
+    def keep(self, *frames: DataFrame) -> None:
+        """These tables outlive the call: they are handed to the call around it, or to the end of the process."""
+        self.kept |= {path_of(f) for f in frames}
+
+
+@contextmanager
+def owned():
+    """A call that deletes what it staged when it ends, but for what it keeps; all of it where it fails."""
+    above, own = _owner.get(), Owner()
+    token = _owner.set(own)
+    done = False
+    try:
+        yield own
+        done = True
+    finally:
+        _owner.reset(token)
+        kept = own.kept if done else set()
+        release(own.paths - kept)
+        if above is not None:
+            above.paths |= own.paths & kept
 
 
 def release(paths) -> None:

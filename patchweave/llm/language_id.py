@@ -140,9 +140,9 @@ def train(docs: DataFrame, size: int = PROFILE, per_language: int = PER_LANGUAGE
     return profiles
 
 
-def identify(docs: DataFrame, size: int = PROFILE, per_language: int = PER_LANGUAGE) -> DataFrame:
+def identify(docs: DataFrame, size: int = PROFILE, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row."""
-    profiles = train(docs, size, per_language)
+    profiles = train(docs, size, per_language, languages)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out"))
     return map_arrow(rows, _predict(profiles, size), "doc_id long, held_out boolean, lang_pred string, score double")
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, path_of, release, session, ship, stage, staged, table
+from .common import WORD, owned, session, ship, stage, table
 
 BLOCK = 512
 #: Rows of one unit that a task makes at a time.
@@ -204,27 +204,27 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_repeat: int = MAX_REPEAT,
 
 def take(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The mixed corpus itself: each row as often as the mix takes it (size-0 documents once per certain copy)."""
-    began = staged()
-    # rows are numbered and written once, so that each row's own copies find it again; unit columns stand beside the row's own
-    rows = stage(docs.select(F.struct(*docs.columns).alias("_doc"), *_sized(id_col)).withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
-    unit = ["doc_id", "source", "size"]
-    plan = _plan(rows.select(*unit), **options).select(*[F.col(c).alias(f"_{c}") for c in unit], F.monotonically_increasing_id().alias("u"), "m", "full", "extra")
-    plan = stage(plan, "mix-copies", narrow=True)
-    same = F.lit(True)
-    for c in unit:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    # shuffled joins at every size: the plan has a row for every unit, its copies one for every row
-    placed = stage(rows.select("_row", *unit).join(plan.hint("merge"), same).select("_row", "u", "m", "full", "extra"), "mix-placed", narrow=True)
-    # rows of a unit are numbered by the partition they were written in, then in it: a unit that repeats without bound is dealt over tasks
-    many = placed.filter("m > 1").withColumn("_part", F.shiftright("_row", 33))
-    parts = many.groupBy("u", "_part").agg(F.count("*").alias("_n"))
-    parts = parts.select("u", "_part", (F.sum("_n").over(W.partitionBy("u").orderBy("_part")) - F.col("_n")).alias("_before"))
-    local = many.withColumn("_k", F.row_number().over(W.partitionBy("u", "_part").orderBy("_row")) - 1).join(parts, ["u", "_part"]).withColumn("_k", F.col("_k") + F.col("_before"))
-    copies = placed.filter("m = 1").select("_row", _copies(F.lit(0)).alias("_copies")).union(local.select("_row", _copies(F.col("_k")).alias("_copies")))
-    copies = stage(copies.filter("_copies > 0").withColumnRenamed("_row", "_of"), "mix-takes", narrow=True)
-    release(staged() - began - {path_of(rows), path_of(copies)})
-    joined = rows.select("_doc", "_row").join(copies.hint("shuffle_hash"), F.col("_row") == F.col("_of"))
-    return joined.withColumn("_r", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select("_doc.*")
+    with owned() as own:
+        # rows are numbered and written once, so that each row's own copies find it again; unit columns stand beside the row's own
+        rows = stage(docs.select(F.struct(*docs.columns).alias("_doc"), *_sized(id_col)).withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+        unit = ["doc_id", "source", "size"]
+        plan = _plan(rows.select(*unit), **options).select(*[F.col(c).alias(f"_{c}") for c in unit], F.monotonically_increasing_id().alias("u"), "m", "full", "extra")
+        plan = stage(plan, "mix-copies", narrow=True)
+        same = F.lit(True)
+        for c in unit:
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        # shuffled joins at every size: the plan has a row for every unit, its copies one for every row
+        placed = stage(rows.select("_row", *unit).join(plan.hint("merge"), same).select("_row", "u", "m", "full", "extra"), "mix-placed", narrow=True)
+        # rows of a unit are numbered by the partition they were written in, then in it: a unit that repeats without bound is dealt over tasks
+        many = placed.filter("m > 1").withColumn("_part", F.shiftright("_row", 33))
+        parts = many.groupBy("u", "_part").agg(F.count("*").alias("_n"))
+        parts = parts.select("u", "_part", (F.sum("_n").over(W.partitionBy("u").orderBy("_part")) - F.col("_n")).alias("_before"))
+        local = many.withColumn("_k", F.row_number().over(W.partitionBy("u", "_part").orderBy("_row")) - 1).join(parts, ["u", "_part"]).withColumn("_k", F.col("_k") + F.col("_before"))
+        copies = placed.filter("m = 1").select("_row", _copies(F.lit(0)).alias("_copies")).union(local.select("_row", _copies(F.col("_k")).alias("_copies")))
+        copies = stage(copies.filter("_copies > 0").withColumnRenamed("_row", "_of"), "mix-takes", narrow=True)
+        own.keep(rows, copies)
+        joined = rows.select("_doc", "_row").join(copies.hint("merge"), F.col("_row") == F.col("_of"))
+        return joined.withColumn("_r", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select("_doc.*")
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

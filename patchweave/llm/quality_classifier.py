@@ -11,8 +11,9 @@ the whole web text (labels hidden), and the class prior is estimated as the
 share of label 1 among labelled documents.  Only rows whose crc32(doc_id) mod 4
 is not 2 are learned from.
 
-Fitting uses bounded samples (``positives``, ``unlabelled`` rows, lowest hash of
-the id); every row is scored.  Null or empty text: scored like an empty text.
+Fitting uses bounded samples (``positives``, ``unlabelled`` ids, lowest hash of
+the id; of the rows that repeat an id the one with the least vector counts); every
+row is scored.  Null or empty text: scored like an empty text.
 Labels that contradict each other for an id are ignored.  No positives to learn
 from: score 0.5 for all.  Repeated rows: one result each; empty table: no rows.
 """
@@ -167,7 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     def vectors(ids: DataFrame) -> np.ndarray:
         # the ids are a sample of fixed size
         text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id", "left_semi")
-        return np.array([np.frombuffer(r.x, np.float16) for r in map_arrow(text, lambda: _vectors(), "doc_id long, x binary").select("x").toLocalIterator()], np.float32)
+        one = map_arrow(text, lambda: _vectors(), "doc_id long, x binary").groupBy("doc_id").agg(F.min("x").alias("x"))
+        return np.array([np.frombuffer(r.x, np.float16) for r in one.orderBy("doc_id").select("x").toLocalIterator()], np.float32)
 
     xp = vectors(known.filter("lo = 1").select("doc_id").orderBy(order, "doc_id").limit(positives))
     xu = vectors(docs.filter(learn).select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(order, "doc_id").limit(unlabelled))

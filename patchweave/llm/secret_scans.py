@@ -40,6 +40,8 @@ WEAK_SECRET = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]*[0-9])(?=[A-Za-z0-9+/_=
 WEAK_ENDPOINT = r"(?:(?<![A-Za-z])[a-z][a-z0-9+]{1,15}://[A-Za-z0-9._:@/-]+|(?<![A-Za-z0-9.-])[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){1,8}:[0-9]{2,5}(?![0-9]))"
 SCOPE = 300
 SPAN = "array<struct<kind:string,at:int,end:int>>"
+#: Matches of a text that are walked at a time, so that growing lists are short and the walk stays linear.
+BLOCK = 256
 
 
 def places(text: Column, pattern: str, kind: str, guard: Column, keep=None) -> Column:
@@ -48,11 +50,16 @@ def places(text: Column, pattern: str, kind: str, guard: Column, keep=None) -> C
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     both = F.zip_with(sizes(gaps), sizes(matches), lambda g, m: F.struct(g.alias("g"), m.alias("m")))
+    one = lambda acc, x: F.struct((acc["pos"] + x["g"] + x["m"]).alias("pos"), F.concat(acc["out"], F.array(F.struct(F.lit(kind).alias("kind"), (acc["pos"] + x["g"]).alias("at"), (acc["pos"] + x["g"] + x["m"]).alias("end")))).alias("out"))
+    # every block by itself from 0, then moved by the length of the blocks before it
+    last = F.floor((F.size(both) - 1) / BLOCK).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.aggregate(F.filter(F.slice(both, b * BLOCK + 1, F.lit(BLOCK)), lambda x: x["m"].isNotNull()), F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN).alias("out")), one))
+    moved = lambda s, by: F.struct(s["kind"].alias("kind"), (s["at"] + by).alias("at"), (s["end"] + by).alias("end"))
     walk = F.aggregate(
-        F.filter(both, lambda x: x["m"].isNotNull()),
-        F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN).alias("out")),
-        lambda acc, x: F.struct((acc["pos"] + x["g"] + x["m"]).alias("pos"), F.concat(acc["out"], F.array(F.struct(F.lit(kind).alias("kind"), (acc["pos"] + x["g"]).alias("at"), (acc["pos"] + x["g"] + x["m"]).alias("end")))).alias("out")),
-        lambda acc: acc["out"],
+        blocks,
+        F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{SPAN}>").alias("out")),
+        lambda acc, b: F.struct((acc["pos"] + b["pos"]).alias("pos"), F.concat(acc["out"], F.array(F.transform(b["out"], lambda s: moved(s, acc["pos"])))).alias("out")),
+        lambda acc: F.flatten(acc["out"]),
     )
     found = walk if keep is None else F.filter(walk, keep)
     return F.when(guard, found).otherwise(F.array().cast(SPAN))
