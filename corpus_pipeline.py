@@ -4,42 +4,49 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is writte
 as Parquet and read again as the next one's docs.  All but the last return the
 columns of documents.
 
-A stage's result has to be written before the next stage is called: the tables
-that the stage before staged on the way are deleted then.
+What a stage staged for its result is deleted when a later stage of the run begins,
+in the same thread, on docs that do not read it: that result is written by then.  Stages
+that are called one inside the other, or of several runs in several threads, leave
+one another's tables alone.
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchweave.llm.common import path_of, release, stage, staged, table
+from patchweave.llm.common import owned, path_of, release, stage, table
 from patchweave.llm.jaccard_join import deduplicate
 from patchweave.llm.mixing import take
 from patchweave.llm.packing import pack
 from patchweave.llm.quality_classifier import accept
 from patchweave.llm.secret_scans import redact
 
-
-#: Tables that the last stage staged.
-_left: set[str] = set()
+_run = threading.local()
 
 
 def following(step: Callable) -> Callable:
-    """A stage that first deletes what its predecessor staged, and notes what it stages itself."""
+    """A stage that deletes what the stages before it in this thread left, unless its docs still read from there."""
 
     @wraps(step)
     def run_stage(spark, docs, sf_dir):
-        if step.__name__ != "quality":  # what stands before the first stage belongs to another run
-            release(_left)
-        _left.clear()
-        began = staged()
-        out = step(spark, docs, sf_dir)
+        # what stands before the first stage belongs to another run
+        left: set[str] = getattr(_run, "left", set()) if step.__name__ != "quality" else set()
+        if left:
+            read = docs.inputFiles()
+            done = {path for path in left if not any(path.rpartition("/")[2] in file for file in read)}
+            release(done)
+            left = left - done
+        with owned() as own:
+            out = step(spark, docs, sf_dir)
+            own.kept |= own.paths  # the result reads them until it is written
         if step.__name__ != "packing":  # the last result is the caller's
-            _left.update(staged() - began)
+            left = left | own.paths
+        _run.left = left
         return out
 
     return run_stage

@@ -49,9 +49,9 @@ class Costs:
             hops, to = hops + hops[to], to[to]
         return to, hops
 
-    def table(self) -> tuple[np.ndarray, np.ndarray]:
-        """(since, cuts) on exit by rows since the last cut on entry, 0 (nothing before) to ``most``."""
-        since = np.arange(self.most + 1)
+    def table(self, first: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(since, cuts) on exit by rows since the last cut on entry, 0 (nothing before) to ``most``; a first chunk has 0 alone."""
+        since = np.arange(1 if first else self.most + 1)
         first = np.where(since == 0, 0, self._cut(-since))
         met = first < self.n
         at = np.where(met, first, 0)
@@ -67,8 +67,11 @@ class Costs:
         return np.array(out, np.int64)
 
 
-def _chunk(row: dict, least: int, most: int) -> Costs:
-    return Costs(np.array([np.nan if x["cost"] is None else x["cost"] for x in row["rows"]], float), row["thr"], least, most)
+def _chunks(batch, least: int, most: int) -> list[Costs]:
+    """The chunks of a batch, their costs read off the batch as they lie."""
+    cost = batch.column("cost")
+    flat, edges = cost.flatten().to_numpy(zero_copy_only=False), cost.offsets.to_numpy() - cost.offsets[0].as_py()
+    return [Costs(flat[a:b], thr, least, most) for a, b, thr in zip(edges[:-1], edges[1:], batch.column("thr").to_pylist())]
 
 
 def _tables(packed: DataFrame, least: int, most: int) -> DataFrame:
@@ -79,8 +82,8 @@ def _tables(packed: DataFrame, least: int, most: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            found = [_chunk(r, least, most) for r in batch.to_pylist()]
-            since, cuts = zip(*(c.table() for c in found)) if found else ((), ())
+            found = _chunks(batch, least, most)
+            since, cuts = zip(*(c.table(k == 0) for c, k in zip(found, batch.column("chunk").to_pylist()))) if found else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column("video"), batch.column("chunk"), pa.array([c.n for c in found], pa.int64()), pa.array(since, pa.list_(pa.int32())), pa.array(cuts, pa.list_(pa.int64()))], ["video", "chunk", "n", "since", "cuts"])
 
     return packed.mapInArrow(run, schema).select("video", "chunk", "n", F.arrays_zip(F.col("since"), F.col("cuts")).cast(TABLE).alias("table"))
@@ -100,17 +103,22 @@ def _entered(members: Column, state: Column) -> Column:
 
 
 def states(tables: DataFrame) -> DataFrame:
-    """video, chunk, state: what every chunk is entered with, from tables (video, chunk, n, table)."""
+    """video, chunk, state, last: what every chunk is entered with and whether it is the last, from tables (video, chunk, n, table).
+
+    Chunks are numbered from 0; the table of chunk 0 need hold its first entry only.
+    """
     first = F.struct(F.lit(0).alias("since"), F.lit(0).cast("long").alias("cuts"), F.lit(0).cast("long").alias("rows")).cast(STATE)
-    listed = F.array_sort(F.collect_list(F.struct("chunk", "n", "table"))).alias("members")
+    listed = F.sort_array(F.collect_list(F.struct("chunk", "n", "table"))).alias("members")
     blocks = tables.groupBy("video", F.shiftright("chunk", FAN_BITS).alias("block")).agg(listed)
     # a block's own table: every entry of the first looked up in the next
     look = lambda acc, x: F.transform(acc, lambda e: F.struct(F.element_at(x["table"], e["since"] + 1)["since"].alias("since"), (e["cuts"] + F.element_at(x["table"], e["since"] + 1)["cuts"]).alias("cuts")))
     whole = F.aggregate(F.slice("members", F.lit(2), F.size("members")), F.col("members")[0]["table"], look)
     rows = F.aggregate("members", F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
     top = blocks.select("video", F.col("block").alias("chunk"), rows.alias("n"), whole.alias("table")).groupBy("video").agg(listed)
-    above = top.select("video", F.explode(_entered(F.col("members"), first)).alias("e")).select("video", F.col("e.chunk").alias("block"), F.col("e.state").alias("state"))
-    return blocks.join(above, ["video", "block"]).select("video", F.explode(_entered(F.col("members"), F.col("state"))).alias("e")).select("video", "e.chunk", "e.state")
+    end = F.element_at("members", -1)["chunk"]
+    above = top.select("video", end.alias("end"), F.explode(_entered(F.col("members"), first)).alias("e")).select("video", F.col("e.chunk").alias("block"), F.col("e.state").alias("state"), (F.col("e.chunk") == F.col("end")).alias("last"))
+    inner = blocks.join(above, ["video", "block"]).select("video", "last", end.alias("end"), F.explode(_entered(F.col("members"), F.col("state"))).alias("e"))
+    return inner.select("video", "e.chunk", "e.state", (F.col("last") & (F.col("e.chunk") == F.col("end"))).alias("last"))
 
 
 def cut_by_cost(rows: DataFrame, least: int, most: int, chunk: int = CHUNK) -> DataFrame:
@@ -121,10 +129,9 @@ def cut_by_cost(rows: DataFrame, least: int, most: int, chunk: int = CHUNK) -> D
     ship(rows.sparkSession)
     least = max(1, least)
     most = max(least, most)
-    packed = rows.groupBy("video", F.floor(F.col("t") / chunk).cast("long").alias("chunk")).agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "cost"))), lambda x: F.struct(x["cost"].alias("cost"))).alias("rows"), F.first("thr").alias("thr"))
+    packed = rows.groupBy("video", F.floor(F.col("t") / chunk).cast("long").alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("t", F.col("cost").cast("double").alias("cost")))).alias("rows"), F.first("thr").alias("thr")).select("video", "chunk", F.col("rows.cost").alias("cost"), "thr")
     entered = states(_tables(packed, least, most))
-    last = packed.groupBy("video").agg(F.max("chunk").alias("last"))
-    joined = packed.join(entered, ["video", "chunk"]).join(last, "video").select("video", "chunk", "rows", "thr", "state", "last")
+    joined = packed.join(entered, ["video", "chunk"]).select("video", "cost", "thr", "state", "last")
     names = ["video", "group_idx", "start", "end", "frame_count", "stop_reason", "split_cost"]
     schema = f"{typed(rows, 'video')}, group_idx int, start int, end int, frame_count int, stop_reason string, split_cost double"
 
@@ -134,15 +141,14 @@ def cut_by_cost(rows: DataFrame, least: int, most: int, chunk: int = CHUNK) -> D
         kinds = [pa.int32()] * 4 + [pa.string(), pa.float64()]
         for batch in batches:
             out, keys = [[] for _ in kinds], []
-            for place, row in enumerate(batch.to_pylist()):
-                one, state = _chunk(row, least, most), row["state"]
+            for place, (one, state, last) in enumerate(zip(_chunks(batch, least, most), batch.column("state").to_pylist(), batch.column("last").to_pylist())):
                 at = one.cuts(state["since"])
                 base, group = state["rows"], state["cuts"]
                 start = np.concatenate([[base - state["since"]], base + at])
                 dear = one.dear[at] & (np.diff(start) >= least)
                 cost = [None if x != x else x for x in one.cost[at].tolist()]
                 reason = np.where(dear, "adaptive_gop_cost", "adaptive_gop_max_group_frames").tolist()
-                if row["chunk"] == row["last"]:
+                if last:
                     start, cost, reason = np.append(start, base + one.n), [*cost, None], [*reason, "adaptive_gop_tail"]
                 n = len(start) - 1
                 keys += [place] * n

@@ -88,14 +88,16 @@ class Ready:
         return out, max(start, until)  # too short a tail: what is left belongs to no group
 
     def table(self, first: bool, until: int) -> tuple[list[int], list[int]]:
-        """By the offset of the first group: that in the next chunk, and the groups between.  A first chunk has no other offset than 0."""
+        """By the offset of the first group: that in the next chunk, and the groups between.
+
+        A first chunk has no other offset than 0.  One without frames behind it is the last, and no chunk asks for its offsets.
+        """
+        if len(self.frames) <= until:
+            none = [0] * (1 if first else self.most + 1)
+            return none, none
         memo: dict[int, tuple[int, int]] = {}
         since, cuts = [], []
-        for offset in range(self.most + 1):
-            if offset and first:
-                since.append(0)
-                cuts.append(0)
-                continue
+        for offset in range(1 if first else self.most + 1):
             at, path = offset, []
             while at < until and at not in memo and (found := self.group(at)):
                 path.append(at)
@@ -110,7 +112,7 @@ class Ready:
 
 def _packed(rows: DataFrame, most: int, chunk: int) -> DataFrame:
     """video, chunk, own (its frames), frames (arrays of scores in order of block, ``most`` more frames than its own), threshold."""
-    frames = rows.groupBy("video", "t").agg(F.transform(F.array_sort(F.collect_list(F.struct("block_idx", "score"))), lambda x: x["score"].cast("double")).alias("scores"), F.first("threshold").alias("threshold"))
+    frames = rows.groupBy("video", "t").agg(F.sort_array(F.collect_list(F.struct("block_idx", F.col("score").cast("double").alias("score")))).alias("scores"), F.first("threshold").alias("threshold")).withColumn("scores", F.col("scores.score"))
     # frames are numbered by spans of t and the frames before a span: no task sees a whole video
     span = F.floor(F.col("t") / SPAN).cast("long").alias("span")
     before = frames.groupBy("video", span).agg(F.count("*").alias("n"))
@@ -121,9 +123,9 @@ def _packed(rows: DataFrame, most: int, chunk: int) -> DataFrame:
     # a frame is seen by its own chunk and by those that end up to ``most`` frames before it
     seen = F.sequence(F.greatest(F.lit(0), F.floor((F.col("pos") - most) / chunk)).cast("long"), own.cast("long"))
     members = placed.withColumn("own", own.cast("long")).withColumn("chunk", F.explode(seen))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "scores"))), lambda x: x["scores"])
+    listed = F.sort_array(F.collect_list(F.struct("pos", "scores")))
     packed = members.groupBy("video", "chunk").agg(F.count_if(F.col("own") == F.col("chunk")).alias("own"), listed.alias("frames"), F.first("threshold").alias("threshold"))
-    return packed.filter("own > 0")
+    return packed.filter("own > 0").withColumn("frames", F.col("frames.scores"))
 
 
 def cut_by_readiness(rows: DataFrame, block_budget: int, least: int, most: int, bins: int, need: int, ratio: float, chunk: int = CHUNK) -> DataFrame:
@@ -137,14 +139,20 @@ def cut_by_readiness(rows: DataFrame, block_budget: int, least: int, most: int,
     most = max(most, least)
     packed = _packed(rows, most, chunk)
 
-    def ready(row):
-        return Ready([np.array([np.nan if x is None else x for x in f], float) for f in row["frames"]], row["threshold"], block_budget, least, most, bins, need, ratio)
+    def ready(batch):
+        """The chunks of a batch, their scores read off the batch as they lie."""
+        frames = batch.column("frames")
+        inner = frames.flatten()
+        flat, of = inner.flatten().to_numpy(zero_copy_only=False), inner.offsets.to_numpy() - inner.offsets[0].as_py()
+        edges = frames.offsets.to_numpy() - frames.offsets[0].as_py()
+        for a, b, threshold in zip(edges[:-1], edges[1:], batch.column("threshold").to_pylist()):
+            yield Ready(np.split(flat[of[a] : of[b]], of[a + 1 : b] - of[a]), threshold, block_budget, least, most, bins, need, ratio)
 
     def tables(batches):
         import pyarrow as pa
 
         for batch in batches:
-            found = [ready(r).table(r["chunk"] == 0, chunk) for r in batch.to_pylist()]
+            found = [one.table(k == 0, chunk) for one, k in zip(ready(batch), batch.column("chunk").to_pylist())]
             since, cuts = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column("video"), batch.column("chunk"), batch.column("own"), pa.array(since, pa.list_(pa.int32())), pa.array(cuts, pa.list_(pa.int64()))], ["video", "chunk", "n", "since", "cuts"])
 
@@ -157,9 +165,9 @@ def cut_by_readiness(rows: DataFrame, block_budget: int, least: int, most: int,
 
         for batch in batches:
             keys, out = [], []
-            for place, row in enumerate(batch.to_pylist()):
-                base, group = row["chunk"] * chunk, row["state"]["cuts"]
-                for k, (start, length, reason) in enumerate(ready(row).walk(row["state"]["since"], chunk)[0]):
+            for place, (one, number, state) in enumerate(zip(ready(batch), batch.column("chunk").to_pylist(), batch.column("state").to_pylist())):
+                base, group = number * chunk, state["cuts"]
+                for k, (start, length, reason) in enumerate(one.walk(state["since"], chunk)[0]):
                     keys.append(place)
                     out.append((group + k, base + start, base + start + length, length, reason))
             cols = list(zip(*out)) or [()] * 5
