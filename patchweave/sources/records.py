@@ -11,9 +11,12 @@ from ..functions import text as tx
 MESSAGE = "array<struct<role:string,content:string>>"
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of JSONL files as (at, line, json); blank and malformed lines are skipped.  ``at`` orders them as they stand."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+def read_lines(spark: SparkSession, path: str, below: bool = False) -> DataFrame:
+    """Rows of JSONL files as (at, line, json); blank and malformed lines are skipped.  ``at`` orders them as they stand.
+
+    ``below`` reads the files of all folders below ``path`` too.
+    """
+    lines = spark.read.option("recursiveFileLookup", str(below).lower()).text(path).select(F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
     good = lines.filter((F.trim("line") != "") & F.try_parse_json("line").isNotNull())
     return good.withColumn("json", F.col("line"))
 
@@ -91,7 +94,7 @@ def training_records(jobs_: DataFrame, assets: DataFrame) -> DataFrame:
 
 def read_eval_samples(spark: SparkSession, path: str, run: str) -> DataFrame:
     """Evaluation samples of every file below ``path`` in either record form: run, key, score, duration, question_type, video_id."""
-    lines = read_lines(spark, path)
+    lines = read_lines(spark, path, below=True)
     g = lambda p: F.get_json_object("json", p)
     known = lambda p: F.coalesce(g(p), F.lit("unknown"))
     perception = F.struct(g("$.videomme_perception_score.question_id").alias("key"), g("$.videomme_perception_score.score").try_cast("double").alias("score"), known("$.videomme_perception_score.duration").alias("duration"), known("$.videomme_perception_score.task_category").alias("question_type"), known("$.videomme_perception_score.videoID").alias("video_id"))
@@ -155,12 +158,17 @@ def write_canvases(canvas: DataFrame, path: str, kind: str = "png") -> DataFrame
 
 def export_canvases(files: DataFrame, folder: str) -> int:
     """Loose files of (video, name, png) in a folder of this machine, one video's at a time; returns how many."""
+    import hashlib
     import os
+    import re
 
     n = 0
     for r in files.select("video", "name", "png").toLocalIterator():
-        os.makedirs(os.path.join(folder, r.video), exist_ok=True)
-        with open(os.path.join(folder, r.video, r.name), "wb") as f:
+        # a video may be named by a path: it stays in the folder, and names that differ do not meet
+        own = re.sub(r"[^\w.-]+", "_", r.video).strip(".")
+        own = own if own and own == r.video else f"{own}-{hashlib.md5(r.video.encode()).hexdigest()[:8]}"
+        os.makedirs(os.path.join(folder, own), exist_ok=True)
+        with open(os.path.join(folder, own, os.path.basename(r.name)), "wb") as f:
             f.write(r.png)
         n += 1
     return n
@@ -200,7 +208,7 @@ def bit_rate():
 
 def read_preprocess(spark: SparkSession, path: str) -> DataFrame:
     """(video, subprocess_ms) of audit records below ``path``."""
-    lines = read_lines(spark, path)
+    lines = read_lines(spark, path, below=True)
     g = lambda p: F.get_json_object("json", p)
     return lines.select(F.coalesce(g("$.video"), F.lit("unknown")).alias("video"), F.coalesce(g("$.subprocess_ms").try_cast("double"), F.lit(0.0)).alias("subprocess_ms"))
 
