@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .cuts import cut_by_cost, merge_cheapest
+from .quantiles import exact_quantiles
 from .readiness import Ready, cut_by_readiness
 from .stream import typed
 
@@ -109,7 +110,7 @@ def adaptive_gop(costs: DataFrame, percentile: float, min_len: int, max_len: int
     if gamma > 0:
         rows = costs.select("video", "t", "cost", F.lit(float(gamma)).alias("thr"))
     else:
-        rows = costs.join(costs.groupBy("video").agg(F.percentile("cost", F.lit(percentile / 100)).alias("thr")), "video").select("video", "t", "cost", "thr")
+        rows = costs.join(exact_quantiles(costs, ["video"], "cost", {"thr": percentile / 100}, passes=0), "video").select("video", "t", "cost", "thr")
     return cut_by_cost(rows, min_len, max_len)
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 GROUP = ["video", "group_idx"]
 #: Fixed thresholds of the difference distribution.
 MAD_THRESHOLDS = (0.005, 0.01, 0.015, 0.02, 0.025, 0.03, 0.035, 0.04, 0.05, 0.075, 0.1)
@@ -92,7 +94,10 @@ def paired(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
 def preprocess_times(audit: DataFrame) -> DataFrame:
     """The longest time of every video, then median, 90th percentile, mean and sum."""
     per = audit.groupBy("video").agg(F.max("subprocess_ms").alias("ms"))
-    return per.agg(F.count("*").alias("videos"), F.round(F.percentile("ms", F.lit(0.5)), 4).alias("p50"), F.round(F.percentile("ms", F.lit(0.9)), 4).alias("p90"), F.round(F.avg("ms"), 4).alias("mean"), F.round(F.sum("ms"), 2).alias("total"))
+    totals = per.agg(F.count("*").alias("videos"), F.round(F.avg("ms"), 4).alias("mean"), F.round(F.sum("ms"), 2).alias("total"))
+    # a row each: an empty table has counts but no quantiles
+    both = totals.withColumn("_all", F.lit(0)).join(exact_quantiles(per, [], "ms", {"p50": 0.5, "p90": 0.9}).withColumn("_all", F.lit(0)), "_all", "left")
+    return both.select("videos", F.round("p50", 4).alias("p50"), F.round("p90", 4).alias("p90"), "mean", "total")
 
 
 def audit_repeats(audit: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 
 def normalised(grid: DataFrame, log_scale: bool = True, quantile: float = 0.99) -> DataFrame:
     """Costs clipped at 0, optionally log(1 + x), divided by the frame's quantile (1e-6 at least), clipped to [0, 1]."""
@@ -60,8 +62,7 @@ def with_pixels(grid: DataFrame, rows: int, cols: int, height: int, width: int)
 def clip_iframes(grid: DataFrame, kinds: DataFrame, quantile: float, weight: str | None = None) -> DataFrame:
     """Scores of I frames capped at the quantile over all other frames' cells of the video; kinds(video, t, pict_type)."""
     rows = grid.join(kinds.select("video", "t", "pict_type"), ["video", "t"])
-    freq = F.col(weight) if weight else F.lit(1)
-    caps = rows.filter("pict_type <> 'I'").groupBy("video").agg(F.percentile("cost", F.lit(quantile), freq).alias("cap"))
+    caps = exact_quantiles(rows.filter("pict_type <> 'I'"), ["video"], "cost", {"cap": quantile}, weight)
     out = rows.join(caps, "video", "left")
     capped = (F.col("pict_type") == "I") & F.col("cap").isNotNull() & (F.col("cost") > F.col("cap"))
     return out.select("video", "t", "i", "j", F.when(capped, F.col("cap")).otherwise(F.col("cost")).alias("cost"), F.coalesce(capped, F.lit(False)).alias("changed"))
@@ -70,7 +71,7 @@ def clip_iframes(grid: DataFrame, kinds: DataFrame, quantile: float, weight: str
 def frame_mean_floor(blocks: DataFrame, floor_ratio: float, allow_boost: bool = False) -> DataFrame:
     """Block scores scaled by ref / max(frame mean, floor): ref the median frame mean, floor a share of it."""
     means = blocks.groupBy("video", "t").agg(F.avg("score").alias("m"))
-    ref = means.groupBy("video").agg(F.percentile("m", F.lit(0.5)).alias("ref"))
+    ref = exact_quantiles(means, ["video"], "m", {"ref": 0.5}, passes=0)
     scale = F.col("ref") / F.greatest("m", F.greatest(F.lit(1e-6), F.lit(floor_ratio) * F.col("ref")))
     scale = scale if allow_boost else F.least(F.lit(1.0), scale)
     scaled = means.join(ref, "video").select("video", "t", scale.alias("scale"))
