@@ -110,53 +110,64 @@ def line(first: float, last: float, n: int) -> np.ndarray:
     return out
 
 
-def energy_cdf_ids(energy: np.ndarray, bin_sec: float, fps: float, total: int, k: int, mix: float = 0.3, max_per_bin: int | None = None) -> np.ndarray:
-    """``k`` ids dealt to time bins by energy: floors, largest remainders, round-robin by weight, even spacing in a bin."""
-    e = np.maximum(np.asarray(energy, float), 0)
-    if not len(e):
-        return line(0, total - 1, k)
-    mean = e.mean()
-    w = np.maximum((1 - mix) * e + mix * (mean if mean > 0 else 1.0), 1e-12)
-    share = w / w.sum() * k
-    cap = max_per_bin or k
-    count = np.minimum(np.floor(share).astype(int), cap)
-    for b in np.lexsort((np.arange(len(w)), -np.round(share - np.floor(share), 9))):
-        if count.sum() >= k:
-            break
-        if count[b] < cap:
-            count[b] += 1
-    order = np.lexsort((np.arange(len(w)), -w))
-    for _ in range(10 * k):
-        if count.sum() >= k or (count >= cap).all():
-            break
-        for b in order:
-            if count.sum() < k and count[b] < cap:
-                count[b] += 1
-    ids: list[int] = []
-    for b, c in enumerate(count):
-        if c > 0:
-            lo, hi = (max(0, min(total - 1, x)) for x in (int(np.floor(b * bin_sec * fps)), int(np.ceil((b + 1) * bin_sec * fps)) - 1))
-            hi = max(lo, hi)
-            ids += [round((lo + hi) / 2)] if c == 1 or lo == hi else line(lo, hi, c).tolist()
-    ids.sort()
-    if len(ids) < k:
-        ids = sorted(ids + line(0, total - 1, k - len(ids)).tolist())
-    if len(ids) > k:
-        ids = [ids[i] for i in line(0, len(ids) - 1, k)]
-    return np.array(ids, np.int64)
-
-
 def sample_energy_cdf(bins: DataFrame, videos: DataFrame, bin_sec: float, k: int, mix: float = 0.3, max_per_bin: int | None = None) -> DataFrame:
-    """video, t, frame_id; the dealing of counts is sequential, so one video's bins meet in one group."""
-
-    def deal(pdf):
-        import pandas as pd
+    """video, t, frame_id: ``k`` ids dealt to time bins by energy, evenly spaced in a bin, missing ones over the whole video.
 
-        pdf = pdf.sort_values("bin")
-        ids = energy_cdf_ids(pdf["energy"].to_numpy(), bin_sec, float(pdf["fps"].iloc[0]), int(pdf["total_frames"].iloc[0]), k, mix, max_per_bin)
-        return pd.DataFrame({"video": pdf["video"].iloc[0], "t": range(len(ids)), "frame_id": ids})
-
-    return bins.join(videos.select("video", "fps", "total_frames"), "video").groupBy("video").applyInPandas(deal, f"{typed(bins, 'video')}, t int, frame_id long")
+    Shares are energy mixed with its mean.  Bins get the whole part of their share (``max_per_bin`` at most), then one by
+    largest remainder, then rounds by weight.  Only the ``k`` first bins of an order can get one, so ranks stop there:
+    Spark cuts them before the shuffle, and no task holds the bins of a video.
+    """
+    cap, of = max_per_bin or k, W.partitionBy("video")
+    v = videos.select("video", "fps", F.col("total_frames").cast("long").alias("total"))
+    e = bins.select("video", "bin", F.greatest(F.coalesce("energy", F.lit(0.0)), F.lit(0.0)).alias("e")).join(v, "video")
+    means = e.groupBy("video").agg(F.avg("e").alias("m"))
+    mixed = (1 - mix) * F.col("e") + mix * F.when(F.col("m") > 0, F.col("m")).otherwise(1.0)
+    w = e.join(means, "video").select("video", "bin", "fps", "total", F.greatest(mixed, F.lit(1e-12)).alias("w"))
+    share = w.join(w.groupBy("video").agg(F.sum("w").alias("sum")), "video").withColumn("share", F.col("w") / F.col("sum") * k)
+    whole = share.withColumn("c", F.least(F.floor("share"), F.lit(cap)).cast("long")).withColumn("rest", F.round(F.col("share") - F.floor("share"), 9))
+
+    def lacking(dealt: DataFrame) -> DataFrame:
+        return dealt.groupBy("video").agg((k - F.sum("c")).alias("lack"))
+
+    def one_more(dealt: DataFrame, takers: DataFrame, order: list, lack: DataFrame) -> DataFrame:
+        """The first bins of an order get one, as many as are lacking."""
+        first = takers.withColumn("r", F.row_number().over(of.orderBy(*order))).filter(F.col("r") <= k).join(lack, "video").filter(F.col("r") <= F.col("lack"))
+        return dealt.join(first.select("video", "bin", F.lit(1).alias("more")), ["video", "bin"], "left").withColumn("c", F.col("c") + F.coalesce("more", F.lit(0))).drop("more")
+
+    dealt = one_more(whole, whole.filter(F.col("c") < cap), [F.desc("rest"), "bin"], lacking(whole))
+    if cap < k:
+        # rounds: all bins with room get one a round; how many whole rounds there are tells a histogram of rooms (cap rows)
+        room = dealt.filter(F.col("c") < cap).groupBy("video", (cap - F.col("c")).alias("room")).agg(F.count("*").alias("n"))
+        up = of.orderBy("room").rowsBetween(W.unboundedPreceding, 0)
+        wider = F.coalesce(F.sum("n").over(of.orderBy(F.desc("room")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        filled = room.withColumn("wider", wider).withColumn("given", F.sum(F.col("room") * F.col("n")).over(up) + F.col("room") * F.col("wider"))
+        level = filled.join(lacking(dealt), "video").groupBy("video", "lack").agg(
+            F.max(F.when(F.col("given") <= F.col("lack"), F.struct("room", "given", "wider"))).alias("low"), F.sum("n").alias("open")
+        )
+        base, given = F.coalesce("low.room", F.lit(0)), F.coalesce("low.given", F.lit(0))
+        takers = F.coalesce("low.wider", "open")
+        left = F.col("lack") - given
+        level = level.select("video", F.when(takers > 0, base + F.floor(left / takers)).otherwise(base).alias("rounds"), F.when(takers > 0, left % takers).otherwise(0).alias("lack"))
+        full = dealt.join(level.select("video", "rounds"), "video", "left")
+        after = full.withColumn("c", F.least(F.lit(cap), F.col("c") + F.coalesce("rounds", F.lit(0))).cast("long"))
+        dealt = one_more(after, after.filter(F.col("c") < cap), [F.desc("w"), "bin"], level.select("video", "lack"))
+
+    inside = lambda c: F.greatest(F.lit(0), F.least(F.col("total") - 1, c.cast("long"))).cast("long")
+    low, high = inside(F.floor(F.col("bin") * bin_sec * F.col("fps"))), inside(F.ceil((F.col("bin") + 1) * bin_sec * F.col("fps")) - 1)
+    spans = dealt.filter("c > 0").select("video", "total", "c", low.alias("lo"), F.greatest(low, high).alias("hi"))
+    single = (F.col("c") == 1) | (F.col("lo") == F.col("hi"))
+    spans = spans.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.when(single, 0).otherwise(F.col("c") - 1).cast("long"))).alias("i"))
+    ids = spans.select("video", F.when(single, F.bround((F.col("lo") + F.col("hi")) / 2)).otherwise(_even("lo", "hi", "i", F.col("c"))).cast("long").alias("frame_id"))
+    short = means.select("video").join(ids.groupBy("video").agg(F.count("*").alias("n")), "video", "left").select("video", (k - F.coalesce("n", F.lit(0))).alias("lack")).filter("lack > 0")
+    short = short.join(v, "video").select("video", F.lit(0).cast("long").alias("lo"), (F.col("total") - 1).alias("hi"), "lack", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lack") - 1)).alias("i"))
+    fill = short.select("video", F.when(F.col("lack") == 1, F.col("lo")).otherwise(_even("lo", "hi", "i", F.col("lack"))).cast("long").alias("frame_id"))
+    return ids.union(fill).select("video", (F.row_number().over(of.orderBy("frame_id")) - 1).cast("int").alias("t"), "frame_id")
+
+
+def _even(low: str, high: str, i: str, n):
+    """The i-th of n truncated evenly spaced numbers; the last is the end itself."""
+    at = F.col(low) + F.col(i) * ((F.col(high) - F.col(low)) / (n - 1))
+    return F.when(F.col(i) == n - 1, F.col(high)).otherwise(at.cast("long"))
 
 
 def cover_time(sampled: DataFrame, videos: DataFrame, every_sec: float, k: int) -> DataFrame:

@@ -116,10 +116,60 @@ def test_variable_gops():
     assert groups.variable_gops([], 1.0, 3, 2, 6) == [(0, 0)]
 
 
+def energy_cdf_ids(energy: np.ndarray, bin_sec: float, fps: float, total: int, k: int, mix: float = 0.3, max_per_bin: int | None = None) -> np.ndarray:
+    """By loops: ``k`` ids dealt to time bins by energy: floors, largest remainders, round-robin by weight, even spacing in a bin."""
+    e = np.maximum(np.asarray(energy, float), 0)
+    if not len(e):
+        return sampling.line(0, total - 1, k)
+    mean = e.mean()
+    w = np.maximum((1 - mix) * e + mix * (mean if mean > 0 else 1.0), 1e-12)
+    share = w / w.sum() * k
+    cap = max_per_bin or k
+    count = np.minimum(np.floor(share).astype(int), cap)
+    for b in np.lexsort((np.arange(len(w)), -np.round(share - np.floor(share), 9))):
+        if count.sum() >= k:
+            break
+        if count[b] < cap:
+            count[b] += 1
+    order = np.lexsort((np.arange(len(w)), -w))
+    for _ in range(10 * k):
+        if count.sum() >= k or (count >= cap).all():
+            break
+        for b in order:
+            if count.sum() < k and count[b] < cap:
+                count[b] += 1
+    ids: list[int] = []
+    for b, c in enumerate(count):
+        if c > 0:
+            lo, hi = (max(0, min(total - 1, x)) for x in (int(np.floor(b * bin_sec * fps)), int(np.ceil((b + 1) * bin_sec * fps)) - 1))
+            hi = max(lo, hi)
+            ids += [round((lo + hi) / 2)] if c == 1 or lo == hi else sampling.line(lo, hi, c).tolist()
+    ids.sort()
+    if len(ids) < k:
+        ids = sorted(ids + sampling.line(0, total - 1, k - len(ids)).tolist())
+    if len(ids) > k:
+        ids = [ids[i] for i in sampling.line(0, len(ids) - 1, k)]
+    return np.array(ids, np.int64)
+
+
 def test_energy_cdf_ids():
-    ids = sampling.energy_cdf_ids(np.array([0, 0, 10, 0]), 1.0, 10.0, 40, 8, mix=0.0)
+    ids = energy_cdf_ids(np.array([0, 0, 10, 0]), 1.0, 10.0, 40, 8, mix=0.0)
     assert len(ids) == 8 and ids.min() >= 20 and ids.max() <= 29
-    assert len(sampling.energy_cdf_ids(np.zeros(3), 1.0, 10.0, 30, 5)) == 5
+    assert len(energy_cdf_ids(np.zeros(3), 1.0, 10.0, 30, 5)) == 5
+
+
+@pytest.mark.parametrize("k,mix,most", [(1, 0.3, None), (8, 0.0, None), (16, 0.3, None), (16, 0.3, 2), (12, 0.1, 1), (30, 0.5, 3), (40, 0.0, 2)])
+def test_energy_cdf_against_loops(spark, k, mix, most):
+    rng = np.random.default_rng(k)
+    energies = {"many": rng.integers(0, 9, 60).astype(float), "peak": np.array([0, 0, 1000.0, 0, 1, 0]), "flat": np.ones(7), "none": np.zeros(5), "one": np.array([3.0]), "neg": np.array([-4.0, 2, 2, -1])}
+    sizes = {"many": (600, 10.0), "peak": (41, 7.0), "flat": (3, 1.0), "none": (50, 10.0), "one": (1, 1.0), "neg": (400, 29.97)}
+    bins = spark.createDataFrame([(v, i, float(x)) for v, e in energies.items() for i, x in enumerate(e)], "video string, bin int, energy double").repartition(3)
+    videos = spark.createDataFrame([(v, n, f) for v, (n, f) in sizes.items()], "video string, total_frames int, fps double")
+    got = {}
+    for r in sampling.sample_energy_cdf(bins, videos, 1.0, k, mix, most).orderBy("video", "t").collect():
+        got.setdefault(r.video, []).append(r.frame_id)
+    for v, e in energies.items():
+        assert got[v] == energy_cdf_ids(e, 1.0, sizes[v][1], sizes[v][0], k, mix, most).tolist(), v
 
 
 def test_samplers(spark):
