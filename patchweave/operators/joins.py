@@ -18,9 +18,10 @@ def forward_fill(requested: DataFrame, decoded: DataFrame, value: str) -> DataFr
 
 def decoded(requested: DataFrame, frames: DataFrame, videos: DataFrame, value: str, within: int | None = None) -> DataFrame:
     """Requested (video, t, frame_id), ids clamped to the video, with their value; a miss takes the last good one before it,
-    or, where none is before, that of the nearest decoded frame (the smaller id of two), no farther than ``within``."""
+    or, where none is before, that of the nearest decoded frame (the smaller id of two), no farther than ``within``.
+    A frame that was decoded several times has its smallest value."""
     want = requested.join(videos.select("video", F.col("total_frames").cast("long").alias("n")), "video").select("video", "t", F.greatest(F.lit(0), F.least(F.col("frame_id").cast("long"), F.col("n") - 1)).alias("frame_id"))
-    have = frames.select("video", F.col("frame_id").cast("long").alias("frame_id"), F.col(value).alias("_value")).dropDuplicates(["video", "frame_id"])
+    have = frames.select("video", F.col("frame_id").cast("long").alias("frame_id"), F.col(value).alias("_value")).groupBy("video", "frame_id").agg(F.min("_value").alias("_value"))
     joined = want.join(have, ["video", "frame_id"], "left")
     before = F.last("_value", True).over(W.partitionBy("video").orderBy("t").rowsBetween(W.unboundedPreceding, 0))
     filled = joined.withColumn("_filled", before).withColumn("was_missing", F.col("_value").isNull())

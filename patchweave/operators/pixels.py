@@ -34,12 +34,14 @@ class _Measure(Fold):
         return np.abs(a[2] - b[2]).mean((-2, -1)).ravel()
 
     def _out(self, now, adjacent):
-        novelty = np.abs(now[2] - self.anchor[2]).mean((-2, -1)).ravel()
         edge = image.edges(now[2]).ravel()
+        novelty = np.zeros(len(edge)) if self.anchor is None else np.abs(now[2] - self.anchor[2]).mean((-2, -1)).ravel()
         none = [None] * len(edge)
         return list(zip([now[0]] * len(edge), range(len(edge)), novelty.tolist(), edge.tolist(), none if adjacent is None else adjacent.tolist()))
 
     def row(self, t, h, w, bgr, is_anchor):
+        if bgr is None:
+            return []
         frame = _array(bgr, h, w)
         now = (t, frame, image.block_descriptors(frame, self.rows, self.cols))
         if is_anchor:
@@ -48,7 +50,7 @@ class _Measure(Fold):
         out = []
         if self.waiting and t > self.anchor[0]:  # the frame before the anchor, if any, has passed
             out, self.waiting = self._out(self.anchor, self._difference(self.before, self.anchor)), False
-        last = self.anchor if self.anchor[0] == t - 1 else self.before
+        last = self.anchor if self.anchor is not None and self.anchor[0] == t - 1 else self.before
         out += self._out(now, self._difference(last, now))
         self.before = now
         return out
@@ -62,6 +64,7 @@ def measured(frames: DataFrame, rows: int, cols: int, descriptor: str = "pooled4
 
     novelty: distance of pooled descriptors to the anchor's block; adjacent: to the frame before, of pooled descriptors
     (``pooled4``) or of all pixels (``full``).  A group is read in order; its anchor and one frame are held.
+    Frames without pixels have no rows; where the anchor is one of them, nothing is known to be new: novelty is 0.
     """
     if descriptor not in ("pooled4", "full"):
         raise ValueError(f"unknown descriptor {descriptor!r}")
