@@ -144,29 +144,27 @@ def as_png(canvas: DataFrame) -> DataFrame:
 
 
 def write_canvases(canvas: DataFrame, path: str, kind: str = "png") -> DataFrame:
-    """Writes canvases (video, n, h, w, rgb) to ``path``/video/canvas_NNN.png through Spark's file systems; returns (video, name) written.
+    """Writes canvases (video, n, h, w, rgb) as Parquet tables of (name, png), a part for each video; returns (video, name) written.
 
-    ``path`` has to be shared by the executors.  Other kinds than png need an encoder that is not at hand.
+    ``path`` has to be shared by the executors.  Loose files, JPEG among them, are written by ``canvases.write_files``.
     """
     if kind != "png":
         raise ValueError(f"unsupported canvas format {kind!r}")
     files = as_png(canvas).repartition("video")
-    # a file a row: binary parts beside their names, in the layout of one folder a video
     files.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video").parquet(path)
-    return files.select("video", "name")
+    return canvas.select(F.col("video").cast("string").alias("video"), F.format_string("canvas_%03d.png", F.col("n").cast("int")).alias("name"))
 
 
 def export_canvases(files: DataFrame, folder: str) -> int:
     """Loose files of (video, name, png) in a folder of this machine, one video's at a time; returns how many."""
-    import hashlib
     import os
-    import re
+
+    from .canvases import folder_of
 
     n = 0
     for r in files.select("video", "name", "png").toLocalIterator():
         # a video may be named by a path: it stays in the folder, and names that differ do not meet
-        own = re.sub(r"[^\w.-]+", "_", r.video).strip(".")
-        own = own if own and own == r.video else f"{own}-{hashlib.md5(r.video.encode()).hexdigest()[:8]}"
+        own = folder_of(r.video)
         os.makedirs(os.path.join(folder, own), exist_ok=True)
         with open(os.path.join(folder, own, os.path.basename(r.name)), "wb") as f:
             f.write(r.png)
