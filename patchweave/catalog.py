@@ -569,4 +569,4 @@ def bad_frame_flags(spark, sf):
     return s.select("video", "t", black.alias("is_black"), solid.alias("is_solid"), (black | solid).alias("is_bad"))
 
 
-from . import catalog_frames  # noqa: E402, F401  (registers its queries)
+from . import catalog_frames, catalog_plans  # noqa: E402, F401  (register their queries)

@@ -51,16 +51,39 @@ class Config:
     dedup: bool = True
     dedup_descriptor: str = "pooled4"
     dedup_threshold: float | None = None
+    # what a plan from sampling on needs besides (plans/whole.py)
+    sampling: str = "fps"
+    sample_count: int = 0
+    peak_bin_sec: float = 0.5
+    peak_smooth: int = 1
+    peaks_per_sec: float = 1.0
+    peaks_cap: int = 128
+    peak_neighbour: int = 0
+    avoid_keyframes: bool = False
+    avoid_offset: int = 1
+    log_scale: bool = True
+    score_percentile: float = 99.0
+    iframe_clip: str = "none"
+    iframe_clip_percentile: float = 95.0
+    frame_norm: str = "none"
+    frame_norm_floor: float = 0.5
+    frame_norm_boost: bool = False
+    letterbox: bool = False
+    letterbox_threshold: float = 16.0
+    order: str = "block_raster"
+    pixels: int = 0  # a patch is so many pixels wide; 0: as many as cells
 
     def normalised(self) -> "Config":
-        low = {n: getattr(self, n).strip().lower() for n in ("selector", "grouping", "anchor", "dedup_descriptor", "readiness_mode")}
+        low = {n: getattr(self, n).strip().lower() for n in ("selector", "grouping", "anchor", "dedup_descriptor", "readiness_mode", "sampling", "iframe_clip", "frame_norm", "order")}
         c = replace(self, **low, group_size=max(1, self.group_size), images_per_group=max(1, self.images_per_group))
-        for what, known in (("selector", SELECTORS.names()), ("grouping", GROUPERS.names()), ("anchor", ["adaptive", "fixed"]), ("readiness_mode", ["auto", "clamped_sqrt_bpppf", "fixed", "legacy"])):
+        for what, known in (("selector", SELECTORS.names()), ("grouping", GROUPERS.names()), ("anchor", ["adaptive", "fixed"]), ("readiness_mode", ["auto", "clamped_sqrt_bpppf", "fixed", "legacy"]), ("iframe_clip", ["non_i_percentile", "none"]), ("frame_norm", ["frame_mean_floor", "none"]), ("order", ["block_raster", "wh_raster"])):
             if getattr(c, what) not in known:
                 raise ValueError(f"unknown {what} {getattr(c, what)!r}")
         for name in ("diversity_fraction", "novelty_weight"):
             if not 0 <= getattr(c, name) <= 1:
                 raise ValueError(f"{name} must lie in [0, 1]")
+        if c.avoid_offset < 1:
+            raise ValueError("avoid_offset must be at least 1")
         if c.dedup_descriptor not in ("pooled4", "full"):
             raise ValueError(f"unknown descriptor {c.dedup_descriptor!r}")
         if c.dedup_threshold is None:
@@ -87,7 +110,9 @@ class Config:
         return groups.frame_limits(self.sample_fps, self.min_frames, self.max_frames, self.min_sec, self.max_sec)
 
     def key(self) -> str:
-        return hashlib.md5(json.dumps(asdict(self), sort_keys=True).encode()).hexdigest()
+        """Of the values that are not the defaults, so that a new field leaves the keys of older output as they are."""
+        plain = Config()
+        return hashlib.md5(json.dumps({k: v for k, v in asdict(self).items() if v != getattr(plain, k)}, sort_keys=True).encode()).hexdigest()
 
 
 # samplers: (videos, packets, parameters) -> video, t, frame_id ------------------------------------------------------
@@ -209,36 +234,69 @@ def _anchored(blocks: DataFrame, c: Config) -> DataFrame:
     return blocks
 
 
-def grouped_blocks(grid: DataFrame, config: Config, good: DataFrame | None = None, videos: DataFrame | None = None) -> DataFrame:
+def shaped_blocks(grid: DataFrame, config: Config, kinds: DataFrame | None = None) -> DataFrame:
+    """Block scores of costs that are normalised, capped in I frames (kinds(video, t, pict_type)) and levelled by frame, as configured."""
+    c = config.normalised()
+    shaped = SCORERS.get("bitcost")(grid, c.log_scale, c.score_percentile / 100) if c.normalise else grid
+    if c.iframe_clip != "none":
+        if kinds is None:
+            raise ValueError("capping I frames needs the kinds of frames")
+        shaped = scores.clip_iframes(shaped, kinds, min(100.0, max(0.0, c.iframe_clip_percentile)) / 100).drop("changed")
+    blocks = scores.block_scores(shaped, c.patch, c.block, c.cols)
+    if c.frame_norm != "none":
+        blocks = scores.frame_mean_floor(blocks, c.frame_norm_floor, c.frame_norm_boost).select("video", "t", "block_idx", "bh", "bw", "score")
+    return blocks
+
+
+def grouped_blocks(grid: DataFrame, config: Config, good: DataFrame | None = None, videos: DataFrame | None = None, kinds: DataFrame | None = None) -> DataFrame:
     """Scored blocks in the groups and with the anchors of a configuration; good(video, t, good) marks usable frames.
 
-    videos(video, bit_rate, fps, width, height) is needed for readiness thresholds from bit rates.
+    videos(video, bit_rate, fps, width, height) is needed for readiness thresholds from bit rates.  group_start is the
+    group's first frame, wherever its anchor is.
     """
+    return in_groups(shaped_blocks(grid, config, kinds), config, good, videos)
+
+
+def in_groups(blocks: DataFrame, config: Config, good: DataFrame | None = None, videos: DataFrame | None = None) -> DataFrame:
+    """Block scores of ``shaped_blocks`` in groups and with anchors, as ``grouped_blocks`` says."""
     c = config.normalised()
-    shaped = SCORERS.get("bitcost")(grid) if c.normalise else grid
-    blocks = scores.block_scores(shaped, c.patch, c.block, c.cols)
-    out = grouped(blocks, GROUPERS.get(c.grouping)(blocks, c, videos))
+    out = grouped(blocks, GROUPERS.get(c.grouping)(blocks, c, videos)).withColumn("group_start", F.col("anchor_t"))
     if good is not None:
         out = out.join(good.select("video", "t", "good"), ["video", "t"], "left").withColumn("good", F.coalesce("good", F.lit(True)))
     return _anchored(out, c)
 
 
-def select_patches(grid: DataFrame, config: Config, frames: DataFrame | None = None, good: DataFrame | None = None, videos: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def pick(blocks: DataFrame, grid: DataFrame, frames: DataFrame | None, config: Config) -> DataFrame:
+    """Blocks that the configuration's selector takes."""
+    return SELECTORS.get(config.selector)(blocks, grid, frames, config)
+
+
+def place(blocks: DataFrame, chosen: DataFrame, config: Config) -> DataFrame:
+    """Chosen blocks and anchors on canvases."""
+    c = config
+    return PACKERS.get("canvas")(blocks, chosen, c.block, c.rows // c.patch, c.cols // c.patch, c.order)
+
+
+def select_patches(grid: DataFrame, config: Config, frames: DataFrame | None = None, good: DataFrame | None = None, videos: DataFrame | None = None, kinds: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(selected blocks, placements) of a cost grid; everything is keyed by video and group.
 
     frames(video, t, h, w, bgr) lets the diverse selector measure pixels instead of costs; good(video, t, good) leaves
     bad frames out.
     """
     c = config.normalised()
-    blocks = grouped_blocks(grid, c, good, videos)
-    chosen = SELECTORS.get(c.selector)(blocks, grid, frames, c)
-    return chosen, PACKERS.get("canvas")(blocks, chosen, c.block, c.rows // c.patch, c.cols // c.patch)
+    blocks = grouped_blocks(grid, c, good, videos, kinds)
+    chosen = pick(blocks, grid, frames, c)
+    return chosen, place(blocks, chosen, c)
 
 
 def diagnostics(grid: DataFrame, config: Config, frames: DataFrame | None = None, good: DataFrame | None = None, videos: DataFrame | None = None) -> DataFrame:
     """One row a group of a diverse selection with all that the summaries need."""
+    return diagnosed(grouped_blocks(grid, config, good, videos), grid, config, frames)
+
+
+def diagnosed(blocks: DataFrame, grid: DataFrame, config: Config, frames: DataFrame | None = None) -> DataFrame:
+    """``diagnostics`` of blocks in groups."""
     c = config.normalised()
-    blocks = grouped_blocks(grid, c, good, videos)
     cand = select.candidates(_measured(blocks, grid, frames, c))
     picked = select.diverse_counted(cand, c.budget(), c.diversity_fraction, c.dedup, c.dedup_threshold)
     anchors = blocks.filter(F.col("t") == F.col("anchor_t")).select("video", "group_idx", "t", "block_idx", "anchor_t", F.lit(None).cast("double").alias("adjacent"))
