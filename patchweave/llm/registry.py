@@ -31,7 +31,7 @@ QUERIES = {
     "op12_spelling": op12_spelling,
     "op13_bpe": op13_bpe,
 }
-#: Exact nearest neighbours.  Where a block holds no more vectors than are reranked, as in the small tables, the query finds just these.
+#: Exact nearest neighbours.
 NEAREST = """WITH v AS (SELECT vec_id AS id, [x::DOUBLE for x in embedding] AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR isnan(x) OR isinf(x)]) = 0 AND len([x for x in embedding if x <> 0]) > 0),
 s AS (SELECT q.id AS query_id, c.id AS vec_id, list_inner_product(q.v, c.v) AS score FROM v q JOIN v c ON q.id <> c.id AND len(q.v) = len(c.v) WHERE q.id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)

@@ -122,3 +122,24 @@ def test_token_counts_of_long_pieces(spark):
     tok = tokens.PreTokens(tokens.tokenizer_path(token_counts.VOCABULARY)).tok
     n = len(tok.encode(rows[0][1], add_special_tokens=False).ids)
     assert {(r.doc_id, r.n_tokens) for r in token_counts.token_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {(i, n) for i in range(50)} | {(99, 0)}
+
+
+def test_vectors_of_unequal_length_and_tight_groups(spark, monkeypatch):
+    """The nearest are found whatever the codes tell apart: lengths far apart, groups tighter than a code, many equal products; in one block and in several."""
+    import numpy as np
+
+    from patchweave.llm import ann
+
+    rng = np.random.default_rng(8)
+    spread = rng.standard_normal((1500, 16)) * np.exp(2 * rng.standard_normal((1500, 1)))
+    groups = rng.standard_normal((3, 16))[rng.integers(0, 3, 1500)] + 1e-3 * rng.standard_normal((1500, 16))
+    sparse = (rng.random((1500, 16)) < 0.2).astype(float) + np.eye(16)[0]
+    for x in (spread, groups, sparse):
+        for block in (1 << 20, 1 << 16):
+            monkeypatch.setattr(ann, "BLOCK", block)
+            got = ann.search(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>"), keep=64).orderBy("query_id", "rank").collect()
+            for q in range(0, len(x), 20):
+                score = (x * x[q]).cumsum(1)[:, -1]
+                score[q] = -np.inf
+                want = np.lexsort((np.arange(len(x)), -score))[:20]
+                assert [(r.vec_id, r.score) for r in got[q:][:20]] == [(i, score[i]) for i in want]
