@@ -73,7 +73,8 @@ def stage(df: DataFrame, name: str, narrow: bool = False, codec: str = "snappy",
     if narrow:
         df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("parquet.block.size", ROW_GROUP).option("compression", codec)
+    # no marker file: nobody looks for one, and on a local disk each costs the driver two processes, which for a moment share its memory
+    writer = df.write.option("parquet.block.size", ROW_GROUP).option("compression", codec).option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
     with ending_shuffles(spark):
         (writer.partitionBy(by) if by else writer).parquet(path)
     _staged[path] = spark

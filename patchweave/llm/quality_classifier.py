@@ -129,6 +129,12 @@ def descent(w: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float) -> np.n
     return -slope + (negative if su.mean() >= prior * sp.mean() else -negative)
 
 
+def _scaled(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    x = x - mean  # the one copy
+    x /= scale
+    return np.clip(x, -8, 8, out=x).astype(np.float32, copy=False)
+
+
 def fit(xp: np.ndarray, xu: np.ndarray, prior: float, warm: int = 120, rounds: int = 150, rate: float = 0.03, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights and bias on unscaled features.
 
@@ -136,7 +142,7 @@ def fit(xp: np.ndarray, xu: np.ndarray, prior: float, warm: int = 120, rounds: i
     share of the unlabelled lies above, then descent on the non-negative risk with the (bounded) sigmoid loss.
     """
     mean, scale = xu.mean(0), xu.std(0) + 0.02 * np.sqrt(np.maximum(xu.mean(0), 1e-6)) + 1e-4
-    xp, xu = (((x - mean) / scale).clip(-8, 8).astype(np.float32) for x in (xp, xu))
+    xp, xu = (_scaled(x, mean, scale) for x in (xp, xu))
     w = np.zeros(xp.shape[1] + 1, np.float32)
 
     def follow(gradient, w, steps):
@@ -169,7 +175,10 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
         # the ids are a sample of fixed size
         text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id", "left_semi")
         one = map_arrow(text, lambda: _vectors(), "doc_id long, x binary").groupBy("doc_id").agg(F.min("x").alias("x"))
-        return np.array([np.frombuffer(r.x, np.float16) for r in one.orderBy("doc_id").select("x").toLocalIterator()], np.float32)
+        raw = bytearray()
+        for r in one.orderBy("doc_id").select("x").toLocalIterator():
+            raw += r.x
+        return np.frombuffer(raw, np.float16).reshape(-1, WIDTH).astype(np.float32)
 
     xp = vectors(known.filter("lo = 1").select("doc_id").orderBy(order, "doc_id").limit(positives))
     xu = vectors(docs.filter(learn).select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(order, "doc_id").limit(unlabelled))

@@ -79,3 +79,28 @@ def test_very_many_secrets(spark):
             want.append((at, end))
             at = end
         assert [(s["at"], s["end"]) for s in got[n]] == want, n
+
+
+def test_staged_tables_have_no_marker_files(spark):
+    """Each marker file costs the driver two processes on a local disk; the rows are all there without it."""
+    import os
+
+    from patchweave.llm import common
+
+    for by in (None, "k"):
+        staged = common.stage(spark.range(100).selectExpr("id", "id % 3 as k"), "marker", by=by)
+        path = common.path_of(staged)
+        assert not [f for f in os.listdir(path.removeprefix("file:")) if "_SUCCESS" in f]
+        assert staged.count() == 100
+        common.release({path})
+
+
+def test_scaling_leaves_its_input(spark):
+    """The fit's one copy has the values of the plain formula and what was passed in stays as it is."""
+    import numpy as np
+
+    from patchweave.llm import quality_classifier
+
+    x = np.random.default_rng(2).standard_normal((50, 4)).astype(np.float32) * 20
+    was, mean, scale = x.copy(), x.mean(0), x.std(0) / 9
+    assert (quality_classifier._scaled(x, mean, scale) == ((x - mean) / scale).clip(-8, 8).astype(np.float32)).all() and (x == was).all()
