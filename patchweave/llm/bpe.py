@@ -23,6 +23,8 @@ rows.  Other columns of the input take no part.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,8 @@ VOCABULARY = "byte_bpe_50k.json"
 CHUNK_CHARACTERS, CHUNK_WORDS, CHUNK_DOCS = 32 << 20, 600_000, 50_000
 #: Places of words that a task encodes at a time.
 HOLD = 100_000
+#: Words and documents whose ids are made at a time, and places that are renumbered: what a worker holds beside its chunk.
+WORDS_STEP, DOCS_STEP, PLACES_STEP = 5_000, 256, 1 << 20
 #: Shares of the words (by hash) that are shuffled and encoded one after the other: what one needs on disk is gone before the next.
 SLICES = 3
 #: Compression of packed numbers.
@@ -70,12 +74,18 @@ def _chunks(path: str, characters: int, words: int, docs: int):
 
             def both():
                 # the more frequent the word the smaller its place, which packs well
-                of = np.frombuffer(places, np.uint32)
-                order = np.argsort(-np.bincount(of, minlength=len(seen)), kind="stable")
-                rank = np.empty(len(seen), np.uint32)
-                rank[order] = np.arange(len(seen))
-                own = list(seen)
-                for row in ((0, chunk, ids, packed(lengths), packed(rank[of]), None), (1, chunk, None, None, None, [own[i] for i in order])):
+                of, own = np.frombuffer(places, np.uint32), list(seen)
+                seen.clear()
+                steps = [of[lo : lo + PLACES_STEP] for lo in range(0, len(of), PLACES_STEP)]
+                count = np.zeros(len(own), np.int64)
+                for step in steps:
+                    count += np.bincount(step, minlength=len(own))
+                order = np.argsort(-count, kind="stable")
+                rank = np.empty(len(own), np.uint32)
+                rank[order] = np.arange(len(own))
+                for step in steps:
+                    step[:] = rank[step]
+                for row in ((0, chunk, ids, packed(lengths), packed(of), None), (1, chunk, None, None, None, [own[i] for i in order])):
                     yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], ["kind", "chunk", "doc_ids", "lengths", "places", "words"])
 
             for batch in batches:
@@ -92,6 +102,8 @@ def _chunks(path: str, characters: int, words: int, docs: int):
                         seen, ids, lengths, places, read = {}, [], [], array("I"), 0
             if ids:
                 yield from both()
+            seen, ids, lengths, places = {}, [], [], None
+            pa.default_memory_pool().release_unused()  # a worker waits for its next task with what it holds
 
         return run
 
@@ -103,7 +115,8 @@ def packed(values) -> bytes:
     import numpy as np
     import pyarrow as pa
 
-    planes = np.ascontiguousarray(np.asarray(values, "<u4")).view(np.uint8).reshape(-1, 4).T.tobytes()
+    octets = np.ascontiguousarray(np.asarray(values, "<u4")).view(np.uint8).reshape(-1, 4)
+    planes = octets.tobytes("F")
     return len(planes).to_bytes(8, "little") + (pa.Codec("zstd", compression_level=LEVEL).compress(planes, asbytes=True) if planes else b"")
 
 
@@ -139,7 +152,9 @@ def _encode_words(path: str, hold: int):
             words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
             fresh = words.dictionary.to_pylist()
             again = fresh[0] == last[0]  # the word that the rows before ended in
-            ids = [last[1]] * again + [np.array(e.ids, "<u4") for e in tok.encode_batch_fast(fresh[again:], add_special_tokens=False)]
+            ids = [last[1]] * again
+            for lo in range(int(again), len(fresh), WORDS_STEP):
+                ids += [np.array(e.ids, "<u4") for e in tok.encode_batch_fast(fresh[lo : lo + WORDS_STEP], add_special_tokens=False)]
             last[:] = fresh[-1], ids[-1]
             size = np.array([len(x) for x in ids], np.int64)
             start, flat = np.cumsum(size) - size, np.concatenate(ids)
@@ -198,14 +213,15 @@ def _documents(docs, words):
     row = docs.to_pylist()[0]
     of, n = unpacked(row["places"]), unpacked(row["lengths"]).astype(np.int64)
     edges, out = np.concatenate([[0], np.cumsum(n)]), []
-    for a, b in zip(edges[:-1], edges[1:]):
-        mine = of[a:b]
-        out.append(flat[gather(start[mine], length[mine])].tobytes() if b > a else b"")
-    return pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "ids": pa.array(out, pa.binary())})
+    for lo in range(0, len(n), DOCS_STEP):  # in several batches, so that Spark reads them one by one
+        own = edges[lo : lo + DOCS_STEP + 1]
+        found = [flat[gather(start[of[a:b]], length[of[a:b]])].tobytes() if b > a else b"" for a, b in zip(own[:-1], own[1:])]
+        out.append(pa.record_batch([pa.array(row["doc_ids"][lo : lo + DOCS_STEP], pa.int64()), pa.array(found, pa.binary())], ["doc_id", "ids"]))
+    return pa.Table.from_batches(out)
 
 
-def encode(docs: DataFrame, path: str | None = None, characters: int = CHUNK_CHARACTERS, words: int = CHUNK_WORDS, chunk_docs: int = CHUNK_DOCS, hold: int = HOLD, slices: int = SLICES) -> DataFrame:
-    """doc_id, ids (unsigned 32-bit little-endian numbers) of every row of ``docs``."""
+def _chunked(docs: DataFrame, path: str | None = None, characters: int = CHUNK_CHARACTERS, words: int = CHUNK_WORDS, chunk_docs: int = CHUNK_DOCS, hold: int = HOLD, slices: int = SLICES) -> DataFrame:
+    """Chunks of documents, cogrouped with the ids of their words."""
     ship(session(docs))
     path = path or tokenizer_path(VOCABULARY)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -218,7 +234,18 @@ def encode(docs: DataFrame, path: str | None = None, characters: int = CHUNK_CHA
         part = stage(map_arrow(part, _encode_words(path, hold), "chunk long, places binary, sizes binary, ids binary"), "bpe-words")
         encoded = part if encoded is None else encoded.union(part)
     release_part(chunks, "kind=1")  # the words are encoded
-    return chunks.filter("kind = 0").select("chunk", "doc_ids", "lengths", "places").groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(_documents, "doc_id long, ids binary")
+    return chunks.filter("kind = 0").select("chunk", "doc_ids", "lengths", "places").groupBy("chunk").cogroup(encoded.groupBy("chunk"))
+
+
+def encode(docs: DataFrame, path: str | None = None, **sizes) -> DataFrame:
+    """doc_id, ids (unsigned 32-bit little-endian numbers) of every row of ``docs``."""
+    return _chunked(docs, path, **sizes).applyInArrow(_documents, "doc_id long, ids binary")
+
+
+def encode_and_decode(docs: DataFrame, path: str | None = None, **sizes) -> DataFrame:
+    """``decode(encode(docs))``, ids and texts made by one Python worker a task instead of two."""
+    path = path or tokenizer_path(VOCABULARY)
+    return _chunked(docs, path, **sizes).applyInArrow(_documents_and_texts(path), "doc_id long, ids binary, text string")
 
 
 def pieces(path: str) -> list[bytes]:
@@ -234,28 +261,43 @@ def pieces(path: str) -> list[bytes]:
     return out
 
 
+@lru_cache(maxsize=1)
+def _piece(path: str):
+    """The bytes of every id, and none after the last; one for all tasks and chunks of a worker."""
+    import pyarrow as pa
+
+    return pa.array([*pieces(path), b""], pa.large_binary())
+
+
+def _decoded(path: str, batches):
+    """Batches (doc_id, ids) with their texts."""
+    import numpy as np
+    import pyarrow as pa
+
+    piece = _piece(path)
+    for batch in batches:
+        for lo in range(0, batch.num_rows, DOCS_STEP):
+            rows = batch.slice(lo, DOCS_STEP)
+            ids = [np.frombuffer(x or b"", "<u4") for x in rows.column(1).to_pylist()]
+            joined = piece.take(pa.array(np.minimum(np.concatenate(ids), len(piece) - 1)))
+            at, data = (np.frombuffer(b, t) for b, t in zip(joined.buffers()[1:], (np.int64, np.uint8)))
+            edges = at[np.concatenate([[0], np.cumsum([len(x) for x in ids])])]
+            out = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(edges[:-1], edges[1:])]
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(out, pa.string())], ["doc_id", "ids", "text"])
+
+
 def _texts(path: str):
-    def make():
-        import numpy as np
-        import pyarrow as pa
+    return lambda: lambda batches: _decoded(path, batches)
 
-        piece = pa.array([*pieces(path), b""], pa.large_binary())
-        none = len(piece) - 1
 
-        def run(batches):
-            for batch in batches:
-                for lo in range(0, batch.num_rows, 256):
-                    rows = batch.slice(lo, 256)
-                    ids = [np.frombuffer(x or b"", "<u4") for x in rows.column(1).to_pylist()]
-                    joined = piece.take(pa.array(np.minimum(np.concatenate(ids), none)))
-                    at, data = (np.frombuffer(b, t) for b, t in zip(joined.buffers()[1:], (np.int64, np.uint8)))
-                    edges = at[np.concatenate([[0], np.cumsum([len(x) for x in ids])])]
-                    out = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(edges[:-1], edges[1:])]
-                    yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(out, pa.string())], ["doc_id", "ids", "text"])
+def _documents_and_texts(path: str):
+    def run(docs, words):
+        import pyarrow as pa
 
-        return run
+        kinds = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("text", pa.string())])
+        return pa.Table.from_batches(list(_decoded(path, _documents(docs, words).to_batches())), kinds)
 
-    return make
+    return run
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -265,5 +307,5 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 def op13_bpe(spark, sf_dir: str) -> DataFrame:
     sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
-    found = decode(encode(table(spark, sf_dir, "documents")))
+    found = encode_and_decode(table(spark, sf_dir, "documents"))
     return found.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), sha("ids").alias("ids_sha256"), sha("text").alias("decoded_sha256"))

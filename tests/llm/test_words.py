@@ -193,3 +193,18 @@ def test_bpe_query(spark):
     for r in got:
         ids = tok.encode(texts[r.doc_id], add_special_tokens=False).ids
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(np.array(ids, "<u4").tobytes()), sha(tok.decode(ids, skip_special_tokens=False).encode()))
+
+
+def test_bpe_in_one_worker(spark):
+    """Ids and texts of one pass are those of encoding and decoding one after the other; ids cross to Spark in several batches."""
+    import numpy as np
+    import pyarrow as pa
+
+    rows = [(i, t) for i, t in enumerate([None, "", "one two three", "éà 日本 ß", "a<|endoftext|>b", *[f"word{k} and more" for k in range(600)]])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    once = {(r.doc_id, bytes(r.ids), r.text) for r in bpe.encode_and_decode(docs, words=50).collect()}
+    assert once == {(r.doc_id, bytes(r.ids), r.text) for r in bpe.decode(bpe.encode(docs)).collect()}
+    assert {(d, t) for d, _, t in once} == {(d, t or "") for d, t in rows}
+    chunk = pa.table({"chunk": [0], "doc_ids": [list(range(600))], "lengths": [bpe.packed(np.ones(600))], "places": [bpe.packed(np.zeros(600))]})
+    words = pa.table({"chunk": [0], "places": [bpe.packed([0])], "sizes": [bpe.packed([1])], "ids": [bpe.packed([7])]})
+    assert [b.num_rows for b in bpe._documents(chunk, words).to_batches()] == [256, 256, 88]
